@@ -5,9 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .bpe import bpe_digest
-from .common import table
+from .common import crc_mod, table
+from .htmltext import main_text
+from .langid import language_id
+from .topk import exact_top_k
+from .urlfilter import RULES, url_filter
 
 
 def vocab_path(name: str) -> str:
@@ -16,10 +21,28 @@ def vocab_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = lambda c: F.coalesce(crc_mod(c, 4) == 2, F.lit(False))
+    out = language_id(table(spark, sf_dir, "documents"), learn=~held_out("doc_id"))
+    return out.withColumn("held_out", held_out("doc_id"))
+
+
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digest(table(spark, sf_dir, "documents"), vocab_path("byte_bpe_50k.json"))
 
 
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter(table(spark, sf_dir, "pages"), RULES)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
