@@ -76,7 +76,7 @@ def train(labelled: DataFrame) -> list[float]:
     rows = labelled.where("unwanted is not null").select(buckets(host, path).alias("x"), F.col("unwanted").cast("double").alias("y"))
     packed = rows.agg(F.array_sort(F.collect_list(F.struct("x", "y"))).alias("rows")).select("rows", F.transform("rows", lambda r: F.lit(0.0)).alias("zero"))
     kernel = F.transform("rows", lambda r: F.transform("rows", lambda s: 1.0 + F.size(F.array_intersect(r["x"], s["x"])) / F.sqrt(F.size(r["x"]) * F.size(s["x"]))))
-    packed = packed.groupBy().agg(F.first("rows").alias("rows"), F.first("zero").alias("zero"), F.first(kernel).alias("kernel"))  # an aggregate, so that steps don't compute the kernel anew
+    packed = packed.groupBy().agg(F.first("rows").alias("r"), F.first("zero").alias("z"), F.first(kernel).alias("k")).toDF("rows", "zero", "kernel")  # an aggregate, so that steps don't compute the kernel anew
 
     def step(alpha: Column, _: Column) -> Column:
         margin = lambda k: F.aggregate(F.arrays_zip(k.alias("k"), alpha.alias("a")), F.lit(0.0), lambda acc, z: acc + z["k"] * z["a"])
