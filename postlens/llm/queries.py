@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .bpe import bpe_digest
 from .common import crc_mod, table
+from .decontaminate import contaminated
 from .htmltext import main_text
 from .langid import language_id
 from .topk import exact_top_k
@@ -21,6 +22,10 @@ def vocab_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = lambda c: F.coalesce(crc_mod(c, 4) == 2, F.lit(False))
     out = language_id(table(spark, sf_dir, "documents"), learn=~held_out("doc_id"))
