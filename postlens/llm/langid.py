@@ -16,6 +16,7 @@ extra columns are ignored; a null id is passed through.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,8 @@ BITS = (1 << 10, 1 << 12, 1 << 14)
 DIMS = sum(BITS)
 #: Bounds of the labelled sample per language, of languages, and of landmarks per language.
 SAMPLE_PER_LANG, MAX_LANGS, LANDMARKS_PER_LANG = 600, 200, 64
+#: Bounds of both over all languages.
+MAX_SAMPLE, MAX_LANDMARKS = 6000, 512
 RIDGE = 1e-3
 BLOCK = 64
 
@@ -53,30 +56,36 @@ def unit(p: np.ndarray) -> np.ndarray:
     return p / np.sqrt(np.maximum(p.sum(axis=1, keepdims=True), 1))
 
 
-def fit(bits: np.ndarray, labels: np.ndarray, ids: np.ndarray) -> tuple[list[str], np.ndarray]:
-    """Languages and their DIMS x languages matrix from presence bits of labelled rows."""
+def unpack(packed: np.ndarray) -> np.ndarray:
+    return np.unpackbits(packed, axis=1)[:, :DIMS].astype(np.float32)
+
+
+def fit(packed: np.ndarray, labels: np.ndarray, ids: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """Languages and their (DIMS + 1) x languages matrix from packed presence bits of labelled rows."""
     order = np.lexsort((ids, labels))
-    bits, labels = bits[order], labels[order]
+    packed, labels = packed[order], labels[order]
     langs = sorted(set(labels.tolist()))
-    x = unit(bits).astype(np.float64)
-    marks = np.concatenate([np.flatnonzero(labels == k)[:LANDMARKS_PER_LANG] for k in langs])
-    m = x[marks]
-    value, vector = np.linalg.eigh(m @ m.T)
-    keep = value > 1e-8 * value.max()
+    each = max(1, min(LANDMARKS_PER_LANG, MAX_LANDMARKS // len(langs)))
+    m = unit(unpack(packed[np.concatenate([np.flatnonzero(labels == k)[:each] for k in langs])]))
+    kernel = np.vstack([unit(unpack(packed[i : i + 256])) @ m.T for i in range(0, len(packed), 256)]).astype(np.float64)
+    value, vector = np.linalg.eigh((m @ m.T).astype(np.float64))
+    keep = value > 1e-5 * value.max()
     root = vector[:, keep] / np.sqrt(value[keep])  # Nyström map of landmark kernels
-    phi = np.hstack([(x @ m.T) @ root, np.ones((len(x), 1))])
+    phi = np.hstack([kernel @ root, np.ones((len(kernel), 1))])
     y = (labels[:, None] == np.array(langs)[None]).astype(np.float64)
     weight = 1 / y.sum(axis=0)[y.argmax(axis=1)]  # languages count alike
     a = (phi * weight[:, None]).T @ phi + RIDGE * np.eye(phi.shape[1])
     beta = np.linalg.solve(a, (phi * weight[:, None]).T @ y)
-    return langs, np.vstack([m.T @ (root @ beta[:-1]), beta[-1:]]).astype(np.float32)
+    return langs, np.vstack([m.T @ (root @ beta[:-1]).astype(np.float32), beta[-1:]]).astype(np.float32)
 
 
-def sample(rows: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> DataFrame:
-    """Up to about per_lang rows (id, text, label) of each language, chosen by a hash of the id."""
-    counts = rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(MAX_LANGS)  # a fixed number of rows
+def sample(rows: DataFrame, per_lang: int) -> DataFrame:
+    """About per_lang rows (id, text, label) of each language, fewer if there are many languages, chosen by a hash of the id."""
+    counts = rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(MAX_LANGS).collect()  # at most MAX_LANGS rows
+    each = min(per_lang, MAX_SAMPLE // max(1, len(counts)))
     draw = F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 40)) / F.lit(1 << 40)
-    return rows.join(F.broadcast(counts), "label").where(draw < F.lit(float(per_lang)) / F.col("count")).drop("count").limit(2 * per_lang * MAX_LANGS)
+    chosen = [(F.col("label") == r.label) & (draw < each / r["count"]) for r in counts]
+    return rows.where(reduce(lambda a, b: a | b, chosen, F.lit(False))).limit(2 * MAX_SAMPLE)
 
 
 def language_id(docs: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", per_lang: int = SAMPLE_PER_LANG) -> DataFrame:
@@ -99,8 +108,7 @@ def language_id(docs: DataFrame, learn: Column | None = None, id_col: str = "doc
     drawn = sample(labelled, per_lang).withColumn("h", F.xxhash64("id")).mapInArrow(bits, "bits binary, label string, h long").toPandas()
     langs, matrix = [], np.zeros((DIMS + 1, 0), np.float32)
     if len(drawn):
-        p = np.unpackbits(np.frombuffer(b"".join(drawn.bits), np.uint8).reshape(len(drawn), -1), axis=1)[:, :DIMS]
-        langs, matrix = fit(p.astype(np.float32), drawn.label.to_numpy(str), drawn.h.to_numpy())
+        langs, matrix = fit(np.frombuffer(b"".join(drawn.bits), np.uint8).reshape(len(drawn), -1), drawn.label.to_numpy(str), drawn.h.to_numpy())
     model = spark.sparkContext.broadcast((langs, matrix))  # DIMS x at most MAX_LANGS numbers
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
