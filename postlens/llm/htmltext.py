@@ -149,10 +149,10 @@ class Page:
         return xxhash.xxh64_intdigest("\x00".join(body)) - (1 << 63)
 
     def hashes(self, host: str) -> dict[int, int]:
-        """Element -> hash of host and subtree, for block elements that could be cut by it."""
+        """Element -> hash of host and subtree, for block elements, but for plain text inside an article."""
         out = {}
-        for i, (tag, start, end, _, cut, inside) in enumerate(self.elements):
-            if tag in BLOCK and not cut and tag not in NEVER_BY_NAME and not (inside and tag in PLAIN):
+        for i, (tag, start, end, _, _, inside) in enumerate(self.elements):
+            if tag in BLOCK and tag not in NEVER_BY_NAME and not (inside and tag in PLAIN):
                 out[i] = xxhash.xxh64_intdigest(f"{host}\x00{SPACE.sub(' ', self.source[start:end])}") - (1 << 63)
         return out
 

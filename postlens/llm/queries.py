@@ -12,6 +12,7 @@ from .common import crc_mod, table
 from .decontaminate import contaminated
 from .htmltext import main_text
 from .langid import language_id
+from .lattice import lm_score
 from .topk import exact_top_k
 from .urlfilter import RULES, url_filter
 
@@ -40,6 +41,11 @@ def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = lambda: F.coalesce(crc_mod("doc_id", 7) == 2, F.lit(False))
+    return lm_score(table(spark, sf_dir, "documents"), ~held_out(), vocab_path("piece_bpe_32k.model")).withColumn("held_out", held_out())
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digest(table(spark, sf_dir, "documents"), vocab_path("byte_bpe_50k.json"))
 
