@@ -11,6 +11,7 @@ from .bpe import bpe_digest
 from .common import crc_mod, table
 from .decontaminate import contaminated
 from .htmltext import main_text
+from .jaccard import jaccard_components
 from .langid import language_id
 from .lattice import lm_score
 from .topk import exact_top_k
@@ -50,6 +51,10 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digest(table(spark, sf_dir, "documents"), vocab_path("byte_bpe_50k.json"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"), RULES)
 
