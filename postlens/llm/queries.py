@@ -14,6 +14,7 @@ from .htmltext import main_text
 from .jaccard import jaccard_components
 from .langid import language_id
 from .lattice import lm_score
+from .repeats import repeats
 from .topk import exact_top_k
 from .urlfilter import RULES, url_filter
 
@@ -38,6 +39,11 @@ def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
