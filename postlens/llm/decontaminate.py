@@ -37,7 +37,7 @@ def words(text: Column) -> Column:
 
 def windows(rows: DataFrame) -> DataFrame:
     """A row for each window start of (id, w, n), with n words in w."""
-    return rows.where(F.col("n") >= SPAN).select("*", F.explode(F.sequence(F.lit(0), F.col("n") - SPAN)).alias("at"))
+    return rows.select("*", F.explode(F.when(F.col("n") >= SPAN, F.sequence(F.lit(0), F.col("n") - SPAN))).alias("at"))
 
 
 def keys() -> Column:
@@ -48,7 +48,16 @@ def keys() -> Column:
 
 def context() -> Column:
     """The window's words with PAD more on both sides; null beyond the text."""
-    return F.array(*[F.when(F.col("at") + i >= 0, F.get("w", F.col("at") + i)) for i in range(-PAD, SPAN + PAD)])
+    return F.transform(F.sequence(F.lit(-PAD), F.lit(SPAN + PAD - 1)), lambda i: F.when(F.col("at") + i >= 0, F.get("w", F.col("at") + i)))
+
+
+def agreement() -> Column:
+    """The most words that agree in place in a WINDOW-word stretch that holds the seed.
+
+    Of one element, to be exploded: a filter on it then stays above the join, whose generated code is small enough to be compiled.
+    """
+    same = F.zip_with("context", "item_context", lambda x, y: F.coalesce((x == y).cast("int"), F.lit(0)))
+    return F.array(F.array_max(F.transform(F.sequence(F.lit(1), F.lit(2 * PAD + SPAN - WINDOW + 1)), lambda s: F.aggregate(F.slice(same, s, F.lit(WINDOW)), F.lit(0), lambda x, y: x + y))))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", seeds_per_block: int = SEEDS_PER_BLOCK) -> DataFrame:
@@ -62,9 +71,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     def matches(k: int) -> DataFrame:
         own = F.broadcast(seeds.where(F.pmod(F.hash("key"), F.lit(blocks)) == k) if blocks > 1 else seeds)
         hits = starts.join(own, "key").select("id", "item", F.least(F.lit(WINDOW), "n", "item_n").alias("stretch"), context().alias("context"), "item_context")
-        same = [F.coalesce(F.get("context", F.lit(i)) == F.get("item_context", F.lit(i)), F.lit(False)).cast("int") for i in range(SPAN + 2 * PAD)]
-        best = F.greatest(*[reduce(lambda x, y: x + y, same[s : s + WINDOW]) for s in range(2 * PAD + SPAN - WINDOW + 1)])
-        return hits.select("id", "item", "stretch", best.alias("matched")).where(F.col("matched") >= F.ceil(F.col("stretch") * SHARE))
+        return hits.select("id", "item", "stretch", F.explode(agreement()).alias("matched")).where(F.col("matched") >= F.ceil(F.col("stretch") * SHARE))
 
     found = reduce(DataFrame.unionByName, [matches(k) for k in range(blocks)])
     out = found.groupBy("id", "item").agg(F.max("matched").alias("matched"), F.max("stretch").alias("stretch"), F.count("*").alias("hits"))
