@@ -14,6 +14,7 @@ from .htmltext import main_text
 from .jaccard import jaccard_components
 from .langid import language_id
 from .lattice import lm_score
+from .licenses import default_templates, scan_licenses
 from .repeats import repeats
 from .topk import exact_top_k
 from .urlfilter import RULES, url_filter
@@ -53,6 +54,14 @@ def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score(table(spark, sf_dir, "documents"), ~held_out(), vocab_path("piece_bpe_32k.model")).withColumn("held_out", held_out())
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`documents` has no paths: a document lies in source/(doc_id div 100), every twentieth as that directory's LICENSE."""
+    docs = table(spark, sf_dir, "documents")
+    name = F.when(F.col("doc_id") % 20 == 0, F.lit("LICENSE")).otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    docs = docs.withColumn("path", F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.floor(F.col("doc_id") / 100).cast("string"), name))
+    return scan_licenses(docs, default_templates(spark))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digest(table(spark, sf_dir, "documents"), vocab_path("byte_bpe_50k.json"))
 
