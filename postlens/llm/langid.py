@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import small_batches
 
@@ -33,6 +34,7 @@ SAMPLE_PER_LANG, MAX_LANGS, LANDMARKS_PER_LANG = 600, 200, 64
 #: Bounds of both over all languages.
 MAX_SAMPLE, MAX_LANDMARKS = 6000, 512
 RIDGE = 1e-3
+LETTER = r"\p{L}"
 BLOCK = 64
 
 
@@ -88,8 +90,8 @@ def sample(rows: DataFrame, per_lang: int) -> DataFrame:
     return rows.where(reduce(lambda a, b: a | b, chosen, F.lit(False))).limit(2 * MAX_SAMPLE)
 
 
-def language_id(docs: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", per_lang: int = SAMPLE_PER_LANG) -> DataFrame:
-    """One row per document: the id, lang_pred and score.
+def language_id(docs: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", per_lang: int = SAMPLE_PER_LANG, carry: list[str] | None = None) -> DataFrame:
+    """One row per document: the id (or the columns of carry in its place), lang_pred and score.
 
     learn: which rows may be learned from (all, if None); null labels never are.
     The model is fitted when this function is called; prediction is lazy.
@@ -97,7 +99,7 @@ def language_id(docs: DataFrame, learn: Column | None = None, id_col: str = "doc
     spark = docs.sparkSession
     small_batches(spark, 256)
     base = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"), docs[label_col].cast("string").alias("label"), F.coalesce(learn if learn is not None else F.lit(True), F.lit(False)).alias("learn"))
-    lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    lettered = F.coalesce(F.col("text").rlike(LETTER), F.lit(False))
     labelled = base.where(F.col("learn") & F.col("label").isNotNull() & lettered).select("id", "text", "label")
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,7 +125,13 @@ def language_id(docs: DataFrame, learn: Column | None = None, id_col: str = "doc
                 for i, k in enumerate(best):
                     if ok[at + i]:
                         lang[at + i], score[at + i] = langs[k], min(1.0, max(0.0, float(f[i, k])))
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(lang), pa.array(score)], ["id", "lang_pred", "score"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    return base.select("id", "text", lettered.alias("ok")).mapInArrow(predict, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
+            own = b.column_names[:-2]
+            yield pa.RecordBatch.from_arrays([*map(b.column, own), pa.array(lang), pa.array(score)], [*own, "lang_pred", "score"])
+
+    carry = carry or [id_col]
+    names = [f"c{i}" for i in range(len(carry))]
+    kinds = [T.StructField(n, docs.schema[c].dataType) for n, c in zip(names, carry, strict=True)]
+    text = docs[text_col].cast("string")
+    rows = docs.select(*[docs[c].alias(n) for n, c in zip(names, carry, strict=True)], text.alias("text"), F.coalesce(text.rlike(LETTER), F.lit(False)).alias("ok"))
+    out = rows.mapInArrow(predict, T.StructType([*kinds, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return out.select(*[F.col(n).alias(c) for n, c in zip(names, carry, strict=True)], "lang_pred", "score")
