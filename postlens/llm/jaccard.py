@@ -13,8 +13,9 @@ verified on the whole sets.
 
 Equal sets form one class. Values that up to SMALL classes share yield all pairs.
 Larger groups are compared with three of their members first; where that leaves more
-than one component in a group, all pairs across components are verified as well, so
-no link between components is lost and no large group yields all its pairs.
+than one component in a group, the sketches of all members of different components are
+compared in tiles of bounded size and what passes is verified, so no link between
+components is lost and no large group yields all its pairs.
 
 Defined cases: documents with no words (or null text) have an empty set and are linked
 with nothing; with fewer than SHINGLE words the whole sequence is one shingle; repeated
@@ -41,6 +42,8 @@ SHINGLE, SMALL = 5, 8
 UP, DOWN = 75, 100
 #: In bands of sets of up to so many elements, every element is a block of its own.
 SINGLE = 48
+#: Members of a key that meet in one tile, on either side.
+TILE = 1024
 LOW40 = np.uint64((1 << 40) - 1)
 
 
@@ -59,8 +62,11 @@ def shingles(text: str, size: int = SHINGLE) -> np.ndarray:
     size = min(size, len(h))
     out = np.full(len(h) - size + 1, size, np.uint64)
     for i in range(size):
-        out = mix(out) + h[i : len(h) - size + 1 + i]
-    return np.unique(mix(out))
+        out *= np.uint64(0xD6E8FEB86659FD93)
+        out += h[i : len(h) - size + 1 + i]
+    out = mix(out)
+    out.sort()
+    return out[np.r_[True, out[1:] != out[:-1]]]
 
 
 def levels(largest: int) -> list[int]:
@@ -118,20 +124,28 @@ def unpack_times(n: int, common: bytes, times: bytes) -> np.ndarray:
     return out
 
 
-def part_values(texts: pd.Series, buckets: int, salts: dict[int, int]) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
-    """Per text (set, [(band, D, values)]); the part's distinct values by bucket; in how many classes each is; where each bucket begins."""
-    docs, found, sets = [], [], set()
+def bucket_edges(values: np.ndarray, buckets: int) -> np.ndarray:
+    """Where each bucket, an equal range of 64-bit numbers, begins among sorted values."""
+    return np.searchsorted(values, np.array([k * (1 << 64) // buckets for k in range(buckets)], np.uint64)).tolist() + [len(values)]
+
+
+def part_values(texts: pd.Series, buckets: int, salts: dict[int, int]) -> tuple[list, np.ndarray, np.ndarray, list[int]]:
+    """Per text (set, [(band, D, places of its values)]); the part's distinct values, sorted; in how many classes each is; where each bucket begins."""
+    docs, found, known, total = [], [], {}, 0
     for t in texts:
         s = shingles(t)
-        own = [(j, d, block_values(s, j, k, salts.get(j, 0))) for j, d, k in band_of(len(s))] if len(s) else []
-        docs.append((s, own))
-        if own and (key := s.tobytes() if len(s) < 9 else xxhash.xxh128_digest(s.tobytes())) not in sets:
-            sets.add(key)
-            found += [v for _, _, v in own]
-    values, times = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]), return_counts=True)
-    bucket = (values >> np.uint64(40)) % np.uint64(buckets)
-    order = np.lexsort((values & LOW40, bucket))
-    return docs, values[order], times[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
+        key = xxhash.xxh128_digest(s.tobytes())
+        if key not in known:  # a class counts once
+            own = []
+            for j, d, k in band_of(len(s)) if len(s) else []:
+                v = block_values(s, j, k, salts.get(j, 0))
+                found.append(v)
+                own.append((j, d, total, total + len(v)))
+                total += len(v)
+            known[key] = own
+        docs.append((s, known[key]))
+    values, back, times = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]), return_inverse=True, return_counts=True)
+    return [(s, [(j, d, back[x:y]) for j, d, x, y in own]) for s, own in docs], values, times, bucket_edges(values, buckets)
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, salts: dict[int, int], part_bytes: int) -> DataFrame:
@@ -158,18 +172,16 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, salts: dict[int, int],
         docs, values, times, cut = part_values(own.text, n, salts)
         for b, common, f in zip(told.bucket, told.common, told.times, strict=True):
             times[cut[b] : cut[b + 1]] = unpack_times(cut[b + 1] - cut[b], common, f)
-        order = np.argsort(values)
-        values, times = values[order], times[order]
         rows = []
         for i, (s, bands) in zip(own.id, docs, strict=True):
             keys, weak = [], []
-            for band, d, v in bands:
-                f = times[np.searchsorted(values, v)]
-                if len(v) <= d:
+            for band, d, at in bands:
+                f = times[at]
+                if len(at) <= d:
                     weak.append(band)
-                if np.count_nonzero(f > 1) >= len(v) - d:  # else no partner can agree in enough blocks
-                    rare = np.lexsort((v, f))[: d + 1]
-                    keys.append(v[rare[f[rare] > 1]])
+                if np.count_nonzero(f > 1) >= len(at) - d:  # else no partner can agree in enough blocks
+                    rare = np.lexsort((at, f))[: d + 1]  # places are in the order of values
+                    keys.append(values[at[rare[f[rare] > 1]]])
             digest = np.frombuffer(xxhash.xxh128_digest(s.tobytes()), np.int64)
             keys = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
             row = [i, len(s), int(digest[0]) if len(s) else None, weak, None, None, None, None, None, None]
@@ -200,6 +212,45 @@ def verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return p.where(both * DOWN >= (F.size("a_set") + F.size("b_set") - both) * UP).select("a", "b")
 
 
+def tiles(members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a key's members in different components whose sizes and sketches allow a link.
+
+    A key's members are dealt into blocks of about TILE; every two blocks meet in a
+    tile of bounded size, where sketches are compared as arrays. Only the pairs that
+    pass leave a tile.
+    """
+    blocks = F.ceil(F.col("size") / TILE).cast("int")
+    own = members.withColumn("own", F.pmod(F.xxhash64("cid"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = own.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cid", "comp", "n", "s0", "s1", "s2", "s3")
+    dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def compare(g: pd.DataFrame) -> pd.DataFrame:
+        i, j = int(g.i.iloc[0]), int(g.j.iloc[0])
+        x, y = (g, g) if i == j else (g[g.own == i], g[g.own == j])
+        apart = sum(np.bitwise_count(x[c].to_numpy(np.int64).view(np.uint64)[:, None] ^ y[c].to_numpy(np.int64).view(np.uint64)[None]).astype(np.int64) for c in ("s0", "s1", "s2", "s3"))
+        n, m = x.n.to_numpy()[:, None], y.n.to_numpy()[None]
+        ok = (x.comp.to_numpy()[:, None] != y.comp.to_numpy()[None]) & (np.maximum(n, m) * UP <= np.minimum(n, m) * DOWN) & (apart * (DOWN + UP) <= (n + m) * (DOWN - UP))
+        a, b = np.nonzero(ok)
+        a, b = x.cid.to_numpy()[a], y.cid.to_numpy()[b]
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        left = None  # the rows of the tile that may go on in the next batch
+        for batch in batches:
+            if left is not None:
+                batch = pd.concat([left, batch], ignore_index=True)
+            tile = batch.groupby(["key", "i", "j"], sort=False).ngroup().to_numpy()
+            cut = np.flatnonzero(np.r_[True, tile[1:] != tile[:-1]])
+            left = batch.iloc[cut[-1] :]
+            found = [compare(batch.iloc[x:y]) for x, y in zip(cut, cut[1:], strict=False)]
+            if found:
+                yield pd.concat(found)
+        if left is not None and len(left):
+            yield compare(left)
+
+    return dealt.mapInPandas(run, "a long, b long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(cid, comp): the smallest cid that each one reaches, by neighbours' minima and pointer jumps."""
     both = checkpointed(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
@@ -225,21 +276,25 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         for band in weak:  # a set fills too few blocks for the pigeonhole: deal this band's blocks anew
             salts[band] = salts.get(band, 0) + 1
     possible = made.where("keys is not null")
-    classes = written(possible.groupBy("cid").agg(*[F.first(c).alias(c) for c in ("n", "set", "s0", "s1", "s2", "s3")]))
-    entries = written(possible.select("cid", F.explode("keys").alias("key")).distinct())
-    groups = entries.groupBy("key").agg(F.count("*").alias("size"), F.min("cid").alias("p1"), F.max("cid").alias("p2"), F.min_by("cid", F.xxhash64("cid")).alias("p3")).where("size > 1")
-    member = checkpointed(entries.join(groups, "key"))
+    classes = written(possible.groupBy("cid").agg(*[F.first(c).alias(c) for c in ("n", "set", "keys", "s0", "s1", "s2", "s3")]))
+    entries = classes.select("cid", F.size("keys").alias("shared"), F.explode("keys").alias("key"))
+    # pivots: members that share most of their values, as the text that others were copied from does
+    pivots = [F.max_by("cid", F.struct("shared", x)).alias(p) for p, x in (("p1", F.col("cid")), ("p2", -F.col("cid")), ("p3", F.xxhash64("cid")))]
+    marks = [F.bit_xor(F.xxhash64("cid", F.lit(k))).alias(f"x{k}") for k in (1, 2)]
+    groups = entries.groupBy("key").agg(F.count("*").alias("size"), *marks, *pivots).where("size > 1")
+    groups = groups.groupBy("size", "x1", "x2").agg(F.min(F.struct("key", "p1", "p2", "p3")).alias("g")).select("size", "g.*")  # one of the groups with equal members
+    member = written(entries.select("key", "cid").join(groups, "key"))
     tiny = member.where(F.col("size") <= SMALL).select("key", "cid")
     pairs = tiny.alias("x").join(tiny.alias("y"), "key").where("x.cid < y.cid").select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"))
-    star = member.where(F.col("size") > SMALL).select("cid", F.explode(F.array("p1", "p2", "p3")).alias("p")).where("cid <> p").select(F.least("cid", "p").alias("a"), F.greatest("cid", "p").alias("b"))
+    star = member.where(F.col("size") > SMALL).select("cid", F.explode(F.array_distinct(F.array("p1", "p2", "p3"))).alias("p")).where("cid <> p").select(F.least("cid", "p").alias("a"), F.greatest("cid", "p").alias("b"))
     pairs = checkpointed(pairs.unionByName(star).distinct())
     edges = checkpointed(verified(pairs, classes))
     label = components(edges)
     # large groups that still hold several components: all pairs across them
-    named = member.where(F.col("size") > SMALL).select("key", "cid").join(label, "cid", "left").select("key", "cid", F.coalesce("comp", "cid").alias("comp"))
+    named = member.where(F.col("size") > SMALL).select("key", "size", "cid").join(label, "cid", "left").select("key", "size", "cid", F.coalesce("comp", "cid").alias("comp"))
     split = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
     named = named.join(split, "key")
-    across = named.alias("x").join(named.alias("y"), "key").where("x.comp < y.comp").select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct()
+    across = tiles(named.join(classes.select("cid", "n", "s0", "s1", "s2", "s3"), "cid")).distinct()
     more = checkpointed(verified(across.join(pairs, ["a", "b"], "left_anti"), classes))
     if not more.isEmpty():
         label = components(edges.unionByName(more))
