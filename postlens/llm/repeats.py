@@ -265,7 +265,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", par
     parts = in_parts(docs, n, id_col, text_col)
 
     def whole(g: pd.DataFrame) -> tuple[list, list]:
-        g = g[g.id.notna()]
+        g = g[g.id.notna()].sort_values(["id", "text"])  # shuffled rows come in any order; contexts are numbered in this one
         return g.id.astype("int64").tolist(), g.text.tolist()
 
     def send_anchors(g: pd.DataFrame) -> pd.DataFrame:
