@@ -30,15 +30,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .jaccard import five_bytes, from_five, mix
+from .jaccard import bucket_edges, five_bytes, from_five, mix
 from .parts import PART_BYTES, in_parts, part_count
 
 SPAN, ANCHOR = 50, 16
 WIDTH = SPAN - ANCHOR + 1
 #: A part's texts are worked on in chunks of about so many bytes; bits of a position within a chunk.
-CHUNK, PLACE = 1 << 20, 26
+CHUNK, PLACE = 1 << 16, 26
 #: A bucket's contexts are dealt into shards of about so many bytes, at least two.
 SHARD_BYTES = 4 << 20
+#: Grain at which contexts are tried for a shared window.
+STEP = 7
 
 
 def eight_bytes(b: np.ndarray) -> np.ndarray:
@@ -60,7 +62,12 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     if len(b) < SPAN:
         return tuple(np.zeros(0, np.int64) for _ in range(4)) + (np.zeros(0, np.uint64),)
     x = eight_bytes(b)
-    h = mix(x[: len(b) - ANCHOR + 1] + mix(x[8 : len(b) - ANCHOR + 9]))
+    h = x[: len(b) - ANCHOR + 1] * np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(32)
+    h += x[8 : len(b) - ANCHOR + 9] * np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(31)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(30)
     low = (h & ~np.uint64((1 << PLACE) - 1)) | np.arange(len(h), dtype=np.uint64)
     width = 1
     while 2 * width <= WIDTH:
@@ -92,46 +99,55 @@ def chunks(ids: list, texts: list[str]) -> Iterator[tuple[list, list[bytes]]]:
         yield own, raw
 
 
-def by_bucket(values: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The values in the order of buckets, and where each bucket begins."""
-    bucket = (values >> np.uint64(40)) % np.uint64(n)
-    order = np.lexsort((values & np.uint64((1 << 40) - 1), bucket))
-    return values[order], np.searchsorted(bucket[order], np.arange(n + 1))
+def scan(ids: list, texts: list[str]) -> list[tuple]:
+    """Per chunk: ids, texts, and what anchors() finds."""
+    return [(own, raw, *anchors(raw)) for own, raw in chunks(ids, texts)]
 
 
-def part_anchors(ids: list, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def part_anchors(scanned: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct anchors of a part, sorted; whether documents of several ids in it hold each."""
-    found = []
-    for own, raw in chunks(ids, texts):
-        doc, _, _, _, h = anchors(raw)
-        found.append(pd.DataFrame({"h": h, "id": np.array(own, np.int64)[doc]}).drop_duplicates())
-    if not found:
-        return np.zeros(0, np.uint64), np.zeros(0, bool)
-    values, times = np.unique(pd.concat(found).drop_duplicates().h.to_numpy(), return_counts=True)
-    return values, times > 1
-
-
-def part_contexts(ids: list, texts: list[str], common: np.ndarray) -> tuple[dict[bytes, list], list]:
-    """Context -> [number, anchor's offset, anchor, smallest id]; and per chunk (ids, texts, doc, first, number) of all occurrences."""
-    known: dict[bytes, list] = {}
-    seen = []
-    for own, raw in chunks(ids, texts):
-        doc, first, last, place, h = anchors(raw)
+    h = np.concatenate([np.zeros(0, np.uint64), *(x[6] for x in scanned)])
+    ids = np.concatenate([np.zeros(0, np.int64), *(np.array(x[0], np.int64)[x[2]] for x in scanned)])
+    order = np.argsort(h)
+    h, ids = h[order], ids[order]
+    first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]][: len(h)])
+    if not len(first):
+        return h, np.zeros(0, bool)
+    return h[first], np.minimum.reduceat(ids, first) != np.maximum.reduceat(ids, first)
+
+
+def part_contexts(scanned: list[tuple], common: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, list]:
+    """Distinct contexts, their anchors' offsets, anchors and smallest ids; and per chunk (ids, texts, doc, first, context) of all occurrences.
+
+    Contexts are told apart by a 64-bit hash of their bytes, mixed with their length.
+    """
+    found, keep = [], []
+    for own, raw, doc, first, last, place, h in scanned:
         at = np.searchsorted(common, h)
         ok = common[np.minimum(at, len(common) - 1)] == h if len(common) else np.zeros(len(h), bool)
         doc, first, last, place, h = (x[ok] for x in (doc, first, last, place, h))
         joined = b"".join(raw)
-        numbers = np.empty(len(doc), np.int64)
-        for k, (d, s, e, p, a) in enumerate(zip(doc.tolist(), first.tolist(), (last + SPAN).tolist(), place.tolist(), h.tolist(), strict=True)):
-            c = joined[s:e]
-            got = known.get(c)
-            if got is None:
-                got = known[c] = [len(known), p - s, a, own[d]]
-            elif own[d] < got[3]:
-                got[3] = own[d]
-            numbers[k] = got[0]
-        seen.append((own, raw, doc, first, numbers))
-    return known, seen
+        size = last + SPAN - first
+        powers = np.cumprod(np.full(len(joined) + 1, 0x9E3779B97F4A7C15, np.uint64))
+        back = np.cumprod(np.full(len(joined) + 1, pow(0x9E3779B97F4A7C15, -1, 1 << 64), np.uint64))
+        total = np.r_[np.uint64(0), np.cumsum(mix(np.frombuffer(joined, np.uint8) + np.uint64(1)) * powers[:-1])]
+        key = mix((total[first + size] - total[first]) * back[first] + size.astype(np.uint64))
+        found.append((key, place - first, h, np.array(own, np.int64)[doc]))
+        keep.append((own, raw, doc, first, size, joined))
+    key, offset, anchor, ids = (np.concatenate([x[k] for x in found]) if found else np.zeros(0, np.int64) for k in range(4))
+    values, one, number = np.unique(key, return_index=True, return_inverse=True)
+    low = np.full(len(values), np.iinfo(np.int64).max)
+    np.minimum.at(low, number, ids)
+    contexts: list = [None] * len(values)
+    seen, base = [], 0
+    for own, raw, doc, first, size, joined in keep:
+        mine = number[base : base + len(first)]
+        new = np.flatnonzero(one[mine] == np.arange(base, base + len(first)))
+        for k, s, e in zip(mine[new].tolist(), first[new].tolist(), (first + size)[new].tolist(), strict=True):
+            contexts[k] = joined[s:e]
+        seen.append((own, raw, doc, first, mine))
+        base += len(first)
+    return contexts, offset[one], anchor[one], low, seen
 
 
 def suffix_order(t: np.ndarray) -> np.ndarray:
@@ -148,23 +164,23 @@ def suffix_order(t: np.ndarray) -> np.ndarray:
 
 
 def transform(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix order and Burrows-Wheeler transform of a shard."""
+    """Suffix order of a shard, and its Burrows-Wheeler transform with the two symbols before each suffix."""
     order = suffix_order(t)
-    return order, t[order - 1]
+    return order, t[order - 2].astype(np.uint16) << np.uint16(8) | t[order - 1]
 
 
 def merge(one: np.ndarray, two: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Interleave of two transforms, refined to `depth` symbols: for each merged suffix whether it is of the second, and its block of equal prefixes.
+    """Interleave of two transforms, refined to `depth` symbols (an even number), two in a round: for each merged suffix whether it is of the second, and its block of equal prefixes.
 
-    A round looks at each suffix's preceding symbol in the present order: sorting
-    stably by it gives the order by one more symbol. Two neighbours stay in one block
-    as long as they have that symbol in common and came from one block.
+    A round looks at each suffix's preceding symbols in the present order: sorting
+    stably by them gives the order by two more symbols. Two neighbours stay in one
+    block as long as they have these in common and came from one block.
     """
     z = np.zeros(len(one) + len(two), bool)
     z[len(one) :] = True
     block = np.zeros(len(z), np.int32)
-    symbol = np.empty(len(z), np.uint8)
-    for _ in range(depth):
+    symbol = np.empty(len(z), np.uint16)
+    for _ in range(depth // 2):
         symbol[~z], symbol[z] = one, two
         order = np.argsort(symbol, kind="stable")
         z, came, symbol = z[order], block[order], symbol[order]
@@ -182,7 +198,7 @@ def intervals(shards: list[np.ndarray], depth: int) -> tuple[list[np.ndarray], n
     block = np.zeros(0, np.int32)
     while len(level) > 1 or not len(block):
         if len(level) == 1:  # a single shard is merged with an empty one
-            level.append((np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.uint8)))
+            level.append((np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.uint16)))
         merged = []
         for x, y in zip(level[::2], level[1::2], strict=False):
             z, block = merge(x[2], y[2], depth)
@@ -201,21 +217,20 @@ def intervals(shards: list[np.ndarray], depth: int) -> tuple[list[np.ndarray], n
     return found, block
 
 
-def smallest_ids(contexts: list[bytes], offsets: np.ndarray, anchor: np.ndarray, ids: np.ndarray) -> list[np.ndarray]:
-    """For each context and each window in it, the smallest id of the contexts that hold the window's string."""
-    out = [np.full(len(c) - SPAN + 1, i, np.int64) for c, i in zip(contexts, ids.tolist(), strict=True)]
-    # Two contexts of an anchor that share a window agree in SPAN - ANCHOR more bytes, so in half of them on one side
-    half = (SPAN - ANCHOR) // 2
-    key = xxhash.xxh64_intdigest
-    rows = []
-    for k, (c, o, a) in enumerate(zip(contexts, offsets.tolist(), anchor.tolist(), strict=True)):
-        if o >= half:
-            rows.append((key(c[o - half : o], a & 0xFFFFFFFF), k))
-        if o + ANCHOR + half <= len(c):
-            rows.append((key(c[o + ANCHOR : o + ANCHOR + half], (a >> 32) & 0xFFFFFFFF) ^ 1, k))
-    if not rows:
+def smallest_ids(contexts: list[bytes], offsets: np.ndarray, anchor: np.ndarray, ids: np.ndarray) -> dict[int, np.ndarray]:
+    """For contexts that may share a window with another: for each window, the smallest id of the contexts that hold its string."""
+    # Two contexts that share a window agree around the anchor in SPAN bytes, of which all but STEP lie as in one of these cuts
+    key, values, owner = xxhash.xxh64_intdigest, [], []
+    for left in range(0, SPAN - ANCHOR + 1, STEP):
+        size = SPAN - STEP
+        for k, (c, o) in enumerate(zip(contexts, offsets.tolist(), strict=True)):
+            if o >= left and o - left + size <= len(c):
+                values.append(key(c[o - left : o - left + size], left))
+                owner.append(k)
+    out: dict[int, np.ndarray] = {}
+    if not values:
         return out
-    h, k = np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows])
+    h, k = np.array(values, np.uint64) ^ (anchor[owner] * np.uint64(0x9E3779B97F4A7C15)), np.array(owner)
     _, back, times = np.unique(h, return_inverse=True, return_counts=True)
     chosen = np.unique(k[times[back] > 1])
     if not len(chosen):
@@ -240,7 +255,7 @@ def smallest_ids(contexts: list[bytes], offsets: np.ndarray, anchor: np.ndarray,
     low = np.empty(len(where), np.int64)
     low[order] = np.repeat(np.minimum.reduceat(ids[owner][order], cut), np.diff(np.r_[cut, len(where)]))
     for c, x in zip(np.concatenate(dealt), np.split(low, np.cumsum(np.concatenate(lengths) - SPAN + 1)[:-1]), strict=True):
-        out[c] = x
+        out[int(c)] = x
     return out
 
 
@@ -269,10 +284,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", par
         return g.id.astype("int64").tolist(), g.text.tolist()
 
     def send_anchors(g: pd.DataFrame) -> pd.DataFrame:
-        values, several = part_anchors(*whole(g))
-        order = np.argsort(values)
-        values, cut = by_bucket(values, n)
-        several = several[order][np.searchsorted(np.sort(values), values)]
+        values, several = part_anchors(scan(*whole(g)))
+        cut = bucket_edges(values, n)
         rows = [(b, int(g.pid.iloc[0]), five_bytes(values[x:y]), np.packbits(several[x:y]).tobytes()) for b, (x, y) in enumerate(zip(cut, cut[1:], strict=False)) if y > x]
         return pd.DataFrame(rows, columns=["bucket", "pid", "anchors", "several"])
 
@@ -287,28 +300,27 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", par
             at += len(x)
         return pd.DataFrame(rows, columns=["pid", "bucket", "common"])
 
-    def common_of(ids: list, texts: list, told: pd.DataFrame) -> np.ndarray:
-        values, cut = by_bucket(part_anchors(ids, texts)[0], n)
+    def contexts_of(own: pd.DataFrame, told: pd.DataFrame) -> tuple[tuple, list[int], np.ndarray]:
+        """What part_contexts gives, and the order of contexts by bucket with where each begins."""
+        scanned = scan(*whole(own))
+        values, _ = part_anchors(scanned)
+        cut = bucket_edges(values, n)
         keep = np.zeros(len(values), bool)
         for b, bits in zip(told.bucket, told.common, strict=True):
             keep[cut[b] : cut[b + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8))[: cut[b + 1] - cut[b]]
-        return np.sort(values[keep])
-
-    def contexts_of(own: pd.DataFrame, told: pd.DataFrame) -> tuple[list, dict[int, list]]:
-        ids, texts = whole(own)
-        known, seen = part_contexts(ids, texts, common_of(ids, texts, told))
-        dealt: dict[int, list] = {}
-        for c, (number, offset, anchor, low) in known.items():
-            dealt.setdefault((anchor >> 40) % n, []).append((c, number, offset, anchor, low))
-        return seen, dealt
+        found = part_contexts(scanned, values[keep])
+        order = np.argsort(found[2], kind="stable")
+        return found, bucket_edges(found[2][order], n), order
 
     def send_contexts(own: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        _, dealt = contexts_of(own, told)
+        (contexts, offset, anchor, low, _), cut, order = contexts_of(own, told)
         rows = []
-        for b, found in dealt.items():
-            c, _, offset, anchor, low = zip(*found, strict=True)
-            facts = [np.array([len(x) for x in c], np.uint8).tobytes(), np.array(offset, np.uint8).tobytes(), np.array(anchor, np.uint64).tobytes(), np.array(low, np.int64).tobytes()]
-            rows.append((b, int(own.pid.iloc[0]), zlib.compress(b"".join(c), 1), zlib.compress(b"".join(facts), 1)))
+        for b, (x, y) in enumerate(zip(cut, cut[1:], strict=False)):
+            if y > x:
+                at = order[x:y]
+                c = [contexts[k] for k in at.tolist()]
+                facts = [np.array(list(map(len, c)), np.uint8).tobytes(), offset[at].astype(np.uint8).tobytes(), anchor[at].tobytes(), low[at].tobytes()]
+                rows.append((b, int(own.pid.iloc[0]), zlib.compress(b"".join(c), 1), zlib.compress(b"".join(facts), 1)))
         return pd.DataFrame(rows, columns=["bucket", "pid", "contexts", "facts"])
 
     def answer(g: pd.DataFrame) -> pd.DataFrame:
@@ -333,10 +345,10 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", par
                 numbers.append(k)
             own.append(numbers)
         found = smallest_ids(list(known), np.array(offsets), np.array(anchor, np.uint64), np.array(low, np.int64))
-        steps = []  # of each context the windows at which the smallest id changes, and these ids
-        for x in found:
+        steps = [(1, b"\x00", i) for i in np.array(low, np.int64).astype("V8").tolist()] if low else []
+        for k, x in found.items():  # the windows at which the smallest id changes, and these ids
             at = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
-            steps.append((len(at), at.astype(np.uint8).tobytes(), x[at].tobytes()))
+            steps[k] = (len(at), at.astype(np.uint8).tobytes(), x[at].tobytes())
         rows = []
         for pid, numbers in zip(g.pid, own, strict=True):
             mine = [steps[k] for k in numbers]
@@ -345,20 +357,18 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", par
 
     def cut(own: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         first, second = told[told.common.notna()], told[told.changes.notna()]
-        seen, dealt = contexts_of(own, first)
+        (contexts, _, _, _, seen), edge, order = contexts_of(own, first)
         # of all contexts, by number: their changes as rows of one table
         number, place, low = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        until = np.zeros(sum(map(len, dealt.values())), np.int64)
+        until = np.array(list(map(len, contexts)), np.int64) - SPAN + 1
         for b, changes, places, lows in zip(second.bucket, second.changes, second.places, second.lows, strict=True):
-            mine = np.array([x[1] for x in dealt[b]])
-            until[mine] = [len(x[0]) - SPAN + 1 for x in dealt[b]]
-            number.append(np.repeat(mine, np.frombuffer(zlib.decompress(changes), np.uint8)))
+            number.append(np.repeat(order[edge[b] : edge[b + 1]], np.frombuffer(zlib.decompress(changes), np.uint8)))
             place.append(np.frombuffer(zlib.decompress(places), np.uint8).astype(np.int64))
             low.append(np.frombuffer(zlib.decompress(lows), np.int64))
         number, place, low = map(np.concatenate, (number, place, low))
         stop = np.where(np.r_[number[1:] == number[:-1], False], np.r_[place[1:], 0], until[number]) if len(number) else place
-        order = np.argsort(number, kind="stable")
-        number, place, low, stop = (x[order] for x in (number, place, low, stop))
+        by = np.argsort(number, kind="stable")
+        number, place, low, stop = (x[by] for x in (number, place, low, stop))
         begin = np.searchsorted(number, np.arange(len(until) + 1))
         rows = []
         for ids, raw, doc, at, which in seen:
@@ -366,10 +376,10 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", par
             step = np.repeat(begin[which] - (np.cumsum(times) - times), times) + np.arange(times.sum())
             doc_of, start = np.repeat(doc, times), np.repeat(at, times)
             bad = low[step] < np.array(ids, np.int64)[doc_of] if len(step) else np.zeros(0, bool)
-            edge = np.zeros(sum(map(len, raw)) + 1, np.int32)
-            np.add.at(edge, (start + place[step])[bad], 1)
-            np.add.at(edge, (start + stop[step] + SPAN - 1)[bad], -1)
-            gone, base = np.cumsum(edge)[:-1] > 0, 0
+            n_bytes = sum(map(len, raw)) + 1
+            opened = np.bincount((start + place[step])[bad], minlength=n_bytes)
+            closed = np.bincount((start + stop[step] + SPAN - 1)[bad], minlength=n_bytes)
+            gone, base = np.cumsum(opened - closed)[:-1] > 0, 0
             for i, t in zip(ids, raw, strict=True):
                 rows.append(row(i, t, gone[base : base + len(t)]))
                 base += len(t)
