@@ -83,7 +83,7 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     last = fits.copy()
     last[:-1] &= (place[1:] != place[:-1]) | ~fits[1:] | (doc[1:] != doc[:-1])
     first, last = np.flatnonzero(first), np.flatnonzero(last)
-    return doc[first], first, last, place[first], h[place[first]]
+    return doc[first], first, last, place[first], mix(h[place[first]])  # minimal hashes are small: mixed, they spread over buckets
 
 
 def chunks(ids: list, texts: list[str]) -> Iterator[tuple[list, list[bytes]]]:
