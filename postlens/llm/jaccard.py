@@ -41,9 +41,11 @@ SHINGLE, SMALL = 5, 8
 #: The threshold is UP / DOWN = 75 / 100.
 UP, DOWN = 75, 100
 #: In bands of sets of up to so many elements, every element is a block of its own.
-SINGLE = 48
+SINGLE = 150
 #: Members of a key that meet in one tile, on either side.
 TILE = 1024
+#: Pairs that a task of tiles holds back, so as not to emit them again.
+KNOWN_PAIRS = 500_000
 LOW40 = np.uint64((1 << 40) - 1)
 
 
@@ -138,7 +140,7 @@ def part_values(texts: pd.Series, buckets: int, salts: dict[int, int]) -> tuple[
         if key not in known:  # a class counts once
             own = []
             for j, d, k in band_of(len(s)) if len(s) else []:
-                v = block_values(s, j, k, salts.get(j, 0))
+                v = block_values(s, j, k * (1 + salts.get(j, 0)), salts.get(j, 0))
                 found.append(v)
                 own.append((j, d, total, total + len(v)))
                 total += len(v)
@@ -221,8 +223,9 @@ def tiles(members: DataFrame) -> DataFrame:
     """
     blocks = F.ceil(F.col("size") / TILE).cast("int")
     own = members.withColumn("own", F.pmod(F.xxhash64("cid"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = own.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cid", "comp", "n", "s0", "s1", "s2", "s3")
-    dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    dealt = own.select("p1", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cid", "comp", "n", "s0", "s1", "s2", "s3")
+    # groups with one pivot have members in common: together, they repeat few pairs
+    dealt = dealt.repartition("p1", F.pmod("key", F.lit(4)), "i", "j").sortWithinPartitions("p1", "key", "i", "j")
 
     def compare(g: pd.DataFrame) -> pd.DataFrame:
         i, j = int(g.i.iloc[0]), int(g.j.iloc[0])
@@ -235,6 +238,7 @@ def tiles(members: DataFrame) -> DataFrame:
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
         left = None  # the rows of the tile that may go on in the next batch
         for batch in batches:
             if left is not None:
@@ -242,11 +246,13 @@ def tiles(members: DataFrame) -> DataFrame:
             tile = batch.groupby(["key", "i", "j"], sort=False).ngroup().to_numpy()
             cut = np.flatnonzero(np.r_[True, tile[1:] != tile[:-1]])
             left = batch.iloc[cut[-1] :]
-            found = [compare(batch.iloc[x:y]) for x, y in zip(cut, cut[1:], strict=False)]
-            if found:
-                yield pd.concat(found)
+            known = pd.concat([known, *(compare(batch.iloc[x:y]) for x, y in zip(cut, cut[1:], strict=False))]).drop_duplicates()
+            if len(known) > KNOWN_PAIRS:
+                yield known
+                known = known.iloc[:0]
         if left is not None and len(left):
-            yield compare(left)
+            known = pd.concat([known, compare(left)]).drop_duplicates()
+        yield known
 
     return dealt.mapInPandas(run, "a long, b long")
 
@@ -273,25 +279,27 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         weak = [r[0] for r in made.select(F.explode("weak")).distinct().collect()]  # bands: a few dozen at most
         if not weak:
             break
-        for band in weak:  # a set fills too few blocks for the pigeonhole: deal this band's blocks anew
+        for band in weak:  # a set fills too few blocks for the pigeonhole: deal this band's into more blocks
             salts[band] = salts.get(band, 0) + 1
     possible = made.where("keys is not null")
     classes = written(possible.groupBy("cid").agg(*[F.first(c).alias(c) for c in ("n", "set", "keys", "s0", "s1", "s2", "s3")]))
-    entries = classes.select("cid", F.size("keys").alias("shared"), F.explode("keys").alias("key"))
+    entries = classes.select("cid", F.explode("keys").alias("key"))
+    marks = [F.bit_xor(F.xxhash64("cid", F.lit(k))).alias(f"x{k}") for k in (1, 2)]
+    groups = entries.groupBy("key").agg(F.count("*").alias("size"), *marks).where("size > 1")
+    groups = groups.groupBy("size", "x1", "x2").agg(F.min("key").alias("key")).select("size", "key")  # one of the groups with equal members
+    member = written(entries.join(groups, "key"))
     # pivots: members that share most of their values, as the text that others were copied from does
+    large = member.where(F.col("size") > SMALL).join(classes.select("cid", F.size("keys").alias("shared")), "cid")
     pivots = [F.max_by("cid", F.struct("shared", x)).alias(p) for p, x in (("p1", F.col("cid")), ("p2", -F.col("cid")), ("p3", F.xxhash64("cid")))]
-    marks = [F.bit_xor(F.xxhash64("cid", F.lit(k))).alias(f"x{k}") for k in (1, 2)]
-    groups = entries.groupBy("key").agg(F.count("*").alias("size"), *marks, *pivots).where("size > 1")
-    groups = groups.groupBy("size", "x1", "x2").agg(F.min(F.struct("key", "p1", "p2", "p3")).alias("g")).select("size", "g.*")  # one of the groups with equal members
-    member = written(entries.select("key", "cid").join(groups, "key"))
+    large = written(large.select("key", "size", "cid").join(large.groupBy("key").agg(*pivots), "key"))
     tiny = member.where(F.col("size") <= SMALL).select("key", "cid")
     pairs = tiny.alias("x").join(tiny.alias("y"), "key").where("x.cid < y.cid").select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"))
-    star = member.where(F.col("size") > SMALL).select("cid", F.explode(F.array_distinct(F.array("p1", "p2", "p3"))).alias("p")).where("cid <> p").select(F.least("cid", "p").alias("a"), F.greatest("cid", "p").alias("b"))
+    star = large.select("cid", F.explode(F.array_distinct(F.array("p1", "p2", "p3"))).alias("p")).where("cid <> p").select(F.least("cid", "p").alias("a"), F.greatest("cid", "p").alias("b"))
     pairs = checkpointed(pairs.unionByName(star).distinct())
     edges = checkpointed(verified(pairs, classes))
     label = components(edges)
     # large groups that still hold several components: all pairs across them
-    named = member.where(F.col("size") > SMALL).select("key", "size", "cid").join(label, "cid", "left").select("key", "size", "cid", F.coalesce("comp", "cid").alias("comp"))
+    named = large.select("key", "size", "p1", "cid").join(label, "cid", "left").select("key", "size", "p1", "cid", F.coalesce("comp", "cid").alias("comp"))
     split = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
     named = named.join(split, "key")
     across = tiles(named.join(classes.select("cid", "n", "s0", "s1", "s2", "s3"), "cid")).distinct()
