@@ -41,7 +41,7 @@ def macro_f1(d: DataFrame, labels: Sequence[str] = L.LABELS, gold: str = "gold",
 
 
 def confusion_matrix(d: DataFrame, labels: Sequence[str] = L.LABELS, gold: str = "gold", pred: str = "pred") -> DataFrame:
-    return d.groupBy(F.col(gold).alias("gold")).pivot(pred, list(labels)).agg(F.count("*")).na.fill(0)
+    return d.groupBy(F.col(gold).alias("gold")).pivot(pred, list(labels)).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def mistakes(d: DataFrame, gold: str = "gold", pred: str = "pred", chars: int = 110) -> DataFrame:
