@@ -42,6 +42,8 @@ SHINGLE, SMALL = 5, 8
 UP, DOWN = 75, 100
 #: In bands of sets of up to so many elements, every element is a block of its own.
 SINGLE = 150
+#: Bits of the sketch that is compared where the narrow one passes.
+WIDE = 1024
 #: Members of a key that meet in one tile, on either side.
 TILE = 1024
 #: Pairs that a task of tiles holds back, so as not to emit them again.
@@ -71,6 +73,11 @@ def shingles(text: str, size: int = SHINGLE) -> np.ndarray:
     return out[np.r_[True, out[1:] != out[:-1]]]
 
 
+def four_bytes(x: np.ndarray) -> bytes:
+    """The low half of each value: enough within a bucket, where it only has to tell frequencies apart."""
+    return x.astype(np.uint32).tobytes()
+
+
 def levels(largest: int) -> list[int]:
     """Level j holds sizes from out[j] to out[j + 1] - 1; a partner of a set of level j is of level j - 1, j or j + 1."""
     out = [1]
@@ -157,11 +164,11 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, salts: dict[int, int],
 
     def send(g: pd.DataFrame) -> pd.DataFrame:
         _, values, times, cut = part_values(g.text, n, salts)
-        rows = [(b, int(g.pid.iloc[0]), five_bytes(values[x:y]), *pack_times(times[x:y])) for b, (x, y) in enumerate(zip(cut, cut[1:], strict=False)) if y > x]
+        rows = [(b, int(g.pid.iloc[0]), four_bytes(values[x:y]), *pack_times(times[x:y])) for b, (x, y) in enumerate(zip(cut, cut[1:], strict=False)) if y > x]
         return pd.DataFrame(rows, columns=["bucket", "pid", "values", "common", "times"])
 
     def count(g: pd.DataFrame) -> pd.DataFrame:
-        own = [from_five(x) for x in g["values"]]
+        own = [np.frombuffer(x, np.uint32) for x in g["values"]]
         _, back = np.unique(np.concatenate(own), return_inverse=True)
         each = np.concatenate([unpack_times(len(x), c, t) for x, c, t in zip(own, g.common, g.times, strict=True)])
         times, rows, at = np.minimum(np.bincount(back, each), 1 << 30).astype(np.int64)[back], [], 0
@@ -186,18 +193,19 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, salts: dict[int, int],
                     keys.append(values[at[rare[f[rare] > 1]]])
             digest = np.frombuffer(xxhash.xxh128_digest(s.tobytes()), np.int64)
             keys = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-            row = [i, len(s), int(digest[0]) if len(s) else None, weak, None, None, None, None, None, None]
+            row = [i, len(s), int(digest[0]) if len(s) else None, weak, None, None, None, None, None, None, None]
             if len(keys):
                 bits = np.packbits((np.bincount((s & np.uint64(255)).astype(np.int64), minlength=256) & 1).astype(np.uint8)).view(np.int64)
-                row[4:] = [keys.view(np.int64), s.view(np.int64), *map(int, bits)]
+                wide = np.packbits((np.bincount((s >> np.uint64(20) & np.uint64(WIDE - 1)).astype(np.int64), minlength=WIDE) & 1).astype(np.uint8))
+                row[4:] = [keys.view(np.int64), s.view(np.int64), *map(int, bits), wide.tobytes()]
             rows.append(row)
-        names = ["id", "n", "cid", "weak", "keys", "set", "s0", "s1", "s2", "s3"]
+        names = ["id", "n", "cid", "weak", "keys", "set", "s0", "s1", "s2", "s3", "wide"]
         whole = {"cid", "s0", "s1", "s2", "s3"}  # 64-bit numbers or none: never by way of floats
         return pd.DataFrame({c: pd.array(x, "Int64") if c in whole else pd.Series(x, dtype="int64" if c == "n" else None if c == "id" else object) for c, x in zip(names, zip(*rows, strict=True), strict=True)})
 
     answers = parts.groupBy("pid").applyInPandas(send, "bucket int, pid int, values binary, common binary, times binary").groupBy("bucket").applyInPandas(count, "pid int, bucket int, common binary, times binary")
     kind = docs.schema[id_col].dataType.simpleString()
-    return parts.groupBy("pid").cogroup(answers.groupBy("pid")).applyInPandas(choose, f"id {kind}, n long, cid long, weak array<int>, keys array<long>, set array<long>, s0 long, s1 long, s2 long, s3 long")
+    return parts.groupBy("pid").cogroup(answers.groupBy("pid")).applyInPandas(choose, f"id {kind}, n long, cid long, weak array<int>, keys array<long>, set array<long>, s0 long, s1 long, s2 long, s3 long, wide binary")
 
 
 def verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -223,9 +231,9 @@ def tiles(members: DataFrame) -> DataFrame:
     """
     blocks = F.ceil(F.col("size") / TILE).cast("int")
     own = members.withColumn("own", F.pmod(F.xxhash64("cid"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = own.select("p1", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cid", "comp", "n", "s0", "s1", "s2", "s3")
+    dealt = own.select("p1", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cid", "comp", "n", "s0", "s1", "s2", "s3", "wide")
     # groups with one pivot have members in common: together, they repeat few pairs
-    dealt = dealt.repartition("p1", F.pmod("key", F.lit(4)), "i", "j").sortWithinPartitions("p1", "key", "i", "j")
+    dealt = dealt.repartition("p1", F.pmod("key", F.lit(2)), "i", "j").sortWithinPartitions("p1", "key", "i", "j")
 
     def compare(g: pd.DataFrame) -> pd.DataFrame:
         i, j = int(g.i.iloc[0]), int(g.j.iloc[0])
@@ -234,6 +242,11 @@ def tiles(members: DataFrame) -> DataFrame:
         n, m = x.n.to_numpy()[:, None], y.n.to_numpy()[None]
         ok = (x.comp.to_numpy()[:, None] != y.comp.to_numpy()[None]) & (np.maximum(n, m) * UP <= np.minimum(n, m) * DOWN) & (apart * (DOWN + UP) <= (n + m) * (DOWN - UP))
         a, b = np.nonzero(ok)
+        if len(a):  # the wide sketch, only where the narrow one passes
+            one, two = (np.frombuffer(b"".join(z.wide), np.uint64).reshape(len(z), -1) for z in (x, y))
+            wide = np.concatenate([np.bitwise_count(one[a[k : k + 65536]] ^ two[b[k : k + 65536]]).sum(axis=1, dtype=np.int64) for k in range(0, len(a), 65536)])
+            fine = wide * (DOWN + UP) <= (x.n.to_numpy()[a] + y.n.to_numpy()[b]) * (DOWN - UP)
+            a, b = a[fine], b[fine]
         a, b = x.cid.to_numpy()[a], y.cid.to_numpy()[b]
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
 
@@ -282,7 +295,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         for band in weak:  # a set fills too few blocks for the pigeonhole: deal this band's into more blocks
             salts[band] = salts.get(band, 0) + 1
     possible = made.where("keys is not null")
-    classes = written(possible.groupBy("cid").agg(*[F.first(c).alias(c) for c in ("n", "set", "keys", "s0", "s1", "s2", "s3")]))
+    classes = written(possible.groupBy("cid").agg(*[F.first(c).alias(c) for c in ("n", "set", "keys", "s0", "s1", "s2", "s3", "wide")]))
     entries = classes.select("cid", F.explode("keys").alias("key"))
     marks = [F.bit_xor(F.xxhash64("cid", F.lit(k))).alias(f"x{k}") for k in (1, 2)]
     groups = entries.groupBy("key").agg(F.count("*").alias("size"), *marks).where("size > 1")
@@ -302,7 +315,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     named = large.select("key", "size", "p1", "cid").join(label, "cid", "left").select("key", "size", "p1", "cid", F.coalesce("comp", "cid").alias("comp"))
     split = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
     named = named.join(split, "key")
-    across = tiles(named.join(classes.select("cid", "n", "s0", "s1", "s2", "s3"), "cid")).distinct()
+    across = tiles(named.join(classes.select("cid", "n", "s0", "s1", "s2", "s3", "wide"), "cid")).distinct()
     more = checkpointed(verified(across.join(pairs, ["a", "b"], "left_anti"), classes))
     if not more.isEmpty():
         label = components(edges.unionByName(more))
