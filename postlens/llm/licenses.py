@@ -14,6 +14,8 @@ frequencies; extra columns are ignored; an empty template table declares nothing
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,8 +36,8 @@ NOTICES = [
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
-#: Least cosine; words that more than this share of documents hold don't make a line a candidate by themselves.
-LEAST, COMMON = 0.7, 0.1
+#: Least cosine.
+LEAST = 0.7
 LICENSE_FILE = r"(?i)^(licen[sc]e|copying|notice)(\..*)?$"
 
 
@@ -43,6 +45,23 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
 
 
+def needed_words(notices: list[list[str]], df: dict[str, int], total: int, least: float) -> list[str]:
+    """Words of which a line must hold one to reach the least cosine with any notice.
+
+    The lightest words of a notice are left out as long as their share of its norm
+    stays below the least cosine: a line that holds only these cannot reach it.
+    """
+    needed: set[str] = set()
+    for w in notices:
+        weight = {x: (w.count(x) * (math.log((total + 1) / (df.get(x, 0) + 1)) + 1)) ** 2 for x in w}
+        left, most = 0.0, least * least * (1 - 1e-9) * sum(weight.values())
+        for x in sorted(weight, key=lambda x: (weight[x], x)):
+            left += weight[x]
+            if left >= most:
+                needed.add(x)
+    return sorted(needed)
+
+
 def default_templates(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(NOTICES, "license string, notice string")
 
@@ -59,13 +78,13 @@ def scan_licenses(docs: DataFrame, templates: DataFrame, id_col: str = "doc_id",
     df = {r.word: r.n for r in held.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()}  # at most one row per template word
     idf = spark.createDataFrame([(w, df.get(w, 0)) for w in vocabulary], "word string, df long").select("word", (F.log((total + 1) / (F.col("df") + 1)) + 1).alias("idf"))
     top = F.log(F.lit(total + 1.0)) + 1  # of a word that no template has
-    rare = [w for w in vocabulary if df.get(w, 0) <= COMMON * total]
-    rare_words = F.array(*map(F.lit, rare)) if rare else F.array().cast("array<string>")
+    own = needed_words([r.w for r in notices.collect()], df, total, least)  # of a small template table
+    needed = F.array(*map(F.lit, own)) if own else F.array().cast("array<string>")
 
-    # lines of documents that hold a rare template word; a row key, since ids may repeat
+    # lines of documents that hold a needed word; a row key, since ids may repeat
     row = F.xxhash64("id", "path", "text")
-    lines = base.where(F.arrays_overlap(words(F.col("text")), rare_words)).select(row.alias("row"), F.posexplode(F.split("text", r"[\r\n]+")).alias("line", "said"))
-    lines = lines.select("row", "line", words(F.col("said")).alias("w")).where(F.arrays_overlap("w", rare_words)).distinct()
+    lines = base.where(F.arrays_overlap(words(F.col("text")), needed)).select(row.alias("row"), F.posexplode(F.split("text", r"[\r\n]+")).alias("line", "said"))
+    lines = lines.select("row", "line", words(F.col("said")).alias("w")).where(F.arrays_overlap("w", needed)).distinct()
     tf = lines.select("row", "line", F.explode("w").alias("word")).groupBy("row", "line", "word").agg(F.count("*").alias("tf"))
     weights = F.broadcast(idf)  # as long as the template vocabulary
     tf = tf.join(weights, "word", "left").withColumn("x", F.col("tf") * F.coalesce("idf", top))
