@@ -64,13 +64,14 @@ def score_lazily(features: DataFrame, scorer: Scorer, t: Thresholds = Thresholds
     """
     spark = features.sparkSession
     known = cache if cache is not None else spark.createDataFrame([], "text_key string, question string, score double")
-    d = features.withColumn("text_key", F.sha1("text")).withColumn("scores", F.lit(None).cast(SCORES))
+    # persisted: each round reads the features and the answers more than once
+    d = features.withColumn("text_key", F.sha1("text")).withColumn("scores", F.lit(None).cast(SCORES)).persist()
     asked = None
     for _ in range(2):
         wanted = d.select("text_key", "text", F.explode(pending_questions(F.col("features"), F.col("scores"), F.col("text_units"), t)).alias("question"))
         new = ask(cache_misses(wanted, known), scorer)
-        known = known.unionByName(new.where("score is not null"))
+        known = known.unionByName(new.where("score is not null")).persist()
         used = known.join(wanted.select("text_key", "question").distinct(), ["text_key", "question"], "left_semi")
         asked = used if asked is None else asked.unionByName(used).distinct()
-        d = with_scores(d, asked)
+        d = with_scores(d, asked).persist()
     return d, known
