@@ -96,4 +96,4 @@ def test_label_in_tokens(spark):
 
 
 def test_company_candidates(spark):
-    assert values(spark, ["Great roles at Acme Labs. Globex is hiring", "We are at The Office", "nothing"], U.company_candidates) == [["Acme Labs", "Globex"], ["Office"], []]
+    assert values(spark, ["Great roles at Acme Labs, while Globex is hiring", "We are at The Office", "nothing"], U.company_candidates) == [["Acme Labs", "Globex"], ["Office"], []]
