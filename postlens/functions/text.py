@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -36,6 +36,11 @@ def java(pattern: str, ignore_case: bool = True) -> str:
     return ("(?i)" if ignore_case else "") + "".join(out)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once: it keeps nested expressions from growing with each mention."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def matches(c: Column, pattern: str) -> Column:
     return F.coalesce(c.rlike(java(pattern)), F.lit(False))
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import lexicon as L
-from .text import java
+from .text import java, let
 
 REST = r"(?i)^https?:[/\\]*(?:[^/\\?#]*@)?([^/\\?#:@]+)(?::(\d{0,5}))?(?=[/\\?#]|$)([^?#]*)"
 
@@ -39,9 +39,10 @@ def registrable_label(host: Column) -> Column:
 
 def parse_once(raw: Column) -> Column:
     """struct(host, path, query) of a raw link, or null: it must hold a dot and no white space."""
-    t = F.regexp_replace(raw, java(r"^\s+|\s+$", False), "")
-    url = F.when(t.rlike("(?i)^https?://"), t).otherwise(F.concat(F.lit("https://"), t))
-    host = F.lower(F.regexp_extract(url, REST, 1))
+    return let(F.regexp_replace(raw, java(r"^\s+|\s+$", False), ""), lambda t: let(F.when(t.rlike("(?i)^https?://"), t).otherwise(F.concat(F.lit("https://"), t)), lambda url: let(F.lower(F.regexp_extract(url, REST, 1)), lambda host: _checked(t, url, host))))
+
+
+def _checked(t: Column, url: Column, host: Column) -> Column:
     port = F.regexp_extract(url, REST, 2)
     last = F.element_at(F.split(F.regexp_replace(host, r"\.$", ""), r"\."), -1)
     numeric = last.rlike(r"^(\d+|0x[0-9a-f]*)$") & ~host.rlike(r"^(\d{1,3}\.){0,3}\d{1,3}\.?$")
@@ -53,12 +54,12 @@ def parse_once(raw: Column) -> Column:
 def parse_url(raw: Column) -> Column:
     """As parse_once, but links through a network's own redirect page are unwrapped (twice at most)."""
 
-    def unwrap(u: Column) -> Column:
+    def target(u: Column) -> Column:
         wrapped = host_matches(u["host"], "linkedin.com") & u["path"].rlike(r"^/(redir/redirect|safety/go)")
-        inner = F.try_url_decode(F.nullif(F.regexp_extract(u["query"], r"(?:^|&)url=([^&]*)", 1), F.lit("")))
-        return F.when(F.coalesce(wrapped & inner.isNotNull(), F.lit(False)), parse_once(inner)).otherwise(u)
+        return F.when(wrapped, F.try_url_decode(F.nullif(F.regexp_extract(u["query"], r"(?:^|&)url=([^&]*)", 1), F.lit(""))))
 
-    return unwrap(parse_once(raw))
+    once = lambda c: let(parse_once(c), lambda u: let(target(u), lambda inner: F.when(inner.isNotNull(), parse_once(inner)).otherwise(u)))
+    return let(once(raw), lambda u: let(target(u), lambda inner: F.when(inner.isNotNull(), parse_once(inner)).otherwise(u)))
 
 
 def url_key(u: Column) -> Column:
