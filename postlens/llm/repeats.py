@@ -274,13 +274,17 @@ def whole_characters(raw: bytes, mask: np.ndarray) -> str:
     return b[~np.repeat(gone, np.diff(np.r_[head, len(b)]))].tobytes().decode("utf-8", "replace")
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = PART_BYTES, kept_text: bool = False) -> DataFrame:
-    """One row per document: id, n_bytes, n_removed, spans (removed byte ranges), kept_sha256; with kept_text also kept, without partly removed characters lost."""
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = PART_BYTES, kept_text: bool = False, carry: list[str] | None = None) -> DataFrame:
+    """One row per document: id, n_bytes, n_removed, spans (removed byte ranges), kept_sha256; with kept_text also kept, without partly removed characters lost; then the columns of carry."""
     n = part_count(docs, text_col, part_bytes)
-    parts = in_parts(docs, n, id_col, text_col)
+    carry = carry or []
+    parts = in_parts(docs, n, id_col, text_col, **{f"c{k}": docs[c] for k, c in enumerate(carry)})
+
+    def sorted_rows(g: pd.DataFrame) -> pd.DataFrame:
+        return g[g.id.notna()].sort_values(["id", "text"])  # shuffled rows come in any order; contexts are numbered in this one
 
     def whole(g: pd.DataFrame) -> tuple[list, list]:
-        g = g[g.id.notna()].sort_values(["id", "text"])  # shuffled rows come in any order; contexts are numbered in this one
+        g = sorted_rows(g)
         return g.id.astype("int64").tolist(), g.text.tolist()
 
     def send_anchors(g: pd.DataFrame) -> pd.DataFrame:
@@ -387,7 +391,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", par
             t = t.encode("utf-8", "surrogatepass")
             rows.append(row(None, t, np.zeros(len(t), bool)))
         out = pd.DataFrame(rows, columns=["id", "n_bytes", "n_removed", "starts", "ends", "kept_sha256", *["kept"] * kept_text])
-        return out.assign(id=pd.array(out.id, "Int64"))
+        carried = pd.concat([sorted_rows(own), own[own.id.isna()]])[[f"c{k}" for k in range(len(carry))]].reset_index(drop=True)
+        return pd.concat([out.assign(id=pd.array(out.id, "Int64")), carried], axis=1)
 
     def row(i: int | None, t: bytes, gone: np.ndarray) -> tuple:
         span = runs(gone)
@@ -400,6 +405,6 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", par
     contexts = parts.groupBy("pid").cogroup(common.groupBy("pid")).applyInPandas(send_contexts, "bucket int, pid int, contexts binary, facts binary")
     answers = contexts.groupBy("bucket").applyInPandas(answer, "pid int, bucket int, changes binary, places binary, lows binary")
     told = common.unionByName(answers, allowMissingColumns=True)
-    out = parts.groupBy("pid").cogroup(told.groupBy("pid")).applyInPandas(cut, "id long, n_bytes long, n_removed long, starts array<long>, ends array<long>, kept_sha256 string" + ", kept string" * kept_text)
+    out = parts.groupBy("pid").cogroup(told.groupBy("pid")).applyInPandas(cut, "id long, n_bytes long, n_removed long, starts array<long>, ends array<long>, kept_sha256 string" + ", kept string" * kept_text + "".join(f", c{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(carry)))
     kind = docs.schema[id_col].dataType
-    return out.select(F.col("id").cast(kind).alias(id_col), "n_bytes", "n_removed", F.arrays_zip("starts", "ends").alias("spans"), "kept_sha256", *["kept"] * kept_text)
+    return out.select(F.col("id").cast(kind).alias(id_col), "n_bytes", "n_removed", F.arrays_zip("starts", "ends").alias("spans"), "kept_sha256", *["kept"] * kept_text, *[F.col(f"c{k}").alias(c) for k, c in enumerate(carry)])
