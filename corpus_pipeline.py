@@ -21,6 +21,8 @@ from postlens.llm.repeats import repeats
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Documents whose best language scores less are rejected, as are those without a letter.
 MIN_SCORE = 0.1
+#: Up to so many ids of removed documents (8 bytes each) are broadcast.
+BROADCAST_IDS = 2_000_000
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,17 +34,19 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by shingle similarity keep the one with the smallest id."""
     found = jaccard_components(docs)
-    others = found.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
-    kept = docs.select(COLUMNS).join(others, "doc_id", "left_anti")
-    return kept.withColumn("text_key", F.xxhash64("text")).dropDuplicates(["doc_id", "text_key"]).select(COLUMNS)
+    others = written(found.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct())
+    small = others.count() <= BROADCAST_IDS  # else both sides are shuffled
+    kept = docs.select(COLUMNS).join(F.broadcast(others) if small else others, "doc_id", "left_anti")
+    keyed = kept.withColumn("text_key", F.xxhash64("text"))
+    if keyed.groupBy("doc_id", "text_key").count().where("count > 1").isEmpty():
+        return kept
+    return keyed.dropDuplicates(["doc_id", "text_key"]).select(COLUMNS)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut passages that a document with a smaller id also holds; whole characters only."""
-    kept = repeats(docs, kept_text=True).select(F.col("doc_id").alias("own_id"), "kept")
-    facts = docs.select("doc_id", "lang", "source")
-    out = facts.join(kept, facts.doc_id.eqNullSafe(kept.own_id))
-    return out.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars"))
+    kept = repeats(docs, kept_text=True, carry=["lang", "source"])
+    return kept.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars"))
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
