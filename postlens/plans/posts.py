@@ -1,9 +1,9 @@
 """A posts relation for checked queries: invented short posts laid over the rows of `documents`.
 
 The driver's tables hold almost none of the vocabulary that the rules know, so every
-document row gets one of these synthetic bodies (by doc_id), followed by the start of
-its own text; ages and counts follow from doc_id, with planned nulls. Labels are never
-stored here: both Spark and the oracle SQL compute them.
+document row gets one of these synthetic bodies (by doc_id, the first one for a null
+id), followed by the whole of its own text; ages and counts follow from doc_id, with
+planned nulls. Labels are never stored here: both Spark and the oracle SQL compute them.
 """
 
 from __future__ import annotations
@@ -60,10 +60,10 @@ def derived_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
     i = F.col("doc_id")
     link = F.when(F.col("href").isNotNull(), F.array(F.struct("href", F.col("link_text").alias("text")))).otherwise(F.array().cast("array<struct<href:string,text:string>>"))
-    return d.join(bodies, i % len(TEMPLATES) == F.col("k")).select(
-        "doc_id", "source", F.concat(F.lit("post:"), i.cast("string")).alias("post_id"), F.concat("body", F.lit(" "), F.substring(F.coalesce("text", F.lit("")), 1, 120)).alias("text"),
+    return d.join(bodies, F.coalesce(F.pmod(i, F.lit(len(TEMPLATES))), F.lit(0)) == F.col("k")).select(
+        "doc_id", "source", F.concat(F.lit("post:"), F.coalesce(i.cast("string"), F.lit("none"))).alias("post_id"), F.concat("body", F.lit(" "), F.coalesce("text", F.lit(""))).alias("text"),
         F.col("headline").alias("author_headline"), F.lit(None).cast("string").alias("age_text"),
-        F.when(i % 17 == 0, None).otherwise((i * 7 % 500) / 2).cast("double").alias("age_hours"), F.when(i % 5 == 0, None).otherwise(i * 31).cast("bigint").alias("reactions"),
-        F.when(i % 13 == 0, None).otherwise(i * 29 % 320).cast("bigint").alias("comments"), F.lit(None).cast("bigint").alias("reposts"), link.alias("links"),
+        F.when(i % 17 == 0, None).otherwise(F.pmod(i * 7, F.lit(500)) / 2).cast("double").alias("age_hours"), F.when(i % 5 == 0, None).otherwise(F.abs(i) * 31).cast("bigint").alias("reactions"),
+        F.when(i % 13 == 0, None).otherwise(F.pmod(i * 29, F.lit(320))).cast("bigint").alias("comments"), F.lit(None).cast("bigint").alias("reposts"), link.alias("links"),
         F.when(F.col("listed_email").isNotNull(), F.array(F.lower("listed_email"))).otherwise(F.array().cast("array<string>")).alias("emails"),
     )
