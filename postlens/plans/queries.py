@@ -282,7 +282,7 @@ def tag_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def feed_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Posts read from rendered feed markup: every page's own html, and a small invented feed built around each document."""
+    """Posts read from rendered feed markup: every page's own html, and an invented feed page built around the whole text of each document."""
     from ..sources.html_feed import read_posts
     from .feeds import feed_markup
 
