@@ -1,76 +1,116 @@
 """Benchmark decontamination by spaced-seed hashing, in DataFrame operations only.
 
-Texts become words (runs of letters and digits, lower case). Each mask keeps some
-positions of a SPAN-word window and ignores the others; windows of training texts
-and of benchmark items that agree on a mask's kept positions are joined by hash.
-Around each hit the two texts are compared word by word: within some WINDOW-word
-stretch that holds the seed, at least SHARE of the words must agree in place, so
-substituted words are tolerated. Seeds of the benchmark are broadcast in blocks of
-at most SEEDS_PER_BLOCK rows; a larger benchmark takes one more pass per block.
-
-Defined cases: null and empty texts have no words, and texts or items of fewer than
-SPAN words never match; shorter stretches than WINDOW count whole when the text or
-item has no more words; repeated rows of a document merge by id (a null id is an id
-of its own); a benchmark item with a null id is kept as such; extra columns are
-ignored; with either table empty the result is empty.
+Texts become words (runs of letters and digits, lower case). A document and an item
+overlap if, aligned in some way, at least SHARE of the words of some stretch agree in
+place, so substituted words are tolerated. A stretch has WINDOW words, or all words of
+a shorter item; a document of fewer than WINDOW words has a stretch of its own words,
+but of LEAST_STRETCH at least (of which it can fill a part), unless the item is shorter.
+For each length of a stretch there is a set of masks, which keep some positions of a
+window and ignore the others: any allowed pattern of substitutions leaves the kept
+positions of one mask untouched somewhere in the stretch, so that no overlap is lost.
+Windows of texts and items that agree on a mask's kept positions are joined by hash,
+and the texts are compared word by word around each hit. Seeds of the benchmark are
+broadcast in blocks of at most SEEDS_PER_BLOCK rows; a larger benchmark takes one more
+pass per block.
+
+Defined cases: null and empty texts have no words and never match; an item of very few
+words matches each text that holds them; repeated rows of a document merge by id (a null
+id is an id of its own); a benchmark item with a null id is kept as such; extra columns
+are ignored; with either table empty the result is empty.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import cache, reduce
+from itertools import combinations
+from math import ceil
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Positions that count (1) and positions that are ignored (0).
-MASKS = ("110110011", "101100111", "111001101")
-SPAN, WINDOW, SHARE = 9, 13, 0.75
-PAD = WINDOW - SPAN
+WINDOW, LEAST_STRETCH, SHARE = 13, 9, 0.75
+#: Kept positions of a mask, and masks of one length, at most.
+WEIGHT, MASKS = 6, 8
 SEEDS_PER_BLOCK = 200_000
 
 
+@cache
+def masks(length: int) -> tuple[tuple[int, ...], ...]:
+    """Kept positions of masks that hit every pattern of allowed substitutions in a stretch: the heaviest set of at most MASKS that a greedy choice finds."""
+    wrong = length - ceil(length * SHARE)
+    patterns = [set(c) for c in combinations(range(length), wrong)]
+    for weight in range(min(WEIGHT, length - wrong), 0, -1):
+        hit = {}
+        for rest in combinations(range(1, length), weight - 1):
+            kept = (0, *rest)
+            hit[kept] = {n for n, p in enumerate(patterns) if any(p.isdisjoint(at + i for i in kept) for at in range(length - kept[-1]))}
+        chosen, left = [], set(range(len(patterns)))
+        while left and len(chosen) < MASKS:
+            best = max(hit, key=lambda m: len(hit[m] & left))
+            chosen.append(best)
+            left -= hit[best]
+        if not left:
+            break
+    return tuple(chosen)
+
+
 def words(text: Column) -> Column:
     """Hashes of the words of a text."""
     split = F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), r"[^\p{L}\p{N}]+")
     return F.transform(F.array_remove(split, ""), lambda w: F.xxhash64(w))
 
 
-def windows(rows: DataFrame) -> DataFrame:
-    """A row for each window start of (id, w, n), with n words in w."""
-    return rows.select("*", F.explode(F.when(F.col("n") >= SPAN, F.sequence(F.lit(0), F.col("n") - SPAN))).alias("at"))
+def windows(rows: DataFrame, fits: Column) -> DataFrame:
+    """A row for each word position of the (id, w, n) that fit, with n words in w."""
+    return rows.select("*", F.explode(F.when(fits & (F.col("n") > 0), F.sequence(F.lit(0), F.col("n") - 1))).alias("at"))
+
+
+def keys(length: int) -> Column:
+    """One hash for each mask of the length at `at`; null where the mask ends beyond the text."""
+    key = lambda k, own: F.xxhash64(F.lit(length), F.lit(k), *[F.get("w", F.col("at") + i) for i in own])
+    return F.array(*[F.when(F.col("at") + own[-1] < F.col("n"), key(k, own)) for k, own in enumerate(masks(length))])
 
 
-def keys() -> Column:
-    """One hash for each mask of the window at `at`."""
-    kept = [[i for i, c in enumerate(m) if c == "1"] for m in MASKS]
-    return F.array(*[F.xxhash64(F.lit(k), *[F.get("w", F.col("at") + i) for i in own]) for k, own in enumerate(kept)])
+def keys_of(lengths: dict[int, Column]) -> Column:
+    """The keys of all lengths whose condition holds."""
+    none = F.array().cast("array<bigint>")
+    return F.flatten(F.array(*[F.when(fits, keys(n)).otherwise(none) for n, fits in lengths.items()]))
 
 
 def context() -> Column:
-    """The window's words with PAD more on both sides; null beyond the text."""
-    return F.transform(F.sequence(F.lit(-PAD), F.lit(SPAN + PAD - 1)), lambda i: F.when(F.col("at") + i >= 0, F.get("w", F.col("at") + i)))
+    """The word at `at` and WINDOW - 1 more on both sides; null beyond the text."""
+    return F.transform(F.sequence(F.lit(1 - WINDOW), F.lit(WINDOW - 1)), lambda i: F.when(F.col("at") + i >= 0, F.get("w", F.col("at") + i)))
 
 
 def agreement() -> Column:
-    """The most words that agree in place in a WINDOW-word stretch that holds the seed.
+    """The most words that agree in place in a WINDOW-word stretch that holds the word at `at`.
 
     Of one element, to be exploded: a filter on it then stays above the join, whose generated code is small enough to be compiled.
     """
     same = F.zip_with("context", "item_context", lambda x, y: F.coalesce((x == y).cast("int"), F.lit(0)))
-    return F.array(F.array_max(F.transform(F.sequence(F.lit(1), F.lit(2 * PAD + SPAN - WINDOW + 1)), lambda s: F.aggregate(F.slice(same, s, F.lit(WINDOW)), F.lit(0), lambda x, y: x + y))))
+    return F.array(F.array_max(F.transform(F.sequence(F.lit(1), F.lit(WINDOW)), lambda s: F.aggregate(F.slice(same, s, F.lit(WINDOW)), F.lit(0), lambda x, y: x + y))))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", seeds_per_block: int = SEEDS_PER_BLOCK) -> DataFrame:
     """A row for each overlapping pair: document id, item id, matched (words that agree in the best stretch), stretch (its words) and hits."""
     d = docs.select(docs[id_col].alias("id"), words(docs[text_col]).alias("w")).withColumn("n", F.size("w"))
     b = benchmark.select(benchmark[item_col].alias("item"), words(benchmark[item_text_col]).alias("w")).withColumn("n", F.size("w"))
-    seeds = windows(b).select("item", F.col("n").alias("item_n"), context().alias("item_context"), F.explode(keys()).alias("key"))
+    n = F.col("n")
+    short = sorted(r.n for r in b.where((n > 0) & (n < WINDOW)).select("n").distinct().collect())  # at most WINDOW - 1 numbers
+    middle = range(LEAST_STRETCH, WINDOW)
+    of_item = {k: n == k for k in short if k < LEAST_STRETCH} | {k: n >= k for k in middle} | {WINDOW: n >= WINDOW}
+    seeds = windows(b, F.lit(True)).select("item", F.col("n").alias("item_n"), context().alias("item_context"), F.explode(keys_of(of_item)).alias("key")).where("key is not null")
     blocks = max(1, -(-seeds.count() // seeds_per_block))
-    starts = windows(d).select("id", "n", "w", "at", F.explode(keys()).alias("key"))
+    # most documents need the masks of one length only; the others are apart, as their longer code is not compiled
+    whole = F.greatest("n", F.lit(LEAST_STRETCH))
+    of_short = {k: (whole == k) | ((whole > k) if k in short else F.lit(False)) for k in sorted({*short, *middle})}
+    few = F.lit(True) if short else n < WINDOW
+    starts = [windows(d, n >= WINDOW).select("id", "n", "w", "at", F.explode(keys(WINDOW)).alias("key")), windows(d, few).select("id", "n", "w", "at", F.explode(keys_of(of_short)).alias("key"))]
 
     def matches(k: int) -> DataFrame:
         own = F.broadcast(seeds.where(F.pmod(F.hash("key"), F.lit(blocks)) == k) if blocks > 1 else seeds)
-        hits = starts.join(own, "key").select("id", "item", F.least(F.lit(WINDOW), "n", "item_n").alias("stretch"), context().alias("context"), "item_context")
+        stretch = F.least(F.lit(WINDOW), "item_n", whole).alias("stretch")
+        hits = reduce(DataFrame.unionByName, [x.join(own, "key").select("id", "item", stretch, context().alias("context"), "item_context") for x in starts])
         return hits.select("id", "item", "stretch", F.explode(agreement()).alias("matched")).where(F.col("matched") >= F.ceil(F.col("stretch") * SHARE))
 
     found = reduce(DataFrame.unionByName, [matches(k) for k in range(blocks)])
