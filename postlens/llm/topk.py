@@ -10,7 +10,8 @@ compacted away. The k best of each pair of blocks merge in one aggregation.
 Defined cases: vectors that are null, or hold null or non-finite components, take no
 part; shorter vectors count as padded with zeros; ties go to the smaller id; with
 fewer than k candidates all are returned; a row is never its own candidate, and rows
-that repeat an id are candidates of one another's queries only under another id;
+that repeat an id are candidates of one another's queries only under another id; an id
+with one score counts once among the k, however many rows hold it;
 rows with a null id take no part; extra columns are ignored.
 """
 
@@ -85,7 +86,8 @@ def best_of_blocks(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.nd
     q, c = (np.pad(x, ((0, dims - len(x)), (0, 0))) for x in (q, c))
     own = q_ids[:, None] == c_ids[None]
     # a first bar from some whole scores: the k-th best of these is a lower bound
-    some = np.unique(np.linspace(0, len(c_ids) - 1, min(len(c_ids), 32 * k)).astype(int))
+    _, one = np.unique(c_ids, return_index=True)  # a row of each id: copies must not raise the bar
+    some = one[np.unique(np.linspace(0, len(one) - 1, min(len(one), 32 * k)).astype(int))]
     first = np.where(own[:, some], np.iinfo(np.int64).min, scores(q, c[:, some]))
     low = np.iinfo(np.int64).min
     bar = np.sort(first, axis=1)[:, -k] if len(some) >= k else np.full(len(q_ids), low)
@@ -105,15 +107,18 @@ def best_of_blocks(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.nd
     out = []
     order = np.argsort(c_ids[left], kind="stable")  # ties to the smaller id
     total, found = total[:, order], c_ids[left][order]
+    heads = np.flatnonzero(np.r_[True, found[1:] != found[:-1]][: len(found)])  # again a row of each id
     for i in range(len(q_ids)):
         row = total[i]
-        if len(row) > 4 * k:
-            kth = np.partition(row, -k)[-k]
+        if len(heads) > 4 * k:
+            kth = np.partition(row[heads], -k)[-k]
             at = np.flatnonzero(row >= max(kth, bar[i]))
         else:
             at = np.arange(len(row))
         at = at[row[at] > low]
-        at = at[np.argsort(-row[at], kind="stable")][:k]
+        at = at[np.argsort(-row[at], kind="stable")]
+        new = np.r_[True, (found[at[1:]] != found[at[:-1]]) | (row[at[1:]] != row[at[:-1]])][: len(at)]
+        at = at[new][:k]
         out.append((np.full(len(at), q_ids[i]), found[at], row[at]))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
