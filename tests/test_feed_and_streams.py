@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from postlens.operators.decision import decide
 from postlens.operators.features import POST_SCHEMA, extract_features
-from postlens.sources.html_feed import read_posts
+from postlens.sources.html_feed import layout_frequency, read_posts
 from postlens.sources.jsonl import labeled_posts, scan_labeled
 from postlens.streaming import feed
 
@@ -18,17 +18,53 @@ BARE = """<main><div><section><p>Ann Author</p><p>Lead at Orchid</p><span>2d</sp
 <button aria-label="Comment">17</button><button>Send</button></section></div><div><section><p>Bob</p><p>3 comments</p><div><p>Second post, also with quite some text in it.</p></div><button>Send</button></section></div></main>"""
 
 
+HASHED = """<main><div data-view-name="feed-full-update"><a data-view-name="feed-actor-image" href="/in/x"></a><a href="/company/y"><p>Dana Doe</p><p>Follow</p><p>Cook at Tiny Diner</p><p>3d</p></a>
+<span dir="ltr">short</span><div><span dir="ltr">A cook is wanted, and <b>pay</b> is good.<br>Really.</span></div><span>Sam and 7 others</span><a href="/in/kim">@Kim Lee</a><a href="#top">up</a></div></main>"""
+
+
 def test_read_posts(spark):
-    pages = spark.createDataFrame([(1, CLASSIC), (2, BARE), (3, "<p>no feed</p>"), (4, None), (5, "")], "page_id bigint, html string")
-    got = {(r.page_id, r.post_id if r.page_id == 1 else r.text[:6]): r for r in read_posts(pages).collect()}
-    assert len(got) == 3
+    pages = spark.createDataFrame([(1, CLASSIC), (2, BARE), (3, "<p>no feed</p>"), (4, None), (5, ""), (6, HASHED), (6, HASHED)], "page_id bigint, html string")
+    rows = read_posts(pages).collect()
+    got = {(r.page_id, r.post_id if r.page_id == 1 else r.text[:6]): r for r in rows}
+    assert (len(rows), len(got)) == (5, 4)  # a repeated page gives its post again
     a = got[1, "urn:li:activity:77"]
     assert (a.text, a.author_headline, a.age_text, a.age_hours, a.reactions, a.comments) == ("We are hiring\nengineers\nApply here", "Recruiter at Nimbus", "5h", 5.0, 1204, 12)
     assert [(x.href, x.text) for x in a.links] == [("https://boards.greenhouse.io/x", "here"), ("mailto:Jobs@nimbus.io?subject=x", "mail"), ("", "greenhouse.io")]
     assert a.emails == ["jobs@nimbus.io"] and "Mia Poster" in a.person_names
     b = got[2, "A long"]
     assert (b.author_headline, b.age_hours, b.comments) == ("Lead at Orchid", 48.0, 17)
-    assert decide(extract_features(read_posts(pages))).count() == 3
+    assert got[2, "Second"].comments == 3
+    c = got[6, "A cook"]
+    assert (c.text, c.author_headline, c.age_hours, c.reactions, c.comments) == ("A cook is wanted, and pay is good.\nReally.", "Cook at Tiny Diner", 72.0, 8, None)
+    assert [x.href for x in c.links] == ["/in/x", "/company/y", "/in/kim"] and c.person_names == ["Dana Doe", "Kim Lee"]
+    assert decide(extract_features(read_posts(pages))).count() == 5
+
+
+def test_selectors_need_their_element(spark):
+    marked = '<{0} data-view-name="feed-full-update"><div class="update-components-text">Long enough words here</div><{1} data-id="urn:li:comment:1"><span>9 comments</span></{1}></{0}>'
+    pages = spark.createDataFrame([(1, marked.format("div", "article")), (2, marked.format("span", "article")), (3, marked.format("div", "div"))], "page_id bigint, html string")
+    assert {(r.page_id, r.comments) for r in read_posts(pages).collect()} == {(1, None), (3, 9)}
+
+
+def test_widest_prose_block(spark):
+    """Paragraphs side by side are one text; a box with controls that would add text is not."""
+    post = '<div data-urn="urn:li:activity:5"><header><p>Eve</p></header><div id="b"><div><p>First paragraph of a long story about bread.</p><p>And the second.</p></div><div><button>like</button><p>not the text</p></div></div></div>'
+    got = read_posts(spark.createDataFrame([(1, post)], "page_id bigint, html string")).first()
+    assert got.text == "First paragraph of a long story about bread.\nAnd the second."
+
+
+def test_deep_and_wide_pages(spark):
+    deep = '<div data-urn="urn:li:activity:1">' + "<div>" * 20_000 + "<p>The text at the bottom of it all, long enough.</p>" + "</div>" * 20_001
+    wide = "<main>" + "".join(f'<section><div><p>Number {i} of many posts in this feed.</p></div><button>Repost</button></section>' for i in range(300)) + "</main>"
+    rows = read_posts(spark.createDataFrame([(1, deep), (2, wide)], "page_id bigint, html string")).collect()
+    assert [r.text for r in rows if r.page_id == 1] == ["The text at the bottom of it all, long enough."]
+    assert {r.text for r in rows if r.page_id == 2} == {f"Number {i} of many posts in this feed." for i in range(300)}
+
+
+def test_layout_frequency(spark):
+    pages = spark.createDataFrame([(1, CLASSIC), (2, BARE), (2, BARE)], "page_id bigint, html string")
+    got = {(r["name"], r["value"]): r.n for r in layout_frequency(pages).collect()}
+    assert got["label", "Send"] == 4 and got["label", "Comment"] == 2 and got["label", "more"] == 1
 
 
 def test_labelled_jsonl(spark, tmp_path):
