@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
+import tempfile
+import time
 import uuid
-from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,34 +34,56 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def spaced(texts: list[str | None]) -> Iterator[str]:
-    for t in texts:
-        yield t or ""
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: the one the cluster names, else (in local tests) a temporary one."""
+    """The folder that all executors share: the one the cluster names in spark.checkpoint.dir. Only a local session, as in tests, may go without."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or _own_dir())
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if named is None and sc.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-ckpt-"))
     return sc.getCheckpointDir()
 
 
+def in_files(df: DataFrame, per_core: int = 1) -> DataFrame:
+    """In no more files than so many per core, however many partitions a shuffle has: small tables aren't written in crumbs."""
+    return df.coalesce(per_core * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint."""
+    """Cut the lineage of a narrow table with a reliable checkpoint."""
     shared_dir(df.sparkSession)
-    return df.checkpoint()
+    return in_files(df).checkpoint()
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a Parquet table in the shared folder: for larger results, as it is compressed."""
-    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+class Scratch:
+    """Parquet tables in the shared folder that cut the lineage of larger results, as they are compressed; remove() ends those that nothing reads any more."""
 
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def written(self, df: DataFrame, per_core: int = 4) -> DataFrame:
+        path = f"{shared_dir(self.spark)}/{uuid.uuid4().hex}"
+        in_files(df, per_core).write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (out, path)
+        return out
+
+    def remove(self, *tables: DataFrame) -> None:
+        for t in tables:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(id(t))[1])
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        release(self.spark)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """A table that stays, for results that are read lazily."""
+    return Scratch(df.sparkSession).written(df)
 
-def _own_dir() -> str:
-    """Only where the session names no folder, as in local tests."""
-    import tempfile
 
-    return tempfile.mkdtemp(prefix="spark-ckpt-")
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished jobs: it does so once nothing on the driver refers to them, late listeners included."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)

@@ -6,15 +6,18 @@ has one anchor, the minimal hash of its ANCHOR-byte strings, so equal windows ha
 equal anchors. An exchange between document parts and hash buckets tells which
 anchors several documents hold. Around these, the stretch of windows with one anchor
 (its context) goes once per part to the anchor's bucket. There the distinct contexts
-form shards; each shard gets a suffix order and its Burrows-Wheeler transform, and
-transforms are merged by refining their interleave one symbol of depth at a time:
-after SPAN rounds the blocks of the interleave are the intervals of suffixes with a
-common prefix of SPAN bytes. Each interval's smallest document id goes back to the
-parts, which mark the covered bytes.
-
-Defined cases: null text counts as empty; shorter texts than SPAN lose nothing; rows
-with equal ids don't count as smaller to each other; rows with a null id neither lose
-bytes nor make others lose any; extra columns are ignored; strings are judged on the
+that may share a window form shards; each shard gets a suffix order and its
+Burrows-Wheeler transform, and transforms are merged by refining their interleave, two
+symbols of depth at a time: after SPAN symbols the blocks of the interleave are the
+intervals of suffixes with a common prefix of SPAN bytes. Each interval's smallest
+document id goes back to the parts, which mark the covered bytes. An anchor with very
+many contexts would fill its bucket: in its place the hash of each of its windows goes
+to the bucket of that hash, where it is one entry per part.
+
+Defined cases: ids are integers; null text counts as empty; shorter texts than SPAN lose
+nothing; very long texts are scanned slice by slice; rows with equal ids don't count as
+smaller to each other; rows with a null id neither lose bytes nor make others lose any;
+extra columns are ignored; an empty table gives no rows; strings are judged on the
 input texts, and matches never cross documents.
 """
 
@@ -22,25 +25,27 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .jaccard import bucket_edges, five_bytes, from_five, mix
-from .parts import PART_BYTES, in_parts, part_count
+from .parts import PART_BYTES, bucket_count, bucket_edges, five_bytes, from_five, in_parts, mix, part_count
 
 SPAN, ANCHOR = 50, 16
 WIDTH = SPAN - ANCHOR + 1
-#: A part's texts are worked on in chunks of about so many bytes; bits of a position within a chunk.
-CHUNK, PLACE = 1 << 16, 26
-#: A bucket's contexts are dealt into shards of about so many bytes, at least two.
-SHARD_BYTES = 4 << 20
-#: Grain at which contexts are tried for a shared window.
+#: Windows whose anchors lie in one of STEP places have CORE bytes in common.
 STEP = 7
+CORE = SPAN - STEP + 1
+#: A part's texts are worked on in chunks of about so many bytes, longer texts in slices.
+CHUNK, SLICE = 1 << 16, 1 << 20
+#: An anchor is frequent if it has about so many contexts.
+FREQUENT = 1 << 14
+#: Contexts are dealt into shards of about so many bytes, at least two; so many bytes of contexts are merged at a time.
+SHARD_BYTES, MERGE_BYTES = 4 << 20, 16 << 20
+FACTOR = 0x9E3779B97F4A7C15
 
 
 def eight_bytes(b: np.ndarray) -> np.ndarray:
@@ -54,100 +59,134 @@ def eight_bytes(b: np.ndarray) -> np.ndarray:
     return out[: len(b)]
 
 
-def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """For each stretch of windows with one anchor: text, first and last window, anchor's place (all within the joined texts), hash."""
-    sizes = np.array([len(t) for t in texts])
-    b = np.frombuffer(b"".join(texts), np.uint8)
-    ends = np.cumsum(sizes)
-    if len(b) < SPAN:
-        return tuple(np.zeros(0, np.int64) for _ in range(4)) + (np.zeros(0, np.uint64),)
-    x = eight_bytes(b)
-    h = x[: len(b) - ANCHOR + 1] * np.uint64(0x9E3779B97F4A7C15)
-    h ^= h >> np.uint64(32)
-    h += x[8 : len(b) - ANCHOR + 9] * np.uint64(0xD6E8FEB86659FD93)
-    h ^= h >> np.uint64(31)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(30)
-    low = (h & ~np.uint64((1 << PLACE) - 1)) | np.arange(len(h), dtype=np.uint64)
-    width = 1
-    while 2 * width <= WIDTH:
-        low = np.minimum(low[:-width], low[width:])
-        width *= 2
-    if width < WIDTH:
-        low = np.minimum(low[: len(low) - (WIDTH - width)], low[WIDTH - width :])
-    place = (low & np.uint64((1 << PLACE) - 1)).astype(np.int64)  # of each window's anchor
-    doc = np.repeat(np.arange(len(texts)), sizes)[: len(place)]
-    fits = np.arange(len(place)) + SPAN <= ends[doc]
-    first = fits.copy()
-    first[1:] &= (place[1:] != place[:-1]) | ~fits[:-1] | (doc[1:] != doc[:-1])
-    last = fits.copy()
-    last[:-1] &= (place[1:] != place[:-1]) | ~fits[1:] | (doc[1:] != doc[:-1])
-    first, last = np.flatnonzero(first), np.flatnonzero(last)
-    return doc[first], first, last, place[first], mix(h[place[first]])  # minimal hashes are small: mixed, they spread over buckets
-
-
-def chunks(ids: list, texts: list[str]) -> Iterator[tuple[list, list[bytes]]]:
-    own, raw, size = [], [], 0
-    for i, t in zip(ids, texts, strict=True):
-        own.append(i)
-        raw.append(t.encode("utf-8", "surrogatepass"))
-        size += len(raw[-1])
-        if size >= CHUNK:
-            yield own, raw
-            own, raw, size = [], [], 0
+def hashes(joined: bytes) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """64-bit hashes of the strings with these starts and sizes."""
+    up, down = (np.cumprod(np.r_[np.uint64(1), np.full(len(joined), f, np.uint64)]) for f in (FACTOR, pow(FACTOR, -1, 1 << 64)))  # modulo 2 ** 64
+    total = np.r_[np.uint64(0), np.cumsum(mix(np.frombuffer(joined, np.uint8) + np.uint64(1)) * up[:-1])]
+    return lambda start, size: (total[start + size] - total[start]) * down[start]
+
+
+class Chunk:
+    """Slices of texts, and their stretches: slice number, first and last window (within the joined slices), place of the anchor in the stretch, its hash."""
+
+    def __init__(self, slices: list[tuple[int, int, bytes]]):
+        #: (row, offset within the row's text, bytes)
+        self.slices = slices
+        self.joined = b"".join(x[2] for x in slices)
+        self.doc = self.first = self.last = self.offset = np.zeros(0, np.int64)
+        self.anchor = np.zeros(0, np.uint64)
+        if len(self.joined) >= SPAN:
+            self._find()
+
+    def _find(self) -> None:
+        b = np.frombuffer(self.joined, np.uint8)
+        sizes = np.array([len(x[2]) for x in self.slices])
+        ends = np.cumsum(sizes)
+        x = eight_bytes(b)
+        h = x[: len(b) - ANCHOR + 1] * np.uint64(FACTOR)
+        h ^= h >> np.uint64(32)
+        h += x[8 : len(b) - ANCHOR + 9] * np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(31)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(30)
+        # 32 bits of hash, then the place: equal hashes go to the first place, in any text
+        low = (h >> np.uint64(32) << np.uint64(32)) | np.arange(len(h), dtype=np.uint64)
+        width = 1
+        while 2 * width <= WIDTH:
+            low = np.minimum(low[:-width], low[width:])
+            width *= 2
+        if width < WIDTH:
+            low = np.minimum(low[: len(low) - (WIDTH - width)], low[WIDTH - width :])
+        place = (low & np.uint64(0xFFFFFFFF)).astype(np.int64)  # of each window's anchor
+        window = np.arange(len(place))
+        doc = np.repeat(np.arange(len(sizes)), sizes)[: len(place)]
+        fits = window + SPAN <= ends[doc]
+        differs = place[1:] != place[:-1]
+        first, last = fits.copy(), fits.copy()
+        first[1:] &= differs | ~fits[:-1] | (doc[1:] != doc[:-1])
+        last[:-1] &= differs | ~fits[1:] | (doc[1:] != doc[:-1])
+        self.first, self.last = np.flatnonzero(first), np.flatnonzero(last)
+        self.doc, at = doc[self.first], place[self.first]
+        self.offset, self.anchor = at - self.first, mix(h[at])  # minimal hashes are small: mixed, they spread over buckets
+
+    def contexts(self, common: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of the common anchors: slice number, first window, size, offset, key for the bucket, name, and whether it is a lone window of a frequent anchor."""
+        at = np.minimum(np.searchsorted(common, self.anchor), max(len(common) - 1, 0))
+        ok = common[at] == self.anchor if len(common) else np.zeros(len(self.anchor), bool)
+        lone = frequent[at[ok]] if len(common) else np.zeros(0, bool)
+        doc, first, last, offset, key = self.doc[ok], self.first[ok], self.last[ok], self.offset[ok], self.anchor[ok]
+        hashed = hashes(self.joined)
+        if lone.any():
+            times = np.where(lone, last - first + 1, 1)
+            begin = np.cumsum(times) - times
+            step = np.arange(times.sum()) - np.repeat(begin, times)
+            doc, first, last, offset, key, lone = (np.repeat(x, times) for x in (doc, first, last, offset, key, lone))
+            first = first + step
+            last = np.where(lone, first, last)
+        size = last + SPAN - first
+        name = mix(hashed(first, size) + size.astype(np.uint64))
+        return doc, first, size, offset, np.where(lone, mix(name), key), name, lone
+
+
+def chunks(texts: list[str]) -> Iterator[Chunk]:
+    """All texts, by row number; slices of a long text overlap, so that each window lies in one of them."""
+    own, size = [], 0
+    for row, t in enumerate(texts):
+        raw = t.encode("utf-8", "surrogatepass")
+        for at in range(0, max(len(raw) - SPAN + 1, 1), SLICE):
+            own.append((row, at, raw[at : at + SLICE + SPAN - 1]))
+            size += len(own[-1][2])
+            if size >= CHUNK:
+                yield Chunk(own)
+                own, size = [], 0
     if own:
-        yield own, raw
-
-
-def scan(ids: list, texts: list[str]) -> list[tuple]:
-    """Per chunk: ids, texts, and what anchors() finds."""
-    return [(own, raw, *anchors(raw)) for own, raw in chunks(ids, texts)]
+        yield Chunk(own)
 
 
-def part_anchors(scanned: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct anchors of a part, sorted; whether documents of several ids in it hold each."""
-    h = np.concatenate([np.zeros(0, np.uint64), *(x[6] for x in scanned)])
-    ids = np.concatenate([np.zeros(0, np.int64), *(np.array(x[0], np.int64)[x[2]] for x in scanned)])
+def part_anchors(ids: np.ndarray, scanned: list[Chunk]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct anchors of a part, sorted; whether documents of several ids in it hold each; the base-2 logarithm of its stretches, 15 at most."""
+    h = np.concatenate([np.zeros(0, np.uint64), *(c.anchor for c in scanned)])
+    own = np.concatenate([np.zeros(0, np.int64), *(ids[np.array([x[0] for x in c.slices], np.int64)[c.doc]] for c in scanned)])
     order = np.argsort(h)
-    h, ids = h[order], ids[order]
+    h, own = h[order], own[order]
     first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]][: len(h)])
     if not len(first):
-        return h, np.zeros(0, bool)
-    return h[first], np.minimum.reduceat(ids, first) != np.maximum.reduceat(ids, first)
+        return h, np.zeros(0, bool), np.zeros(0, np.uint8)
+    times = np.minimum(np.log2(np.diff(np.r_[first, len(h)])), 15).astype(np.uint8)
+    return h[first], np.minimum.reduceat(own, first) != np.maximum.reduceat(own, first), times
 
 
-def part_contexts(scanned: list[tuple], common: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, list]:
-    """Distinct contexts, their anchors' offsets, anchors and smallest ids; and per chunk (ids, texts, doc, first, context) of all occurrences.
+def part_contexts(ids: np.ndarray, scanned: list[Chunk], common: np.ndarray, frequent: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, list]:
+    """Distinct contexts (lone windows: their names), offsets of their anchors, keys and smallest ids; and per chunk (slice number, first window, context) of all occurrences.
 
     Contexts are told apart by a 64-bit hash of their bytes, mixed with their length.
     """
     found, keep = [], []
-    for own, raw, doc, first, last, place, h in scanned:
-        at = np.searchsorted(common, h)
-        ok = common[np.minimum(at, len(common) - 1)] == h if len(common) else np.zeros(len(h), bool)
-        doc, first, last, place, h = (x[ok] for x in (doc, first, last, place, h))
-        joined = b"".join(raw)
-        size = last + SPAN - first
-        powers = np.cumprod(np.full(len(joined) + 1, 0x9E3779B97F4A7C15, np.uint64))
-        back = np.cumprod(np.full(len(joined) + 1, pow(0x9E3779B97F4A7C15, -1, 1 << 64), np.uint64))
-        total = np.r_[np.uint64(0), np.cumsum(mix(np.frombuffer(joined, np.uint8) + np.uint64(1)) * powers[:-1])]
-        key = mix((total[first + size] - total[first]) * back[first] + size.astype(np.uint64))
-        found.append((key, place - first, h, np.array(own, np.int64)[doc]))
-        keep.append((own, raw, doc, first, size, joined))
-    key, offset, anchor, ids = (np.concatenate([x[k] for x in found]) if found else np.zeros(0, np.int64) for k in range(4))
-    values, one, number = np.unique(key, return_index=True, return_inverse=True)
+    for c in scanned:
+        doc, first, size, offset, key, name, lone = c.contexts(common, frequent)
+        found.append((name, key, ids[np.array([x[0] for x in c.slices], np.int64)[doc]], offset, lone))
+        keep.append((c, doc, first, size))
+    name, key, own, offset, lone = (np.concatenate([np.zeros(0, kind), *(x[k] for x in found)]) for k, kind in enumerate((np.uint64, np.uint64, np.int64, np.int64, bool)))
+    values, one, number = np.unique(name, return_index=True, return_inverse=True)
     low = np.full(len(values), np.iinfo(np.int64).max)
-    np.minimum.at(low, number, ids)
+    np.minimum.at(low, number, own)
     contexts: list = [None] * len(values)
+    for k in np.flatnonzero(lone[one]).tolist():
+        contexts[k] = values[k].tobytes()
     seen, base = [], 0
-    for own, raw, doc, first, size, joined in keep:
+    for c, doc, first, size in keep:
         mine = number[base : base + len(first)]
-        new = np.flatnonzero(one[mine] == np.arange(base, base + len(first)))
+        new = np.flatnonzero((one[mine] == np.arange(base, base + len(first))) & ~lone[base : base + len(first)])
         for k, s, e in zip(mine[new].tolist(), first[new].tolist(), (first + size)[new].tolist(), strict=True):
-            contexts[k] = joined[s:e]
-        seen.append((own, raw, doc, first, mine))
+            contexts[k] = c.joined[s:e]
+        seen.append((c, doc, first, mine))
         base += len(first)
-    return contexts, offset[one], anchor[one], low, seen
+    return contexts, offset[one], key[one], low, seen
+
+
+def windows_in(contexts: list[bytes]) -> np.ndarray:
+    """Of each context; the name of a lone window is shorter than any context."""
+    return np.maximum(np.array(list(map(len, contexts)), np.int64) - SPAN + 1, 1)
 
 
 def suffix_order(t: np.ndarray) -> np.ndarray:
@@ -219,22 +258,30 @@ def intervals(shards: list[np.ndarray], depth: int) -> tuple[list[np.ndarray], n
 
 def smallest_ids(contexts: list[bytes], offsets: np.ndarray, anchor: np.ndarray, ids: np.ndarray) -> dict[int, np.ndarray]:
     """For contexts that may share a window with another: for each window, the smallest id of the contexts that hold its string."""
-    # Two contexts that share a window agree around the anchor in SPAN bytes, of which all but STEP lie as in one of these cuts
-    key, values, owner = xxhash.xxh64_intdigest, [], []
-    for left in range(0, SPAN - ANCHOR + 1, STEP):
-        size = SPAN - STEP
-        for k, (c, o) in enumerate(zip(contexts, offsets.tolist(), strict=True)):
-            if o >= left and o - left + size <= len(c):
-                values.append(key(c[o - left : o - left + size], left))
-                owner.append(k)
     out: dict[int, np.ndarray] = {}
-    if not values:
-        return out
-    h, k = np.array(values, np.uint64) ^ (anchor[owner] * np.uint64(0x9E3779B97F4A7C15)), np.array(owner)
-    _, back, times = np.unique(h, return_inverse=True, return_counts=True)
-    chosen = np.unique(k[times[back] > 1])
-    if not len(chosen):
-        return out
+    sizes = np.array(list(map(len, contexts)), np.int64)
+    begin = np.cumsum(sizes) - sizes
+    hashed = hashes(b"".join(contexts))
+    cores, owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for left in range(0, WIDTH, STEP):
+        k = np.flatnonzero((sizes >= SPAN) & (offsets >= left) & (offsets - left + CORE <= sizes))
+        cores.append(mix(mix(hashed(begin[k] + offsets[k] - left, np.full(len(k), CORE)) + np.uint64(left)) + anchor[k]))
+        owner.append(k)
+    cores, owner = np.concatenate(cores), np.concatenate(owner)
+    _, back, times = np.unique(cores, return_inverse=True, return_counts=True)
+    chosen = np.unique(owner[times[back] > 1])
+    # anchors have no window in common: merged one batch of anchors after the other
+    chosen = chosen[np.argsort(anchor[chosen], kind="stable")]
+    full = np.cumsum(sizes[chosen] + 1) // MERGE_BYTES
+    a = anchor[chosen]
+    edge = np.flatnonzero(np.r_[True, a[1:] != a[:-1]][: len(a)])
+    cut = edge[np.r_[True, np.diff(full[edge]) > 0][: len(edge)]].tolist()  # where an anchor begins and another batch is full
+    for x, y in zip(cut, [*cut[1:], len(chosen)], strict=False):
+        merge_batch(contexts, chosen[x:y], ids, out)
+    return out
+
+
+def merge_batch(contexts: list[bytes], chosen: np.ndarray, ids: np.ndarray, out: dict[int, np.ndarray]) -> None:
     sizes = np.array([len(contexts[c]) + 1 for c in chosen])
     n = max(2, -(-int(sizes.sum()) // SHARD_BYTES))
     dealt = [chosen[s::n] for s in range(n)]
@@ -256,7 +303,6 @@ def smallest_ids(contexts: list[bytes], offsets: np.ndarray, anchor: np.ndarray,
     low[order] = np.repeat(np.minimum.reduceat(ids[owner][order], cut), np.diff(np.r_[cut, len(where)]))
     for c, x in zip(np.concatenate(dealt), np.split(low, np.cumsum(np.concatenate(lengths) - SPAN + 1)[:-1]), strict=True):
         out[int(c)] = x
-    return out
 
 
 def runs(mask: np.ndarray) -> list[tuple[int, int]]:
@@ -277,78 +323,88 @@ def whole_characters(raw: bytes, mask: np.ndarray) -> str:
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = PART_BYTES, kept_text: bool = False, carry: list[str] | None = None) -> DataFrame:
     """One row per document: id, n_bytes, n_removed, spans (removed byte ranges), kept_sha256; with kept_text also kept, without partly removed characters lost; then the columns of carry."""
     n = part_count(docs, text_col, part_bytes)
+    buckets = bucket_count(n)
     carry = carry or []
     parts = in_parts(docs, n, id_col, text_col, **{f"c{k}": docs[c] for k, c in enumerate(carry)})
 
-    def sorted_rows(g: pd.DataFrame) -> pd.DataFrame:
-        return g[g.id.notna()].sort_values(["id", "text"])  # shuffled rows come in any order; contexts are numbered in this one
+    def whole(g: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, list[Chunk]]:
+        g = g[g.id.notna()].sort_values(["id", "text"])  # shuffled rows come in any order; contexts are numbered in this one
+        return g, g.id.to_numpy(np.int64), list(chunks(g.text.tolist()))
+
+    def bits(x: np.ndarray) -> bytes:
+        return np.packbits(x).tobytes()
 
-    def whole(g: pd.DataFrame) -> tuple[list, list]:
-        g = sorted_rows(g)
-        return g.id.astype("int64").tolist(), g.text.tolist()
+    def flags(blob: bytes, size: int) -> np.ndarray:
+        return np.unpackbits(np.frombuffer(blob, np.uint8))[:size].astype(bool)
 
     def send_anchors(g: pd.DataFrame) -> pd.DataFrame:
-        values, several = part_anchors(scan(*whole(g)))
-        cut = bucket_edges(values, n)
-        rows = [(b, int(g.pid.iloc[0]), five_bytes(values[x:y]), np.packbits(several[x:y]).tobytes()) for b, (x, y) in enumerate(zip(cut, cut[1:], strict=False)) if y > x]
-        return pd.DataFrame(rows, columns=["bucket", "pid", "anchors", "several"])
+        values, several, times = part_anchors(*whole(g)[1:])
+        cut = bucket_edges(values, buckets)
+        halves = lambda x: (x[::2] | np.pad(x[1::2], (0, len(x) % 2)) << 4).astype(np.uint8).tobytes()
+        rows = [(b, int(g.pid.iloc[0]), five_bytes(values[x:y]), bits(several[x:y]), halves(times[x:y])) for b, (x, y) in enumerate(zip(cut, cut[1:], strict=False)) if y > x]
+        return pd.DataFrame(rows, columns=["bucket", "pid", "anchors", "several", "times"])
 
     def common_anchors(g: pd.DataFrame) -> pd.DataFrame:
         own = [from_five(x) for x in g.anchors]
-        _, back, times = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
-        several = np.concatenate([np.unpackbits(np.frombuffer(s, np.uint8))[: len(x)] for s, x in zip(g.several, own, strict=True)]).astype(bool)
-        common = ((times > 1) | (np.bincount(back, several) > 0))[back]
+        _, back, parts_with = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
+        several = np.bincount(back, np.concatenate([flags(s, len(x)) for s, x in zip(g.several, own, strict=True)])) > 0
+        logs = [np.frombuffer(t, np.uint8) for t in g.times]
+        times = np.concatenate([np.stack([t & 15, t >> 4], axis=1).ravel()[: len(x)] for t, x in zip(logs, own, strict=True)])
+        common = ((parts_with > 1) | several)[back]
+        frequent = (np.bincount(back, 2.0**times) >= FREQUENT)[back]
         rows, at = [], 0
         for pid, x in zip(g.pid, own, strict=True):
-            rows.append((pid, int(g.bucket.iloc[0]), np.packbits(common[at : at + len(x)]).tobytes()))
+            rows.append((pid, int(g.bucket.iloc[0]), bits(common[at : at + len(x)]), bits(frequent[at : at + len(x)])))
             at += len(x)
-        return pd.DataFrame(rows, columns=["pid", "bucket", "common"])
-
-    def contexts_of(own: pd.DataFrame, told: pd.DataFrame) -> tuple[tuple, list[int], np.ndarray]:
-        """What part_contexts gives, and the order of contexts by bucket with where each begins."""
-        scanned = scan(*whole(own))
-        values, _ = part_anchors(scanned)
-        cut = bucket_edges(values, n)
-        keep = np.zeros(len(values), bool)
-        for b, bits in zip(told.bucket, told.common, strict=True):
-            keep[cut[b] : cut[b + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8))[: cut[b + 1] - cut[b]]
-        found = part_contexts(scanned, values[keep])
+        return pd.DataFrame(rows, columns=["pid", "bucket", "common", "frequent"])
+
+    def contexts_of(own: pd.DataFrame, told: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, tuple, list[int], np.ndarray]:
+        """The part's rows and ids, what part_contexts gives, and the order of contexts by bucket with where each begins."""
+        own, ids, scanned = whole(own)
+        values, _, _ = part_anchors(ids, scanned)
+        cut = bucket_edges(values, buckets)
+        keep, often = np.zeros(len(values), bool), np.zeros(len(values), bool)
+        for b, c, f in zip(told.bucket, told.common, told.frequent, strict=True):
+            keep[cut[b] : cut[b + 1]], often[cut[b] : cut[b + 1]] = flags(c, cut[b + 1] - cut[b]), flags(f, cut[b + 1] - cut[b])
+        found = part_contexts(ids, scanned, values[keep], often[keep])
         order = np.argsort(found[2], kind="stable")
-        return found, bucket_edges(found[2][order], n), order
+        return own, ids, found, bucket_edges(found[2][order], buckets), order
 
     def send_contexts(own: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        (contexts, offset, anchor, low, _), cut, order = contexts_of(own, told)
+        pid = own.pid.iloc[0] if len(own) else -1
+        _, _, (contexts, offset, key, low, _), cut, order = contexts_of(own, told)
         rows = []
         for b, (x, y) in enumerate(zip(cut, cut[1:], strict=False)):
             if y > x:
                 at = order[x:y]
                 c = [contexts[k] for k in at.tolist()]
-                facts = [np.array(list(map(len, c)), np.uint8).tobytes(), offset[at].astype(np.uint8).tobytes(), anchor[at].tobytes(), low[at].tobytes()]
-                rows.append((b, int(own.pid.iloc[0]), zlib.compress(b"".join(c), 1), zlib.compress(b"".join(facts), 1)))
+                size = np.array(list(map(len, c)), np.uint8)
+                facts = [size.tobytes(), offset[at].astype(np.uint8).tobytes(), np.where(size < SPAN, 0, key[at]).tobytes(), low[at].tobytes()]
+                rows.append((b, int(pid), zlib.compress(b"".join(c), 1), zlib.compress(b"".join(facts), 1)))
         return pd.DataFrame(rows, columns=["bucket", "pid", "contexts", "facts"])
 
     def answer(g: pd.DataFrame) -> pd.DataFrame:
         known: dict[bytes, int] = {}
-        low, offsets, anchor, own = [], [], [], []
+        low, offsets, keys, own = [], [], [], []
         for blob, facts in zip(g.contexts, g.facts, strict=True):
             blob, facts = zlib.decompress(blob), zlib.decompress(facts)
             m = len(facts) // 18
             size, offset = np.frombuffer(facts, np.uint8, m), np.frombuffer(facts, np.uint8, m, m)
-            a, ids = np.frombuffer(facts, np.uint64, m, 2 * m), np.frombuffer(facts, np.int64, m, 10 * m)
+            key, ids = np.frombuffer(facts, np.uint64, m, 2 * m), np.frombuffer(facts, np.int64, m, 10 * m)
             numbers, at = [], 0
-            for s, o, h, i in zip(size.tolist(), offset.tolist(), a.tolist(), ids.tolist(), strict=True):
+            for s, o, h, i in zip(size.tolist(), offset.tolist(), key.tolist(), ids.tolist(), strict=True):
                 c = blob[at : at + s]
                 at += s
                 k = known.setdefault(c, len(known))
                 if k == len(low):
                     low.append(i)
                     offsets.append(o)
-                    anchor.append(h)
+                    keys.append(h)
                 elif i < low[k]:
                     low[k] = i
                 numbers.append(k)
             own.append(numbers)
-        found = smallest_ids(list(known), np.array(offsets), np.array(anchor, np.uint64), np.array(low, np.int64))
+        found = smallest_ids(list(known), np.array(offsets, np.int64), np.array(keys, np.uint64), np.array(low, np.int64))
         steps = [(1, b"\x00", i) for i in np.array(low, np.int64).astype("V8").tolist()] if low else []
         for k, x in found.items():  # the windows at which the smallest id changes, and these ids
             at = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
@@ -361,10 +417,10 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", par
 
     def cut(own: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         first, second = told[told.common.notna()], told[told.changes.notna()]
-        (contexts, _, _, _, seen), edge, order = contexts_of(own, first)
+        known, ids, (contexts, _, _, _, seen), edge, order = contexts_of(own, first)
         # of all contexts, by number: their changes as rows of one table
         number, place, low = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        until = np.array(list(map(len, contexts)), np.int64) - SPAN + 1
+        until = windows_in(contexts)
         for b, changes, places, lows in zip(second.bucket, second.changes, second.places, second.lows, strict=True):
             number.append(np.repeat(order[edge[b] : edge[b + 1]], np.frombuffer(zlib.decompress(changes), np.uint8)))
             place.append(np.frombuffer(zlib.decompress(places), np.uint8).astype(np.int64))
@@ -374,24 +430,34 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", par
         by = np.argsort(number, kind="stable")
         number, place, low, stop = (x[by] for x in (number, place, low, stop))
         begin = np.searchsorted(number, np.arange(len(until) + 1))
-        rows = []
-        for ids, raw, doc, at, which in seen:
+        texts = known.text.tolist()
+        rows: list = [None] * len(texts)
+        masks: dict[int, np.ndarray] = {}  # of texts in several slices
+        for c, doc, at, which in seen:
             times = begin[which + 1] - begin[which]
             step = np.repeat(begin[which] - (np.cumsum(times) - times), times) + np.arange(times.sum())
-            doc_of, start = np.repeat(doc, times), np.repeat(at, times)
-            bad = low[step] < np.array(ids, np.int64)[doc_of] if len(step) else np.zeros(0, bool)
-            n_bytes = sum(map(len, raw)) + 1
-            opened = np.bincount((start + place[step])[bad], minlength=n_bytes)
-            closed = np.bincount((start + stop[step] + SPAN - 1)[bad], minlength=n_bytes)
+            owner, start = np.array([x[0] for x in c.slices], np.int64)[np.repeat(doc, times)], np.repeat(at, times)
+            bad = low[step] < ids[owner] if len(step) else np.zeros(0, bool)
+            opened = np.bincount((start + place[step])[bad], minlength=len(c.joined) + 1)
+            closed = np.bincount((start + stop[step] + SPAN - 1)[bad], minlength=len(c.joined) + 1)
             gone, base = np.cumsum(opened - closed)[:-1] > 0, 0
-            for i, t in zip(ids, raw, strict=True):
-                rows.append(row(i, t, gone[base : base + len(t)]))
-                base += len(t)
-        for t in own.text[own.id.isna()]:
+            for r, offset, raw in c.slices:
+                mine = gone[base : base + len(raw)]
+                base += len(raw)
+                if offset or len(raw) > SLICE:
+                    if r not in masks:
+                        masks[r] = np.zeros(len(texts[r].encode("utf-8", "surrogatepass")), bool)
+                    masks[r][offset : offset + len(raw)] |= mine
+                else:
+                    rows[r] = row(int(ids[r]), raw, mine)
+        for r, mask in masks.items():
+            rows[r] = row(int(ids[r]), texts[r].encode("utf-8", "surrogatepass"), mask)
+        lone = own[own.id.isna()]
+        for t in lone.text:
             t = t.encode("utf-8", "surrogatepass")
             rows.append(row(None, t, np.zeros(len(t), bool)))
         out = pd.DataFrame(rows, columns=["id", "n_bytes", "n_removed", "starts", "ends", "kept_sha256", *["kept"] * kept_text])
-        carried = pd.concat([sorted_rows(own), own[own.id.isna()]])[[f"c{k}" for k in range(len(carry))]].reset_index(drop=True)
+        carried = pd.concat([known, lone])[[f"c{k}" for k in range(len(carry))]].reset_index(drop=True)
         return pd.concat([out.assign(id=pd.array(out.id, "Int64")), carried], axis=1)
 
     def row(i: int | None, t: bytes, gone: np.ndarray) -> tuple:
@@ -400,8 +466,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", par
         more = [whole_characters(t, gone) if span else t.decode("utf-8", "replace")] if kept_text else []
         return (i, len(t), int(gone.sum()), [s for s, _ in span], [e for _, e in span], hashlib.sha256(kept).hexdigest(), *more)
 
-    sent = parts.groupBy("pid").applyInPandas(send_anchors, "bucket int, pid int, anchors binary, several binary")
-    common = sent.groupBy("bucket").applyInPandas(common_anchors, "pid int, bucket int, common binary")
+    sent = parts.groupBy("pid").applyInPandas(send_anchors, "bucket int, pid int, anchors binary, several binary, times binary")
+    common = sent.groupBy("bucket").applyInPandas(common_anchors, "pid int, bucket int, common binary, frequent binary")
     contexts = parts.groupBy("pid").cogroup(common.groupBy("pid")).applyInPandas(send_contexts, "bucket int, pid int, contexts binary, facts binary")
     answers = contexts.groupBy("bucket").applyInPandas(answer, "pid int, bucket int, changes binary, places binary, lows binary")
     told = common.unionByName(answers, allowMissingColumns=True)

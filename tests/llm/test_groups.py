@@ -81,7 +81,9 @@ def removed(rows):
     return out
 
 
-def test_repeats(spark):
+@pytest.mark.parametrize("frequent", [1 << 14, 2, 16])
+def test_repeats(spark, monkeypatch, frequent):
+    monkeypatch.setattr(repeats, "FREQUENT", frequent)  # by 2 every common anchor is a frequent one
     rows = [(i, t) for i, t in corpus()] + [(500, "z" * 400), (501, "y" + "z" * 120 + "é" * 70), (502, "x" * 49), (503, "x" * 49), (504, "é" * 70)]
     d = spark.createDataFrame([(i, t, "s") for i, t in rows] + [(None, rows[3][1], "s")], "doc_id long, text string, spans string")
     got = {r.doc_id: (r.n_bytes, r.n_removed, len(r.spans), r.kept_sha256) for r in repeats.repeats(d, part_bytes=3000).collect()}
@@ -91,6 +93,34 @@ def test_repeats(spark):
     assert repeats.repeats(d.limit(0)).count() == 0
 
 
+def test_slices_and_batches_change_nothing(monkeypatch):
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("ab ") for _ in range(n)) for n in (3000, 10, 49, 50, 700)] + ["x" * 500]
+    texts.append(texts[0][100:900] + "é" * 90)
+
+    def windows():
+        out = {}
+        for c in repeats.chunks(texts):
+            for d, first, last, offset, anchor in zip(c.doc, c.first, c.last, c.offset, c.anchor, strict=True):
+                row, at, _ = c.slices[d]
+                base = sum(len(x[2]) for x in c.slices[:d])
+                out |= {(row, at + w - base): (int(anchor), int(first + offset - w)) for w in range(first, last + 1)}
+        return out
+
+    whole = windows()
+    monkeypatch.setattr(repeats, "SLICE", 64)
+    assert windows() == whole and len(whole) == sum(max(len(t.encode()) - 49, 0) for t in texts)
+    ids = np.arange(len(texts))
+    scanned = list(repeats.chunks(texts))
+    every = np.unique(np.concatenate([c.anchor for c in scanned]))
+    args = repeats.part_contexts(ids, scanned, every, np.zeros(len(every), bool))[:4]
+    args = args[0], args[1], args[2], np.arange(len(args[0]))
+    found = repeats.smallest_ids(*args)
+    monkeypatch.setattr(repeats, "MERGE_BYTES", 300)
+    again = repeats.smallest_ids(*args)
+    assert found.keys() == again.keys() and all((found[k] == again[k]).all() for k in found)
+
+
 def test_interleave_equals_sorting():
     rng = np.random.default_rng(0)
     shards = [np.frombuffer(b"\0".join(bytes(rng.integers(97, 100, size=80, dtype=np.uint8)) for _ in range(20)) + b"\0", np.uint8) for _ in range(5)]
