@@ -2,17 +2,21 @@
 
 Vectors become integers floor(scale * x), stored in column-major blocks of bounded
 size (one array per dimension group). Every block of queries meets every block of
-candidates as one row of a join on the candidate group; scores accumulate one
-dimension group at a time, and after each group the candidates whose score plus
-remaining mass (product of remaining norms) cannot reach any query's k-th best are
-compacted away. The k best of each pair of blocks merge in one aggregation.
+candidates as one row of a join on the candidate group. A query's bar, the k-th best
+score among a sample of PILOT candidates of all blocks, rises with what the task has
+found so far. Blocks whose largest norm cannot reach any bar are left out; in the
+others scores accumulate one dimension group at a time, and after each group the pairs
+whose score plus remaining mass (product of remaining norms) stays below the query's
+bar are dropped: first candidates are compacted away as columns, and once few pairs
+are left, these alone go on as a list. A window keeps each query's k best.
 
 Defined cases: vectors that are null, or hold null or non-finite components, take no
-part; shorter vectors count as padded with zeros; ties go to the smaller id; with
+part, nor do those with a component beyond LARGEST, whose scores might not fit into 64
+bits; shorter vectors count as padded with zeros; ties go to the smaller id; with
 fewer than k candidates all are returned; a row is never its own candidate, and rows
 that repeat an id are candidates of one another's queries only under another id; an id
-with one score counts once among the k, however many rows hold it;
-rows with a null id take no part; extra columns are ignored.
+with one score counts once among the k, however many rows hold it; rows with a null id
+take no part; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,15 +26,24 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import small_batches
 
 #: Rows per block of candidates and of queries; dimensions per step.
 CANDIDATES, QUERIES, DIMS = 1024, 256, 16
-#: Blocks per Arrow batch.
-BATCH = 128
+#: Blocks per Arrow batch; candidates from which the first bars come.
+BATCH, PILOT = 128, 2048
+#: Largest size of a component, before scaling by 256.
+LARGEST = 1 << 18
+#: Share of pairs below which they go on as a list.
+FEW = 0.15
+#: Query blocks whose bars a task remembers.
+BLOCKS_KNOWN = 4096
+LOW = np.iinfo(np.int64).min
 
 
 def pack(rows: DataFrame, group: Column, per_block: int, scale: float) -> DataFrame:
@@ -40,9 +53,7 @@ def pack(rows: DataFrame, group: Column, per_block: int, scale: float) -> DataFr
         m = np.zeros((max(map(len, vectors)), len(ids)))
         for i, v in enumerate(vectors):
             m[: len(v), i] = v
-        m = np.floor(scale * m).astype(np.int64)
-        if m.size and np.abs(m).max() < 1 << 31:
-            m = m.astype(np.int32)
+        m = np.floor(scale * m).astype(np.int32)
         return {"grp": g, "ids": np.array(ids, np.int64).tobytes(), "dims": len(m), "data": m.tobytes()}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -64,8 +75,7 @@ def pack(rows: DataFrame, group: Column, per_block: int, scale: float) -> DataFr
 
 
 def unpack(data: bytes, dims: int, n: int) -> np.ndarray:
-    kind = np.int32 if dims and len(data) == 4 * dims * n else np.int64
-    return np.frombuffer(data, kind).reshape(dims, n).astype(np.int64)
+    return np.frombuffer(data, np.int32).reshape(dims, n).astype(np.int64)
 
 
 def scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -80,74 +90,121 @@ def scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     return q.T @ c
 
 
-def best_of_blocks(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query id, candidate id, score): what may be among each query's k best, from one pair of blocks."""
-    dims = max(len(q), len(c))
-    q, c = (np.pad(x, ((0, dims - len(x)), (0, 0))) for x in (q, c))
-    own = q_ids[:, None] == c_ids[None]
-    # a first bar from some whole scores: the k-th best of these is a lower bound
-    _, one = np.unique(c_ids, return_index=True)  # a row of each id: copies must not raise the bar
-    some = one[np.unique(np.linspace(0, len(one) - 1, min(len(one), 32 * k)).astype(int))]
-    first = np.where(own[:, some], np.iinfo(np.int64).min, scores(q, c[:, some]))
-    low = np.iinfo(np.int64).min
-    bar = np.sort(first, axis=1)[:, -k] if len(some) >= k else np.full(len(q_ids), low)
-    left = np.arange(len(c_ids))
-    total = np.zeros((len(q_ids), len(left)), np.int64)
-    for at in range(0, dims, DIMS):
-        total += scores(q[at : at + DIMS], c[at : at + DIMS, left])
-        if at + DIMS >= dims:
+def best(query: np.ndarray, found: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """Places of each query's k best (id, score), ties to the smaller id; repeated ones count once."""
+    order = np.lexsort((found, -score, query))
+    query, found, score = query[order], found[order], score[order]
+    new = np.r_[True, (query[1:] != query[:-1]) | (found[1:] != found[:-1]) | (score[1:] != score[:-1])][: len(order)]
+    order, query = order[new], query[new]
+    begin = np.flatnonzero(np.r_[True, query[1:] != query[:-1]][: len(query)])
+    return order[np.arange(len(query)) - np.repeat(begin, np.diff(np.r_[begin, len(query)])) < k]
+
+
+def kth_best(n: int, query: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """Of n queries with at most k scores each: the k-th, or LOW."""
+    out = np.full(n, LOW)
+    full = np.bincount(query, minlength=n) == k
+    np.minimum.at(low := np.full(n, np.iinfo(np.int64).max), query, score)
+    out[full] = low[full]
+    return out
+
+
+def first_bars(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> np.ndarray:
+    """For each query the k-th best score among some candidates."""
+    total = scores(*same_dims(q, c))
+    i, j = np.nonzero(q_ids[:, None] != c_ids[None])
+    at = best(i, c_ids[j], total[i, j], k)
+    return kth_best(len(q_ids), i[at], total[i, j][at], k)
+
+
+def same_dims(*ms: np.ndarray) -> list[np.ndarray]:
+    dims = max(map(len, ms))
+    return [np.pad(x, ((0, dims - len(x)), (0, 0))) for x in ms]
+
+
+def rest_norms(m: np.ndarray) -> np.ndarray:
+    """Row s: norms of the columns from dimension s * DIMS on."""
+    squares = np.add.reduceat(m.astype(np.float64) ** 2, np.arange(0, max(len(m), 1), DIMS), axis=0) if len(m) else np.zeros((1, m.shape[1]))
+    return np.sqrt(np.cumsum(squares[::-1], axis=0)[::-1])
+
+
+def best_of_blocks(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int, bar: np.ndarray, kept: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query place, candidate id, score): what may be among each query's k best, from one pair of blocks. kept: gets the share of pairs left after each step."""
+    q, c = same_dims(q, c)
+    qr, cr = rest_norms(q), rest_norms(c)
+    # remaining mass, rounded up so that nothing that could tie is lost
+    reach = lambda total, a, b, least: total + a * b * (1 + 1e-9) + 1 >= least
+    none = np.zeros(0, np.int64)
+    if not len(q_ids) or not reach(0, qr[0], cr[0].max(initial=0), bar).any():
+        return none, none, none
+    size = len(q_ids) * len(c_ids)
+    left, total, pairs = np.arange(len(c_ids)), np.zeros((len(q_ids), len(c_ids)), np.int64), None
+    for s, at in enumerate(range(0, len(q), DIMS)):
+        x, y = q[at : at + DIMS], c[at : at + DIMS]
+        if pairs is None:
+            total += scores(x, y[:, left])
+        else:
+            i, j, t = pairs
+            pairs = i, j, t + (x[:, i] * y[:, j]).sum(axis=0)
+        if s + 1 == len(qr):
             break
-        # remaining mass, rounded up so that nothing that could tie is lost
-        qr = np.sqrt((q[at + DIMS :].astype(np.float64) ** 2).sum(axis=0))
-        cr = np.sqrt((c[at + DIMS :, left].astype(np.float64) ** 2).sum(axis=0))
-        keep = (total + (qr[:, None] * cr[None]) * (1 + 1e-9) + 1 >= bar[:, None]).any(axis=0)
-        if keep.mean() < 0.9:
-            left, total = left[keep], total[:, keep]
-    total = np.where(own[:, left], low, total)
-    out = []
-    order = np.argsort(c_ids[left], kind="stable")  # ties to the smaller id
-    total, found = total[:, order], c_ids[left][order]
-    heads = np.flatnonzero(np.r_[True, found[1:] != found[:-1]][: len(found)])  # again a row of each id
-    for i in range(len(q_ids)):
-        row = total[i]
-        if len(heads) > 4 * k:
-            kth = np.partition(row[heads], -k)[-k]
-            at = np.flatnonzero(row >= max(kth, bar[i]))
+        if pairs is None:
+            keep = reach(total, qr[s + 1][:, None], cr[s + 1, left][None], bar[:, None])
+            if keep.mean() * len(left) <= FEW * len(c_ids):
+                i, j = np.nonzero(keep)
+                pairs = i, left[j], total[i, j]
+            else:
+                any_of = keep.any(axis=0)
+                left, total = left[any_of], total[:, any_of]
         else:
-            at = np.arange(len(row))
-        at = at[row[at] > low]
-        at = at[np.argsort(-row[at], kind="stable")]
-        new = np.r_[True, (found[at[1:]] != found[at[:-1]]) | (row[at[1:]] != row[at[:-1]])][: len(at)]
-        at = at[new][:k]
-        out.append((np.full(len(at), q_ids[i]), found[at], row[at]))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+            i, j, t = pairs
+            keep = reach(t, qr[s + 1][i], cr[s + 1][j], bar[i])
+            pairs = i[keep], j[keep], t[keep]
+        if kept is not None:
+            kept.append((len(q_ids) * len(left) if pairs is None else len(pairs[0])) / size)
+    if pairs is None:
+        i, j = np.nonzero(total >= bar[:, None])
+        pairs = i, left[j], total[i, j]
+    i, j, t = pairs
+    ok = (q_ids[i] != c_ids[j]) & (t >= bar[i])
+    i, found, t = i[ok], c_ids[j[ok]], t[ok]
+    at = best(i, found, t, k)
+    return i[at], found[at], t[at]
 
 
 def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0, id_col: str = "vec_id", vector_col: str = "embedding", groups: int | None = None) -> DataFrame:
-    """query_id, rank, vec_id, score: the k best other rows of each query row."""
+    """query_id, rank, vec_id, score: the k best other rows of each query row. The sample for the bars is drawn when this is called."""
     spark = vectors.sparkSession
     small_batches(spark, BATCH)
     v = vectors.select(vectors[id_col].cast("long").alias("id"), vectors[vector_col].cast("array<double>").alias("embedding"), is_query.alias("query"))
-    fine = ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    fine = ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) > LARGEST * 256 / scale))
     v = v.where(F.col("id").isNotNull() & F.col("embedding").isNotNull() & F.coalesce(fine, F.lit(False)))
     groups = groups or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    drawn = v.orderBy(F.xxhash64("id"), "id").limit(PILOT).select("id", "embedding").toPandas()  # at most PILOT vectors
+    dims = max(map(len, drawn.embedding), default=0)
+    sample = np.floor(scale * np.array([np.pad(x, (0, dims - len(x))) for x in drawn.embedding]).reshape(len(drawn), dims)).astype(np.int64).T
+    pilot = spark.sparkContext.broadcast((drawn.id.to_numpy(np.int64), sample))
     candidates = pack(v.drop("query"), F.pmod(F.xxhash64("id"), F.lit(groups)), CANDIDATES, scale)
     q = pack(v.where("query").drop("query"), F.lit(0).cast("long"), QUERIES, scale)
     q = q.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("grp"), F.col("ids").alias("q_ids"), F.col("dims").alias("q_dims"), F.col("data").alias("q_data"))
     pairs = candidates.join(q, "grp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bars: dict[tuple[bytes, bytes], np.ndarray] = {}  # by query block
         for b in batches:
             for r in b.to_pylist():
                 q_ids, c_ids = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["ids"], np.int64)
                 q, c = (unpack(r[f"{x}data"], r[f"{x}dims"], n) for x, n in (("q_", len(q_ids)), ("", len(c_ids))))
-                found = best_of_blocks(q_ids, q, c_ids, c, k)
-                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in found], ["query_id", "vec_id", "score"])
+                key = (r["q_ids"], xxhash.xxh128_digest(r["q_data"]))
+                if key not in bars:
+                    if len(bars) >= BLOCKS_KNOWN:
+                        bars.clear()
+                    bars[key] = first_bars(q_ids, q, *pilot.value, k)
+                i, found, t = best_of_blocks(q_ids, q, c_ids, c, k, bars[key])
+                bars[key] = np.maximum(bars[key], kth_best(len(q_ids), i, t, k))
+                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (q_ids[i], found, t)], ["query_id", "vec_id", "score"])
 
     found = pairs.select("q_ids", "q_dims", "q_data", "ids", "dims", "data").mapInArrow(run, "query_id long, vec_id long, score long").distinct()
-    # collected per query: at most k rows from each block of candidates, folded to k by partial aggregation
-    order = F.struct((-F.col("score")).alias("s"), "vec_id", "score")
-    best = found.groupBy("query_id", F.pmod(F.xxhash64("vec_id"), F.lit(16))).agg(F.slice(F.array_sort(F.collect_list(order)), 1, k).alias("part"))
-    best = best.groupBy("query_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("part"))), 1, k).alias("best"))
-    out = best.select("query_id", F.posexplode("best").alias("at", "b"))
-    return out.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), F.col("b.score").alias("score"))
+    # a limit on the rank, so that each task passes on at most k rows of a query
+    ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "vec_id", "score")

@@ -19,3 +19,36 @@ def test_copies_do_not_displace_neighbours(spark):
         pairs = {(-int(a @ b), j) for k, a in q if k == i for j, b in q if j != i}
         want += [(i, rank, j, -s) for rank, (s, j) in enumerate(sorted(pairs)[:5], 1)]
     assert got == want
+
+
+def clustered(rng, n, dims=64, clusters=20):
+    centres = rng.normal(size=(clusters, dims))
+    x = centres[rng.integers(0, clusters, n)] + 0.3 * rng.normal(size=(n, dims))
+    return np.floor(256 * x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.int64).T
+
+
+def test_most_candidates_are_dropped_early():
+    rng = np.random.default_rng(5)
+    c = clustered(rng, 3000)
+    ids, q = np.arange(3000), c[:, ::50]
+    bar = topk.first_bars(ids[::50], q, ids[:1500], c[:, :1500], 5)
+    kept: list = []
+    i, found, score = topk.best_of_blocks(ids[::50], q, ids, c, 5, bar, kept)
+    assert kept[1] < 0.5 and kept[-1] < 0.1 and kept == sorted(kept, reverse=True)
+    total = q.T @ c
+    total[np.arange(60), ids[::50]] = -(1 << 60)
+    want = [(k, int(j), int(total[k, j])) for k in range(60) for j in np.lexsort((ids, -total[k]))[:5]]
+    assert sorted(zip(i.tolist(), found.tolist(), score.tolist(), strict=True)) == sorted(want)
+
+
+def test_blocks_out_of_reach_are_left_out():
+    one = np.ones((8, 1), np.int64)
+    i, _, _ = topk.best_of_blocks(np.array([1]), one, np.array([2]), one, 1, np.array([1000]))
+    assert not len(i)
+
+
+def test_repeated_ids_and_large_components(spark):
+    rows = [(1, [1.0, 2.0], "a"), (1, [1.0, 2.0], "a"), (1, [3.0, 0.0], "b"), (2, [1.0, 1.0], "c"), (3, [1e300, 1.0], "d"), (4, [-float(topk.LARGEST), 1.0], "e"), (5, [float(topk.LARGEST) * 2, 0.0], "f")]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string")
+    got = [tuple(r) for r in topk.exact_top_k(d, F.col("vec_id") == 2).orderBy("rank").collect()]
+    assert got == [(2, 1, 1, 3 * 256**2), (2, 2, 4, 256**2 * (1 - topk.LARGEST))]  # both vectors of id 1 have this score
