@@ -8,17 +8,21 @@ higher-order expression. The fitted weights are a vector of fixed length (DIMS +
 Defined cases: a null url, or one without `://`, has an empty host and path, fits no
 rule, and is judged by the model on empty strings; repeated rows are judged
 independently; the longest fitting rule wins; extra columns are ignored; a null id is
-passed through; an empty labelled table gives zero weights, hence `allow`.
+passed through; an empty labelled table gives zero weights, hence `allow`; very long urls
+are read as a whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from .common import ascii_lower
 
-DIMS, GRAMS, STEPS, RATE, RIDGE = 4096, (3, 4, 5), 200, 0.5, 0.01
+DIMS, GRAMS, STEPS, RATE, RIDGE = 16384, (3, 4, 5), 150, 0.015, 0.003
 
 #: The rules of the registered query, as (host, path, verdict).
 RULES = [
@@ -29,27 +33,34 @@ RULES = [
     ("net", "/fr/", "block"),
 ]
 
-#: Invented URLs by which the default model is trained: unwanted and wanted ones.
-UNWANTED = """
-https://casino-royal.example.org/play https://www.win-casino.example.net/slots/9 http://lucky-poker.example.com/bonus
-https://poker-jackpot.example.org/en/12 http://bet-win.example.net/odds?x=1 https://sports-betting.example.com/live
-http://cheap-pills.example.org/buy https://pills-online.example.net/order/7 https://discount-meds.example.com/viagra
-http://viagra-cheap.example.org/de/3 https://adult-cams.example.net/18 https://www.adult-video.example.org/hot/2
-http://xxx-tube.example.com/watch/5 https://sex-dates.example.net/meet https://hot-singles.example.org/join
-http://free-warez.example.com/crack https://crack-keygen.example.net/download https://torrent-movies.example.org/free
-http://payday-loans.example.com/apply https://fast-cash-loan.example.net/now http://get-rich-quick.example.org/crypto
-https://crypto-double.example.com/invest http://replica-watches.example.net/sale https://fake-diploma.example.org/order
+# The small labelled table by which the default model is trained is built from these words:
+# unwanted topics in pairs, wanted topics in pairs, and names without a meaning, which are wanted.
+UNWANTED_WORDS = """
+casino slots roulette blackjack jackpot betting poker bookie lottery spins viagra cialis tramadol xanax steroids slimming pharmacy
+porn xxx nude hentai escort camgirls erotic milf fetish hookup warez keygen cracked serials nulled cheats payday lending forex pyramid
+binary-options airdrop giveaway counterfeit replica fakeid diplomas hacked carding followers-cheap botnet
 """.split()
-WANTED = """
-https://www.town-library.example.org/en/12 https://blog.gardening.example.com/fr/88 http://news.daily.example.net/de/431
-https://docs.project.example.org/guide/install https://wiki.history.example.com/es/rome http://m.weather.example.net/en/today
-https://university.example.org/courses/math https://www.museum.example.com/visit http://blog.travel.example.net/fr/paris
-https://science.journal.example.org/articles/9 https://school.example.com/en/7 https://recipes.example.net/de/bread?page=2
-http://www.railway.example.org/times https://forum.linux.example.com/t/44 https://city-council.example.net/minutes/2020.html
-https://books.example.org/en/321 http://music.lessons.example.com/piano https://health.clinic.example.net/es/contact
-https://www.then.example.org/en/25#top https://blog.reading.example.com/en/533/ http://m.onthe.example.net/fr/825?page=2&ref=x
-https://thering.example.com/es/384?utm_source=feed https://there.example.org/de/612 https://www.thand.example.net/en/846.html
+WANTED_WORDS = """
+library museum school college journal gazette weather climate garden kitchen recipes history physics biology geology atlas railway
+harbour council parliament clinic dentist nursing orchestra theatre cinema gallery poetry novels grammar dictionary archive forum manual
+handbook release download support careers cycling football chess hiking camping birdwatch furniture carpentry textiles astronomy
+mathematics economics insurance banking energy software compiler database network robotics festival tourism hotel bakery coffee
 """.split()
+# The most frequent letter pairs and endings of English, and syllables.
+SYLLABLES = "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le tion ble ing ly ment ous ba co di fu ga ji ko lu ma ne pi ro si ta ve wo bre cla dro fli gre".split()
+
+
+def labelled_urls() -> list[tuple[str, bool]]:
+    """(url, unwanted); forms of hosts and paths take turns, alike for wanted and unwanted ones."""
+    forms = ["http://{a}{b}.org/{b}/index.php", "https://www.{a}-{b}.net/", "https://{a}.{b}.info/{a}/page-{n}", "http://{b}{n}.biz/{a}.html", "https://shop.{b}{a}.co.uk/item?id={n}", "https://{a}-{n}.io/blog/{n}/{b}-{a}"]
+    out = []
+    for words, unwanted, turns in ((UNWANTED_WORDS, True, 4), (WANTED_WORDS, False, 1)):
+        for turn in range(turns):
+            out += [(forms[(k + turn) % len(forms)].format(a=a, b=words[(k * 7 + 3 + 5 * turn) % len(words)], n=k * 37 % 100), unwanted) for k, a in enumerate(words)]
+    for k in range(150):
+        a, b = ("".join(SYLLABLES[(k * x + 7 * y) % len(SYLLABLES)] for y in range(2 + k % 3)) for x in (5, 11))
+        out.append((forms[k % len(forms)].format(a=a, b=b, n=k), False))
+    return out
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -62,12 +73,17 @@ def url_parts(url: Column) -> tuple[Column, Column]:
 def buckets(host: Column, path: Column) -> Column:
     """Distinct hashed n-grams of both parts."""
 
-    def grams(tag: str, s: Column, n: int) -> Column:
-        padded = F.concat(F.lit("^"), s, F.lit("$"))
-        at = F.sequence(F.lit(1), F.greatest(F.length(padded) - (n - 1), F.lit(1)))
-        return F.transform(at, lambda i: F.pmod(F.xxhash64(F.lit(tag), F.substr(padded, i, F.lit(n))), F.lit(DIMS)).cast("int"))
+    def grams(tag: str, chars: Column, n: int) -> Column:
+        at = F.sequence(F.lit(0), F.greatest(F.size(chars) - n, F.lit(0)))
+        gram = lambda i: F.concat(*[F.coalesce(F.get(chars, i + k), F.lit("")) for k in range(n)])
+        return F.transform(at, lambda i: F.pmod(F.xxhash64(F.lit(tag), gram(i)), F.lit(DIMS)).cast("int"))
+
+    def every(tag: str) -> Callable[[Column], Column]:
+        return lambda c: F.concat(*[grams(tag, c, n) for n in GRAMS])
 
-    return F.array_distinct(F.concat(*[grams(t, s, n) for t, s in (("h", host), ("p", path)) for n in GRAMS]))
+    # characters as an array, so that long paths take linear time
+    chars = lambda s: F.regexp_extract_all(F.concat(F.lit("^"), s, F.lit("$")), F.lit("(?s)."), F.lit(0))
+    return F.array_distinct(F.concat(*[let(chars(s), every(t)) for t, s in (("h", host), ("p", path))]))
 
 
 def train(labelled: DataFrame) -> list[float]:
@@ -94,7 +110,7 @@ def train(labelled: DataFrame) -> list[float]:
 
 
 def default_labels(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(u, True) for u in UNWANTED] + [(u, False) for u in WANTED], "url string, unwanted boolean")
+    return spark.createDataFrame(labelled_urls(), "url string, unwanted boolean")
 
 
 def url_filter(pages: DataFrame, rules: list[tuple[str, str, str]] = (), labelled: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
