@@ -34,8 +34,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, written
-from .parts import PART_BYTES, ascii_words, in_parts, part_count
+from .common import Scratch, checkpointed, release
+from .parts import PART_BYTES, ascii_words, bucket_count, bucket_edges, in_parts, mix, part_count
 
 SHINGLE, SMALL = 5, 8
 #: The threshold is UP / DOWN = 75 / 100.
@@ -46,15 +46,10 @@ SINGLE = 150
 WIDE = 1024
 #: Members of a key that meet in one tile, on either side.
 TILE = 1024
+#: Rows of a pivot's groups that are dealt together.
+SHARE = 4096
 #: Pairs that a task of tiles holds back, so as not to emit them again.
 KNOWN_PAIRS = 500_000
-LOW40 = np.uint64((1 << 40) - 1)
-
-
-def mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(32))
 
 
 def shingles(text: str, size: int = SHINGLE) -> np.ndarray:
@@ -112,16 +107,6 @@ def block_values(s: np.ndarray, band: int, blocks: int, salt: int) -> np.ndarray
     return mix(np.bitwise_xor.reduceat(s[order], first) + mix(at[first] * np.uint64(0x632BE59BD9B4E019) + (tag << np.uint64(20))))
 
 
-def five_bytes(x: np.ndarray) -> bytes:
-    return np.ascontiguousarray((x & LOW40).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
-
-
-def from_five(blob: bytes) -> np.ndarray:
-    out = np.zeros((len(blob) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(blob, np.uint8).reshape(-1, 5)
-    return out.view("<u8").ravel()
-
-
 def pack_times(f: np.ndarray) -> tuple[bytes, bytes]:
     """Which numbers are over 1, and these."""
     return np.packbits(f > 1).tobytes(), f[f > 1].astype(np.int32).tobytes()
@@ -133,11 +118,6 @@ def unpack_times(n: int, common: bytes, times: bytes) -> np.ndarray:
     return out
 
 
-def bucket_edges(values: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket, an equal range of 64-bit numbers, begins among sorted values."""
-    return np.searchsorted(values, np.array([k * (1 << 64) // buckets for k in range(buckets)], np.uint64)).tolist() + [len(values)]
-
-
 def part_values(texts: pd.Series, buckets: int, salts: dict[int, int]) -> tuple[list, np.ndarray, np.ndarray, list[int]]:
     """Per text (set, [(band, D, places of its values)]); the part's distinct values, sorted; in how many classes each is; where each bucket begins."""
     docs, found, known, total = [], [], {}, 0
@@ -160,10 +140,11 @@ def part_values(texts: pd.Series, buckets: int, salts: dict[int, int]) -> tuple[
 def sketches(docs: DataFrame, id_col: str, text_col: str, salts: dict[int, int], part_bytes: int) -> DataFrame:
     """A row for each document: id, n, cid (class), weak; and for possible members of a pair: keys, set, s0..s3."""
     n = part_count(docs, text_col, part_bytes)
+    buckets = bucket_count(n)
     parts = in_parts(docs, n, id_col, text_col)
 
     def send(g: pd.DataFrame) -> pd.DataFrame:
-        _, values, times, cut = part_values(g.text, n, salts)
+        _, values, times, cut = part_values(g.text, buckets, salts)
         rows = [(b, int(g.pid.iloc[0]), four_bytes(values[x:y]), *pack_times(times[x:y])) for b, (x, y) in enumerate(zip(cut, cut[1:], strict=False)) if y > x]
         return pd.DataFrame(rows, columns=["bucket", "pid", "values", "common", "times"])
 
@@ -178,7 +159,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, salts: dict[int, int],
         return pd.DataFrame(rows, columns=["pid", "bucket", "common", "times"])
 
     def choose(own: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        docs, values, times, cut = part_values(own.text, n, salts)
+        docs, values, times, cut = part_values(own.text, buckets, salts)
         for b, common, f in zip(told.bucket, told.common, told.times, strict=True):
             times[cut[b] : cut[b + 1]] = unpack_times(cut[b + 1] - cut[b], common, f)
         rows = []
@@ -215,8 +196,9 @@ def verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     p = pairs.join(side(facts, "a"), "a").join(side(facts, "b"), "b")
     apart = sum((F.bit_count(F.col(f"a_s{k}").bitwiseXOR(F.col(f"b_s{k}"))) for k in range(4)), F.lit(0))
     small, large = F.least("a_n", "b_n"), F.greatest("a_n", "b_n")
-    p = p.where((large * UP <= small * DOWN) & (apart * (DOWN + UP) <= (F.col("a_n") + F.col("b_n")) * (DOWN - UP))).select("a", "b")
-    sets = classes.select("cid", "set")
+    p = checkpointed(p.where((large * UP <= small * DOWN) & (apart * (DOWN + UP) <= (F.col("a_n") + F.col("b_n")) * (DOWN - UP))).select("a", "b"))
+    involved = p.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+    sets = classes.select("cid", "set").join(involved, "cid", "left_semi")  # only these sets travel
     p = p.join(side(sets, "a"), "a").join(side(sets, "b"), "b")
     both = F.size(F.array_intersect("a_set", "b_set"))
     return p.where(both * DOWN >= (F.size("a_set") + F.size("b_set") - both) * UP).select("a", "b")
@@ -232,8 +214,10 @@ def tiles(members: DataFrame) -> DataFrame:
     blocks = F.ceil(F.col("size") / TILE).cast("int")
     own = members.withColumn("own", F.pmod(F.xxhash64("cid"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     dealt = own.select("p1", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cid", "comp", "n", "s0", "s1", "s2", "s3", "wide")
-    # groups with one pivot have members in common: together, they repeat few pairs
-    dealt = dealt.repartition("p1", F.pmod("key", F.lit(2)), "i", "j").sortWithinPartitions("p1", "key", "i", "j")
+    # groups with one pivot have members in common: together, they repeat few pairs; a pivot of many groups has several shares
+    shares = dealt.groupBy("p1").agg(F.ceil(F.count("*") / SHARE).alias("shares"))
+    dealt = dealt.join(shares, "p1").withColumn("share", F.pmod(F.xxhash64("key"), F.col("shares")))
+    dealt = dealt.repartition("p1", "share", "i", "j").sortWithinPartitions("p1", "key", "i", "j")
 
     def compare(g: pd.DataFrame) -> pd.DataFrame:
         i, j = int(g.i.iloc[0]), int(g.j.iloc[0])
@@ -287,28 +271,34 @@ def components(edges: DataFrame) -> DataFrame:
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = PART_BYTES) -> DataFrame:
     """One row per document: id, n_shingles, component_id (the smallest id of its component). Links are made when this is called."""
     salts: dict[int, int] = {}
+    scratch = Scratch(docs.sparkSession)
     while True:
-        made = written(sketches(docs, id_col, text_col, salts, part_bytes))
+        made = scratch.written(sketches(docs, id_col, text_col, salts, part_bytes), 16)
+        release(docs.sparkSession)
         weak = [r[0] for r in made.select(F.explode("weak")).distinct().collect()]  # bands: a few dozen at most
         if not weak:
             break
         for band in weak:  # a set fills too few blocks for the pigeonhole: deal this band's into more blocks
             salts[band] = salts.get(band, 0) + 1
+        scratch.remove(made)
+    rows = Scratch(docs.sparkSession).written(made.select("id", "n", "cid"))  # stays: the result reads it
     possible = made.where("keys is not null")
-    classes = written(possible.groupBy("cid").agg(*[F.first(c).alias(c) for c in ("n", "set", "keys", "s0", "s1", "s2", "s3", "wide")]))
+    classes = scratch.written(possible.groupBy("cid").agg(*[F.first(c).alias(c) for c in ("n", "set", "keys", "s0", "s1", "s2", "s3", "wide")]))
+    scratch.remove(made)  # and the shuffles of both
     entries = classes.select("cid", F.explode("keys").alias("key"))
     marks = [F.bit_xor(F.xxhash64("cid", F.lit(k))).alias(f"x{k}") for k in (1, 2)]
     groups = entries.groupBy("key").agg(F.count("*").alias("size"), *marks).where("size > 1")
     groups = groups.groupBy("size", "x1", "x2").agg(F.min("key").alias("key")).select("size", "key")  # one of the groups with equal members
-    member = written(entries.join(groups, "key"))
+    member = scratch.written(entries.join(groups, "key"))
     # pivots: members that share most of their values, as the text that others were copied from does
     large = member.where(F.col("size") > SMALL).join(classes.select("cid", F.size("keys").alias("shared")), "cid")
     pivots = [F.max_by("cid", F.struct("shared", x)).alias(p) for p, x in (("p1", F.col("cid")), ("p2", -F.col("cid")), ("p3", F.xxhash64("cid")))]
-    large = written(large.select("key", "size", "cid").join(large.groupBy("key").agg(*pivots), "key"))
+    large = scratch.written(large.select("key", "size", "cid").join(large.groupBy("key").agg(*pivots), "key"))
     tiny = member.where(F.col("size") <= SMALL).select("key", "cid")
     pairs = tiny.alias("x").join(tiny.alias("y"), "key").where("x.cid < y.cid").select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"))
     star = large.select("cid", F.explode(F.array_distinct(F.array("p1", "p2", "p3"))).alias("p")).where("cid <> p").select(F.least("cid", "p").alias("a"), F.greatest("cid", "p").alias("b"))
     pairs = checkpointed(pairs.unionByName(star).distinct())
+    release(docs.sparkSession)
     edges = checkpointed(verified(pairs, classes))
     label = components(edges)
     # large groups that still hold several components: all pairs across them
@@ -319,7 +309,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     more = checkpointed(verified(across.join(pairs, ["a", "b"], "left_anti"), classes))
     if not more.isEmpty():
         label = components(edges.unionByName(more))
-    rows = made.select("id", "n", "cid").join(label, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    scratch.remove(classes, member, large)
+    rows = rows.join(label, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     low = rows.where("comp is not null").groupBy("comp").agg(F.min("id").alias("low"))
     own: Column = F.coalesce("low", "id")
     return rows.join(low, "comp", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"))

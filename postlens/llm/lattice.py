@@ -31,8 +31,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed
-from .parts import PART_BYTES, ascii_words, in_parts, part_count
+from .parts import ascii_words, in_parts, part_count
 
+#: Bytes of text in a part: large, as distinct words grow more slowly than texts.
+PART_BYTES = 8 << 20
 MARK = "▁".encode()
 #: Rounds of expectation maximisation, and the mass that each piece has besides its expected count.
 ROUNDS, PRIOR = 1, 0.1
