@@ -72,15 +72,11 @@ def flatten(c: Column, compose: bool = False) -> Column:
 
 def find_phrases(flat: Column, phrases: Sequence[str]) -> Column:
     """The phrases that occur in flattened text as whole words, in list order."""
-    needles = F.array(*map(F.lit, phrases))
-    return F.filter(needles, lambda p: F.contains(flat, F.concat(F.lit(" "), p, F.lit(" "))))
+    return F.filter(F.lit(list(phrases)), lambda p: F.contains(flat, F.concat(F.lit(" "), p, F.lit(" "))))
 
 
 def has_phrase(flat: Column, phrases: Sequence[str]) -> Column:
-    out = F.lit(False)
-    for p in phrases:
-        out = out | F.contains(flat, F.lit(f" {p} "))
-    return F.coalesce(out, F.lit(False))
+    return F.coalesce(F.exists(F.lit([f" {p} " for p in phrases]), lambda p: F.contains(flat, p)), F.lit(False))
 
 
 def tokens(flat: Column) -> Column:
@@ -91,12 +87,10 @@ def label_in_tokens(label: Column, toks: Column) -> Column:
     """Whether the label (letters and digits, three at least) is one token, or two or three adjacent ones joined."""
     plain = F.regexp_replace(F.lower(label), "[^a-z0-9]", "")
     n = F.size(toks)
-    at = lambda i: F.coalesce(F.get(toks, i), F.lit("\u0000"))
-    found = F.exists(
-        F.when(n > 0, F.sequence(F.lit(0), n - 1)),
-        lambda i: (at(i) == plain) | (F.concat(at(i), at(i + 1)) == plain) | (F.concat(at(i), at(i + 1), at(i + 2)) == plain),
-    )
-    return F.coalesce((F.length(plain) >= 3) & found, F.lit(False))
+    # tokens beside the next one and the one after it, so that the list is made once and not for each place
+    near = F.arrays_zip(toks.alias("a"), F.slice(toks, F.lit(2), n).alias("b"), F.slice(toks, F.lit(3), n).alias("c"))
+    found = F.exists(near, lambda z: (z["a"] == plain) | (F.concat(z["a"], z["b"]) == plain) | (F.concat(z["a"], z["b"], z["c"]) == plain))
+    return F.coalesce((F.length(plain) >= 3) & F.coalesce(found, F.lit(False)), F.lit(False))
 
 
 def parse_age_hours(c: Column) -> Column:

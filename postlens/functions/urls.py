@@ -18,15 +18,15 @@ def host_matches(host: Column, domain: str) -> Column:
 
 
 def in_domain_list(host: Column, domains: Sequence[str]) -> Column:
-    out = F.lit(False)
-    for d in domains:
-        out = out | host_matches(host, d)
-    return out
+    # the list is one literal: a chain of comparisons takes long to build and to plan
+    return F.exists(F.lit(list(domains)), lambda d: (host == d) | host.endswith(F.concat(F.lit("."), d)))
 
 
 def find_domain(host: Column, path: Column, entries: Sequence[tuple[str, str, str]]) -> Column:
     """Name of the first entry whose domain (and path prefix, if it has one) fits."""
-    return F.coalesce(*[F.when(host_matches(host, d) & (F.lower(path).startswith(p) if p else F.lit(True)), F.lit(n)) for d, p, n in entries])
+    table = F.transform(F.lit(["\t".join(e) for e in entries]), lambda e: F.split(e, "\t"))
+    fits = F.filter(table, lambda e: ((host == e[0]) | host.endswith(F.concat(F.lit("."), e[0]))) & F.lower(path).startswith(e[1]))
+    return F.get(F.get(fits, F.lit(0)), F.lit(2))
 
 
 def registrable_label(host: Column) -> Column:
@@ -74,7 +74,7 @@ def is_careers_link(u: Column) -> Column:
     """Whether a subdomain or a path segment hints at a careers page."""
     labels = F.split(u["host"], r"\.")
     subdomains = F.slice(labels, F.lit(1), F.greatest(F.size(labels) - 2, F.lit(0)))
-    return F.arrays_overlap(F.concat(subdomains, F.split(F.lower(u["path"]), r"[/_.]+")), F.array(*map(F.lit, L.CAREERS_HINTS)))
+    return F.arrays_overlap(F.concat(subdomains, F.split(F.lower(u["path"]), r"[/_.]+")), F.lit(L.CAREERS_HINTS))
 
 
 def text_emails(text: Column) -> Column:
@@ -94,7 +94,7 @@ def without_contacts(text: Column) -> Column:
 def company_candidates(text: Column) -> Column:
     """Capitalised names that phrasing such as "at Acme" or "Acme is hiring" points at."""
     found = F.concat(*[F.regexp_extract_all(text, F.lit(java(p, False)), F.lit(1)) for p in L.COMPANY])
-    stop = F.array(*map(F.lit, L.COMPANY_STOPWORDS))
+    stop = F.lit(L.COMPANY_STOPWORDS)
 
     def clean(name: Column) -> Column:
         words = F.split(F.regexp_replace(name, r"[.'-]+$", ""), java(r"\s+", False))

@@ -35,8 +35,7 @@ def collect_urls(links: Column, text: Column) -> Column:
     listed = F.flatten(F.transform(F.coalesce(links, F.array().cast("array<struct<href:string,text:string>>")), lambda x: F.array(x["href"], x["text"])))
     parsed = F.filter(F.transform(F.concat(listed, U.bare_urls(text)), U.parse_url), lambda u: u.isNotNull())
     keyed = F.transform(parsed, lambda u: F.struct(U.url_key(u).alias("key"), u["host"].alias("host"), u["path"].alias("path")))
-    keys = F.transform(keyed, lambda u: u["key"])
-    return F.filter(keyed, lambda u, i: F.array_position(keys, u["key"]) == i + 1)
+    return T.let(keyed, lambda k: T.let(F.transform(k, lambda u: u["key"]), lambda keys: F.filter(k, lambda u, i: F.array_position(keys, u["key"]) == i + 1)))
 
 
 def classify_urls(urls: Column, matches_company: Column | None = None) -> Column:

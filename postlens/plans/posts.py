@@ -55,9 +55,15 @@ TEMPLATES: list[tuple[str, str, str | None, str | None, str | None]] = [
 COLUMNS = "k int, body string, headline string, href string, link_text string, listed_email string"
 
 
+def spread(d: DataFrame) -> DataFrame:
+    """The rows over all cores: small files give fewer tasks than there are cores, and what follows is heavy on CPU, light on bytes."""
+    cores = d.sparkSession.sparkContext.defaultParallelism
+    return d.repartition(2 * cores) if d.rdd.getNumPartitions() < cores else d
+
+
 def derived_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     bodies = F.broadcast(spark.createDataFrame([(k, *t) for k, t in enumerate(TEMPLATES)], COLUMNS))  # a literal list
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
+    d = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text"))
     i = F.col("doc_id")
     link = F.when(F.col("href").isNotNull(), F.array(F.struct("href", F.col("link_text").alias("text")))).otherwise(F.array().cast("array<struct<href:string,text:string>>"))
     return d.join(bodies, F.coalesce(F.pmod(i, F.lit(len(TEMPLATES))), F.lit(0)) == F.col("k")).select(

@@ -15,7 +15,7 @@ from ..operators import evaluation as E
 from ..operators import reasons as R
 from ..operators import stores as S
 from ..operators.features import classify_urls, collect_urls, exposure, extract_features, specificity
-from .posts import derived_posts
+from .posts import derived_posts, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -30,6 +30,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", *columns))
+
+
 def decided(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.decide(extract_features(derived_posts(spark, sf_dir)))
 
@@ -144,24 +148,24 @@ def registrable_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def email_domain_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(U.email_domains(F.lit(None).cast("array<string>"), F.col("text"))).alias("domain"))
+    d = documents(spark, sf_dir, "text").select("doc_id", F.explode(U.email_domains(F.lit(None).cast("array<string>"), F.col("text"))).alias("domain"))
     return d.select("doc_id", "domain", U.in_domain_list(F.col("domain"), L.FREE_EMAIL_DOMAINS).alias("free"), U.registrable_label(F.col("domain")).alias("label"))
 
 
 @query
 def redact_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", T.redact_contacts(F.col("text")).alias("text"))
+    return documents(spark, sf_dir, "text").select("doc_id", T.redact_contacts(F.col("text")).alias("text"))
 
 
 @query
 def redact_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where(T.matches(F.col("text"), L.EMAIL))
+    d = documents(spark, sf_dir, "text").where(T.matches(F.col("text"), L.EMAIL))
     return d.select("doc_id", F.sha2(T.redact_emails(F.col("text")), 256).alias("digest"))
 
 
 @query
 def flatten_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(T.flatten(F.col("text")), 256).alias("digest"))
+    return documents(spark, sf_dir, "text").select("doc_id", F.sha2(T.flatten(F.col("text")), 256).alias("digest"))
 
 
 @query
@@ -172,7 +176,7 @@ def text_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def post_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", T.hash_text(F.col("text")).alias("hash"))
+    return documents(spark, sf_dir, "text").select("doc_id", T.hash_text(F.col("text")).alias("hash"))
 
 
 @query
