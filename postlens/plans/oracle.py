@@ -70,10 +70,10 @@ BODIES = ",\n".join(f"({k}, {q(b)}, {q(h)}, {q(href)}, {q(t)}, {q(e)})" for k, (
 
 POSTS = f"""WITH templates(k, body, headline, href, link_text, listed_email) AS (VALUES {BODIES}),
 posts AS (
-  SELECT doc_id, source, body || ' ' || substr(coalesce(d.text, ''), 1, 120) AS text, headline, href, link_text, listed_email,
-    CASE WHEN doc_id % 17 = 0 THEN NULL ELSE CAST((doc_id * 7 % 500) / 2.0 AS DOUBLE) END AS age_hours,
-    CASE WHEN doc_id % 13 = 0 THEN NULL ELSE doc_id * 29 % 320 END AS comments
-  FROM documents d JOIN templates ON doc_id % {len(TEMPLATES)} = k),
+  SELECT doc_id, source, body || ' ' || coalesce(d.text, '') AS text, headline, href, link_text, listed_email,
+    CASE WHEN doc_id % 17 = 0 THEN NULL ELSE CAST(((doc_id * 7 % 500 + 500) % 500) / 2.0 AS DOUBLE) END AS age_hours,
+    CASE WHEN doc_id % 13 = 0 THEN NULL ELSE (doc_id * 29 % 320 + 320) % 320 * CASE WHEN doc_id % 4 = 3 THEN 9 ELSE 1 END END AS comments
+  FROM documents d JOIN templates ON coalesce((doc_id % {len(TEMPLATES)} + {len(TEMPLATES)}) % {len(TEMPLATES)}, 0) = k),
 flats AS (SELECT *, {flat("text")} AS flat, {flat("headline")} AS headline_flat,
   list_filter(list_concat([href, link_text], regexp_extract_all(text, {q("(?i)" + L.URL)})), lambda r: r IS NOT NULL AND contains(r, '.') AND NOT regexp_matches(trim(r), '\\s')) AS raws,
   list_distinct(list_transform(list_concat(CASE WHEN listed_email IS NULL THEN [] ELSE [listed_email] END, regexp_extract_all(text, {q("(?i)" + L.EMAIL)})), lambda e: lower(split_part(e, '@', 2)))) AS domains,
@@ -116,6 +116,46 @@ labelled AS (SELECT *, CASE WHEN stage1 = 'not_hiring' THEN 'not_hiring' WHEN st
 """
 
 
+AGE = "CASE WHEN {h} < 1/60 THEN 'just now' WHEN {h} < 1 THEN CAST(floor({h} * 60 + 0.5) AS BIGINT) || 'm' WHEN {h} < 24 THEN CAST(floor({h} + 0.5) AS BIGINT) || 'h' WHEN {h} < 168 THEN CAST(floor({h} / 24 + 0.5) AS BIGINT) || 'd' WHEN {h} < 720 THEN CAST(floor({h} / 168 + 0.5) AS BIGINT) || 'w' WHEN {h} < 8760 THEN CAST(floor({h} / 720 + 0.5) AS BIGINT) || 'mo' ELSE CAST(floor({h} / 8760 + 0.5) AS BIGINT) || 'y' END"
+SAID = "CASE WHEN comments IS NOT NULL THEN format('{:,}', comments) || CASE WHEN comments = 1 THEN ' comment' ELSE ' comments' END END"
+
+
+def ordered_distinct(c: str) -> str:
+    return f"list_filter({c}, lambda x, i: list_position({c}, x) = i)"
+
+
+def cleaned(name: str) -> str:
+    words = f"regexp_split_to_array(regexp_replace({name}, '[.''-]+$', ''), '\\s+')"
+    first = f"list_position(list_transform({words}, lambda w: list_contains({ls(L.COMPANY_STOPWORDS)}, lower(w))), false)"
+    return f"CASE WHEN {first} > 0 THEN array_to_string(list_slice({words}, {first}, len({words})), ' ') ELSE '' END"
+
+
+FOUND = "list_concat(" + ", ".join(f"regexp_extract_all(text, {q(p)}, 1)" for p in L.COMPANY) + ")"
+COMPANIES = f""", named AS (SELECT *, list_filter(list_transform({FOUND}, lambda c: {cleaned("c")}), lambda c: len(c) >= 2) AS every_company FROM labelled),
+companies AS (SELECT *, {ordered_distinct("every_company")} AS companies FROM named),
+posters AS (SELECT *, len(list_filter(careers, lambda u: {in_tokens("u.label", "head_toks")})) > 0 OR len(list_filter(corporate, lambda c: {in_tokens("c", "head_toks")})) > 0
+  OR len(list_filter(companies, lambda c: contains(headline_flat, {flat("c")}))) > 0 AS poster_at_company FROM companies)
+"""
+SCAM_SAID = "CASE h " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in L.SCAM_REASONS.items()) + " ELSE 'Mentions ' || h END"
+PAY_SAID = "CASE " + " ".join(f"WHEN regexp_matches(text, {q('(?i)' + p)}) THEN {q(r)}" for p, r in L.PAY_CLAIMS) + " END"
+LABELS = "CASE label " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in L.LABEL_TEXT.items()) + " END"
+CONTACTS = "CASE WHEN whatsapp THEN 'WhatsApp contact' END, CASE WHEN telegram THEN 'Telegram contact' END"
+NO_HIRING = "CASE WHEN list_contains(seeker_hits, 'opentowork') THEN 'Job seeker post (#OpenToWork)' WHEN len(seeker_hits) > 0 THEN 'Job seeker post' WHEN len(not_hiring_hits) > 0 THEN 'Personal career update' WHEN len(hiring_hits) = 0 THEN 'No hiring keywords' ELSE 'Reads like a story, advice or update' END"
+BAIT = """list_concat(list_transform(list_slice(bait_hits, 1, 2), lambda h: 'Asks you to "' || h || '"'), [CASE WHEN dm_only THEN 'Only "DM me"' WHEN channel IS NULL THEN 'no apply link' END, said])"""
+REASONS = COMPANIES + f""", told AS (SELECT *, {AGE.format(h="age_hours")} AS age, {SAID} AS said, list_transform(scam_hits, lambda h: {SCAM_SAID}) AS scam_said,
+  CASE WHEN len(ats) > 0 THEN 'Apply link on ' || ats[1].name WHEN careers_page THEN 'Links to company careers page' WHEN corporate_email THEN CASE WHEN corporate_matches THEN 'Company email address' ELSE 'Work email address' END
+    WHEN google_form THEN 'Google Form with role details' WHEN opaque_links > 0 THEN 'Apply link with role details' END AS channel FROM posters),
+aged AS (SELECT *, CASE WHEN age = 'just now' THEN 'posted just now' WHEN age IS NOT NULL THEN 'posted ' || age || ' ago' END AS posted FROM told),
+reasons AS (SELECT *, CASE label WHEN 'not_hiring' THEN [{NO_HIRING}]
+  WHEN 'scam_risk' THEN list_concat(list_slice({ordered_distinct("scam_said")}, 1, 2), [{PAY_SAID}, {CONTACTS}, CASE WHEN shortener_links > 0 THEN 'Shortened link' END, CASE WHEN len(free) > 0 AND NOT corporate_email THEN free[1] || ' address' END])
+  WHEN 'engagement_bait' THEN {BAIT}
+  WHEN 'unverified' THEN [CASE WHEN dm_only THEN 'Only "DM me"' WHEN google_form THEN 'Google Form, few role details' WHEN opaque_links > 0 THEN 'Link destination hidden, few role details' WHEN len(free) > 0 THEN free[1] || ' address only' ELSE 'No apply link or company email' END, {CONTACTS}, posted]
+  WHEN 'crowded' THEN [channel, posted, said, CASE WHEN per_hour >= {L.CROWDED_PER_HOUR} THEN 'comments piling up fast' END]
+  ELSE [channel, posted, said, CASE WHEN poster_at_company THEN 'poster works there' END] END AS every_reason FROM aged),
+lines AS (SELECT *, array_to_string(list_slice(list_filter(every_reason, lambda r: r IS NOT NULL AND r <> ''), 1, {L.MAX_REASONS}), ' · ') AS line FROM reasons)
+"""
+
+
 def posts(select: str) -> str:
     return POSTS + select
 
@@ -123,6 +163,20 @@ def posts(select: str) -> str:
 FREE_RE = "|".join(d.replace(".", r"\.") for d in L.FREE_EMAIL_DOMAINS)
 
 
+def without_emails(c: str) -> str:
+    """Domains are marked, then told apart."""
+    marked = f"regexp_replace({c}, {q('(?i)' + L.EMAIL.replace('@[', '@([') + ')')}, chr(1) || '\\1' || chr(1), 'g')"
+    free = f"regexp_replace({marked}, '(?i)' || chr(1) || '(?:[^' || chr(1) || ']*\\.)?(?:{FREE_RE})' || chr(1), '[email:free]', 'g')"
+    return f"regexp_replace({free}, chr(1) || '[^' || chr(1) || ']*' || chr(1), '[email:company]', 'g')"
+
+
+def without_phones(c: str) -> str:
+    """Runs of digits and separators are marked; those of eight digits go."""
+    marked = f"regexp_replace({c}, '(\\+?\\d[\\d\\s()-]{{7,}}\\d)', chr(2) || '\\1' || chr(3), 'g')"
+    phones = f"regexp_replace({marked}, chr(2) || '\\+?\\d(?:[\\s()-]*\\d){{7,}}' || chr(3), '[phone]', 'g')"
+    return f"regexp_replace({phones}, '[' || chr(2) || chr(3) || ']', '', 'g')"
+
+
 GOLD = """WITH g AS (SELECT doc_id, CASE WHEN l.quality = 1 THEN 'good' ELSE 'bad' END AS gold, CASE WHEN d.n_chars >= 1500 THEN 'good' ELSE 'bad' END AS pred, least(d.n_chars / 5000.0, 1.0) AS score
 FROM labels l JOIN documents d USING (doc_id))"""
 
@@ -153,13 +207,17 @@ SQL: dict[str, str] = {
     "url_kinds": posts("SELECT doc_id, array_to_string(list_transform(kinds, lambda u: u.kind), '|') AS kinds, coalesce(array_to_string(list_distinct(list_transform(ats, lambda u: u.name)), '|'), '') AS ats_names, CAST(opaque_links AS INT) AS opaque_links, CAST(shortener_links AS INT) AS shortener_links FROM labelled"),
     "channels": posts("SELECT doc_id, careers_page, google_form, whatsapp, telegram, corporate_email, corporate_matches, free[1] AS free_email_provider, dm_only FROM labelled"),
     "pending_questions": posts(f"SELECT doc_id, CASE WHEN len(text) < {L.MIN_MODEL_TEXT} THEN '' WHEN stage1 = 'ask_model' THEN 'hiring' WHEN stage1 = 'not_hiring' OR strong_scam THEN '' ELSE concat_ws('|', CASE WHEN weak_scam BETWEEN 1 AND {L.WEAK_SCAM_SIGNALS - 1} THEN 'scam' END, CASE WHEN NOT genuine AND len(bait_hits) = 0 AND (len(weak_bait_hits) > 0 OR dm_only) THEN 'bait' END) END AS questions FROM labelled"),
-    "not_hiring_reasons": posts("SELECT doc_id, CASE WHEN list_contains(seeker_hits, 'opentowork') THEN 'Job seeker post (#OpenToWork)' WHEN len(seeker_hits) > 0 THEN 'Job seeker post' WHEN len(not_hiring_hits) > 0 THEN 'Personal career update' WHEN len(hiring_hits) = 0 THEN 'No hiring keywords' ELSE 'Reads like a story, advice or update' END AS line FROM labelled WHERE label = 'not_hiring'"),
-    "bait_reasons": posts("""SELECT doc_id, array_to_string(list_slice(list_concat(list_transform(list_slice(bait_hits, 1, 2), lambda h: 'Asks you to "' || h || '"'), [CASE WHEN dm_only THEN 'Only "DM me"' WHEN google_form OR opaque_links > 0 THEN NULL ELSE 'no apply link' END, CASE WHEN comments IS NOT NULL THEN comments || CASE WHEN comments = 1 THEN ' comment' ELSE ' comments' END END]), 1, 4), ' · ') AS line FROM labelled WHERE label = 'engagement_bait'"""),
+    "not_hiring_reasons": posts(REASONS + "SELECT doc_id, line FROM lines WHERE label = 'not_hiring'"),
+    "bait_reasons": posts(REASONS + "SELECT doc_id, line FROM lines WHERE label = 'engagement_bait'"),
+    "reason_lines": posts(REASONS + f"SELECT doc_id, {LABELS} AS label, line FROM lines"),
+    "company_candidates": posts(COMPANIES + "SELECT doc_id, array_to_string(companies, '|') AS companies, poster_at_company FROM posters"),
+    "post_hash": "SELECT doc_id, lower(to_base(list_reduce(list_prepend(CAST(5381 AS BIGINT), list_transform(range(1, len(left(text, 300)) + 1), lambda i: CAST(unicode(text[i]) AS BIGINT))), lambda h, u: (h * 33 + u) % 4294967296), 36)) AS hash FROM documents",
     "careers_links": f"WITH p AS ({PAGE_PARTS}) SELECT page_id, host, path, list_has_any(list_concat(list_slice(string_split(host, '.'), 1, greatest(len(string_split(host, '.')) - 2, 0)), regexp_split_to_array(lower(path), '[/_.]+')), {ls(L.CAREERS_HINTS)}) AS careers FROM p",
     "url_dedupe": f"WITH p AS ({PAGE_PARTS}), k AS (SELECT *, regexp_replace(host, '^www\\.', '') || regexp_replace(path, '/$', '') AS key FROM p) SELECT key, min(page_id) AS page_id, count(*) AS n FROM k GROUP BY key",
     "registrable_labels": f"WITH p AS ({PAGE_PARTS}) SELECT DISTINCT host, {label('host')} AS label FROM p",
     "email_domain_classes": f"WITH e AS (SELECT DISTINCT doc_id, lower(split_part(unnest(regexp_extract_all(text, {q('(?i)' + L.EMAIL)})), '@', 2)) AS domain FROM documents) SELECT doc_id, domain, {in_list('domain', L.FREE_EMAIL_DOMAINS)} AS free, {label('domain')} AS label FROM e",
-    "redact_emails": f"SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(text, {q('(?i)' + L.EMAIL.replace('@[', '@([') + ')')}, chr(1) || '\\1' || chr(1), 'g'), '(?i)' || chr(1) || '(?:[^' || chr(1) || ']*\\.)?(?:{FREE_RE})' || chr(1), '[email:free]', 'g'), chr(1) || '[^' || chr(1) || ']*' || chr(1), '[email:company]', 'g')) AS digest FROM documents WHERE regexp_matches(text, {q('(?i)' + L.EMAIL)})",
+    "redact_emails": f"SELECT doc_id, sha256({without_emails('text')}) AS digest FROM documents WHERE regexp_matches(text, {q('(?i)' + L.EMAIL)})",
+    "redact_documents": f"SELECT doc_id, {without_phones(without_emails('regexp_replace(text, ' + q('(?i)' + L.PROFILE) + ", '[profile]', 'g')"))} AS text FROM documents",
     "flatten_documents": f"SELECT doc_id, sha256({flat('text')}) AS digest FROM documents",
     "text_hash": "SELECT doc_id, sha256(CAST(doc_id AS VARCHAR)) AS id_hash, sha1(text) AS text_sha1, CASE WHEN CAST('0x' || substr(sha1(text), 1, 2) AS INT) % 5 = 0 THEN 'test' ELSE 'dev' END AS split FROM documents",
     "age_parse": "WITH a AS (SELECT event_id, CAST(event_id % 40 AS VARCHAR) || (['s', ' secs', 'm', ' minutes ago', 'h', ' hours', 'd', ' days', 'w', ' wks', 'mo', ' months ago', 'y', ' years', ' x'])[1 + event_id % 15] AS raw, event_id % 40 AS n, event_id % 15 AS u FROM events) SELECT event_id, raw, round(n * ([1/3600, 1/3600, 1/60, 1/60, 1, 1, 24, 24, 168, 168, 720, 720, 8760, 8760, NULL])[1 + u], 6) AS hours FROM a",

@@ -70,6 +70,6 @@ def derived_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "source", F.concat(F.lit("post:"), F.coalesce(i.cast("string"), F.lit("none"))).alias("post_id"), F.concat("body", F.lit(" "), F.coalesce("text", F.lit(""))).alias("text"),
         F.col("headline").alias("author_headline"), F.lit(None).cast("string").alias("age_text"),
         F.when(i % 17 == 0, None).otherwise(F.pmod(i * 7, F.lit(500)) / 2).cast("double").alias("age_hours"), F.when(i % 5 == 0, None).otherwise(F.abs(i) * 31).cast("bigint").alias("reactions"),
-        F.when(i % 13 == 0, None).otherwise(F.pmod(i * 29, F.lit(320))).cast("bigint").alias("comments"), F.lit(None).cast("bigint").alias("reposts"), link.alias("links"),
+        F.when(i % 13 == 0, None).otherwise((F.pmod(i * 29, F.lit(320)) * F.when(i % 4 == 3, 9).otherwise(1))).cast("bigint").alias("comments"), F.lit(None).cast("bigint").alias("reposts"), link.alias("links"),
         F.when(F.col("listed_email").isNotNull(), F.array(F.lower("listed_email"))).otherwise(F.array().cast("array<string>")).alias("emails"),
     )
