@@ -2,22 +2,26 @@
 
 Every block element's subtree (its exact markup, white space collapsed) is hashed
 with the page's host. Spark counts, for each such hash, the different pages of the
-host that hold it; subtrees that recur on many pages are deleted, together with
-elements whose tag, role, id or class says that they are not the article. Pages that
-are copies of one another count once, so copies do not turn articles into templates.
-Where a page marks its article (article, main), only that is read, and a plain text
-block inside it stays even if it recurs.
+host that hold it, and subtrees that recur on many pages are deleted. Pages that are
+copies of one another count once, so copies do not turn articles into templates. What
+counts cannot tell (a menu with other words on each page, a host of few pages) falls
+to elements whose tag, role, id or class says that they are not the article, and, where
+a page marks its article (article, main), to what lies outside of it. A plain text block
+inside the article stays even if it recurs.
 
 Defined cases: null or empty html gives an empty text; a null url is a host of its
 own (the empty one); repeated rows give equal results; unclosed elements end where
-HTML lets them end, at the latest with the page; <br> is white space inside a block;
-extra columns are ignored; a null id is passed through.
+HTML lets them end, at the latest with the page; a tag that is not finished when the
+page ends is text; <br> is white space inside a block; very long and very deep pages
+take linear time; an empty table gives no rows; extra columns are ignored; a null id is
+passed through.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,13 +30,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import checkpointed, small_batches
+from .parts import mix
 from .urlfilter import url_parts
 
 #: A subtree is a template if so many different pages of its host, and such a share of them, hold it.
 MIN_PAGES, MIN_SHARE = 10, 0.001
 #: Up to so many template hashes (8 bytes each) are broadcast; beyond, they are joined to the pages.
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 500_000
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = set("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
@@ -46,7 +51,11 @@ NOT_ARTICLE_ROLE = set("navigation banner contentinfo complementary search dialo
 NOT_ARTICLE_NAME = set("ad ads adv advert advertisement adverts adsbygoogle sponsor sponsored sponsors promo promotion promoted banner nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer masthead topbar cookie cookies consent gdpr notice notices newsletter subscribe subscription signup login popup modal overlay comment comments commentlist disqus respond replies share sharing social related recommended widget pagination pager skip toolbar".split())
 NEVER_BY_NAME = {"html", "body", "article", "main"}
 
-TAG = re.compile(r"""<!--(?:>|->|.*?--!?>|.*\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+# possessive, so that no character of a tag is looked at again
+TAG = re.compile(
+    r"""<!--(?:>|->|.*?--!?>|.*\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/=]++|[^\s/>=]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+))?+)*+)>""", re.S
+)
+FACTOR = 0x9E3779B97F4A7C15
 ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
 SPACE = re.compile(r"\s+")
 
@@ -85,14 +94,22 @@ class Page:
         s, elements, texts = self.source, self.elements, self.texts
         stack: list[int] = [-1]
         open_tags: list[str] = [""]
+        is_open: Counter = Counter()
         block, at, n = 0, 0, len(s)
+        last_end = s.rfind(">")  # beyond it there is no tag
 
         def close(depth: int, end: int) -> None:
             while len(stack) > depth:
                 elements[stack.pop()][2] = end
-                open_tags.pop()
+                is_open[open_tags.pop()] -= 1
 
-        for m in iter(lambda: TAG.search(s, at), None):
+        def top(tag: str) -> int:
+            depth = len(open_tags) - 1
+            while open_tags[depth] != tag:
+                depth -= 1
+            return depth
+
+        for m in iter(lambda: TAG.search(s, at) if at <= last_end else None, None):
             start, end = m.span()
             tag = m[2]
             if start > at:
@@ -104,16 +121,16 @@ class Page:
             if m[1]:
                 if tag in BLOCK:
                     block += 1
-                if tag in open_tags:
-                    depth = len(open_tags) - 1 - open_tags[::-1].index(tag)
+                if is_open[tag]:
+                    depth = top(tag)
                     close(depth + 1, start)
                     close(depth, end)
                 continue
             if tag in BLOCK:
                 block += 1
-            if tag in ENDS_P and "p" in open_tags:
-                close(len(open_tags) - 1 - open_tags[::-1].index("p"), start)
-            elif tag in ENDS:
+            if tag in ENDS_P and is_open["p"]:
+                close(top("p"), start)
+            elif tag in ENDS and any(is_open[x] for x in ENDS[tag]):
                 for depth in range(len(open_tags) - 1, 0, -1):
                     if open_tags[depth] in ENDS[tag]:
                         close(depth, start)
@@ -140,21 +157,35 @@ class Page:
                 continue
             stack.append(len(elements) - 1)
             open_tags.append(tag)
+            is_open[tag] += 1
         if at < n:
             texts.append((block, stack[-1], at, n))
 
+    def _hash(self, ranges: list[tuple[int, int]]) -> np.ndarray:
+        """Of these ranges of the markup, white space collapsed; from running sums over the page, so that nested subtrees cost no more."""
+        if not hasattr(self, "sums"):
+            c = np.frombuffer(self.source.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+            white = (c == 32) | ((c >= 9) & (c <= 13))
+            keep = ~white
+            keep[:1] = True
+            keep[1:] |= ~white[:-1]
+            c = np.where(white, np.uint64(32), c)[keep]
+            up, down = (np.cumprod(np.r_[np.uint64(1), np.full(len(c), f, np.uint64)]) for f in (FACTOR, pow(FACTOR, -1, 1 << 64)))  # modulo 2 ** 64
+            self.sums = np.r_[0, np.cumsum(keep)], np.r_[np.uint64(0), np.cumsum(mix(c + np.uint64(1)) * up[:-1])], down
+        place, total, down = self.sums
+        begin, end = (place[np.array([r[k] for r in ranges], np.int64)] for k in (0, 1))
+        return mix((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64))
+
     def fingerprint(self) -> int:
         """Of the article if it is marked, else of the page: equal for copies."""
-        body = [self.source[e[1] : e[2]] for e in self.elements if e[5] and e[0] in ("article", "main")] or [self.source]
-        return xxhash.xxh64_intdigest("\x00".join(body)) - (1 << 63)
+        body = [(e[1], e[2]) for e in self.elements if e[5] and e[0] in ("article", "main")] or [(0, len(self.source))]
+        return xxhash.xxh64_intdigest(self._hash(body).tobytes()) - (1 << 63)
 
-    def hashes(self, host: str) -> dict[int, int]:
-        """Element -> hash of host and subtree, for block elements, but for plain text inside an article."""
-        out = {}
-        for i, (tag, start, end, _, _, inside) in enumerate(self.elements):
-            if tag in BLOCK and tag not in NEVER_BY_NAME and not (inside and tag in PLAIN):
-                out[i] = xxhash.xxh64_intdigest(f"{host}\x00{SPACE.sub(' ', self.source[start:end])}") - (1 << 63)
-        return out
+    def hashes(self, host: str) -> tuple[np.ndarray, np.ndarray]:
+        """Block elements, but for plain text inside an article, and for each a hash of host and subtree."""
+        at = [i for i, (tag, _, _, _, _, inside) in enumerate(self.elements) if tag in BLOCK and tag not in NEVER_BY_NAME and not (inside and tag in PLAIN)]
+        key = mix(self._hash([(self.elements[i][1], self.elements[i][2]) for i in at]) ^ np.uint64(xxhash.xxh64_intdigest(host)))
+        return np.array(at, np.int64), key.view(np.int64)
 
     def text(self, cut: set[int]) -> str:
         elements = self.elements
@@ -182,7 +213,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
             keys, prints, hosts = [], [], []
             for h, s in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True):
                 page = Page(s or "")
-                own = set(page.hashes(h).values())
+                own = set(page.hashes(h)[1].tolist())
                 keys += own
                 prints += [page.fingerprint()] * len(own)
                 hosts += [xxhash.xxh64_intdigest(h) - (1 << 63)] * len(own)
@@ -195,20 +226,22 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     if largest * min_share > min_pages:  # else the share decides nothing
         per_host = found.select("host_key", "print").distinct().groupBy("host_key").agg(F.count("*").alias("pages"))
         held = held.join(per_host, "host_key").where(F.col("count") >= F.col("pages") * min_share)
-    first = held.select("subtree").limit(broadcast_rows + 1)
-    known = np.sort(np.array([r.subtree for r in first.toLocalIterator()], np.int64))
+    held = checkpointed(held.select("subtree").distinct())
+    few = held.count() <= broadcast_rows
+    known = np.sort(np.array([r.subtree for r in held.collect()], np.int64)) if few else None  # at most broadcast_rows numbers
 
     kind = pages.schema[id_col].dataType.simpleString()
-    if len(known) <= broadcast_rows:
+    if few:
         shared = spark.sparkContext.broadcast(known)
 
         def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            templates = set(shared.value.tolist())
+            templates = shared.value
             for b in batches:
                 out = []
                 for h, s in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True):
                     page = Page(s or "")
-                    out.append(page.text({i for i, k in page.hashes(h).items() if k in templates}))
+                    at, key = page.hashes(h)
+                    out.append(page.text(set(at[np.isin(key, templates)].tolist())))
                 yield pa.RecordBatch.from_arrays([b.column("id"), b.column("url"), pa.array(out, pa.string())], ["id", "url", "text"])
 
         return base.mapInArrow(write, f"id {kind}, url string, text string").withColumnRenamed("id", id_col)
@@ -218,21 +251,21 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
         for b in batches:
             pages_, keys = [], []
             for p, h, s in zip(b.column("page").to_pylist(), b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True):
-                own = set(Page(s or "").hashes(h).values())
+                own = set(Page(s or "").hashes(h)[1].tolist())
                 pages_ += [p] * len(own)
                 keys += own
             yield pa.RecordBatch.from_arrays([pa.array(pages_, pa.int64()), pa.array(keys, pa.int64())], ["page", "subtree"])
 
     keyed = base.withColumn("page", F.xxhash64("host", "html"))
     own = keyed.select("page", "host", "html").mapInArrow(with_page, "page long, subtree long").distinct()
-    cuts = own.join(held.select("subtree"), "subtree").groupBy("page").agg(F.collect_list("subtree").alias("cuts"))
+    cuts = own.join(held, "subtree").groupBy("page").agg(F.collect_list("subtree").alias("cuts"))
 
     def write_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for h, s, c in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), b.column("cuts").to_pylist(), strict=True):
                 page, c = Page(s or ""), set(c or ())
-                out.append(page.text({i for i, k in page.hashes(h).items() if k in c}))
+                out.append(page.text({i for i, k in zip(*map(np.ndarray.tolist, page.hashes(h)), strict=True) if k in c}))
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("url"), pa.array(out, pa.string())], ["id", "url", "text"])
 
     return keyed.join(cuts, "page", "left").select("id", "url", "host", "html", "cuts").mapInArrow(write_joined, f"id {kind}, url string, text string").withColumnRenamed("id", id_col)
