@@ -1,8 +1,9 @@
 """Language-model scoring by a subword lattice.
 
 The pieces of an existing subword vocabulary (with its byte pieces) get unigram
-probabilities: first from the order of the vocabulary's scores, then by expectation
-maximisation over the word counts of all training documents. A text's probability is
+probabilities: first by the vocabulary's own scores over TEMPERATURE, then by rounds of
+expectation maximisation over the word counts of all training documents, until the log
+likelihood of these rises by less than TOLERANCE of its size. A text's probability is
 the product over its words, and over one end mark, of the sum over all segmentations
 of "word mark + word" into pieces, by a forward recursion in log space.
 
@@ -13,8 +14,9 @@ log probabilities of its words.
 Defined cases: null text counts as empty: no words, one end mark; a null `train` flag
 is no; with no training document pieces keep their first probabilities and every
 count is 0; bytes outside the vocabulary are covered by byte pieces, so a score is
-always finite; repeated rows are counted and scored as often as they occur; extra
-columns are ignored; a null id is passed through.
+always finite; repeated rows are counted and scored as often as they occur; very long
+texts and words are scored as a whole; an empty table gives no rows; extra columns are
+ignored; a null id is passed through.
 """
 
 from __future__ import annotations
@@ -36,8 +38,10 @@ from .parts import ascii_words, in_parts, part_count
 #: Bytes of text in a part: large, as distinct words grow more slowly than texts.
 PART_BYTES = 8 << 20
 MARK = "▁".encode()
-#: Rounds of expectation maximisation, and the mass that each piece has besides its expected count.
-ROUNDS, PRIOR = 1, 0.1
+#: Rounds of expectation maximisation at most, the gain at which they end, and the mass that each piece has besides its expected count.
+ROUNDS, TOLERANCE, PRIOR = 3, 0.002, 0.1
+#: The scores count ranks downwards from 0: e ** (score / TEMPERATURE) makes them weights; the last is that of bytes without a piece, then of the end.
+TEMPERATURE, BYTE_WEIGHT, END_WEIGHT = 6000.0, 1e-3, 1.0
 #: Words of up to so many bytes (with the mark) go through array operations, longer ones one by one.
 ARRAY_LENGTH = 40
 SLOTS = 20
@@ -51,14 +55,14 @@ class Pieces:
         import sentencepiece
 
         m = sentencepiece.SentencePieceProcessor(model_file=path)
-        order = sorted((-m.get_score(i), i) for i in range(m.get_piece_size()) if not (m.is_control(i) or m.is_unknown(i) or m.is_byte(i)))
         found: dict[bytes, float] = {}
-        for rank, (_, i) in enumerate(order):
-            found.setdefault(m.id_to_piece(i).encode(), 1 / (rank + 1000))  # the order of scores as a flat power law
+        for i in range(m.get_piece_size()):
+            if not (m.is_control(i) or m.is_unknown(i) or m.is_byte(i)):
+                found.setdefault(m.id_to_piece(i).encode(), math.exp(m.get_score(i) / TEMPERATURE))
         for b in range(256):
-            found.setdefault(bytes([b]), 1e-6)
+            found.setdefault(bytes([b]), BYTE_WEIGHT)
         self.names = list(found)
-        p = np.array([*found.values(), 1e-3])  # the last is the end mark
+        p = np.array([*found.values(), END_WEIGHT])  # the last is the end mark
         self.first = np.log(p / p.sum())
         self.index = {b: i for i, b in enumerate(self.names)}
         self.longest = max(map(len, self.names))
@@ -217,7 +221,7 @@ def lm_score(docs: DataFrame, train: Column, vocab_path: str, id_col: str = "doc
     ends = parts.where("train").count()
     tokens, kinds = tokens + ends, kinds + (ends > 0)
 
-    logp = pieces(vocab_path).first
+    logp, before = pieces(vocab_path).first, -math.inf
     for _ in range(rounds if ends else 0):
         model = spark.sparkContext.broadcast(logp)  # one number per piece of the vocabulary
 
@@ -228,17 +232,22 @@ def lm_score(docs: DataFrame, train: Column, vocab_path: str, id_col: str = "doc
                     c = np.frombuffer(counts, np.int64)
                     known = np.flatnonzero(c)
                     w = spread(words)
-                    _, e = forward(pieces(vocab_path), model.value, [w[i] for i in known], c[known].astype(float))
+                    lp, e = forward(pieces(vocab_path), model.value, [w[i] for i in known], c[known].astype(float))
+                    e = np.append(e, lp @ c[known])  # behind the pieces: the log likelihood
                     total = e if total is None else total + e
             if total is not None:
                 at = np.flatnonzero(total)
                 yield pd.DataFrame({"piece": at.astype(np.int32), "n": total[at]})
 
         sums = vocabulary.select("words", "counts").mapInPandas(expect, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).toPandas()
-        mass = np.full(len(logp), PRIOR)
+        mass = np.append(np.full(len(logp), PRIOR), ends * logp[-1])
         mass[sums.piece.to_numpy()] += sums.n.to_numpy()
+        likelihood, mass = mass[-1], mass[:-1]
         mass[-1] += ends
         logp = np.log(mass / mass.sum())
+        if likelihood - before < TOLERANCE * abs(likelihood):
+            break
+        before = likelihood
     model = spark.sparkContext.broadcast(logp)
 
     def answer(batches):
