@@ -6,16 +6,19 @@ shipped: without a scorer the rules decide alone, and a null score means "not as
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator, Sequence
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
-from .decision import SCORES, Thresholds, pending_questions
+from ..functions.text import score_key
+from .decision import SCORES, Thresholds, decide, pending_questions
 
+CACHE = "text_key string, question string, score double"
 #: Per question the hypothesis that counts, and the one against it.
 QUESTIONS = {
     "hiring": ("announces open jobs that people can apply for", "shares a story, advice, opinion or news"),
@@ -24,21 +27,32 @@ QUESTIONS = {
 }
 
 
+#: Seconds for which a task leaves a failing scorer alone.
+PAUSE = 30.0
+
+
 class Scorer(Protocol):
     def score(self, question: str, texts: Sequence[str]) -> Sequence[float | None]: ...
 
 
-def ask(open_questions: DataFrame, scorer: Scorer) -> DataFrame:
-    """(text_key, question, score) for (text_key, question, text), each distinct one once; null where the scorer fails."""
+class ScorerFailed(Exception):
+    """Raised by a scorer whose model can't answer: the rules then stand alone. Any other exception is an error and fails the job."""
+
+
+def ask(open_questions: DataFrame, scorer: Scorer, pause: float = PAUSE) -> DataFrame:
+    """(text_key, question, score) for (text_key, question, text), each distinct one once; null where the scorer fails, and for so many seconds after it has."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        again = 0.0  # when the scorer may be asked again
         for b in batches:
             for question, part in b.groupby("question"):
                 texts = [t[: L.MODEL_TEXT] for t in part.text]
-                try:
-                    got = list(scorer.score(question, texts))
-                except Exception:  # a failing model must not fail the job: its answer counts as not asked
-                    got = [None] * len(texts)
+                got = [None] * len(texts)
+                if time.monotonic() >= again:
+                    try:
+                        got = list(scorer.score(question, texts))
+                    except ScorerFailed:
+                        again = time.monotonic() + pause
                 yield pd.DataFrame({"text_key": part.text_key.to_numpy(), "question": question, "score": pd.Series(got, dtype="float64").to_numpy()})
 
     once = open_questions.dropDuplicates(["text_key", "question"])
@@ -57,21 +71,48 @@ def with_scores(posts: DataFrame, answers: DataFrame) -> DataFrame:
     return joined.withColumn("scores", F.struct("hiring", "bait", "scam").cast(SCORES)).drop("hiring", "bait", "scam")
 
 
-def score_lazily(features: DataFrame, scorer: Scorer, t: Thresholds = Thresholds(), cache: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def interim(features: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
+    """The rules' label at once, and whether a question is still open; while that is the hiring question, no label is shown."""
+    d = decide(features.withColumn("scores", F.lit(None).cast(SCORES)))
+    questions = pending_questions(F.col("features"), F.col("scores"), F.col("text_units"), t)
+    d = d.withColumn("pending", F.size(questions) > 0)
+    return d.withColumn("shown", F.when(~F.array_contains(questions, "hiring"), F.col("label")))
+
+
+def read_cache(spark: SparkSession, path: str) -> DataFrame:
+    """The stored answers; none if nothing is stored yet."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there)
+    return spark.read.schema(CACHE).parquet(path) if found else spark.createDataFrame([], CACHE)
+
+
+def append_cache(answers: DataFrame, cache: DataFrame, path: str) -> None:
+    """Store the answers that the cache doesn't hold yet; what is stored stays as it is."""
+    cache_misses(answers, cache).select("text_key", "question", "score").write.mode("append").parquet(path)
+
+
+def score_lazily(features: DataFrame, scorer: Scorer, t: Thresholds = Thresholds(), cache: DataFrame | None = None, model: str = "model", kind: str = "") -> tuple[DataFrame, DataFrame]:
     """Two rounds: the hiring question, then what is still open. Only rows with open questions reach the scorer.
 
-    Returns the features with `scores`, and all answers (the new cache).
+    Returns the features with `scores`, and all answers (the new cache). Answers are kept
+    by model, kind and text. Both results are persisted: unpersist() them after use.
     """
     spark = features.sparkSession
-    known = cache if cache is not None else spark.createDataFrame([], "text_key string, question string, score double")
-    # persisted: each round reads the features and the answers more than once
-    d = features.withColumn("text_key", F.sha1("text")).withColumn("scores", F.lit(None).cast(SCORES)).persist()
-    asked = None
+    known = cache if cache is not None else spark.createDataFrame([], CACHE)
+    # persisted: each round reads the features and the answers more than once; what a later frame holds is released
+    d = features.withColumn("text_key", score_key(model, kind, F.col("text"))).withColumn("scores", F.lit(None).cast(SCORES)).persist()
+    held, asked = [], None
     for _ in range(2):
         wanted = d.select("text_key", "text", F.explode(pending_questions(F.col("features"), F.col("scores"), F.col("text_units"), t)).alias("question"))
         new = ask(cache_misses(wanted, known), scorer)
         known = known.unionByName(new.where("score is not null")).persist()
+        known.count()
         used = known.join(wanted.select("text_key", "question").distinct(), ["text_key", "question"], "left_semi")
         asked = used if asked is None else asked.unionByName(used).distinct()
-        d = with_scores(d, asked).persist()
+        d, before = with_scores(d, asked).persist(), d
+        d.count()
+        before.unpersist()
+        if held:
+            held.pop().unpersist()
+        held.append(known)
     return d, known

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -43,10 +42,30 @@ def wide_counts(counts: DataFrame) -> DataFrame:
     return counts.groupBy("date").pivot("label", LABELS).agg(F.sum("n")).na.fill(0)
 
 
-def seen_once(rows: DataFrame, key: str, at: str) -> DataFrame:
-    """The first row of each key."""
-    first = W.partitionBy(key).orderBy(at)
-    return rows.withColumn("_at", F.row_number().over(first)).where("_at = 1").drop("_at")
+def seen_once(rows: DataFrame, key: str, at: str, tie: str | None = None) -> DataFrame:
+    """The first row of each key. An aggregate, so that a hot key is reduced before the shuffle."""
+    order = F.struct(at, *[tie] if tie else [])
+    return rows.groupBy(key).agg(F.min_by(F.struct(*[c for c in rows.columns if c != key]), order).alias("row")).select(key, "row.*")
+
+
+def today(counts: DataFrame, day: Column | None = None) -> DataFrame:
+    """The stored counts of one day (the current one, if none is given)."""
+    return counts.where(F.col("date") == (day if day is not None else F.current_date()))
+
+
+def add_counts(stored: DataFrame, new: DataFrame) -> DataFrame:
+    """Stored (date, label, n) and new ones added up."""
+    return stored.unionByName(new).groupBy("date", "label").agg(F.sum("n").alias("n"))
+
+
+def export_path(folder: str, store: str, day: str) -> str:
+    """Where the export of a store goes: a folder dated like 2026-01-31."""
+    return f"{folder}/{store}-{day}.jsonl"
+
+
+def shown(decided: DataFrame, hide_not_hiring: bool = True) -> DataFrame:
+    """What a reader sees: with the setting on, no posts that aren't about hiring."""
+    return decided.where(F.col("label") != "not_hiring") if hide_not_hiring else decided
 
 
 def frequency(values: DataFrame, column: str, k: int = 25) -> DataFrame:

@@ -208,8 +208,7 @@ def daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def seen_once(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
-    return e.groupBy("user_id").agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
+    return S.seen_once(table(spark, sf_dir, "events").select("user_id", "event_id", "ts"), "user_id", "ts", "event_id").drop("ts")
 
 
 @query

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,8 +37,14 @@ def labeled_posts(rows: DataFrame) -> DataFrame:
     )
 
 
+def default_path(folder: str) -> str:
+    """The labelled file of a folder: one's own if there is one, else the synthetic one that comes with it."""
+    own = Path(folder) / "labeled.jsonl"
+    return str(own if own.exists() else own.with_name("synthetic.jsonl"))
+
+
 def features_or_meta(stored: DataFrame, rows: DataFrame, compose: bool = False) -> DataFrame:
-    """Stored features where a row (by text) has them, else computed ones."""
-    missing = rows.join(stored.select("text"), "text", "left_anti")
-    made = extract_features(labeled_posts(missing), compose).select("text", "features", "gold_label", "split")
-    return stored.select("text", "features", "gold_label", "split").unionByName(made)
+    """For each row, by text, the stored features, else computed ones; stored features of other texts don't come out."""
+    known = stored.groupBy("text").agg(F.first("features").alias("features"))
+    made = extract_features(labeled_posts(rows.join(known.select("text"), "text", "left_anti")), compose).select("text", "features", "gold_label", "split")
+    return rows.select("text", "gold_label", "split").join(known, "text").select("text", "features", "gold_label", "split").unionByName(made)

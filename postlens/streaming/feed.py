@@ -31,17 +31,42 @@ def daily_counts(labelled: DataFrame) -> DataFrame:
     return labelled.groupBy(F.window("ts", "1 day").alias("day"), "label").agg(F.count("*").alias("n")).select(F.to_date("day.start").alias("date"), "label", "n")
 
 
-def upsert_to(path: str, key: str = "post_id_hash", at: str = "saved_at") -> Callable[[DataFrame, int], None]:
-    """A foreachBatch step that merges each batch into a table kept in numbered versions, so that a repeated batch is harmless."""
+def versions(spark: SparkSession, path: str) -> dict[int, list[int]]:
+    """Bucket -> the finished versions that hold it, oldest first; from folder names, a few for each bucket."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    out: dict[int, list[int]] = {}
+    for v in sorted(f.getPath().getName() for f in (fs.listStatus(root) if fs.exists(root) else ())):
+        own = [f.getPath().getName() for f in fs.listStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{v}"))]
+        for name in own if "_SUCCESS" in own else ():
+            if name.startswith("bucket="):
+                out.setdefault(int(name[7:]), []).append(int(v[1:]))
+    return out
+
+
+def read_upserted(spark: SparkSession, path: str, below: int | None = None, buckets: list[int] | None = None) -> DataFrame | None:
+    """The rows of the newest version of each bucket (older than `below`); None if there is none."""
+    found = {k: [n for n in v if below is None or n < below] for k, v in versions(spark, path).items() if buckets is None or k in buckets}
+    paths = [f"{path}/v{v[-1]:09d}/bucket={k}" for k, v in sorted(found.items()) if v]
+    return spark.read.parquet(*paths) if paths else None
+
+
+def upsert_to(path: str, key: str = "post_id_hash", at: str = "saved_at", buckets: int = 64) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch step that merges each batch into a table of hash buckets. Only buckets that the batch touches are written, as a new version, so that a repeated batch is harmless; of older ones the last stays."""
 
     def run(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-        at_path = lambda n: f"{path}/v{n:09d}"
-        done = lambda n: fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{at_path(n)}/_SUCCESS"))
-        before = next((n for n in range(epoch - 1, -1, -1) if done(n)), None)
-        rows = batch if before is None else spark.read.parquet(at_path(before)).unionByName(batch)
-        latest_per_key(rows, key, at).write.mode("overwrite").parquet(at_path(epoch))
+        bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).alias("bucket")
+        touched = [r[0] for r in batch.select(bucket).distinct().collect()]  # at most `buckets` numbers
+        if not touched:
+            return
+        stored = read_upserted(spark, path, epoch, touched)
+        rows = batch if stored is None else stored.unionByName(batch)
+        latest_per_key(rows, key, at).select("*", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/v{epoch:09d}")
+        for k, own in versions(spark, path).items():
+            for old in [n for n in own if n < epoch][:-1] if k in touched else ():
+                gone = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v{old:09d}/bucket={k}")
+                gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
 
     return run
 

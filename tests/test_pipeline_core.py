@@ -66,6 +66,8 @@ def test_features_hold_no_text(spark):
 def Fake(**scores):  # noqa: N802
     class Scorer:  # a local class travels to the workers by value
         def score(self, question, texts):
+            if question not in scores:
+                raise scoring.ScorerFailed
             return [scores[question]] * len(texts)
 
     return Scorer()
