@@ -10,13 +10,13 @@ texts is scored by a single matrix product with it.
 Defined cases: a null text, or one without a letter, is `und` with score 0; with no
 labelled row at all every other text is `und` too; a null label is not learned from;
 repeated rows are scored independently; ties go to the alphabetically first language;
-extra columns are ignored; a null id is passed through.
+very long texts are read as a whole; an empty table gives no rows; extra columns are
+ignored; a null id is passed through.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,13 +24,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import checkpointed, small_batches
 
 #: Presence bits for 1-, 2- and 3-grams.
 BITS = (1 << 10, 1 << 12, 1 << 14)
 DIMS = sum(BITS)
-#: Bounds of the labelled sample per language, of languages, and of landmarks per language.
-SAMPLE_PER_LANG, MAX_LANGS, LANDMARKS_PER_LANG = 600, 200, 64
+#: Bounds of the labelled sample per language, of landmarks per language, and of languages (the model has DIMS x MAX_LANGS numbers at most); rows that are let through of each language.
+SAMPLE_PER_LANG, LANDMARKS_PER_LANG, MAX_LANGS, LEAST = 600, 64, 1000, 8
 #: Bounds of both over all languages.
 MAX_SAMPLE, MAX_LANDMARKS = 6000, 512
 RIDGE = 1e-3
@@ -81,17 +81,23 @@ def fit(packed: np.ndarray, labels: np.ndarray, ids: np.ndarray) -> tuple[list[s
     return langs, np.vstack([m.T @ (root @ beta[:-1]).astype(np.float32), beta[-1:]]).astype(np.float32)
 
 
+def margin(score: np.ndarray, langs: int) -> np.ndarray:
+    """With a single language there is no chance to compare with: the score itself."""
+    return (score - 1 / langs) / (1 - 1 / langs) if langs > 1 else score
+
+
 def sample(rows: DataFrame, per_lang: int) -> DataFrame:
     """About per_lang rows (id, text, label) of each language, fewer if there are many languages, chosen by a hash of the id."""
-    counts = rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(MAX_LANGS).collect()  # at most MAX_LANGS rows
-    each = min(per_lang, MAX_SAMPLE // max(1, len(counts)))
+    counts = checkpointed(rows.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(MAX_LANGS))
+    each = max(1, min(per_lang, MAX_SAMPLE // max(1, counts.count())))
     draw = F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 40)) / F.lit(1 << 40)
-    chosen = [(F.col("label") == r.label) & (draw < each / r["count"]) for r in counts]
-    return rows.where(reduce(lambda a, b: a | b, chosen, F.lit(False))).limit(2 * MAX_SAMPLE)
+    # of few rows more are let through, so that no language is missed
+    chosen = rows.join(F.broadcast(counts), "label").where(draw < F.greatest(F.lit(each), F.lit(LEAST)) / F.col("n"))  # at most MAX_LANGS counts
+    return chosen.select("id", "text", "label").limit(2 * MAX_SAMPLE)
 
 
 def language_id(docs: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", per_lang: int = SAMPLE_PER_LANG, carry: list[str] | None = None) -> DataFrame:
-    """One row per document: the id (or the columns of carry in its place), lang_pred and score.
+    """One row per document: the id (or the columns of carry in its place), lang_pred, score and margin (how far the score lies from chance, at 0, to 1).
 
     learn: which rows may be learned from (all, if None); null labels never are.
     The model is fitted when this function is called; prediction is lazy.
@@ -126,12 +132,12 @@ def language_id(docs: DataFrame, learn: Column | None = None, id_col: str = "doc
                     if ok[at + i]:
                         lang[at + i], score[at + i] = langs[k], min(1.0, max(0.0, float(f[i, k])))
             own = b.column_names[:-2]
-            yield pa.RecordBatch.from_arrays([*map(b.column, own), pa.array(lang), pa.array(score)], [*own, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*map(b.column, own), pa.array(lang), pa.array(score), pa.array(margin(score, len(langs)))], [*own, "lang_pred", "score", "margin"])
 
     carry = carry or [id_col]
     names = [f"c{i}" for i in range(len(carry))]
     kinds = [T.StructField(n, docs.schema[c].dataType) for n, c in zip(names, carry, strict=True)]
     text = docs[text_col].cast("string")
     rows = docs.select(*[docs[c].alias(n) for n, c in zip(names, carry, strict=True)], text.alias("text"), F.coalesce(text.rlike(LETTER), F.lit(False)).alias("ok"))
-    out = rows.mapInArrow(predict, T.StructType([*kinds, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
-    return out.select(*[F.col(n).alias(c) for n, c in zip(names, carry, strict=True)], "lang_pred", "score")
+    out = rows.mapInArrow(predict, T.StructType([*kinds, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("margin", T.DoubleType())]))
+    return out.select(*[F.col(n).alias(c) for n, c in zip(names, carry, strict=True)], "lang_pred", "score", "margin")

@@ -148,11 +148,53 @@ def test_pipeline(spark, tmp_path):
     item, passage = text(30), text(60)
     rows = [(i, text(80), "en") for i in range(40)]
     rows += [(100, rows[0][1], "en"), (101, rows[1][1] + " more", "en"), (102, "12345 !!", "en"), (103, None, "en"), (104, text(40) + " " + item + " " + text(40), "en"), (105, text(50) + " " + passage, "en"), (106, text(50) + " " + passage, "en")]
+    rows += [(107, "Yes.", "en"), (None, text(70), "en"), (7, rows[7][1], "en")]
     spark.createDataFrame([(*r, "src", 0) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     got = {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
-    assert set(got) == {*range(40), 105, 106}
+    assert set(got) == {*range(40), 105, 106, 107, None}
     for i in range(40):  # clean documents stay whole
         assert got[i].decoded == rows[i][1] and len(got[i].ids) == got[i].n_tokens
     assert passage in got[105].decoded and passage[60:-60] not in got[106].decoded
     assert [k for k, _ in corpus_pipeline.STAGES] and 3 < len(corpus_pipeline.STAGES) < 6
+
+
+def test_language_stage(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    odd = {-3: "12 !", -4: None, -5: "Oui.", -6: "the house of the river"}
+    rows = spark.createDataFrame([(i, t, None, "s", 0) for i, t in odd.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in corpus_pipeline.known_language(spark, d.unionByName(rows), "").collect()}
+    assert {i for i in kept if i < 0} == {-5, -6}
+    assert kept >= {r.doc_id for r in d.where("lang is not null").collect()}  # clean documents stay
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    """Each stage again in plain Python, but for language ID, which is told to keep all."""
+    rows = [(i, t, "en") for i, t in corpus()]
+    item = rows[5][1] or "none"
+    rng = random.Random(8)
+    items = [(1, " ".join(f"w{rng.randrange(900)}" for _ in range(20))), (2, None)]
+    rows += [(900, "some words before " + items[0][1] + " and after", "en"), (901, item + " extra", "en")]
+    d = spark.createDataFrame([(*r, "src", 0) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    d.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    stages = dict(corpus_pipeline.STAGES)
+    lettered = [(i, t) for i, t, _ in rows if t and any(c.isalpha() for c in t)]
+    kept = stages["language ID"](spark, d, str(tmp_path))
+    assert {r.doc_id for r in kept.collect()} <= {i for i, _ in lettered}
+    now = {r.doc_id: r.text for r in kept.collect()}
+    docs = corpus_pipeline.written(stages["n-gram Jaccard join"](spark, kept, str(tmp_path)))
+    now = {i: t for i, t in now.items() if i in {c for _, _, c in components(list(now.items()))}}
+    assert {r.doc_id: r.text for r in docs.collect()} == now
+    docs = corpus_pipeline.written(stages["suffix-array dedup"](spark, docs, str(tmp_path)))
+    cut = {i: (n, gone) for i, (n, gone, _, _) in removed(list(now.items())).items()}
+    now = {r.doc_id: r.text for r in docs.collect()}
+    assert now.keys() == cut.keys() and all(len(now[i].encode()) >= n - gone and (gone or len(now[i].encode()) == n) for i, (n, gone) in cut.items())
+    docs = corpus_pipeline.written(stages["benchmark decontamination"](spark, docs, str(tmp_path)))
+    now = {i: t for i, t in now.items() if items[0][1] not in t}
+    assert {r.doc_id: r.text for r in docs.collect()} == now
+    last = stages["BPE encoding and decoding"](spark, docs, str(tmp_path)).collect()
+    assert {r.doc_id: r.decoded for r in last} == now
+    empty = d.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, str(tmp_path)).count() == 0, name
