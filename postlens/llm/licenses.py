@@ -91,11 +91,10 @@ def default_templates(spark: SparkSession) -> DataFrame:
 
 def units_of(base: DataFrame, needed: Column) -> DataFrame:
     """(row, unit, large, w): words of headers and licence files (large), and of lines and windows that hold a needed word."""
-    once = base.dropDuplicates(["row"])
     split = F.split("text", r"[\r\n]+")
-    header = once.select("row", F.regexp_extract("text", HEADER, 0).alias("said")).where("said <> ''").select("row", F.lit("header").alias("unit"), F.lit(True).alias("large"), words(F.col("said")).alias("w"))
-    file = once.where(F.col("file").rlike(LICENSE_FILE)).select("row", F.lit("file").alias("unit"), F.lit(True).alias("large"), words(F.col("text")).alias("w"))
-    holds = once.select("row", "text", words(F.col("text")).alias("w")).where(F.arrays_overlap("w", needed))
+    header = base.select("row", F.regexp_extract("text", HEADER, 0).alias("said")).where("said <> ''").select("row", F.lit("header").alias("unit"), F.lit(True).alias("large"), words(F.col("said")).alias("w"))
+    file = base.where(F.col("file").rlike(LICENSE_FILE)).select("row", F.lit("file").alias("unit"), F.lit(True).alias("large"), words(F.col("text")).alias("w"))
+    holds = base.select("row", "text", words(F.col("text")).alias("w")).where(F.arrays_overlap("w", needed))
     lines = holds.select("row", F.posexplode(split).alias("at", "said")).select("row", F.concat(F.lit("line "), "at").alias("unit"), F.lit(False).alias("large"), words(F.col("said")).alias("w"))
     places = F.filter(F.transform("w", lambda x, i: F.when(F.array_contains(needed, x), i)), lambda i: i.isNotNull())
 
@@ -107,7 +106,7 @@ def units_of(base: DataFrame, needed: Column) -> DataFrame:
 
     windows = holds.select("row", "w", places.alias("places")).select("row", "w", F.explode(F.concat(*map(starts, WINDOWS))).alias("x"))
     windows = windows.select("row", F.concat_ws(" ", F.lit("window"), "x.n", "x.at").alias("unit"), F.lit(False).alias("large"), F.slice("w", F.col("x.at") + 1, F.col("x.n")).alias("w"))
-    return lines.unionByName(windows).where(F.arrays_overlap("w", needed)).unionByName(header).unionByName(file).where(F.size("w") > 0)
+    return lines.unionByName(windows).where(F.arrays_overlap("w", needed)).unionByName(header).unionByName(file).where(F.size("w") > 0).dropDuplicates(["row", "unit"])  # of repeated rows; whole texts don't travel
 
 
 def scan_licenses(docs: DataFrame, templates: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "path", least: float = LEAST) -> DataFrame:
