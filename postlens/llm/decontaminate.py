@@ -14,7 +14,7 @@ broadcast in blocks of at most SEEDS_PER_BLOCK rows; a larger benchmark takes on
 pass per block.
 
 Defined cases: null and empty texts have no words and never match; an item of very few
-words matches each text that holds them; repeated rows of a document merge by id (a null
+words matches each text that holds them; very long texts are compared as a whole; repeated rows of a document merge by id (a null
 id is an id of its own); a benchmark item with a null id is kept as such; extra columns
 are ignored; with either table empty the result is empty.
 """
@@ -28,10 +28,14 @@ from math import ceil
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpointed
+
 WINDOW, LEAST_STRETCH, SHARE = 13, 9, 0.75
 #: Kept positions of a mask, and masks of one length, at most.
 WEIGHT, MASKS = 6, 8
 SEEDS_PER_BLOCK = 200_000
+#: Up to so many keys of overlapping documents (8 bytes each) are broadcast.
+BROADCAST_KEYS = 2_000_000
 
 
 @cache
@@ -99,7 +103,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     short = sorted(r.n for r in b.where((n > 0) & (n < WINDOW)).select("n").distinct().collect())  # at most WINDOW - 1 numbers
     middle = range(LEAST_STRETCH, WINDOW)
     of_item = {k: n == k for k in short if k < LEAST_STRETCH} | {k: n >= k for k in middle} | {WINDOW: n >= WINDOW}
-    seeds = windows(b, F.lit(True)).select("item", F.col("n").alias("item_n"), context().alias("item_context"), F.explode(keys_of(of_item)).alias("key")).where("key is not null")
+    seeds = windows(b, F.lit(True)).select("item", F.col("n").alias("item_n"), context().alias("item_context"), F.explode(keys_of(of_item)).alias("key")).where("key is not null").distinct()
     blocks = max(1, -(-seeds.count() // seeds_per_block))
     # most documents need the masks of one length only; the others are apart, as their longer code is not compiled
     whole = F.greatest("n", F.lit(LEAST_STRETCH))
@@ -119,9 +123,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without those that overlap with a benchmark item; rows with a null id stay only if their own text is clean."""
-    key = "contaminated_id"
+    """The documents without those that overlap with a benchmark item. Rows are judged by id and text, so a clean one stays even if its id, or none, is shared."""
+    key = "row_key"
     while key in docs.columns:
         key += "_"
-    bad = contaminated(docs, benchmark, id_col, text_col).select(F.col(id_col).alias(key)).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(F.col(key)), "left_anti")
+    keyed = docs.withColumn(key, F.xxhash64(docs[id_col], docs[text_col].cast("string")))
+    bad = checkpointed(contaminated(keyed, benchmark, key, text_col).select(key).distinct())
+    small = bad.count() <= BROADCAST_KEYS  # else both sides are shuffled
+    return keyed.join(F.broadcast(bad) if small else bad, key, "left_anti").select(*[keyed[c] for c in docs.columns])

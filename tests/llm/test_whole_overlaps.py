@@ -36,3 +36,13 @@ def test_overlaps_equal_brute_force(spark):
     make = lambda x, name: spark.createDataFrame([(k, " ".join(v)) for k, v in x.items()], f"{name} long, text string")
     got = {(r.doc_id, r.item_id): r.matched for r in C.contaminated(make(docs, "doc_id"), make(items, "item_id")).collect()}
     assert got == {(i, k): m for i, d in docs.items() for k, t in items.items() if (m := brute(d, t))}
+
+
+def test_defined_cases(spark):
+    item = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
+    rows = [(1, item), (1, item), (2, "filler " * 60_000 + item + " filler" * 60_000), (3, None), (None, item), (None, "")]
+    docs = spark.createDataFrame([(*r, "w", 5, 7) for r in rows], "doc_id long, text string, w string, n int, item_id int")
+    items = spark.createDataFrame([(7, item, "a"), (7, item, "b"), (8, item + " " + item, "c"), (None, None, "d")], "item_id long, text string, key string")
+    got = {(r.doc_id, r.item_id, r.matched) for r in C.contaminated(docs, items).collect()}
+    assert got == {(i, k, 13) for i in (1, 2, None) for k in (7, 8)}
+    assert sorted((r.doc_id or 0, r.text or "") for r in C.decontaminate(docs, items).collect()) == [(0, ""), (3, "")]
