@@ -50,8 +50,12 @@ def corpus():
     return [(i, t) for i, t in enumerate(rows)]
 
 
-def test_jaccard(spark):
+@pytest.mark.parametrize("tile", [1024, 3])
+def test_jaccard(spark, monkeypatch, tile):
+    monkeypatch.setattr(jaccard, "TILE", tile)  # by 3, groups fill many tiles
+    monkeypatch.setattr(jaccard, "SHARE", 4 * tile)
     rows = corpus()
+    rows.append((len(rows), " ".join(f"w{i * 7919 % 3001}" for i in range(40_000))))  # a very long text
     d = spark.createDataFrame([(i, t, 0) for i, t in rows] + [(None, rows[0][1], 0)], "doc_id long, text string, n int")
     got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(d, part_bytes=4000).collect() if r.doc_id is not None)
     assert got == components(rows)
