@@ -58,7 +58,7 @@ class Pieces:
         found: dict[bytes, float] = {}
         for i in range(m.get_piece_size()):
             if not (m.is_control(i) or m.is_unknown(i) or m.is_byte(i)):
-                found.setdefault(m.id_to_piece(i).encode(), math.exp(m.get_score(i) / TEMPERATURE))
+                found.setdefault(m.id_to_piece(i).encode(), max(math.exp(m.get_score(i) / TEMPERATURE), BYTE_WEIGHT))  # a few have no rank, but a huge negative score
         for b in range(256):
             found.setdefault(bytes([b]), BYTE_WEIGHT)
         self.names = list(found)
