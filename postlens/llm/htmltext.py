@@ -23,6 +23,7 @@ import html as entities
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -79,6 +80,19 @@ def not_article(tag: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
+@lru_cache(24)
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n + 1 powers of FACTOR and of its inverse, modulo 2 ** 64."""
+    return tuple(np.cumprod(np.r_[np.uint64(1), np.full(n, f, np.uint64)]) for f in (FACTOR, pow(FACTOR, -1, 1 << 64)))
+
+
+def held_in(key: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which keys are in a sorted array: a search for each key, however long the array is."""
+    if not len(known):
+        return np.zeros(len(key), bool)
+    return known[np.minimum(np.searchsorted(known, key), len(known) - 1)] == key
+
+
 class Page:
     """One pass over the markup: text pieces with their block, and the element subtrees."""
 
@@ -170,8 +184,9 @@ class Page:
             keep[:1] = True
             keep[1:] |= ~white[:-1]
             c = np.where(white, np.uint64(32), c)[keep]
-            up, down = (np.cumprod(np.r_[np.uint64(1), np.full(len(c), f, np.uint64)]) for f in (FACTOR, pow(FACTOR, -1, 1 << 64)))  # modulo 2 ** 64
-            self.sums = np.r_[0, np.cumsum(keep)], np.r_[np.uint64(0), np.cumsum(mix(c + np.uint64(1)) * up[:-1])], down
+            n = 1 << len(c).bit_length()
+            up, down = powers(n) if n <= 1 << 20 else powers.__wrapped__(n)  # those of very long pages are not kept
+            self.sums = np.r_[0, np.cumsum(keep)], np.r_[np.uint64(0), np.cumsum(mix(c + np.uint64(1)) * up[: len(c)])], down
         place, total, down = self.sums
         begin, end = (place[np.array([r[k] for r in ranges], np.int64)] for k in (0, 1))
         return mix((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64))
@@ -241,7 +256,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
                 for h, s in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True):
                     page = Page(s or "")
                     at, key = page.hashes(h)
-                    out.append(page.text(set(at[np.isin(key, templates)].tolist())))
+                    out.append(page.text(set(at[held_in(key, templates)].tolist())))
                 yield pa.RecordBatch.from_arrays([b.column("id"), b.column("url"), pa.array(out, pa.string())], ["id", "url", "text"])
 
         return base.mapInArrow(write, f"id {kind}, url string, text string").withColumnRenamed("id", id_col)
