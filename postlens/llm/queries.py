@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import bpe_digest
+from .codes import digest, vector_codes
 from .common import crc_mod, table
 from .decontaminate import contaminated
 from .htmltext import main_text
@@ -15,6 +16,8 @@ from .jaccard import jaccard_components
 from .langid import language_id
 from .lattice import lm_score
 from .licenses import default_templates, scan_licenses
+from .neardup import near_duplicates
+from .negatives import hard_negatives
 from .repeats import repeats
 from .topk import exact_top_k
 from .urlfilter import RULES, url_filter
@@ -74,6 +77,21 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"), RULES)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = table(spark, sf_dir, "embeddings")
+    v = v.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives(v, F.col("vec_id") % 100 == 0)
+
+
+def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, books = vector_codes(table(spark, sf_dir, "embeddings"))
+    return out.withColumn("codebooks_sha256", F.lit(digest(books)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
