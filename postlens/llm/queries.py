@@ -18,6 +18,7 @@ from .lattice import lm_score
 from .licenses import default_templates, scan_licenses
 from .neardup import near_duplicates
 from .negatives import hard_negatives
+from .oracle import SQL
 from .repeats import repeats
 from .topk import exact_top_k
 from .urlfilter import RULES, url_filter
@@ -97,4 +98,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)

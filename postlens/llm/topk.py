@@ -1,7 +1,7 @@
 """Exact top-k inner-product search by columnar branch and bound.
 
 Vectors become integers floor(scale * x), stored in column-major blocks of bounded
-size (one array per dimension group). Every block of queries meets every block of
+size (one array per dimension group), dimensions of most energy first. Every block of queries meets every block of
 candidates as one row of a join on the candidate group. A query's bar, the k-th best
 score among a sample of PILOT candidates of all blocks, rises with what the task has
 found so far. Blocks whose largest norm cannot reach any bar are left out; in the
@@ -11,12 +11,12 @@ bar are dropped: first candidates are compacted away as columns, and once few pa
 are left, these alone go on as a list. A window keeps each query's k best.
 
 Defined cases: vectors that are null, or hold null or non-finite components, take no
-part, nor do those with a component beyond LARGEST, whose scores might not fit into 64
-bits; shorter vectors count as padded with zeros; ties go to the smaller id; with
-fewer than k candidates all are returned; a row is never its own candidate, and rows
-that repeat an id are candidates of one another's queries only under another id; an id
-with one score counts once among the k, however many rows hold it; rows with a null id
-take no part; an empty table gives no rows; extra columns are ignored.
+part; integers beyond 2^62 are held there, and scores that 64 bits cannot hold at the
+ends of their range; shorter vectors count as padded with zeros; ties go to the smaller
+id; with fewer than k candidates all are returned; a row is never its own candidate,
+and rows that repeat an id are candidates of one another's queries only under another
+id; an id with one score counts once among the k, however many rows hold it; rows with
+a null id take no part; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,89 +24,23 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import Scratch
+from .vectors import as_matrix, best, integers, kth_best, largest_sum, loaded, pack, same_dims, scores, whole
 
 #: Rows per block of candidates and of queries; dimensions per step.
-CANDIDATES, QUERIES, DIMS = 1024, 256, 16
-#: Blocks per Arrow batch; candidates from which the first bars come.
-BATCH, PILOT = 128, 2048
-#: Largest size of a component, before scaling by 256.
-LARGEST = 1 << 18
+CANDIDATES, QUERIES, DIMS = 1024, 256, 8
+#: Candidates from which the first bars come.
+PILOT = 2048
 #: Share of pairs below which they go on as a list.
 FEW = 0.15
 #: Query blocks whose bars a task remembers.
 BLOCKS_KNOWN = 4096
-LOW = np.iinfo(np.int64).min
-
-
-def pack(rows: DataFrame, group: Column, per_block: int, scale: float) -> DataFrame:
-    """(grp, ids, dims, data): column-major integer blocks of at most per_block vectors of a group."""
-
-    def block(g: int, ids: list[int], vectors: list[np.ndarray]) -> dict:
-        m = np.zeros((max(map(len, vectors)), len(ids)))
-        for i, v in enumerate(vectors):
-            m[: len(v), i] = v
-        m = np.floor(scale * m).astype(np.int32)
-        return {"grp": g, "ids": np.array(ids, np.int64).tobytes(), "dims": len(m), "data": m.tobytes()}
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        waiting: dict[int, tuple[list, list]] = {}
-        for b in batches:
-            done = []
-            for g, i, v in zip(b.grp.tolist(), b.id.tolist(), b.embedding, strict=True):
-                ids, own = waiting.setdefault(g, ([], []))
-                ids.append(i)
-                own.append(v)
-                if len(ids) == per_block:
-                    done.append(block(g, *waiting.pop(g)))
-            if done:
-                yield pd.DataFrame(done)
-        if waiting:
-            yield pd.DataFrame([block(g, *x) for g, x in waiting.items()])
-
-    return rows.select(group.alias("grp"), "id", "embedding").mapInPandas(run, "grp long, ids binary, dims int, data binary")
-
-
-def unpack(data: bytes, dims: int, n: int) -> np.ndarray:
-    return np.frombuffer(data, np.int32).reshape(dims, n).astype(np.int64)
-
-
-def scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Exact q.T @ c of column-major integers: by floats while sums stay exact, else by integers."""
-    if not q.size or not c.size:
-        return np.zeros((q.shape[1], c.shape[1]), np.int64)
-    bound = float(np.abs(q).max()) * float(np.abs(c).max()) * len(q)
-    if bound < 1 << 24:
-        return (q.astype(np.float32).T @ c.astype(np.float32)).astype(np.int64)
-    if bound < 1 << 53:
-        return (q.astype(np.float64).T @ c.astype(np.float64)).astype(np.int64)
-    return q.T @ c
-
-
-def best(query: np.ndarray, found: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
-    """Places of each query's k best (id, score), ties to the smaller id; repeated ones count once."""
-    order = np.lexsort((found, -score, query))
-    query, found, score = query[order], found[order], score[order]
-    new = np.r_[True, (query[1:] != query[:-1]) | (found[1:] != found[:-1]) | (score[1:] != score[:-1])][: len(order)]
-    order, query = order[new], query[new]
-    begin = np.flatnonzero(np.r_[True, query[1:] != query[:-1]][: len(query)])
-    return order[np.arange(len(query)) - np.repeat(begin, np.diff(np.r_[begin, len(query)])) < k]
-
-
-def kth_best(n: int, query: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
-    """Of n queries with at most k scores each: the k-th, or LOW."""
-    out = np.full(n, LOW)
-    full = np.bincount(query, minlength=n) == k
-    np.minimum.at(low := np.full(n, np.iinfo(np.int64).max), query, score)
-    out[full] = low[full]
-    return out
 
 
 def first_bars(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> np.ndarray:
@@ -117,11 +51,6 @@ def first_bars(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarra
     return kth_best(len(q_ids), i[at], total[i, j][at], k)
 
 
-def same_dims(*ms: np.ndarray) -> list[np.ndarray]:
-    dims = max(map(len, ms))
-    return [np.pad(x, ((0, dims - len(x)), (0, 0))) for x in ms]
-
-
 def rest_norms(m: np.ndarray) -> np.ndarray:
     """Row s: norms of the columns from dimension s * DIMS on."""
     squares = np.add.reduceat(m.astype(np.float64) ** 2, np.arange(0, max(len(m), 1), DIMS), axis=0) if len(m) else np.zeros((1, m.shape[1]))
@@ -131,10 +60,15 @@ def rest_norms(m: np.ndarray) -> np.ndarray:
 def best_of_blocks(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int, bar: np.ndarray, kept: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query place, candidate id, score): what may be among each query's k best, from one pair of blocks. kept: gets the share of pairs left after each step."""
     q, c = same_dims(q, c)
+    none = np.zeros(0, np.int64)
+    if largest_sum(q, c) >= 1 << 62:  # sums of a step might not fit: all pairs at once, in wide integers
+        total = scores(q, c)
+        i, j = np.nonzero((q_ids[:, None] != c_ids[None]) & (total >= bar[:, None]))
+        at = best(i, c_ids[j], total[i, j], k)
+        return i[at], c_ids[j[at]], total[i, j][at]
     qr, cr = rest_norms(q), rest_norms(c)
     # remaining mass, rounded up so that nothing that could tie is lost
     reach = lambda total, a, b, least: total + a * b * (1 + 1e-9) + 1 >= least
-    none = np.zeros(0, np.int64)
     if not len(q_ids) or not reach(0, qr[0], cr[0].max(initial=0), bar).any():
         return none, none, none
     size = len(q_ids) * len(c_ids)
@@ -175,36 +109,41 @@ def best_of_blocks(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.nd
 def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0, id_col: str = "vec_id", vector_col: str = "embedding", groups: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the k best other rows of each query row. The sample for the bars is drawn when this is called."""
     spark = vectors.sparkSession
-    small_batches(spark, BATCH)
     v = vectors.select(vectors[id_col].cast("long").alias("id"), vectors[vector_col].cast("array<double>").alias("embedding"), is_query.alias("query"))
-    fine = ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) > LARGEST * 256 / scale))
-    v = v.where(F.col("id").isNotNull() & F.col("embedding").isNotNull() & F.coalesce(fine, F.lit(False)))
+    v = v.where(F.col("id").isNotNull() & whole("embedding"))
     groups = groups or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     drawn = v.orderBy(F.xxhash64("id"), "id").limit(PILOT).select("id", "embedding").toPandas()  # at most PILOT vectors
-    dims = max(map(len, drawn.embedding), default=0)
-    sample = np.floor(scale * np.array([np.pad(x, (0, dims - len(x))) for x in drawn.embedding]).reshape(len(drawn), dims)).astype(np.int64).T
+    sample = integers(as_matrix(drawn.embedding), scale)
+    order = np.argsort(-(sample.astype(np.float64) ** 2).sum(axis=1), kind="stable")  # any order gives right results
     pilot = spark.sparkContext.broadcast((drawn.id.to_numpy(np.int64), sample))
-    candidates = pack(v.drop("query"), F.pmod(F.xxhash64("id"), F.lit(groups)), CANDIDATES, scale)
-    q = pack(v.where("query").drop("query"), F.lit(0).cast("long"), QUERIES, scale)
-    q = q.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("grp"), F.col("ids").alias("q_ids"), F.col("dims").alias("q_dims"), F.col("data").alias("q_data"))
-    pairs = candidates.join(q, "grp")
+    # blocks are written before they are shuffled, as a task that runs again may see its rows in another order
+    scratch = Scratch(spark)
+    candidates = scratch.written(pack(v.drop("query"), CANDIDATES, scale).select(F.pmod(F.xxhash64("id", "data"), F.lit(groups)).alias("grp"), "*"))
+    q = scratch.written(pack(v.where("query").drop("query"), QUERIES, scale))
+    q = q.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("grp"), *[F.col(c).alias(f"q_{c}") for c in ("id", "dims", "kind", "data")])
+    pairs = candidates.join(q, "grp").select("q_id", "q_dims", "q_kind", "q_data", "id", "dims", "kind", "data")
+
+    def ordered(m: np.ndarray) -> np.ndarray:
+        m = np.pad(m, ((0, max(0, len(order) - len(m))), (0, 0)))
+        return np.concatenate([m[order], m[len(order) :]])  # the sample may hold shorter vectors alone
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bars: dict[tuple[bytes, bytes], np.ndarray] = {}  # by query block
         for b in batches:
-            for r in b.to_pylist():
-                q_ids, c_ids = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["ids"], np.int64)
-                q, c = (unpack(r[f"{x}data"], r[f"{x}dims"], n) for x, n in (("q_", len(q_ids)), ("", len(c_ids))))
-                key = (r["q_ids"], xxhash.xxh128_digest(r["q_data"]))
+            for at in range(b.num_rows):
+                r = b.slice(at, 1).to_pylist()[0]
+                q_ids, c_ids = np.frombuffer(r["q_id"], np.int64), np.frombuffer(r["id"], np.int64)
+                q, c = (loaded(r[f"{x}data"], r[f"{x}kind"], r[f"{x}dims"]) for x in ("q_", ""))
+                key = (r["q_id"], xxhash.xxh128_digest(r["q_data"]))
                 if key not in bars:
                     if len(bars) >= BLOCKS_KNOWN:
                         bars.clear()
                     bars[key] = first_bars(q_ids, q, *pilot.value, k)
-                i, found, t = best_of_blocks(q_ids, q, c_ids, c, k, bars[key])
+                i, found, t = best_of_blocks(q_ids, ordered(q), c_ids, ordered(c), k, bars[key])
                 bars[key] = np.maximum(bars[key], kth_best(len(q_ids), i, t, k))
                 yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (q_ids[i], found, t)], ["query_id", "vec_id", "score"])
 
-    found = pairs.select("q_ids", "q_dims", "q_data", "ids", "dims", "data").mapInArrow(run, "query_id long, vec_id long, score long").distinct()
+    found = pairs.mapInArrow(run, "query_id long, vec_id long, score long").distinct()
     # a limit on the rank, so that each task passes on at most k rows of a query
     ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

@@ -153,6 +153,8 @@ def kth_best(n: int, query: np.ndarray, score: np.ndarray, k: int) -> np.ndarray
 
 def moments(rows: DataFrame, dims: int, prepare: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
     """Sum of x x' over prepare(matrix) of all rows' `embedding`: a matrix for each task, added up by position; dims x dims numbers reach the driver."""
+    if not dims:
+        return np.zeros((0, 0))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((dims, dims))

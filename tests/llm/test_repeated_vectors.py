@@ -48,7 +48,17 @@ def test_blocks_out_of_reach_are_left_out():
 
 
 def test_repeated_ids_and_large_components(spark):
-    rows = [(1, [1.0, 2.0], "a"), (1, [1.0, 2.0], "a"), (1, [3.0, 0.0], "b"), (2, [1.0, 1.0], "c"), (3, [1e300, 1.0], "d"), (4, [-float(topk.LARGEST), 1.0], "e"), (5, [float(topk.LARGEST) * 2, 0.0], "f")]
+    rows = [(1, [1.0, 2.0], "a"), (1, [1.0, 2.0], "a"), (1, [3.0, 0.0], "b"), (2, [1.0, 1.0], "c"), (3, [1e300, 1.0], "d"), (4, [-262144.0, 1.0], "e"), (5, [524288.0, 0.0], "f"), (6, [float("nan"), 1.0], "g"), (7, [None, 1.0], "h")]
     d = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string")
     got = [tuple(r) for r in topk.exact_top_k(d, F.col("vec_id") == 2).orderBy("rank").collect()]
-    assert got == [(2, 1, 1, 3 * 256**2), (2, 2, 4, 256**2 * (1 - topk.LARGEST))]  # both vectors of id 1 have this score
+    # the score of 3 stays at the largest long; both vectors of 1 have the same score
+    assert got == [(2, 1, 3, (1 << 63) - 1), (2, 2, 5, 256**2 * 524288), (2, 3, 1, 3 * 256**2), (2, 4, 4, 256**2 * (1 - 262144))]
+
+
+def test_large_finite_vectors_are_scored(spark):
+    d = spark.createDataFrame([(50, [3e5, 1.0]), (0, [1.0, 2.0]), (7, [4e5, 0.0])], "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, topk.exact_top_k(d, F.col("vec_id") % 50 == 0).collect()))
+    x = {50: (76800000, 256), 0: (256, 512), 7: (102400000, 0)}
+    dot = lambda a, b: x[a][0] * x[b][0] + x[a][1] * x[b][1]
+    assert got == [(0, 1, 7, dot(0, 7)), (0, 2, 50, dot(0, 50)), (50, 1, 7, dot(50, 7)), (50, 2, 0, dot(50, 0))]
+    assert topk.exact_top_k(d.limit(0), F.col("vec_id") % 50 == 0).count() == 0
