@@ -7,7 +7,8 @@ shipped: without a scorer the rules decide alone, and a null score means "not as
 from __future__ import annotations
 
 import time
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 from typing import Protocol
 
 import pandas as pd
@@ -39,6 +40,24 @@ class ScorerFailed(Exception):
     """Raised by a scorer whose model can't answer: the rules then stand alone. Any other exception is an error and fails the job."""
 
 
+@dataclass(frozen=True)
+class ScorerFactory:
+    """Makes a scorer where it is needed: `make` runs once in each worker process, under this name."""
+
+    name: str
+    make: Callable[[], Scorer]
+
+
+_HOSTS: dict[str, Scorer] = {}
+
+
+def hosted(factory: ScorerFactory) -> Scorer:
+    """This process's scorer. One that can't be made (ScorerFailed) is tried again with the next call."""
+    if factory.name not in _HOSTS:
+        _HOSTS[factory.name] = factory.make()
+    return _HOSTS[factory.name]
+
+
 def ask(open_questions: DataFrame, scorer: Scorer, pause: float = PAUSE) -> DataFrame:
     """(text_key, question, score) for (text_key, question, text), each distinct one once; null where the scorer fails, and for so many seconds after it has."""
 
