@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -29,6 +29,18 @@ def feedback_append(records: DataFrame, path: str) -> None:
     records.write.mode("append").parquet(path)
 
 
+def stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """All records of a store; none if nothing was stored yet."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there)
+    return spark.read.schema(schema).parquet(path) if found else spark.createDataFrame([], schema)
+
+
+def stored_count(spark: SparkSession, path: str, schema: str) -> int:
+    """How many records a store holds, from the files' own counts."""
+    return stored(spark, path, schema).count()
+
+
 def clear(path: str, like: DataFrame) -> None:
     like.limit(0).write.mode("overwrite").parquet(path)
 
