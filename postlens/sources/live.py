@@ -8,8 +8,9 @@ line in it. An offset is the number of bytes taken of each file, always at the e
 a line: a line that is still being written waits for its rest. A batch takes at most
 `max_bytes` (but at least one line that waits), spread over the files, and is read in
 splits of `split_bytes`, each on an executor; the driver only looks for line ends. With
-`progress`, a folder, admission also holds for the first batch after a restart; without
-it that batch takes all there is. Files may only grow; a shorter file is an error, one
+`progress`, a folder of the stream's own beside its checkpoint, admission also holds for
+the first batch after a start (Spark asks for the latest offset before it tells where
+the stream stands); without it that batch takes all there is. Files may only grow; a shorter file is an error, one
 that has gone is left alone. `path` and `progress` may be any address that Arrow's
 filesystems open (local, hdfs://, s3:// ...).
 """
@@ -83,7 +84,7 @@ class LiveReader(DataSourceStreamReader):
             return None
         fs, at = opened(self.progress)
         if fs.get_file_info(f"{at}/taken.json").type != pafs.FileType.File:
-            return None
+            return {}  # a new stream
         with fs.open_input_stream(f"{at}/taken.json") as f:
             return json.loads(f.read())
 
@@ -122,6 +123,8 @@ class LiveReader(DataSourceStreamReader):
         return taken
 
     def partitions(self, start: dict, end: dict) -> list[Split]:
+        if any(at > end.get(n, 0) for n, at in start.items()):
+            raise ValueError(f"the stream has gone further than {self.progress} says: {start}, {end}")
         self.taken = {n: max(end.get(n, 0), (self.taken or {}).get(n, 0)) for n in {*end, *(self.taken or {})}}
         out = []
         for n, stop in sorted(end.items()):
