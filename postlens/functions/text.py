@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -22,7 +23,7 @@ def java(pattern: str, ignore_case: bool = True) -> str:
     while i < len(pattern):
         two = pattern[i : i + 2]
         if two == r"\b":
-            out.append(BORDER)
+            out.append(border(pattern[:i], pattern[i + 2 :]))
         elif two == r"\s":
             out.append(SPACES if in_class else f"[{SPACES}]")
         elif two[0] == "\\":
@@ -36,6 +37,20 @@ def java(pattern: str, ignore_case: bool = True) -> str:
     return ("(?i)" if ignore_case else "") + "".join(out)
 
 
+def border(before: str, after: str) -> str:
+    """A word border, cheaper where what stands beside it starts or ends with a word character: one look at the next character comes first, as most places fail there."""
+    group = re.match(r"\(\?:([^()]*)\)", after)
+    firsts = [x[:1] for x in group[1].split("|")] if group else [after[:1]] if after[:1].isalnum() else ["0-9"] if after[:2] == r"\d" else []
+    if (named := re.match(r"\[([A-Za-z]+)\]", after)) and "-" not in named[1]:
+        firsts = list(named[1])
+    if firsts and all(x.isalnum() or x == "0-9" for x in firsts):
+        return f"(?=[{''.join(dict.fromkeys(firsts))}])(?<![A-Za-z0-9_])"
+    if wide := re.match(r"\[([a-z0-9-]+)\]\+", after):
+        return f"(?=[{wide[1]}]){BORDER}"
+    ends = re.search(r"(?:^|[|(:])[^|()]*[A-Za-z0-9](?:[A-Za-z]\?)?$", before) or re.search(r"\((?:\?:)?((?:[A-Za-z]+\??\|)*[A-Za-z]+\??)\)$", before)
+    return "(?![A-Za-z0-9_])" if ends else BORDER
+
+
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value) with the value computed once: it keeps nested expressions from growing with each mention."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
@@ -52,6 +67,31 @@ def matches_any(c: Column, patterns: Sequence[str]) -> Column:
     return out
 
 
+def holds(low: Column, needed: Sequence[Sequence[str]]) -> Column:
+    """Whether lower-cased text holds one string of each list: what a pattern can't do without, at a fraction of its cost."""
+    out = F.lit(True)
+    for words in needed:
+        one = F.lit(False)
+        for w in words:
+            one = one | F.contains(low, F.lit(w))
+        out = out & one
+    return out
+
+
+def matches_if(c: Column, low: Column, pattern: str) -> Column:
+    """matches(), tried only where the text holds what the pattern needs."""
+    needed = L.NEEDED.get(pattern)
+    found = matches(c, pattern)
+    return found if needed is None else F.when(F.coalesce(holds(low, needed), F.lit(False)), found).otherwise(False)
+
+
+def matches_any_if(c: Column, low: Column, patterns: Sequence[str]) -> Column:
+    out = F.lit(False)
+    for p in patterns:
+        out = out | matches_if(c, low, p)
+    return out
+
+
 @F.pandas_udf(StringType())
 def nfkc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Compatibility composition, which has no built-in expression; for an ingest step."""
@@ -70,13 +110,42 @@ def flatten(c: Column, compose: bool = False) -> Column:
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(nfkc(low) if compose else low, r"[^\p{L}\p{N}+]+", " ")), F.lit(" "))
 
 
+def first_words(phrases: Sequence[str]) -> dict[str, list[str]]:
+    out: dict[str, list[str]] = {}
+    for p in dict.fromkeys(phrases):
+        out.setdefault(p.split(" ")[0], []).append(p)
+    return out
+
+
+def phrases_in(flat: Column, phrases: Sequence[str]) -> Column:
+    """The phrases (of several lists together) that occur in flattened text as whole words, in any order.
+
+    The text's words are hashed once against the phrases' first words; only phrases that
+    begin with a word of the text are searched for, so the cost hardly depends on their number.
+    """
+    by_first = first_words(phrases)
+    table = F.map_from_arrays(F.lit(list(by_first)), F.lit(["|".join(x) for x in by_first.values()]))
+    there = F.array_intersect(F.lit(list(by_first)), F.split(flat, " "))
+    possible = F.flatten(F.transform(there, lambda w: F.split(F.element_at(table, w), r"\|")))
+    return F.filter(possible, lambda p: F.contains(flat, F.concat(F.lit(" "), p, F.lit(" "))))
+
+
+def among(found: Column, phrases: Sequence[str]) -> Column:
+    """Those of phrases_in() that are in one list, in its order."""
+    return F.array_intersect(F.lit(list(phrases)), found)
+
+
+def any_among(found: Column, phrases: Sequence[str]) -> Column:
+    return F.coalesce(F.arrays_overlap(found, F.lit(list(phrases))), F.lit(False))
+
+
 def find_phrases(flat: Column, phrases: Sequence[str]) -> Column:
     """The phrases that occur in flattened text as whole words, in list order."""
-    return F.filter(F.lit(list(phrases)), lambda p: F.contains(flat, F.concat(F.lit(" "), p, F.lit(" "))))
+    return among(phrases_in(flat, phrases), phrases)
 
 
 def has_phrase(flat: Column, phrases: Sequence[str]) -> Column:
-    return F.coalesce(F.exists(F.lit([f" {p} " for p in phrases]), lambda p: F.contains(flat, p)), F.lit(False))
+    return any_among(phrases_in(flat, phrases), phrases)
 
 
 def tokens(flat: Column) -> Column:
@@ -156,7 +225,7 @@ def redact_emails(c: Column) -> Column:
     free = "|".join(d.replace(".", r"\.") for d in L.FREE_EMAIL_DOMAINS)
     out = F.regexp_replace(c, java(L.EMAIL.replace("@[", "@([") + ")"), f"{mark}$1{mark}")
     out = F.regexp_replace(out, rf"(?i){mark}(?:[^{mark}]*\.)?(?:{free}){mark}", "[email:free]")
-    return F.regexp_replace(out, f"{mark}[^{mark}]*{mark}", "[email:company]")
+    return F.when(F.contains(c, F.lit("@")), F.regexp_replace(out, f"{mark}[^{mark}]*{mark}", "[email:company]")).otherwise(c)
 
 
 def redact_contacts(c: Column) -> Column:

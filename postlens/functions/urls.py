@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import lexicon as L
-from .text import java, let
+from .text import holds, java, let
 
 REST = r"(?i)^https?:[/\\]*(?:[^/\\?#]*@)?([^/\\?#:@]+)(?::(\d{0,5}))?(?=[/\\?#]|$)([^?#]*)"
 
@@ -17,9 +17,13 @@ def host_matches(host: Column, domain: str) -> Column:
     return (host == domain) | host.endswith("." + domain)
 
 
+def suffixes(host: Column) -> Column:
+    """`a.b.co` -> `a.b.co`, `b.co`, `co`."""
+    return let(F.split(host, r"\."), lambda labels: F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")))
+
+
 def in_domain_list(host: Column, domains: Sequence[str]) -> Column:
-    # the list is one literal: a chain of comparisons takes long to build and to plan
-    return F.exists(F.lit(list(domains)), lambda d: (host == d) | host.endswith(F.concat(F.lit("."), d)))
+    return F.arrays_overlap(suffixes(host), F.lit(list(domains)))
 
 
 def find_domain(host: Column, path: Column, entries: Sequence[tuple[str, str, str]]) -> Column:
@@ -66,8 +70,15 @@ def url_key(u: Column) -> Column:
     return F.concat(F.regexp_replace(u["host"], r"^www\.", ""), F.regexp_replace(u["path"], "/$", ""))
 
 
+def all_if(text: Column, pattern: str, java_pattern: str) -> Column:
+    """All matches' first groups; searched for only where the text holds what the pattern needs."""
+    found = F.regexp_extract_all(text, F.lit(java_pattern), F.lit(1))
+    none = F.array().cast("array<string>")
+    return F.when(text.isNull(), None).when(holds(F.lower(text), L.NEEDED[pattern]), found).otherwise(none) if pattern in L.NEEDED else found
+
+
 def bare_urls(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit("(" + java(L.URL) + ")"), F.lit(1))
+    return all_if(text, L.URL, "(" + java(L.URL) + ")")
 
 
 def is_careers_link(u: Column) -> Column:
@@ -78,7 +89,7 @@ def is_careers_link(u: Column) -> Column:
 
 
 def text_emails(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit("(" + java(L.EMAIL) + ")"), F.lit(1))
+    return all_if(text, L.EMAIL, "(" + java(L.EMAIL) + ")")
 
 
 def email_domains(emails: Column, text: Column) -> Column:
@@ -88,12 +99,20 @@ def email_domains(emails: Column, text: Column) -> Column:
 
 
 def without_contacts(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, java(L.EMAIL), " "), java(L.URL), " ")
+    low = F.lower(text)
+    bare = F.when(holds(low, L.NEEDED[L.EMAIL]), F.regexp_replace(text, java(L.EMAIL), " ")).otherwise(text)
+    return F.when(holds(low, L.NEEDED[L.URL]), F.regexp_replace(bare, java(L.URL), " ")).otherwise(bare)
+
+
+def has_contacts(text: Column) -> Column:
+    """False where without_contacts() surely changes nothing."""
+    low = F.lower(text)
+    return F.coalesce(holds(low, L.NEEDED[L.EMAIL]) | holds(low, L.NEEDED[L.URL]), F.lit(False))
 
 
 def company_candidates(text: Column) -> Column:
     """Capitalised names that phrasing such as "at Acme" or "Acme is hiring" points at."""
-    found = F.concat(*[F.regexp_extract_all(text, F.lit(java(p, False)), F.lit(1)) for p in L.COMPANY])
+    found = F.concat(*[all_if(text, p, java(p, False)) for p in L.COMPANY])
     stop = F.lit(L.COMPANY_STOPWORDS)
 
     def clean(name: Column) -> Column:

@@ -25,6 +25,13 @@ FEATURES = [
 ]
 
 
+SPECIFIC = [*L.ROLE_TERMS, *L.TECH_TERMS, *L.LOCATION_TERMS]
+WHATSAPP, TELEGRAM = ["whatsapp", "whats app"], ["telegram"]
+PHRASES = [
+    *L.HIRING_KEYWORDS, *L.JOB_CONTEXT_WORDS, *L.SEEKER_PHRASES, *L.NOT_HIRING_PHRASES, *L.BAIT_PHRASES, *L.WEAK_BAIT_WORDS, *L.SCAM_PHRASES, *L.DM_PHRASES, *WHATSAPP, *TELEGRAM, *SPECIFIC,
+]
+
+
 def one_row(c: Column) -> Column:
     """The same value by way of a one-element array: filters on it stay above, in place of repeating its whole expression below."""
     return F.explode(F.array(c))
@@ -55,10 +62,11 @@ def classify_urls(urls: Column, matches_company: Column | None = None) -> Column
     return F.transform(urls, one)
 
 
-def specificity(text: Column, flat: Column) -> Column:
+def specificity(text: Column, low: Column, found: Column) -> Column:
+    """low: the text in lower case; found: phrases_in() of SPECIFIC at least."""
     parts = {
-        "role_title": T.has_phrase(flat, L.ROLE_TERMS), "experience": T.matches_any(text, L.EXPERIENCE), "tech_stack": T.has_phrase(flat, L.TECH_TERMS),
-        "location": T.has_phrase(flat, L.LOCATION_TERMS), "salary": T.matches_any(text, L.SALARY),
+        "role_title": T.any_among(found, L.ROLE_TERMS), "experience": T.matches_any_if(text, low, L.EXPERIENCE), "tech_stack": T.any_among(found, L.TECH_TERMS),
+        "location": T.any_among(found, L.LOCATION_TERMS), "salary": T.matches_any_if(text, low, L.SALARY),
     }
     score = sum((c.cast("int") for c in parts.values()), F.lit(0))
     return F.struct(*[c.alias(k) for k, c in parts.items()], score.cast("int").alias("score"))
@@ -76,8 +84,8 @@ def extract_features(posts: DataFrame, compose: bool = False) -> DataFrame:
     """
     kept = posts.columns
     flat = posts.withColumn("_flat", T.flatten(F.col("text"), compose)).withColumn("_headline", T.flatten(F.coalesce("author_headline", F.lit("")), compose))
-    plain = T.flatten(U.without_contacts(F.col("text")), compose)
-    d = flat.select("*", T.tokens(plain).alias("_tokens"), T.tokens(F.col("_headline")).alias("_headline_tokens"), classify_urls(collect_urls(F.col("links"), F.col("text"))).alias("_urls"), U.email_domains(F.col("emails"), F.col("text")).alias("_domains"))
+    plain = F.when(U.has_contacts(F.col("text")), T.flatten(U.without_contacts(F.col("text")), compose)).otherwise(F.col("_flat"))
+    d = flat.select("*", F.lower("text").alias("_low"), T.phrases_in(F.col("_flat"), PHRASES).alias("_found"), T.tokens(plain).alias("_tokens"), T.tokens(F.col("_headline")).alias("_headline_tokens"), classify_urls(collect_urls(F.col("links"), F.col("text"))).alias("_urls"), U.email_domains(F.col("emails"), F.col("text")).alias("_domains"))
     in_headline = lambda label: T.label_in_tokens(label, F.col("_headline_tokens"))
     of_company = lambda label: T.label_in_tokens(label, F.col("_tokens")) | in_headline(label)
     free = lambda h: U.in_domain_list(h, L.FREE_EMAIL_DOMAINS)
@@ -89,7 +97,7 @@ def extract_features(posts: DataFrame, compose: bool = False) -> DataFrame:
     )
     any_url = lambda kind: F.exists("_urls", lambda u: u["kind"] == kind)
     count = lambda kind: F.size(F.filter("_urls", lambda u: u["kind"] == kind))
-    phrases = lambda words: T.find_phrases(F.col("_flat"), words)
+    phrases = lambda words: T.among(F.col("_found"), words)
     external = F.size(F.filter("_urls", lambda u: u["kind"] != "internal"))
     headline_label = lambda x: F.coalesce(F.exists(x, in_headline), F.lit(False))
     companies = F.exists(U.company_candidates(F.col("text")), lambda c: F.contains(F.col("_headline"), T.flatten(c)))
@@ -103,18 +111,18 @@ def extract_features(posts: DataFrame, compose: bool = False) -> DataFrame:
         "google_form": any_url("form"),
         "opaque_links": count("opaque"),
         "shortener_links": count("shortener"),
-        "whatsapp": any_url("whatsapp") | T.has_phrase(F.col("_flat"), ["whatsapp", "whats app"]),
-        "telegram": any_url("telegram") | T.has_phrase(F.col("_flat"), ["telegram"]),
+        "whatsapp": any_url("whatsapp") | T.any_among(F.col("_found"), WHATSAPP),
+        "telegram": any_url("telegram") | T.any_among(F.col("_found"), TELEGRAM),
         "corporate_email": F.size("_corporate") > 0,
         "corporate_email_matches_company": F.exists("_corporate", of_company),
         "free_email_provider": F.get("_free", F.lit(0)),
-        "dm_only": T.has_phrase(F.col("_flat"), L.DM_PHRASES) & (external == 0) & (F.size("_domains") == 0),
+        "dm_only": T.any_among(F.col("_found"), L.DM_PHRASES) & (external == 0) & (F.size("_domains") == 0),
         "bait_hits": phrases(L.BAIT_PHRASES),
         "weak_bait_hits": phrases(L.WEAK_BAIT_WORDS),
         "scam_hits": phrases(L.SCAM_PHRASES),
-        "pay_claim_hits": F.array_compact(F.array(*[F.when(T.matches(F.col("text"), p), F.lit(r)) for p, r in L.PAY_CLAIMS])),
+        "pay_claim_hits": F.array_compact(F.array(*[F.when(T.matches_if(F.col("text"), F.col("_low"), p), F.lit(r)) for p, r in L.PAY_CLAIMS])),
         "poster_at_company": headline_label(F.col("_careers")) | headline_label(F.col("_corporate")) | F.coalesce(companies, F.lit(False)),
-        "specificity": specificity(F.col("text"), F.col("_flat")),
+        "specificity": specificity(F.col("text"), F.col("_low"), F.col("_found")),
         "exposure": exposure(),
         "age_text": F.col("age_text"),
     }

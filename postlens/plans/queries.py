@@ -14,7 +14,7 @@ from ..operators import decision as D
 from ..operators import evaluation as E
 from ..operators import reasons as R
 from ..operators import stores as S
-from ..operators.features import classify_urls, collect_urls, exposure, extract_features, specificity
+from ..operators.features import SPECIFIC, classify_urls, collect_urls, exposure, extract_features, specificity
 from .posts import derived_posts, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,20 +62,23 @@ def post_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def phrase_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = derived_posts(spark, sf_dir).select("doc_id", T.flatten(F.col("text")).alias("flat"))
     lists = {"hiring": L.HIRING_KEYWORDS, "seeker": L.SEEKER_PHRASES, "not_hiring": L.NOT_HIRING_PHRASES, "bait": L.BAIT_PHRASES, "weak_bait": L.WEAK_BAIT_WORDS, "scam": L.SCAM_PHRASES}
-    return d.select("doc_id", *[joined(T.find_phrases(F.col("flat"), v)).alias(k) for k, v in lists.items()])
+    d = d.select("doc_id", T.phrases_in(F.col("flat"), [p for v in lists.values() for p in v]).alias("found"))
+    return d.select("doc_id", *[joined(T.among(F.col("found"), v)).alias(k) for k, v in lists.items()])
 
 
 @query
 def phrase_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = derived_posts(spark, sf_dir).select(T.flatten(F.col("text")).alias("flat"))
-    hits = F.concat(*[T.find_phrases(F.col("flat"), v) for v in (L.HIRING_KEYWORDS, L.BAIT_PHRASES, L.SCAM_PHRASES)])
+    lists = (L.HIRING_KEYWORDS, L.BAIT_PHRASES, L.SCAM_PHRASES)
+    d = d.select(T.phrases_in(F.col("flat"), [p for v in lists for p in v]).alias("found"))
+    hits = F.concat(*[T.among(F.col("found"), v) for v in lists])
     return S.frequency(d.select(F.explode(hits).alias("phrase")), "phrase", 25)
 
 
 @query
 def specificity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = derived_posts(spark, sf_dir).select("doc_id", "text", T.flatten(F.col("text")).alias("flat"))
-    return d.select("doc_id", specificity(F.col("text"), F.col("flat")).alias("s")).select("doc_id", "s.*")
+    d = derived_posts(spark, sf_dir).select("doc_id", "text", F.lower("text").alias("low"), T.phrases_in(T.flatten(F.col("text")), SPECIFIC).alias("found"))
+    return d.select("doc_id", specificity(F.col("text"), F.col("low"), F.col("found")).alias("s")).select("doc_id", "s.*")
 
 
 @query
