@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
+from .decision import Thresholds, decide_label, no_scores, pending_questions
 
 
 def accuracy(d: DataFrame, gold: str = "gold", pred: str = "pred") -> DataFrame:
@@ -59,18 +60,71 @@ def model_call_count(questions: DataFrame, column: str = "questions") -> DataFra
     return questions.agg(F.coalesce(F.sum(F.size(column)), F.lit(0)).cast("long").alias("calls"))
 
 
+def masked(scores: Column, asked: Column) -> Column:
+    """The scores of the questions that were asked."""
+    return F.struct(*[F.when(F.array_contains(asked, q), scores[q]).alias(q) for q in ("hiring", "bait", "scam")])
+
+
+def in_rounds(f: Column, scores: Column, text_units: Column, t: Thresholds = Thresholds()) -> Column:
+    """struct(label, calls): what comes out if only the questions that the rules leave open are answered from all scores, in two rounds."""
+    none = no_scores()
+    first = pending_questions(f, none, text_units, t)
+    second = pending_questions(f, masked(scores, first), text_units, t)
+    asked = F.array_union(first, second)
+    return F.struct(decide_label(f, masked(scores, asked), t).alias("label"), F.size(asked).alias("calls"))
+
+
+def outcomes(f: Column, text_units: Column) -> Column:
+    """The eight labels that scores can lead to: at 4 * (hiring passed) + 2 * (bait over) + (scam over)."""
+    bit = lambda on: F.lit(1.0 if on else 0.0)
+    half = Thresholds(0.5, 0.5, 0.5)
+    each = [F.struct(bit(k & 4).alias("hiring"), bit(k & 2).alias("bait"), bit(k & 1).alias("scam")) for k in range(8)]
+    return F.array(*[in_rounds(f, s, text_units, half)["label"] for s in each])
+
+
+def swept_labels(d: DataFrame, hiring: Sequence[float], bait: Sequence[float], scam: Sequence[float], labels: Sequence[str] = L.LABELS) -> DataFrame:
+    """sweep() of all thresholds over rows of gold, features, text_units and scores.
+
+    A row's label depends on the thresholds only by which of them its scores reach, so rows
+    are first counted by gold label, possible outcomes and the number of thresholds reached;
+    only these counts meet the grid. Null scores reach every hiring threshold and no other.
+    """
+    reached = lambda c, grid: F.size(F.filter(F.lit(sorted(grid)), lambda t: c >= t))
+    s = F.col("scores")
+    rows = d.select("gold", outcomes(F.col("features"), F.col("text_units")).alias("outcomes"), *[F.when(s[q].isNull(), len(grid) if q == "hiring" else 0).otherwise(reached(s[q], grid)).alias(q) for q, grid in (("hiring", hiring), ("bait", bait), ("scam", scam))])
+    cells = rows.groupBy("gold", "outcomes", "hiring", "bait", "scam").agg(F.count("*").alias("weight"))
+    grid = threshold_grid(d.sparkSession, hiring, bait, scam)
+    place = lambda t, grid: F.array_position(F.lit(sorted(grid)), F.col(t))
+    over = [(F.col(q) >= place(t, g)).cast("int") for q, t, g in (("hiring", "t_hiring", hiring), ("bait", "t_bait", bait), ("scam", "t_scam", scam))]
+    pred = F.get("outcomes", 4 * over[0] + 2 * over[1] + over[2])
+    return sweep(cells, grid, pred, labels, weight="weight")
+
+
+def steps(low: float, high: float, by: float) -> list[float]:
+    return [round(low + k * by, 2) for k in range(round((high - low) / by) + 1)]
+
+
+#: The thresholds that a sweep tries.
+GRID = {"hiring": steps(0.05, 0.95, 0.05), "bait": steps(0.5, 0.99, 0.03), "scam": steps(0.5, 0.99, 0.03)}
+
+
+def current_row(swept: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
+    """How the thresholds in use do; no row if they are not in the grid."""
+    return swept.where((F.col("t_hiring") == t.hiring) & (F.col("t_bait") == t.bait) & (F.col("t_scam") == t.scam))
+
+
 def threshold_grid(spark: SparkSession, hiring: Sequence[float], bait: Sequence[float], scam: Sequence[float]) -> DataFrame:
     """Every combination of a few listed thresholds, in order; its size is that of the lists, not of any data."""
     rows = [(i, h, b, s) for i, (h, b, s) in enumerate((h, b, s) for h in hiring for b in bait for s in scam)]
     return spark.createDataFrame(rows, "grid_ord int, t_hiring double, t_bait double, t_scam double")
 
 
-def sweep(d: DataFrame, grid: DataFrame, pred: Column, labels: Sequence[str] = L.LABELS, gold: str = "gold") -> DataFrame:
-    """Per grid row: accuracy and macro-F1 of `pred`, an expression over the rows' columns and t_hiring, t_bait, t_scam.
+def sweep(d: DataFrame, grid: DataFrame, pred: Column, labels: Sequence[str] = L.LABELS, gold: str = "gold", weight: str | None = None) -> DataFrame:
+    """Per grid row: accuracy and macro-F1 of `pred`, an expression over the rows' columns and t_hiring, t_bait, t_scam. weight: rows that a row stands for.
 
     Rows are first reduced to counts of (gold, prediction) cells within their grid row by partial aggregation.
     """
-    cells = d.join(F.broadcast(grid)).groupBy("grid_ord", "t_hiring", "t_bait", "t_scam", F.col(gold).alias("g"), pred.alias("p")).agg(F.count("*").alias("n"))
+    cells = d.join(F.broadcast(grid)).groupBy("grid_ord", "t_hiring", "t_bait", "t_scam", F.col(gold).alias("g"), pred.alias("p")).agg((F.sum(weight) if weight else F.count("*")).alias("n"))
     at = ["grid_ord", "t_hiring", "t_bait", "t_scam"]
     n = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
     aggs = [F.sum("n").alias("n"), n(F.col("g") == F.col("p")).alias("right")]

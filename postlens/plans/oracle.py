@@ -194,6 +194,35 @@ m AS (SELECT grid_ord, t_hiring, t_bait, t_scam, avg(CASE WHEN gold = pred THEN
 SWEEP_COLUMNS = "grid_ord, t_hiring, t_bait, t_scam, round(accuracy, 6) AS accuracy, round(macro_f1, 6) AS macro_f1"
 SWEEP_ORDER = "round(macro_f1, 9) DESC, round(accuracy, 9) DESC, round(t_scam + t_bait, 6) DESC, grid_ord"
 
+SCORED = """, scored AS (SELECT *, CAST('0x' || substr(sha1(text), 1, 4) AS INT) / 65535.0::DOUBLE AS h, CAST('0x' || substr(sha1(text), 5, 4) AS INT) / 65535.0::DOUBLE AS b, CAST('0x' || substr(sha1(text), 9, 4) AS INT) / 65535.0::DOUBLE AS s,
+  CASE WHEN regexp_matches(lower(text), 'deposit|bank details|registration fee|per day|/day|payout') THEN 'scam_risk' WHEN regexp_matches(lower(text), 'comment (yes|interested)|repost|follow me') THEN 'engagement_bait'
+    WHEN NOT regexp_matches(lower(text), 'hiring|apply|vacancy|resume|join our team') THEN 'not_hiring' WHEN href IS NULL THEN 'unverified' WHEN coalesce(age_hours <= 24, false) AND coalesce(comments, 0) < 50 THEN 'apply_early'
+    WHEN coalesce(comments, 0) >= 200 THEN 'crowded' ELSE 'real_opening' END AS gold FROM labelled),
+"""
+
+
+def rounds(source: str, name: str, th: str, tb: str, ts: str, always: bool = False) -> str:
+    """The label after two rounds of questions; `always`: all scores are known, whether asked for or not."""
+    asks = "true" if always else f"len(text) >= {L.MIN_MODEL_TEXT}"
+    yes = "true" if always else "false"
+    return f"""{name}1 AS (SELECT *, {asks} AND stage1 = 'ask_model' AS ask_h, stage1 = 'hiring' OR stage1 = 'ask_model' AND (NOT ({asks}) OR h >= {th}) AS is_hiring FROM {source}),
+{name}2 AS (SELECT *, {asks} AND is_hiring AND NOT strong_scam AND weak_scam BETWEEN 1 AND {L.WEAK_SCAM_SIGNALS - 1} AS ask_s, {asks} AND is_hiring AND NOT strong_scam AND NOT genuine AND len(bait_hits) = 0 AND (len(weak_bait_hits) > 0 OR dm_only) AS ask_b FROM {name}1),
+{name} AS (SELECT *, CASE WHEN NOT is_hiring THEN 'not_hiring' WHEN strong_scam OR weak_scam >= {L.WEAK_SCAM_SIGNALS} OR ((ask_s OR {yes}) AND s >= {ts}) THEN 'scam_risk' WHEN len(bait_hits) > 0 AND NOT genuine OR ((ask_b OR {yes}) AND b >= {tb}) THEN 'engagement_bait'
+  WHEN genuine THEN exposure_label ELSE 'unverified' END AS pred, ask_h::INT + ask_s::INT + ask_b::INT AS calls FROM {name}2)"""
+
+
+PREDICTED = SCORED + rounds("scored", "p", str(L.HIRING_MIN_SCORE), str(L.BAIT_THRESHOLD), str(L.SCAM_THRESHOLD))
+SEVEN = ", ".join(f"({q(x)})" for x in L.LABELS)
+LABEL_PRF = PREDICTED + f""", c AS (SELECT label, count(*) FILTER (gold = x.label AND pred = x.label) AS tp, count(*) FILTER (gold = x.label) AS support, count(*) FILTER (pred = x.label) AS predicted FROM (SELECT gold, pred FROM p) g, (VALUES {SEVEN}) AS x(label) GROUP BY x.label),
+prf AS (SELECT label, support, CASE WHEN predicted > 0 THEN tp / predicted ELSE 0.0 END AS precision, CASE WHEN support > 0 THEN tp / support ELSE 0.0 END AS recall FROM c),
+f AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1 FROM prf)"""
+#: Every row with every threshold: nothing is counted first.
+LABEL_SWEEP = SCORED + "grid AS (SELECT CAST(row_number() OVER (ORDER BY x, y, z) - 1 AS INT) AS grid_ord, x AS t_hiring, y AS t_bait, z AS t_scam FROM (SELECT unnest(list_transform(range(19), lambda i: round(0.05 + i * 0.05, 2)::DOUBLE)) AS x), (SELECT unnest(list_transform(range(17), lambda i: round(0.5 + i * 0.03, 2)::DOUBLE)) AS y), (SELECT unnest(list_transform(range(17), lambda i: round(0.5 + i * 0.03, 2)::DOUBLE)) AS z)), slim AS (SELECT gold, h, b, s, left(text, 100) AS text, stage1, strong_scam, weak_scam, genuine, len(bait_hits) > 0 AS baited, len(weak_bait_hits) > 0 AS weakly, dm_only, exposure_label FROM scored), each AS (SELECT slim.*, CASE WHEN baited THEN ['x'] ELSE [] END AS bait_hits, CASE WHEN weakly THEN ['x'] ELSE [] END AS weak_bait_hits, grid_ord, t_hiring, t_bait, t_scam FROM slim, grid),\n" + rounds("each", "p", "t_hiring", "t_bait", "t_scam") + ", m AS (SELECT grid_ord, t_hiring, t_bait, t_scam, avg(CASE WHEN gold = pred THEN 1.0 ELSE 0.0 END) AS accuracy, (" + " + ".join(f"coalesce(CASE WHEN count(*) FILTER (gold = {q(x)}) > 0 THEN 2.0 * count(*) FILTER (gold = {q(x)} AND pred = {q(x)}) / (count(*) FILTER (gold = {q(x)}) + count(*) FILTER (pred = {q(x)})) END, 0)" for x in L.LABELS) + ") / (" + " + ".join(f"(count(*) FILTER (gold = {q(x)}) > 0)::INT" for x in L.LABELS) + ") AS macro_f1 FROM p GROUP BY ALL)"
+AS_OF = SCORED + """dated AS (SELECT *, TIMESTAMP '2026-01-01 12:00:00' + to_days((len(text) % 90)::INT) AS ts FROM scored),
+versions AS (SELECT * FROM (VALUES (TIMESTAMP '1970-01-01', true, 0.35::DOUBLE, 0.95::DOUBLE, 0.95::DOUBLE), (TIMESTAMP '2026-01-10', true, 0.5, 0.95, 0.4), (TIMESTAMP '2026-02-01 12:00:00', false, 0.5, 0.6, 0.4), (TIMESTAMP '2026-03-01', true, 0.9, 0.6, 0.4)) AS v(valid_from, hide, t_hiring, t_bait, t_scam)),
+set_ AS (SELECT * FROM dated ASOF JOIN versions ON ts >= valid_from),
+""" + rounds("set_", "p", "t_hiring", "t_bait", "t_scam", always=True)
+
 PAGE_PARTS = f"SELECT page_id, url, lower(regexp_extract(url, {q(REST)}, 1)) AS host, CASE WHEN regexp_extract(url, {q(REST)}, 2) = '' THEN '/' ELSE regexp_extract(url, {q(REST)}, 2) END AS path FROM pages"
 
 SQL: dict[str, str] = {
@@ -233,5 +262,15 @@ SQL: dict[str, str] = {
     "confusion_matrix": GOLD + " SELECT gold, count(*) FILTER (pred = 'good') AS good, count(*) FILTER (pred = 'bad') AS bad FROM g GROUP BY gold",
     "threshold_sweep_top8": SWEEP + f" SELECT {SWEEP_COLUMNS} FROM m ORDER BY {SWEEP_ORDER} LIMIT 8",
     "best_per_threshold": SWEEP + f" SELECT {SWEEP_COLUMNS} FROM (SELECT *, row_number() OVER (PARTITION BY t_hiring ORDER BY {SWEEP_ORDER}) AS r FROM m) WHERE r = 1",
+    "scored_labels": posts(PREDICTED + " SELECT doc_id, gold, pred, CAST(calls AS INT) AS calls FROM p"),
+    "label_accuracy": posts(LABEL_PRF + " SELECT (SELECT round(avg(CASE WHEN gold = pred THEN 1.0 ELSE 0.0 END), 6) FROM p) AS accuracy, round(avg(f1), 6) AS macro_f1, (SELECT count(*) FROM p) AS n FROM f WHERE support > 0"),
+    "label_report": posts(LABEL_PRF + " SELECT label, support, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM f"),
+    "label_confusion": posts(PREDICTED + " SELECT gold, " + ", ".join(f"count(*) FILTER (pred = {q(x)}) AS {x}" for x in L.LABELS) + " FROM p GROUP BY gold"),
+    "label_mistakes": posts(PREDICTED + " SELECT doc_id, gold, pred, left(text, 110) AS text FROM p WHERE gold <> pred"),
+    "label_model_calls": posts(PREDICTED + " SELECT CAST(sum(calls) AS BIGINT) AS calls, count(*) FILTER (calls > 0) AS posts FROM p"),
+    "label_sweep_top8": posts(LABEL_SWEEP + f" SELECT {SWEEP_COLUMNS} FROM m ORDER BY {SWEEP_ORDER} LIMIT 8"),
+    "label_sweep_best": posts(LABEL_SWEEP + f" SELECT {SWEEP_COLUMNS} FROM (SELECT *, row_number() OVER (PARTITION BY t_hiring ORDER BY {SWEEP_ORDER}) AS r FROM m) WHERE r = 1"),
+    "label_sweep_current": posts(LABEL_SWEEP + f" SELECT {SWEEP_COLUMNS} FROM m WHERE t_hiring = {L.HIRING_MIN_SCORE} AND t_bait = {L.BAIT_THRESHOLD} AND t_scam = {L.SCAM_THRESHOLD}"),
+    "labels_as_of": posts(AS_OF + " SELECT doc_id, strftime(ts, '%Y-%m-%d') AS day, t_hiring, t_bait, t_scam, pred AS label, NOT (hide AND pred = 'not_hiring') AS visible FROM p"),
     "tag_frequency": "SELECT tag, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(html), '<([a-z][a-z0-9]*)', 1)) AS tag FROM pages) GROUP BY tag ORDER BY n DESC, tag LIMIT 25",
 }

@@ -13,6 +13,7 @@ from ..functions import urls as U
 from ..operators import decision as D
 from ..operators import evaluation as E
 from ..operators import reasons as R
+from ..operators import settings as ST
 from ..operators import stores as S
 from ..operators.features import SPECIFIC, classify_urls, collect_urls, exposure, extract_features, specificity
 from .posts import derived_posts, spread
@@ -280,6 +281,97 @@ def best_per_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(E.best_per_hiring(swept(spark, sf_dir)))
 
 
+def text_score(which: int) -> Column:
+    """A made-up score in [0, 1] that follows from the whole text: four hexadecimal digits of its hash."""
+    return F.conv(F.substring(F.sha1("text"), 4 * which + 1, 4), 16, 10).cast("double") / 65535
+
+
+def judged_gold() -> Column:
+    """Gold labels by a rule of their own: as somebody might label posts at a glance."""
+    low = F.lower("text")
+    has = lambda words: low.rlike(words)
+    fresh = F.coalesce(F.col("age_hours") <= 24, F.lit(False)) & (F.coalesce("comments", F.lit(0)) < 50)
+    return (
+        F.when(has("deposit|bank details|registration fee|per day|/day|payout"), "scam_risk").when(has("comment (yes|interested)|repost|follow me"), "engagement_bait")
+        .when(~has("hiring|apply|vacancy|resume|join our team"), "not_hiring").when(F.col("href").isNull(), "unverified").when(fresh, "apply_early")
+        .when(F.coalesce("comments", F.lit(0)) >= 200, "crowded").otherwise("real_opening")
+    )
+
+
+def evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text, gold, features, text_units, scores) of the posts relation."""
+    posts = derived_posts(spark, sf_dir).withColumn("href", F.get("links", F.lit(0))["href"])
+    posts = posts.withColumn("gold", judged_gold()).withColumn("scores", F.struct(text_score(0).alias("hiring"), text_score(1).alias("bait"), text_score(2).alias("scam")))
+    return extract_features(posts).select("doc_id", "text", "gold", "features", "text_units", "scores")
+
+
+def predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text, gold, pred, calls): labels in two rounds with the thresholds in use."""
+    out = E.in_rounds(F.col("features"), F.col("scores"), F.col("text_units"))
+    return evaluated(spark, sf_dir).select("doc_id", "text", "gold", out.alias("o")).select("doc_id", "text", "gold", F.col("o.label").alias("pred"), F.col("o.calls").alias("calls"))
+
+
+@query
+def scored_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predicted(spark, sf_dir).select("doc_id", "gold", "pred", F.col("calls").cast("int").alias("calls"))
+
+
+@query
+def label_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = E.accuracy(predicted(spark, sf_dir)).join(F.broadcast(E.macro_f1(predicted(spark, sf_dir))))
+    return d.select(F.round("accuracy", 6).alias("accuracy"), F.round("macro_f1", 6).alias("macro_f1"), "n")
+
+
+@query
+def label_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.per_label(predicted(spark, sf_dir)).select("label", "support", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@query
+def label_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.confusion_matrix(predicted(spark, sf_dir))
+
+
+@query
+def label_mistakes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = predicted(spark, sf_dir)
+    return d.where(F.col("gold") != F.col("pred")).select("doc_id", "gold", "pred", F.substring("text", 1, 110).alias("text"))
+
+
+@query
+def label_model_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predicted(spark, sf_dir).agg(F.coalesce(F.sum("calls"), F.lit(0)).cast("long").alias("calls"), F.count_if(F.col("calls") > 0).alias("posts"))
+
+
+def label_swept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.swept_labels(evaluated(spark, sf_dir), E.GRID["hiring"], E.GRID["bait"], E.GRID["scam"])
+
+
+@query
+def label_sweep_top8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shown(E.sweep_top(label_swept(spark, sf_dir), 8))
+
+
+@query
+def label_sweep_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shown(E.best_per_hiring(label_swept(spark, sf_dir)))
+
+
+@query
+def label_sweep_current(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shown(E.current_row(label_swept(spark, sf_dir)))
+
+
+@query
+def labels_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels by the settings of a post's day, from a short history of settings; days follow from the texts' lengths."""
+    versions = spark.createDataFrame([("2026-01-10 00:00:00", None, 0.5, None, 0.4), ("2026-02-01 12:00:00", False, None, 0.6, None), ("2026-03-01 00:00:00", True, 0.9, None, None)], "at string, hide_not_hiring boolean, hiring double, bait double, scam double")
+    versions = versions.select(F.lit("").alias("scope"), F.to_timestamp("at").alias("valid_from"), "hide_not_hiring", "hiring", "bait", "scam", *[F.lit(None).cast("boolean").alias(c) for c in ("enabled", "debug", "dataset_mode")])
+    d = evaluated(spark, sf_dir).withColumn("ts", F.timestamp_seconds(F.lit(1767225600) + F.pmod(F.length("text"), F.lit(90)) * 86400 + 43200))
+    d = ST.decide_as_of(d, versions)
+    return d.select("doc_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), F.col("settings.hiring").alias("t_hiring"), F.col("settings.bait").alias("t_bait"), F.col("settings.scam").alias("t_scam"), "label", "visible")
+
+
 @query
 def tag_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     tags = F.regexp_extract_all(F.lower("html"), F.lit("<([a-z][a-z0-9]*)"), F.lit(1))
