@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator, Sequence
+from functools import cache, reduce
+from operator import or_
 
 import pandas as pd
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -17,6 +20,32 @@ BORDER = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]
 SPACES = r"\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 
 
+@cache
+def strings_sql(items: tuple[str, ...]) -> str:
+    return "array(" + ", ".join("'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'" for x in items) + ")"
+
+
+def strings(items: Sequence[str]) -> Column:
+    """A literal list, in one step: literals made one by one take long."""
+    return F.expr(strings_sql(tuple(items)))
+
+
+def once_a_session(make: Callable) -> Callable:
+    """Keeps what a function of plain arguments builds, for as long as its Spark context lives: long expressions take seconds to build."""
+    made: dict = {}
+
+    def get(*args):
+        context = SparkContext._active_spark_context
+        if made.get("context") is not context:
+            made.clear()
+            made["context"] = context
+        if args not in made:
+            made[args] = make(*args)
+        return made[args]
+
+    return get
+
+
 def java(pattern: str, ignore_case: bool = True) -> str:
     """A lexicon pattern in Java's dialect."""
     out, in_class, i = [], False, 0
@@ -67,25 +96,25 @@ def matches_any(c: Column, patterns: Sequence[str]) -> Column:
     return out
 
 
-def holds(low: Column, needed: Sequence[Sequence[str]]) -> Column:
-    """Whether lower-cased text holds one string of each list: what a pattern can't do without, at a fraction of its cost."""
+def holds(low: Column | str, needed: Sequence[Sequence[str]]) -> Column:
+    """Whether lower-cased text (or the column of that name) holds one string of each list: what a pattern can't do without, at a fraction of its cost."""
+    if isinstance(low, str):
+        quoted = lambda w: strings_sql((w,))[6:-1]
+        return F.expr(" AND ".join("(" + " OR ".join(f"contains({low}, {quoted(w)})" for w in words) + ")" for words in needed))
     out = F.lit(True)
     for words in needed:
-        one = F.lit(False)
-        for w in words:
-            one = one | F.contains(low, F.lit(w))
-        out = out & one
+        out = out & reduce(or_, [F.contains(low, F.lit(w)) for w in words])
     return out
 
 
-def matches_if(c: Column, low: Column, pattern: str) -> Column:
+def matches_if(c: Column, low: Column | str, pattern: str) -> Column:
     """matches(), tried only where the text holds what the pattern needs."""
     needed = L.NEEDED.get(pattern)
     found = matches(c, pattern)
     return found if needed is None else F.when(F.coalesce(holds(low, needed), F.lit(False)), found).otherwise(False)
 
 
-def matches_any_if(c: Column, low: Column, patterns: Sequence[str]) -> Column:
+def matches_any_if(c: Column, low: Column | str, patterns: Sequence[str]) -> Column:
     out = F.lit(False)
     for p in patterns:
         out = out | matches_if(c, low, p)
@@ -124,19 +153,19 @@ def phrases_in(flat: Column, phrases: Sequence[str]) -> Column:
     begin with a word of the text are searched for, so the cost hardly depends on their number.
     """
     by_first = first_words(phrases)
-    table = F.map_from_arrays(F.lit(list(by_first)), F.lit(["|".join(x) for x in by_first.values()]))
-    there = F.array_intersect(F.lit(list(by_first)), F.split(flat, " "))
+    table = F.map_from_arrays(strings(by_first), strings(["|".join(x) for x in by_first.values()]))
+    there = F.array_intersect(strings(by_first), F.split(flat, " "))
     possible = F.flatten(F.transform(there, lambda w: F.split(F.element_at(table, w), r"\|")))
     return F.filter(possible, lambda p: F.contains(flat, F.concat(F.lit(" "), p, F.lit(" "))))
 
 
 def among(found: Column, phrases: Sequence[str]) -> Column:
     """Those of phrases_in() that are in one list, in its order."""
-    return F.array_intersect(F.lit(list(phrases)), found)
+    return F.array_intersect(strings(phrases), found)
 
 
 def any_among(found: Column, phrases: Sequence[str]) -> Column:
-    return F.coalesce(F.arrays_overlap(found, F.lit(list(phrases))), F.lit(False))
+    return F.coalesce(F.arrays_overlap(found, strings(phrases)), F.lit(False))
 
 
 def find_phrases(flat: Column, phrases: Sequence[str]) -> Column:

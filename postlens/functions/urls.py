@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import lexicon as L
-from .text import holds, java, let
+from .text import holds, java, let, strings
 
 REST = r"(?i)^https?:[/\\]*(?:[^/\\?#]*@)?([^/\\?#:@]+)(?::(\d{0,5}))?(?=[/\\?#]|$)([^?#]*)"
 
@@ -23,12 +23,12 @@ def suffixes(host: Column) -> Column:
 
 
 def in_domain_list(host: Column, domains: Sequence[str]) -> Column:
-    return F.arrays_overlap(suffixes(host), F.lit(list(domains)))
+    return F.arrays_overlap(suffixes(host), strings(domains))
 
 
 def find_domain(host: Column, path: Column, entries: Sequence[tuple[str, str, str]]) -> Column:
     """Name of the first entry whose domain (and path prefix, if it has one) fits."""
-    table = F.transform(F.lit(["\t".join(e) for e in entries]), lambda e: F.split(e, "\t"))
+    table = F.transform(strings(["\t".join(e) for e in entries]), lambda e: F.split(e, "\t"))
     fits = F.filter(table, lambda e: ((host == e[0]) | host.endswith(F.concat(F.lit("."), e[0]))) & F.lower(path).startswith(e[1]))
     return F.get(F.get(fits, F.lit(0)), F.lit(2))
 
@@ -85,7 +85,7 @@ def is_careers_link(u: Column) -> Column:
     """Whether a subdomain or a path segment hints at a careers page."""
     labels = F.split(u["host"], r"\.")
     subdomains = F.slice(labels, F.lit(1), F.greatest(F.size(labels) - 2, F.lit(0)))
-    return F.arrays_overlap(F.concat(subdomains, F.split(F.lower(u["path"]), r"[/_.]+")), F.lit(L.CAREERS_HINTS))
+    return F.arrays_overlap(F.concat(subdomains, F.split(F.lower(u["path"]), r"[/_.]+")), strings(L.CAREERS_HINTS))
 
 
 def text_emails(text: Column) -> Column:
@@ -113,7 +113,7 @@ def has_contacts(text: Column) -> Column:
 def company_candidates(text: Column) -> Column:
     """Capitalised names that phrasing such as "at Acme" or "Acme is hiring" points at."""
     found = F.concat(*[all_if(text, p, java(p, False)) for p in L.COMPANY])
-    stop = F.lit(L.COMPANY_STOPWORDS)
+    stop = strings(L.COMPANY_STOPWORDS)
 
     def clean(name: Column) -> Column:
         words = F.split(F.regexp_replace(name, r"[.'-]+$", ""), java(r"\s+", False))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
+from ..functions.text import once_a_session
 
 SCORES = "struct<hiring double, bait double, scam double>"
 
@@ -92,10 +93,21 @@ def decide_label(f: Column, scores: Column, t: Thresholds = Thresholds()) -> Col
     )
 
 
-def decide(features: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
-    """Adds label and reasons; reads `scores` where the rows have it."""
+def decision(t: Thresholds) -> tuple[Column, Column]:
+    """Label and reasons, over columns features, scores and label."""
     from .reasons import reasons_for
 
+    return decide_label(F.col("features"), F.col("scores"), t), reasons_for(F.col("label"), F.col("features"), F.col("scores"), t)
+
+
+@once_a_session
+def usual_decision(*least: float) -> tuple[Column, Column]:
+    return decision(Thresholds(*least))
+
+
+def decide(features: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
+    """Adds label and reasons; reads `scores` where the rows have it."""
     d = features if "scores" in features.columns else features.withColumn("scores", no_scores())
-    d = d.withColumn("label", decide_label(F.col("features"), F.col("scores"), t))
-    return d.withColumn("reasons", reasons_for(F.col("label"), F.col("features"), F.col("scores"), t))
+    numbers = all(isinstance(x, float) for x in (t.hiring, t.bait, t.scam))
+    label, reasons = usual_decision(t.hiring, t.bait, t.scam) if numbers else decision(t)
+    return d.withColumn("label", label).withColumn("reasons", reasons)

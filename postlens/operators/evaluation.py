@@ -65,39 +65,46 @@ def masked(scores: Column, asked: Column) -> Column:
     return F.struct(*[F.when(F.array_contains(asked, q), scores[q]).alias(q) for q in ("hiring", "bait", "scam")])
 
 
-def in_rounds(f: Column, scores: Column, text_units: Column, t: Thresholds = Thresholds()) -> Column:
-    """struct(label, calls): what comes out if only the questions that the rules leave open are answered from all scores, in two rounds."""
-    none = no_scores()
-    first = pending_questions(f, none, text_units, t)
-    second = pending_questions(f, masked(scores, first), text_units, t)
-    asked = F.array_union(first, second)
-    return F.struct(decide_label(f, masked(scores, asked), t).alias("label"), F.size(asked).alias("calls"))
-
-
-def outcomes(f: Column, text_units: Column) -> Column:
-    """The eight labels that scores can lead to: at 4 * (hiring passed) + 2 * (bait over) + (scam over)."""
+def in_rounds(d: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
+    """Adds `pred` and `calls` to rows of features, text_units and scores: what comes out if only the questions that the rules leave open are answered, in two rounds."""
+    f, units, s = F.col("features"), F.col("text_units"), F.col("scores")
+    # step by step, so that each is computed once, whatever mentions it
+    d = d.select("*", pending_questions(f, no_scores(), units, t).alias("_first"))
+    d = d.select("*", masked(s, F.col("_first")).alias("_known"))
+    d = d.select("*", F.array_union("_first", pending_questions(f, F.col("_known"), units, t)).alias("_asked"))
+    d = d.select("*", masked(s, F.col("_asked")).alias("_scores"))
+    return d.select("*", decide_label(f, F.col("_scores"), t).alias("pred"), F.size("_asked").alias("calls")).drop("_first", "_known", "_asked", "_scores")
+
+
+def outcomes(d: DataFrame) -> DataFrame:
+    """Adds `outcomes`, the eight labels that scores can lead to, at 4 * (hiring passed) + 2 * (bait over) + (scam over), to rows of features and text_units."""
+    f, units, half = F.col("features"), F.col("text_units"), Thresholds(0.5, 0.5, 0.5)
     bit = lambda on: F.lit(1.0 if on else 0.0)
-    half = Thresholds(0.5, 0.5, 0.5)
-    each = [F.struct(bit(k & 4).alias("hiring"), bit(k & 2).alias("bait"), bit(k & 1).alias("scam")) for k in range(8)]
-    return F.array(*[in_rounds(f, s, text_units, half)["label"] for s in each])
+    d = d.select("*", pending_questions(f, no_scores(), units, half).alias("_first"))
+    # only a passed hiring question opens others
+    passed = F.struct(bit(1).alias("hiring"), F.lit(None).cast("double").alias("bait"), F.lit(None).cast("double").alias("scam"))
+    d = d.select("*", F.array_union("_first", pending_questions(f, passed, units, half)).alias("_asked"))
+    each = [masked(F.struct(bit(k & 4).alias("hiring"), bit(k & 2).alias("bait"), bit(k & 1).alias("scam")), F.col("_asked")) for k in range(8)]
+    return d.select("*", F.array(*[decide_label(f, s, half) for s in each]).alias("outcomes")).drop("_first", "_asked")
 
 
 def swept_labels(d: DataFrame, hiring: Sequence[float], bait: Sequence[float], scam: Sequence[float], labels: Sequence[str] = L.LABELS) -> DataFrame:
     """sweep() of all thresholds over rows of gold, features, text_units and scores.
 
-    A row's label depends on the thresholds only by which of them its scores reach, so rows
-    are first counted by gold label, possible outcomes and the number of thresholds reached;
-    only these counts meet the grid. Null scores reach every hiring threshold and no other.
+    A row's label depends on the thresholds only by which of them its scores reach, and only
+    for questions that can change its label. So rows are first counted by gold label, possible
+    outcomes and the numbers of thresholds reached; only these counts meet the grid. Null
+    scores reach every hiring threshold and no other.
     """
     reached = lambda c, grid: F.size(F.filter(F.lit(sorted(grid)), lambda t: c >= t))
-    s = F.col("scores")
-    rows = d.select("gold", outcomes(F.col("features"), F.col("text_units")).alias("outcomes"), *[F.when(s[q].isNull(), len(grid) if q == "hiring" else 0).otherwise(reached(s[q], grid)).alias(q) for q, grid in (("hiring", hiring), ("bait", bait), ("scam", scam))])
-    cells = rows.groupBy("gold", "outcomes", "hiring", "bait", "scam").agg(F.count("*").alias("weight"))
+    s, o = F.col("scores"), lambda k: F.get("outcomes", F.lit(k))
+    matters = {q: sum(((o(k) != o(k | b)).cast("int") for k in range(8) if not k & b), F.lit(0)) > 0 for q, b in (("hiring", 4), ("bait", 2), ("scam", 1))}
+    grids = {"hiring": hiring, "bait": bait, "scam": scam}
+    places = [F.when(~matters[q], 0).when(s[q].isNull(), len(g) if q == "hiring" else 0).otherwise(reached(s[q], g)).alias(q) for q, g in grids.items()]
+    cells = outcomes(d.select("gold", "features", "text_units", "scores")).select("gold", "outcomes", *places).groupBy("gold", "outcomes", *grids).agg(F.count("*").alias("weight"))
     grid = threshold_grid(d.sparkSession, hiring, bait, scam)
-    place = lambda t, grid: F.array_position(F.lit(sorted(grid)), F.col(t))
-    over = [(F.col(q) >= place(t, g)).cast("int") for q, t, g in (("hiring", "t_hiring", hiring), ("bait", "t_bait", bait), ("scam", "t_scam", scam))]
-    pred = F.get("outcomes", 4 * over[0] + 2 * over[1] + over[2])
-    return sweep(cells, grid, pred, labels, weight="weight")
+    over = [(F.col(q) >= F.array_position(F.lit(sorted(g)), F.col(f"t_{q}"))).cast("int") for q, g in grids.items()]
+    return sweep(cells, grid, F.get("outcomes", 4 * over[0] + 2 * over[1] + over[2]), labels, weight="weight")
 
 
 def steps(low: float, high: float, by: float) -> list[float]:

@@ -62,7 +62,7 @@ def classify_urls(urls: Column, matches_company: Column | None = None) -> Column
     return F.transform(urls, one)
 
 
-def specificity(text: Column, low: Column, found: Column) -> Column:
+def specificity(text: Column, low: Column | str, found: Column) -> Column:
     """low: the text in lower case; found: phrases_in() of SPECIFIC at least."""
     parts = {
         "role_title": T.any_among(found, L.ROLE_TERMS), "experience": T.matches_any_if(text, low, L.EXPERIENCE), "tech_stack": T.any_among(found, L.TECH_TERMS),
@@ -77,30 +77,21 @@ def exposure() -> Column:
     return F.struct("age_hours", "comments", "reactions", "reposts", per_hour.alias("comments_per_hour"))
 
 
-def extract_features(posts: DataFrame, compose: bool = False) -> DataFrame:
-    """All columns of the posts, with `features` and `text_units` (the text's length in UTF-16 units).
-
-    compose applies Unicode compatibility composition before matching, as an Arrow step.
-    """
-    kept = posts.columns
-    flat = posts.withColumn("_flat", T.flatten(F.col("text"), compose)).withColumn("_headline", T.flatten(F.coalesce("author_headline", F.lit("")), compose))
-    plain = F.when(U.has_contacts(F.col("text")), T.flatten(U.without_contacts(F.col("text")), compose)).otherwise(F.col("_flat"))
-    d = flat.select("*", F.lower("text").alias("_low"), T.phrases_in(F.col("_flat"), PHRASES).alias("_found"), T.tokens(plain).alias("_tokens"), T.tokens(F.col("_headline")).alias("_headline_tokens"), classify_urls(collect_urls(F.col("links"), F.col("text"))).alias("_urls"), U.email_domains(F.col("emails"), F.col("text")).alias("_domains"))
+@T.once_a_session
+def stages(compose: bool) -> list[dict[str, Column]]:
+    """The columns that each step adds; the last holds the features."""
+    text, flat = F.col("text"), F.col("_flat")
+    plain = F.when(U.has_contacts(text), T.flatten(U.without_contacts(text), compose)).otherwise(flat)
     in_headline = lambda label: T.label_in_tokens(label, F.col("_headline_tokens"))
     of_company = lambda label: T.label_in_tokens(label, F.col("_tokens")) | in_headline(label)
     free = lambda h: U.in_domain_list(h, L.FREE_EMAIL_DOMAINS)
-    d = d.select(
-        "*",
-        F.transform(F.filter("_urls", lambda u: u["kind"] == "careers"), lambda u: u["label"]).alias("_careers"),
-        F.filter("_domains", free).alias("_free"),
-        F.transform(F.filter("_domains", lambda h: ~free(h)), lambda h: F.coalesce(U.registrable_label(h), F.lit(""))).alias("_corporate"),
-    )
     any_url = lambda kind: F.exists("_urls", lambda u: u["kind"] == kind)
     count = lambda kind: F.size(F.filter("_urls", lambda u: u["kind"] == kind))
     phrases = lambda words: T.among(F.col("_found"), words)
+    has = lambda words: T.any_among(F.col("_found"), words)
     external = F.size(F.filter("_urls", lambda u: u["kind"] != "internal"))
     headline_label = lambda x: F.coalesce(F.exists(x, in_headline), F.lit(False))
-    companies = F.exists(U.company_candidates(F.col("text")), lambda c: F.contains(F.col("_headline"), T.flatten(c)))
+    companies = F.exists(U.company_candidates(text), lambda c: F.contains(F.col("_headline"), T.flatten(c)))
     made = {
         "hiring_keyword_hits": phrases(L.HIRING_KEYWORDS),
         "job_context_hits": phrases(L.JOB_CONTEXT_WORDS),
@@ -111,19 +102,39 @@ def extract_features(posts: DataFrame, compose: bool = False) -> DataFrame:
         "google_form": any_url("form"),
         "opaque_links": count("opaque"),
         "shortener_links": count("shortener"),
-        "whatsapp": any_url("whatsapp") | T.any_among(F.col("_found"), WHATSAPP),
-        "telegram": any_url("telegram") | T.any_among(F.col("_found"), TELEGRAM),
+        "whatsapp": any_url("whatsapp") | has(WHATSAPP),
+        "telegram": any_url("telegram") | has(TELEGRAM),
         "corporate_email": F.size("_corporate") > 0,
         "corporate_email_matches_company": F.exists("_corporate", of_company),
         "free_email_provider": F.get("_free", F.lit(0)),
-        "dm_only": T.any_among(F.col("_found"), L.DM_PHRASES) & (external == 0) & (F.size("_domains") == 0),
+        "dm_only": has(L.DM_PHRASES) & (external == 0) & (F.size("_domains") == 0),
         "bait_hits": phrases(L.BAIT_PHRASES),
         "weak_bait_hits": phrases(L.WEAK_BAIT_WORDS),
         "scam_hits": phrases(L.SCAM_PHRASES),
-        "pay_claim_hits": F.array_compact(F.array(*[F.when(T.matches_if(F.col("text"), F.col("_low"), p), F.lit(r)) for p, r in L.PAY_CLAIMS])),
+        "pay_claim_hits": F.array_compact(F.array(*[F.when(T.matches_if(text, "_low", p), F.lit(r)) for p, r in L.PAY_CLAIMS])),
         "poster_at_company": headline_label(F.col("_careers")) | headline_label(F.col("_corporate")) | F.coalesce(companies, F.lit(False)),
-        "specificity": specificity(F.col("text"), F.col("_low"), F.col("_found")),
+        "specificity": specificity(text, "_low", F.col("_found")),
         "exposure": exposure(),
         "age_text": F.col("age_text"),
     }
-    return d.select(*kept, T.utf16_length(F.col("text")).alias("text_units"), one_row(F.struct(*[made[k].alias(k) for k in FEATURES])).alias("features"))
+    return [
+        {"_flat": T.flatten(text, compose), "_headline": T.flatten(F.coalesce("author_headline", F.lit("")), compose)},
+        {"_low": F.lower("text"), "_found": T.phrases_in(flat, PHRASES), "_tokens": T.tokens(plain), "_headline_tokens": T.tokens(F.col("_headline")), "_urls": classify_urls(collect_urls(F.col("links"), text)), "_domains": U.email_domains(F.col("emails"), text)},
+        {
+            "_careers": F.transform(F.filter("_urls", lambda u: u["kind"] == "careers"), lambda u: u["label"]),
+            "_free": F.filter("_domains", free),
+            "_corporate": F.transform(F.filter("_domains", lambda h: ~free(h)), lambda h: F.coalesce(U.registrable_label(h), F.lit(""))),
+        },
+        {"text_units": T.utf16_length(text), "features": one_row(F.struct(*[made[k].alias(k) for k in FEATURES]))},
+    ]
+
+
+def extract_features(posts: DataFrame, compose: bool = False) -> DataFrame:
+    """All columns of the posts, with `features` and `text_units` (the text's length in UTF-16 units).
+
+    compose applies Unicode compatibility composition before matching, as an Arrow step.
+    """
+    d, steps = posts, stages(compose)
+    for step in steps[:-1]:
+        d = d.select("*", *[c.alias(k) for k, c in step.items()])
+    return d.select(*posts.columns, *[c.alias(k) for k, c in steps[-1].items()])

@@ -79,7 +79,7 @@ def phrase_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def specificity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = derived_posts(spark, sf_dir).select("doc_id", "text", F.lower("text").alias("low"), T.phrases_in(T.flatten(F.col("text")), SPECIFIC).alias("found"))
-    return d.select("doc_id", specificity(F.col("text"), F.col("low"), F.col("found")).alias("s")).select("doc_id", "s.*")
+    return d.select("doc_id", specificity(F.col("text"), "low", F.col("found")).alias("s")).select("doc_id", "s.*")
 
 
 @query
@@ -307,8 +307,7 @@ def evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, text, gold, pred, calls): labels in two rounds with the thresholds in use."""
-    out = E.in_rounds(F.col("features"), F.col("scores"), F.col("text_units"))
-    return evaluated(spark, sf_dir).select("doc_id", "text", "gold", out.alias("o")).select("doc_id", "text", "gold", F.col("o.label").alias("pred"), F.col("o.calls").alias("calls"))
+    return E.in_rounds(evaluated(spark, sf_dir)).select("doc_id", "text", "gold", "pred", "calls")
 
 
 @query
