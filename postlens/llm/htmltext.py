@@ -4,10 +4,15 @@ Every block element's subtree (its exact markup, white space collapsed) is hashe
 with the page's host. Spark counts, for each such hash, the different pages of the
 host that hold it, and subtrees that recur on many pages are deleted. Pages that are
 copies of one another count once, so copies do not turn articles into templates. What
-counts cannot tell (a menu with other words on each page, a host of few pages) falls
+exact counts cannot tell (a menu with other words on each page, a host of few pages) falls
 to elements whose tag, role, id or class says that they are not the article, and, where
-a page marks its article (article, main), to what lies outside of it. A plain text block
-inside the article stays even if it recurs.
+a page marks its article (article, main), to what lies outside of it. Two kinds of
+elements only count as templates if the path of tags and classes that leads to them
+recurs on many pages of the host: those whose class merely begins or ends with a telling
+word, inside the article, and those outside of it whose whole text is links. Headings
+and plain text blocks are never cut by their names, nor anything by a part of its id (ids
+are often made from titles); a plain text block inside the article stays even if it
+recurs. Reader comments go wherever they stand, articles of their own among them.
 
 Defined cases: null or empty html gives an empty text; a null url is a host of its
 own (the empty one); repeated rows give equal results; unclosed elements end where
@@ -49,8 +54,13 @@ HOLDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes", "noscript"}
 NOT_ARTICLE = set("head script style noscript template iframe object svg math canvas nav footer aside form button select textarea input dialog menu audio video map".split())
 NOT_ARTICLE_ROLE = set("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
-NOT_ARTICLE_NAME = set("ad ads adv advert advertisement adverts adsbygoogle sponsor sponsored sponsors promo promotion promoted banner nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer masthead topbar cookie cookies consent gdpr notice notices newsletter subscribe subscription signup login popup modal overlay comment comments commentlist disqus respond replies share sharing social related recommended widget pagination pager skip toolbar".split())
+COMMENTS = set("comment comments commentlist disqus respond replies".split())
+NOT_ARTICLE_NAME = COMMENTS | set("ad ads adv advert advertisement adverts adsbygoogle sponsor sponsored sponsors promo promotion promoted banner nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer masthead topbar cookie cookies consent gdpr notice notices newsletter subscribe subscription signup login popup modal overlay share sharing social related recommended widget pagination pager skip toolbar".split())
+#: What may follow a telling word in a class.
+GENERIC = set("area bar block bottom box container content form inner item items left link links list main right section slot thread top unit widget wrap wrapper".split())
 NEVER_BY_NAME = {"html", "body", "article", "main"}
+#: What an element's own marks say: nothing, cut it if its path recurs, cut it.
+STAYS, IF_COUNTED, CUT = 0, 1, 2
 
 # possessive, so that no character of a tag is looked at again
 TAG = re.compile(
@@ -61,23 +71,38 @@ ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"
 SPACE = re.compile(r"\s+")
 
 
-def not_article(tag: str, attributes: str, in_article: bool) -> bool:
-    """Whether tag, role, id, class or hidden say that an element is not part of the article."""
+def telling(word: str, names: set[str], by_parts: bool) -> bool:
+    """Whether a class is a name, or (by_parts) ends with one, or is one followed by generic words."""
+    parts = re.split(r"[-_]+", word)
+    return word in names or "".join(parts) in names or by_parts and (parts[-1] in names or parts[0] in names and all(x in GENERIC or x in names or x.isdigit() for x in parts[1:]))
+
+
+def marks(tag: str, attributes: str, in_article: bool) -> int:
+    """What tag, role, id, class or hidden say of an element: STAYS, IF_COUNTED or CUT."""
     if tag in NOT_ARTICLE or tag == "header" and not in_article:
-        return True
-    if not attributes or tag in NEVER_BY_NAME and not in_article:
-        return False
-    for name, *values in ATTRIBUTE.findall(attributes):
-        value = "".join(values).lower()
-        name = name.lower()
-        if name == "role" and value in NOT_ARTICLE_ROLE or name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-        if name in ("class", "id"):
-            for word in value.split():
-                parts = re.split(r"[-_]+", word)
-                if word in NOT_ARTICLE_NAME or parts[0] in NOT_ARTICLE_NAME or parts[-1] in NOT_ARTICLE_NAME:
-                    return True
-    return False
+        return CUT
+    out = STAYS
+    for name, *values in ATTRIBUTE.findall(attributes) if attributes else ():
+        value, name = "".join(values).lower(), name.lower()
+        if name in ("class", "id") and tag not in PLAIN and tag not in ("html", "body", "main"):
+            words = value.split() if name == "class" else [value.strip()]
+            if any(telling(w, COMMENTS, name == "class") for w in words):
+                return CUT
+            if tag in NEVER_BY_NAME and not in_article:
+                continue
+            if any(telling(w, NOT_ARTICLE_NAME, not in_article and name == "class") for w in words):
+                return CUT
+            if name == "class" and any(telling(w, NOT_ARTICLE_NAME, True) for w in words):
+                out = IF_COUNTED
+        elif tag in NEVER_BY_NAME and not in_article:
+            continue
+        elif name == "role" and value in NOT_ARTICLE_ROLE or name == "hidden" or name == "aria-hidden" and value == "true":
+            return CUT
+    return out
+
+
+def class_of(attributes: str) -> str:
+    return next((" ".join(sorted("".join(v).lower().split())) for n, *v in ATTRIBUTE.findall(attributes) if n.lower() == "class"), "") if attributes else ""
 
 
 @lru_cache(24)
@@ -98,7 +123,7 @@ class Page:
 
     def __init__(self, source: str):
         self.source = source
-        #: elements: [tag, start, end, parent, cut by its own marks, inside an article]
+        #: elements: [tag, start, end, parent, cut by its own marks, inside an article, what its marks say, path, inside a link]
         self.elements: list[list] = []
         self.texts: list[tuple[int, int, int, int]] = []  # block number, element, start, end
         self.has_article = False
@@ -158,10 +183,13 @@ class Page:
                 continue
             parent = stack[-1]
             inside = parent >= 0 and elements[parent][5]
-            cut = parent >= 0 and elements[parent][4] or not_article(tag, m[3], inside)
+            said = marks(tag, m[3], inside)
+            cut = parent >= 0 and elements[parent][4] or said == CUT
+            above, linked = (elements[parent][7], elements[parent][8]) if parent >= 0 else (0, False)
+            path = xxhash.xxh64_intdigest(f"{above}/{tag}.{class_of(m[3])}")
             article = inside or tag in ("article", "main") and not cut
             self.has_article |= article
-            elements.append([tag, start, n, parent, cut, article])
+            elements.append([tag, start, n, parent, cut, article, said, path, linked or tag == "a"])
             if tag in RAW:
                 close_tag = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(s, at)
                 stop, after = close_tag.span() if close_tag else (n, n)
@@ -198,9 +226,30 @@ class Page:
 
     def hashes(self, host: str) -> tuple[np.ndarray, np.ndarray]:
         """Block elements, but for plain text inside an article, and for each a hash of host and subtree."""
-        at = [i for i, (tag, _, _, _, _, inside) in enumerate(self.elements) if tag in BLOCK and tag not in NEVER_BY_NAME and not (inside and tag in PLAIN)]
+        at = [i for i, e in enumerate(self.elements) if e[0] in BLOCK and e[0] not in NEVER_BY_NAME and not (e[5] and e[0] in PLAIN)]
         key = mix(self._hash([(self.elements[i][1], self.elements[i][2]) for i in at]) ^ np.uint64(xxhash.xxh64_intdigest(host)))
-        return np.array(at, np.int64), key.view(np.int64)
+        by_path = self.suspects()
+        paths = np.array([self.elements[i][7] for i in by_path], np.uint64)
+        key = np.r_[key, mix(paths ^ np.uint64(xxhash.xxh64_intdigest(f"path {host}")))]
+        return np.array(at + by_path, np.int64), key.view(np.int64)
+
+    def suspects(self) -> list[int]:
+        """Elements that are templates if their path recurs: by a part of a class inside the article, or outside as their whole text is links, two at least."""
+        e = self.elements
+        text, linked, links = np.zeros(len(e), np.int64), np.zeros(len(e), np.int64), np.zeros(len(e), np.int64)
+        for _, i, start, end in self.texts:
+            if i >= 0:
+                n = len(self.source[start:end].strip())
+                text[i] += n
+                linked[i] += n if e[i][8] else 0
+        for i in range(len(e) - 1, -1, -1):
+            parent = e[i][3]
+            if parent >= 0:
+                text[parent] += text[i]
+                linked[parent] += linked[i]
+                links[parent] += links[i] + (e[i][0] == "a")
+        menu = lambda i: links[i] > 1 and text[i] > 0 and linked[i] == text[i] and not e[i][5]
+        return [i for i, x in enumerate(e) if not x[4] and x[0] in BLOCK and x[0] not in PLAIN and x[0] not in NEVER_BY_NAME and (x[6] == IF_COUNTED or menu(i))]
 
     def text(self, cut: set[int]) -> str:
         elements = self.elements

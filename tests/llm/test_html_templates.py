@@ -52,3 +52,59 @@ def test_empty_table_and_clashing_columns(spark):
     assert H.main_text(frame(spark, site(2)).limit(0)).count() == 0
     d = spark.createDataFrame([(1, "http://a/", "<p>x</p>", "t", 3), (1, "http://a/", "<p>x</p>", "t", 3)], "page_id long, url string, html string, text string, id int")
     assert [tuple(r) for r in H.main_text(d).collect()] == [(1, "http://a/", "x")] * 2
+
+
+def text_of(spark, html):
+    return H.main_text(frame(spark, [(1, "http://a.org/", html, "x")])).first().text
+
+
+def test_article_text_is_not_lost_by_names(spark):
+    html = '<article><h1>T</h1><p>a</p><h2 id="related-work">R</h2><p>b</p><section id="social-history"><p>c</p></section><p class="share-price">d</p><div id="menu-design">e</div><div class="share-price">f</div><p class="notice">g</p><h2 class="banner">h</h2><div class="ad">no</div></article>'
+    assert text_of(spark, html) == "\n".join(["T", "a", "R", "b", "c", "d", "e", "f", "g", "h"])
+    assert text_of(spark, html.replace("article>", "section>")) == "\n".join(["T", "a", "R", "b", "c", "d", "e", "f", "g", "h"])
+
+
+def test_reader_comments_go(spark):
+    body = '<article><p>a</p></article>'
+    for c in ('<article class="comment">no</article>', '<div id="comments"><article>no</article></div>', '<ol class="comment-list"><li>no</li></ol>', '<section class="post-comments"><p>no</p></section>', '<article class="comment"><p>no</p><article class="comment">no</article></article>'):
+        assert text_of(spark, body + c) == text_of(spark, body.replace("</article>", c + "</article>")) == "a"
+    assert text_of(spark, '<article><p>a</p><h2 id="comment-on-birds">b</h2><p class="comment">c</p></article>') == "a\nb\nc"
+
+
+def varied(n, box):
+    """Pages of a host with other words in each box."""
+    return [(i, f"http://s.org/{i}", f'<body><div class="x1"><p>Story {i} of the day</p></div>{box.replace("#", f"word{i}")}</body>', "x") for i in range(n)]
+
+
+def test_boxes_with_other_words_count_by_their_path(spark):
+    menu = '<div class="q"><ul class="z"><li><a href="/#">#</a></li><li><a href="/2#">more #</a></li></ul></div>'
+    assert {r.text for r in H.main_text(frame(spark, varied(12, menu))).collect()} == {f"Story {i} of the day" for i in range(12)}
+    assert all("more" in r.text for r in H.main_text(frame(spark, varied(5, menu))).collect())  # too few pages
+    told = [(i, u, f"<article>{h}</article>", x) for i, u, h, x in varied(12, '<div class="main-promo"><p>Buy # now</p></div>')]
+    assert {r.text for r in H.main_text(frame(spark, told)).collect()} == {f"Story {i} of the day" for i in range(12)}
+    assert all("Buy" in r.text for r in H.main_text(frame(spark, told[:5])).collect())
+    lists = [(i, u, f"<article>{h}</article>", x) for i, u, h, x in varied(12, menu)]
+    assert all("more" in r.text for r in H.main_text(frame(spark, lists)).collect())  # an article may hold links
+
+
+def test_counts_equal_a_naive_count(spark):
+    import random
+    import re as regex
+
+    rnd = random.Random(11)
+    rows = []
+    for i in range(60):
+        host = rnd.choice("ab")
+        boxes = [f"<div class=k{rnd.randrange(3)}><div>{rnd.choice(['Home', 'Offers', f'w{i}'])}</div></div>" for _ in range(rnd.randrange(1, 4))]
+        rows.append((i, f"http://{host}.org/{i}", "<body>" + "".join(boxes) + f"<div><p>Story {i}</p></div></body>", "x"))
+    seen = {}
+    for i, u, h, _ in rows:
+        for sub in set(regex.findall(r"<div class=k\d><div>\w+</div></div>", h)) | {f"<div>{w}</div>" for w in regex.findall(r"<div>(\w+)</div>", h)} | {f"<div><p>Story {i}</p></div>"}:
+            seen.setdefault((u[7], sub), set()).add(h)
+    want = {}
+    for i, u, h, _ in rows:
+        for (host, sub), held in seen.items():
+            if host == u[7] and len(held) >= 10:
+                h = h.replace(sub, "")
+        want[i] = "\n".join(x for x in regex.sub(r"<[^>]*>", "\n", h).split("\n") if x)
+    assert {r.page_id: r.text for r in H.main_text(frame(spark, rows)).collect()} == want and any("Home" not in t for t in want.values())
