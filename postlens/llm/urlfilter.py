@@ -2,8 +2,9 @@
 
 All of it is DataFrame operations. The model is trained from a small labelled URL
 table by full-batch gradient descent, in dual form: weights stay combinations of the
-labelled rows, so a step needs only the kernel matrix of these rows and is one
-higher-order expression. The fitted weights are a vector of fixed length (DIMS + 1).
+labelled rows, so a step needs only the kernel of these rows, which a join on
+buckets counts, and all steps are one higher-order expression. The bias has a rate of its own,
+so that few steps are enough. The fitted weights are a vector of fixed length (DIMS + 1).
 
 Defined cases: a null url, or one without `://`, has an empty host and path, fits no
 rule, and is judged by the model on empty strings; repeated rows are judged
@@ -19,10 +20,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import let
+from ..functions.text import let, once_a_session
 from .common import ascii_lower
 
-DIMS, GRAMS, STEPS, RATE, RIDGE = 16384, (3, 4, 5), 150, 0.015, 0.003
+DIMS, GRAMS, STEPS, RATE, BIAS_RATE, RIDGE = 16384, (3, 4, 5), 40, 0.4, 2.0, 0.003
 
 #: The rules of the registered query, as (host, path, verdict).
 RULES = [
@@ -32,35 +33,46 @@ RULES = [
     ("net", "/es/", "block"),
     ("net", "/fr/", "block"),
 ]
+#: The score from which the model blocks: over one half, as names without a meaning come near it by chance.
+BLOCK_AT = 0.55
 
 # The small labelled table by which the default model is trained is built from these words:
 # unwanted topics in pairs, wanted topics in pairs, and names without a meaning, which are wanted.
 UNWANTED_WORDS = """
-casino slots roulette blackjack jackpot betting poker bookie lottery spins viagra cialis tramadol xanax steroids slimming pharmacy
-porn xxx nude hentai escort camgirls erotic milf fetish hookup warez keygen cracked serials nulled cheats payday lending forex pyramid
-binary-options airdrop giveaway counterfeit replica fakeid diplomas hacked carding followers-cheap botnet
+casino slots roulette blackjack jackpot betting bets poker bookie lottery spins bonus winners viagra cialis tramadol xanax steroids
+slimming pills pharmacy porn xxx adult nude hentai escort camgirls erotic milf fetish hookup warez keygen cracked serials nulled cheats payday lending forex pyramid
+binary-options airdrop giveaway counterfeit replica fakeid diplomas hacked carding followers-cheap botnet adserver adclick ads tracker
+popunder spam spammer linkfarm clickbait
 """.split()
 WANTED_WORDS = """
 library museum school college journal gazette weather climate garden kitchen recipes history physics biology geology atlas railway
 harbour council parliament clinic dentist nursing orchestra theatre cinema gallery poetry novels grammar dictionary archive forum manual
 handbook release download support careers cycling football chess hiking camping birdwatch furniture carpentry textiles astronomy
 mathematics economics insurance banking energy software compiler database network robotics festival tourism hotel bakery coffee
+news article paper report lecture science nature water mountain bridge street market letters country people family friends travel
+summer winter thesis theory thermal
 """.split()
-# The most frequent letter pairs and endings of English, and syllables.
-SYLLABLES = "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le tion ble ing ly ment ous ba co di fu ga ji ko lu ma ne pi ro si ta ve wo bre cla dro fli gre".split()
+# Names without a meaning come from frequent letter groups, and from syllables with an ending.
+GROUPS = "th he in er an re nd at on nt ha es st en ed to it ou ea hi is or ti as te et ng of al de se le sa si ar ve ra ld ur ion tion ble ing ly and the ent for".split()
+ONSETS, VOWELS, CODAS = ("b c d f g h k l m n p r s t v w th sh st tr nd nt ng ch pl gr br".split(), "a e i o u ai ea ou io".split(), "er ing ion ed ly le al is en or ar us on es".split())
+
+
+def nonsense(k: int) -> str:
+    """The k-th name without a meaning."""
+    at = lambda items, x: items[(k * x + k * k // 7) % len(items)]
+    if k % 2:
+        return "".join(at(ONSETS, 5 + 2 * n) + at(VOWELS, 2 + n) for n in range(1 + k % 3)) + at(CODAS, 3)
+    return "".join(at(GROUPS, x) for x in (1, 3, 7, 11)[: 2 + k // 2 % 3])
 
 
 def labelled_urls() -> list[tuple[str, bool]]:
     """(url, unwanted); forms of hosts and paths take turns, alike for wanted and unwanted ones."""
     forms = ["http://{a}{b}.org/{b}/index.php", "https://www.{a}-{b}.net/", "https://{a}.{b}.info/{a}/page-{n}", "http://{b}{n}.biz/{a}.html", "https://shop.{b}{a}.co.uk/item?id={n}", "https://{a}-{n}.io/blog/{n}/{b}-{a}"]
     out = []
-    for words, unwanted, turns in ((UNWANTED_WORDS, True, 4), (WANTED_WORDS, False, 1)):
+    for words, unwanted, turns in ((UNWANTED_WORDS, True, 3), (WANTED_WORDS, False, 1)):
         for turn in range(turns):
             out += [(forms[(k + turn) % len(forms)].format(a=a, b=words[(k * 7 + 3 + 5 * turn) % len(words)], n=k * 37 % 100), unwanted) for k, a in enumerate(words)]
-    for k in range(150):
-        a, b = ("".join(SYLLABLES[(k * x + 7 * y) % len(SYLLABLES)] for y in range(2 + k % 3)) for x in (5, 11))
-        out.append((forms[k % len(forms)].format(a=a, b=b, n=k), False))
-    return out
+    return out + [(forms[k % len(forms)].format(a=nonsense(k), b=nonsense(k + 1001), n=k % 97), False) for k in range(140)]
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -90,32 +102,45 @@ def train(labelled: DataFrame) -> list[float]:
     """DIMS weights and a bias from (url string, unwanted boolean); the table must be small, as its kernel is one row."""
     host, path = url_parts(F.col("url"))
     rows = labelled.where("unwanted is not null").select(buckets(host, path).alias("x"), F.col("unwanted").cast("double").alias("y"))
-    packed = rows.agg(F.array_sort(F.collect_list(F.struct("x", "y"))).alias("rows")).select("rows", F.transform("rows", lambda r: F.lit(0.0)).alias("zero"))
-    kernel = F.transform("rows", lambda r: F.transform("rows", lambda s: 1.0 + F.size(F.array_intersect(r["x"], s["x"])) / F.sqrt(F.size(r["x"]) * F.size(s["x"]))))
-    packed = packed.groupBy().agg(F.first("rows").alias("r"), F.first("zero").alias("z"), F.first(kernel).alias("k")).toDF("rows", "zero", "kernel")  # an aggregate, so that steps don't compute the kernel anew
-
-    def step(alpha: Column, _: Column) -> Column:
-        margin = lambda k: F.aggregate(F.arrays_zip(k.alias("k"), alpha.alias("a")), F.lit(0.0), lambda acc, z: acc + z["k"] * z["a"])
-        return F.transform(
-            F.sequence(F.lit(0), F.size(alpha) - 1),
-            lambda i: F.get(alpha, i) + RATE * (F.get(F.col("rows"), i)["y"] - 1 / (1 + F.exp(-margin(F.get(F.col("kernel"), i)))) - RIDGE * F.get(alpha, i)),
+    rows = rows.agg(F.array_sort(F.collect_list(F.struct("x", "y"))).alias("rows")).select(F.posexplode("rows").alias("i", "r")).select("i", "r.x", "r.y")
+    n = F.size("x")
+    # bucket -1, of all rows, so that each pair has an entry
+    entries = rows.select("i", n.alias("n"), F.explode(F.array_append("x", F.lit(-1))).alias("f"))
+    other = entries.select(F.col("i").alias("j"), F.col("n").alias("m"), "f")
+    kernel = entries.join(other, "f").groupBy("i", "n", "j", "m").agg((F.count("*") - 1).alias("both"))
+    kernel = kernel.groupBy("i").agg(F.array_sort(F.collect_list(F.struct("j", (F.col("both") / F.sqrt(F.col("n") * F.col("m"))).alias("k")))).alias("near")).select("i", F.col("near.k").alias("near"))
+    packed = rows.join(kernel, "i").agg(F.array_sort(F.collect_list(F.struct("i", "x", "y", "near"))).alias("rows")).where(F.size("rows") > 0)
+    start = F.struct(F.transform("rows", lambda r: F.lit(0.0)).alias("alpha"), F.lit(0.0).alias("b"))
+
+    def step(at: Column, _: Column) -> Column:
+        margin = lambda r: F.aggregate(F.zip_with(r["near"], at["alpha"], lambda k, a: k * a), at["b"], lambda acc, x: acc + x)
+        errors = F.transform("rows", lambda r: r["y"] - 1 / (1 + F.exp(-margin(r))))
+        moved = lambda e: F.struct(
+            F.zip_with(at["alpha"], e, lambda a, x: a + RATE * (x - RIDGE * a)).alias("alpha"), (at["b"] + BIAS_RATE * F.aggregate(e, F.lit(0.0), lambda acc, x: acc + x) / F.size(e)).alias("b")
         )
+        return let(errors, moved)
 
-    fitted = packed.where(F.size("rows") > 0).select("rows", F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), F.col("zero"), step).alias("alpha"))
-    each = fitted.select(F.explode(F.arrays_zip("rows", "alpha")).alias("z")).select("z.rows.x", "z.alpha")
+    fitted = packed.select("rows", F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, step).alias("fit"))
+    each = fitted.select(F.explode(F.arrays_zip("rows", F.col("fit.alpha").alias("alpha"))).alias("z"), "fit.b").select("z.rows.x", "z.rows.i", "z.alpha", "b")
     # bucket DIMS is the bias
-    shares = each.select(F.explode(F.array_append("x", F.lit(DIMS))).alias("f"), F.when(F.col("f") == DIMS, F.col("alpha")).otherwise(F.col("alpha") / F.sqrt(F.size("x"))).alias("w"))
+    shares = each.select(F.explode("x").alias("f"), (F.col("alpha") / F.sqrt(n)).alias("w")).unionByName(each.where("i = 0").select(F.lit(DIMS).alias("f"), F.col("b").alias("w")))
     total = {r.f: r.w for r in shares.groupBy("f").agg(F.sum("w").alias("w")).collect()}  # at most DIMS + 1 rows
     return [total.get(f, 0.0) for f in range(DIMS + 1)]
 
 
+@once_a_session
+def default_weights() -> list[float]:
+    """Of the default labelled table, fitted once a session."""
+    return train(default_labels(SparkSession.active()))
+
+
 def default_labels(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(labelled_urls(), "url string, unwanted boolean")
 
 
 def url_filter(pages: DataFrame, rules: list[tuple[str, str, str]] = (), labelled: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """One row per page: id, host, path, rule, score (probability of being unwanted) and verdict."""
-    weights = train(labelled if labelled is not None else default_labels(pages.sparkSession))
+    weights = train(labelled) if labelled is not None else default_weights()
     w = F.split(F.lit(",".join(map(repr, weights))), ",").cast("array<double>")  # folded into one literal
     host, path = url_parts(pages[url_col].cast("string"))
     parts = pages.select(pages[id_col].alias("id"), host.alias("host"), path.alias("path"))
@@ -124,4 +149,4 @@ def url_filter(pages: DataFrame, rules: list[tuple[str, str, str]] = (), labelle
     said = F.coalesce(*[F.when(ok, F.lit(v)) for _, v, ok in fits], F.lit(None).cast("string"))
     margin = F.aggregate("x", F.lit(0.0), lambda acc, f: acc + F.get(w, f)) / F.sqrt(F.size("x")) + F.get(w, F.lit(DIMS))
     out = parts.withColumn("x", buckets(F.col("host"), F.col("path"))).select("id", "host", "path", rule.alias("rule"), said.alias("said"), (1 / (1 + F.exp(-margin))).alias("score"))
-    return out.select(F.col("id").alias(id_col), "host", "path", "rule", "score", F.coalesce("said", F.when(F.col("score") > 0.5, "block").otherwise("allow")).alias("verdict"))
+    return out.select(F.col("id").alias(id_col), "host", "path", "rule", "score", F.coalesce("said", F.when(F.col("score") > BLOCK_AT, "block").otherwise("allow")).alias("verdict"))

@@ -37,7 +37,8 @@ def test_training_equals_gradient_descent(spark):
     phi[:, -1] = 1
     y, w = np.array([float(r.unwanted) for r in rows]), np.zeros(U.DIMS + 1)
     for _ in range(U.STEPS):
-        w = w + U.RATE * (phi.T @ (y - 1 / (1 + np.exp(-phi @ w))) - U.RIDGE * w)
+        e = y - 1 / (1 + np.exp(-phi @ w))
+        w = np.r_[w[:-1] + U.RATE * (phi[:, :-1].T @ e - U.RIDGE * w[:-1]), w[-1] + U.BIAS_RATE * e.mean()]
     assert got == pytest.approx(w, abs=1e-9)
 
 
@@ -48,3 +49,31 @@ def test_defined_cases(spark):
     assert U.url_filter(d.limit(0), U.RULES).count() == 0
     none = spark.createDataFrame([], "url string, unwanted boolean")
     assert {(r.verdict, r.score) for r in U.url_filter(d, (), none).collect()} == {("allow", 0.5)}
+
+
+def test_meaningless_hosts_made_otherwise_are_allowed(spark):
+    """Names by a Markov chain over running text, not from the table's groups and syllables."""
+    import random
+
+    rnd = random.Random(8)
+    text = "the quick brown fox jumps over a lazy dog while seven wizards brew potent elixirs near quiet harbours and other thirsty travellers gather there " * 2
+    follows = {}
+    for a, b in zip(text, text[1:], strict=False):
+        follows.setdefault(a, []).append(b)
+    names = []
+    while len(names) < 300:
+        c, name = rnd.choice("thewsaob"), ""
+        while len(name) < rnd.randrange(5, 11):
+            name += c
+            c = rnd.choice([x for x in follows[c] if x != " "] or ["e"])
+        names.append(name)
+    urls = [rnd.choice(["https://www.{}.com/en/12", "http://m.{}.example.net/de/{}", "https://blog.{}.org/fr/99.html"]).format(n, k) for k, n in enumerate(names)]
+    got = U.url_filter(frame(spark, urls)).collect()
+    assert len([urls[r.page_id] for r in got if r.verdict == "block"]) <= 3  # of 300
+
+
+def test_ties_and_repeated_rows(spark):
+    rules = [("a.org", "/x", "block"), ("a.org", "/", "allow"), ("org", "/x/y", "block")]
+    d = frame(spark, ["https://b.a.org/x/y", "https://b.a.org/x/y", "https://A.ORG/x", "https://za.org/x", "https://a.org"])
+    got = [(r.rule, r.verdict) for r in U.url_filter(d.union(d.limit(1)), rules).orderBy("page_id").collect()]
+    assert got[:3] == [got[0]] * 3 and got[0] in {("a.org/x", "block"), ("org/x/y", "block")} and got[3:5] == [("a.org/x", "block"), (None, "allow")] and got[5][0] is None
