@@ -44,6 +44,8 @@ from .urlfilter import url_parts
 MIN_PAGES, MIN_SHARE = 10, 0.001
 #: Up to so many template hashes (8 bytes each) are broadcast; beyond, they are joined to the pages.
 BROADCAST_ROWS = 500_000
+#: Stands for the page itself among its subtrees.
+PAGE = 0x5061676521
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = set("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
@@ -277,19 +279,17 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
             keys, prints, hosts = [], [], []
             for h, s in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True):
                 page = Page(s or "")
-                own = set(page.hashes(h)[1].tolist())
+                own = set(page.hashes(h)[1].tolist()) | {PAGE}
                 keys += own
                 prints += [page.fingerprint()] * len(own)
                 hosts += [xxhash.xxh64_intdigest(h) - (1 << 63)] * len(own)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (hosts, keys, prints)], ["host_key", "subtree", "print"])
 
     found = base.select("host", "html").mapInArrow(subtrees, "host_key long, subtree long, print long")
-    held = found.groupBy("host_key", "subtree", "print").agg(F.lit(1).alias("one")).groupBy("host_key", "subtree").count().where(F.col("count") >= min_pages)
-    sizes = base.groupBy(F.xxhash64("host").alias("h")).count()
-    largest = sizes.agg(F.max("count")).first()[0] or 0
-    if largest * min_share > min_pages:  # else the share decides nothing
-        per_host = found.select("host_key", "print").distinct().groupBy("host_key").agg(F.count("*").alias("pages"))
-        held = held.join(per_host, "host_key").where(F.col("count") >= F.col("pages") * min_share)
+    counts = found.groupBy("host_key", "subtree", "print").agg(F.lit(1).alias("one")).groupBy("host_key", "subtree").count()
+    counts = checkpointed(counts.where((F.col("count") >= min_pages) | (F.col("subtree") == PAGE)))  # templates and hosts
+    pages_of = counts.where(F.col("subtree") == PAGE).select("host_key", F.col("count").alias("pages"))
+    held = counts.where(F.col("subtree") != PAGE).join(pages_of, "host_key").where(F.col("count") >= F.col("pages") * min_share)
     held = checkpointed(held.select("subtree").distinct())
     few = held.count() <= broadcast_rows
     known = np.sort(np.array([r.subtree for r in held.collect()], np.int64)) if few else None  # at most broadcast_rows numbers
