@@ -245,6 +245,8 @@ SQL: dict[str, str] = {
     "url_dedupe": f"WITH p AS ({PAGE_PARTS}), k AS (SELECT *, regexp_replace(host, '^www\\.', '') || regexp_replace(path, '/$', '') AS key FROM p) SELECT key, min(page_id) AS page_id, count(*) AS n FROM k GROUP BY key",
     "registrable_labels": f"WITH p AS ({PAGE_PARTS}) SELECT DISTINCT host, {label('host')} AS label FROM p",
     "email_domain_classes": f"WITH e AS (SELECT DISTINCT doc_id, lower(split_part(unnest(regexp_extract_all(text, {q('(?i)' + L.EMAIL)})), '@', 2)) AS domain FROM documents) SELECT doc_id, domain, {in_list('domain', L.FREE_EMAIL_DOMAINS)} AS free, {label('domain')} AS label FROM e",
+    "url_entries": posts("SELECT key, name, ord FROM (SELECT DISTINCT u.host || u.path AS key, " + entry("u.host", "u.path", [*L.ATS_DOMAINS, *L.FORM_DOMAINS]) + " AS name, " + entry("u.host", "u.path", [(d, p, str(k)) for k, (d, p, _) in enumerate([*L.ATS_DOMAINS, *L.FORM_DOMAINS])]) + "::INT AS ord FROM (SELECT unnest(urls) AS u FROM with_urls)) WHERE name IS NOT NULL"),
+    "corporate_emails": f"WITH e AS (SELECT DISTINCT doc_id, lower(split_part(unnest(regexp_extract_all(text, {q('(?i)' + L.EMAIL)})), '@', 2)) AS domain FROM documents) SELECT doc_id, domain FROM e WHERE NOT {in_list('domain', L.FREE_EMAIL_DOMAINS)}",
     "redact_emails": f"SELECT doc_id, sha256({without_emails('text')}) AS digest FROM documents WHERE regexp_matches(text, {q('(?i)' + L.EMAIL)})",
     "redact_documents": f"SELECT doc_id, {without_phones(without_emails('regexp_replace(text, ' + q('(?i)' + L.PROFILE) + ", '[profile]', 'g')"))} AS text FROM documents",
     "flatten_documents": f"SELECT doc_id, sha256({flat('text')}) AS digest FROM documents",

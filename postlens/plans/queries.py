@@ -11,6 +11,7 @@ from ..functions import lexicon as L
 from ..functions import text as T
 from ..functions import urls as U
 from ..operators import decision as D
+from ..operators import domains as DM
 from ..operators import evaluation as E
 from ..operators import reasons as R
 from ..operators import settings as ST
@@ -156,6 +157,23 @@ def email_domain_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "domain", U.in_domain_list(F.col("domain"), L.FREE_EMAIL_DOMAINS).alias("free"), U.registrable_label(F.col("domain")).alias("label"))
 
 
+@query
+def url_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distinct URLs of all posts, joined with the lists of job sites and forms by host suffix."""
+    d = derived_posts(spark, sf_dir).select(F.explode(collect_urls(F.col("links"), F.col("text"))).alias("u")).select("u.host", "u.path").distinct()
+    urls = d.select(F.concat("host", "path").alias("key"), "host", "path")
+    found = DM.first_entries(urls, DM.entry_table(spark, [*L.ATS_DOMAINS, *L.FORM_DOMAINS]))
+    return found.select("key", "name", F.col("ord").cast("int").alias("ord"))
+
+
+@query
+def corporate_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, domain) of email domains that are not in the list of free providers: an anti-join."""
+    d = documents(spark, sf_dir, "text").select("doc_id", F.explode(U.email_domains(F.lit(None).cast("array<string>"), F.col("text"))).alias("domain"))
+    free = spark.createDataFrame([(x,) for x in L.FREE_EMAIL_DOMAINS], "domain string")
+    return d.join(DM.listed(d, free, "domain"), "domain", "left_anti").select("doc_id", "domain")
+
+
 @query
 def redact_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir, "text").select("doc_id", T.redact_contacts(F.col("text")).alias("text"))
