@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import lexicon as L
+from .hosts import canonical_host, over, without_dots
 from .text import holds, java, let, strings
 
 REST = r"(?i)^https?:[/\\]*(?:[^/\\?#]*@)?([^/\\?#:@]+)(?::(\d{0,5}))?(?=[/\\?#]|$)([^?#]*)"
@@ -42,28 +43,37 @@ def registrable_label(host: Column) -> Column:
 
 
 def parse_once(raw: Column) -> Column:
-    """struct(host, path, query) of a raw link, or null: it must hold a dot and no white space."""
-    return let(F.regexp_replace(raw, java(r"^\s+|\s+$", False), ""), lambda t: let(F.when(t.rlike("(?i)^https?://"), t).otherwise(F.concat(F.lit("https://"), t)), lambda url: let(F.lower(F.regexp_extract(url, REST, 1)), lambda host: _checked(t, url, host))))
+    """struct(host, path, query) of a raw link, or null: it must hold a dot and no white space, and its host must be one."""
+    return let(F.regexp_replace(raw, java(r"^\s+|\s+$", False), ""), lambda t: let(F.when(t.rlike("(?i)^https?://"), t).otherwise(F.concat(F.lit("https://"), t)), lambda url: let(canonical_host(F.regexp_extract(url, REST, 1)), lambda host: _checked(t, url, host))))
 
 
 def _checked(t: Column, url: Column, host: Column) -> Column:
     port = F.regexp_extract(url, REST, 2)
-    last = F.element_at(F.split(F.regexp_replace(host, r"\.$", ""), r"\."), -1)
-    numeric = last.rlike(r"^(\d+|0x[0-9a-f]*)$") & ~host.rlike(r"^(\d{1,3}\.){0,3}\d{1,3}\.?$")
-    ok = F.contains(t, F.lit(".")) & ~t.rlike(java(r"\s", False)) & (host != "") & ~host.rlike(r"[<>\[\]^|%{}]") & ~numeric & ((port == "") | (port.cast("int") <= 65535))
+    ok = host.isNotNull() & F.contains(t, F.lit(".")) & ~t.rlike(java(r"\s", False)) & ((port == "") | (port.cast("int") <= 65535))
     path = F.replace(F.regexp_extract(url, REST, 3), F.lit("\\"), F.lit("/"))
-    return F.when(F.coalesce(ok, F.lit(False)), F.struct(host.alias("host"), F.when(path == "", "/").otherwise(path).alias("path"), F.regexp_extract(url, r"\?([^#]*)", 1).alias("query")))
+    return F.when(F.coalesce(ok, F.lit(False)), F.struct(host.alias("host"), F.when(path == "", "/").otherwise(without_dots(path)).alias("path"), F.regexp_extract(url, r"\?([^#]*)", 1).alias("query")))
 
 
-def parse_url(raw: Column) -> Column:
-    """As parse_once, but links through a network's own redirect page are unwrapped (twice at most)."""
+#: The least length of a redirect page's address with an empty link in it.
+LEAST_WRAPPER = 25
 
-    def target(u: Column) -> Column:
-        wrapped = host_matches(u["host"], "linkedin.com") & u["path"].rlike(r"^/(redir/redirect|safety/go)")
-        return F.when(wrapped, F.try_url_decode(F.nullif(F.regexp_extract(u["query"], r"(?:^|&)url=([^&]*)", 1), F.lit(""))))
 
-    once = lambda c: let(parse_once(c), lambda u: let(target(u), lambda inner: F.when(inner.isNotNull(), parse_once(inner)).otherwise(u)))
-    return let(once(raw), lambda u: let(target(u), lambda inner: F.when(inner.isNotNull(), parse_once(inner)).otherwise(u)))
+def parse_url(raw: Column) -> Column:
+    """As parse_once, but links through a network's own redirect page are unwrapped, however often they are wrapped."""
+
+    def inner(r: Column) -> Column:
+        """The link in a redirect page's address, which needs no more of parsing than this."""
+        t = F.regexp_replace(r, java(r"^\s+|\s+$", False), "")
+        url = F.when(t.rlike("(?i)^https?://"), t).otherwise(F.concat(F.lit("https://"), t))
+        host = F.lower(F.regexp_extract(url, REST, 1))
+        path = without_dots(F.replace(F.regexp_extract(url, REST, 3), F.lit("\\"), F.lit("/")))
+        wrapped = host_matches(host, "linkedin.com") & path.rlike(r"^/(redir/redirect|safety/go)") & ~t.rlike(java(r"\s", False))
+        return F.when(wrapped, F.try_url_decode(F.nullif(F.regexp_extract(url, r"^[^#?]*\?(?:[^#]*&)?url=([^&#]*)", 1), F.lit(""))))
+
+    levels = F.sequence(F.lit(1), over(F.length(raw).cast("long"), LEAST_WRAPPER).cast("int") + 1)
+    last = F.aggregate(levels, raw, lambda acc, _: F.coalesce(inner(acc), acc))
+    maybe = F.coalesce(F.lower(raw).rlike("/(redir/redirect|safety/go)"), F.lit(False)) | F.contains(raw, F.lit("/."))
+    return parse_once(F.when(maybe, last).otherwise(raw))
 
 
 def url_key(u: Column) -> Column:
