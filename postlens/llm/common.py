@@ -50,6 +50,12 @@ def in_files(df: DataFrame, per_core: int = 1) -> DataFrame:
     return df.coalesce(per_core * df.sparkSession.sparkContext.defaultParallelism)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores, where a small input has fewer partitions than there are cores; larger inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage of a narrow table with a reliable checkpoint."""
     shared_dir(df.sparkSession)

@@ -28,7 +28,7 @@ from math import ceil
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, spread
 
 WINDOW, LEAST_STRETCH, SHARE = 13, 9, 0.75
 #: Kept positions of a mask, and masks of one length, at most.
@@ -97,13 +97,13 @@ def agreement() -> Column:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", seeds_per_block: int = SEEDS_PER_BLOCK) -> DataFrame:
     """A row for each overlapping pair: document id, item id, matched (words that agree in the best stretch), stretch (its words) and hits."""
-    d = docs.select(docs[id_col].alias("id"), words(docs[text_col]).alias("w")).withColumn("n", F.size("w"))
-    b = benchmark.select(benchmark[item_col].alias("item"), words(benchmark[item_text_col]).alias("w")).withColumn("n", F.size("w"))
+    d = spread(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))).select("id", words(F.col("text")).alias("w")).withColumn("n", F.size("w"))
+    b = spread(benchmark.select(benchmark[item_col].alias("item"), benchmark[item_text_col].alias("text"))).select("item", words(F.col("text")).alias("w")).withColumn("n", F.size("w"))
     n = F.col("n")
     short = sorted(r.n for r in b.where((n > 0) & (n < WINDOW)).select("n").distinct().collect())  # at most WINDOW - 1 numbers
     middle = range(LEAST_STRETCH, WINDOW)
     of_item = {k: n == k for k in short if k < LEAST_STRETCH} | {k: n >= k for k in middle} | {WINDOW: n >= WINDOW}
-    seeds = windows(b, F.lit(True)).select("item", F.col("n").alias("item_n"), context().alias("item_context"), F.explode(keys_of(of_item)).alias("key")).where("key is not null").distinct()
+    seeds = checkpointed(windows(b, F.lit(True)).select("item", F.col("n").alias("item_n"), context().alias("item_context"), F.explode(keys_of(of_item)).alias("key")).where("key is not null").distinct())
     blocks = max(1, -(-seeds.count() // seeds_per_block))
     # most documents need the masks of one length only; the others are apart, as their longer code is not compiled
     whole = F.greatest("n", F.lit(LEAST_STRETCH))
