@@ -58,7 +58,48 @@ def hosted(factory: ScorerFactory) -> Scorer:
     return _HOSTS[factory.name]
 
 
-def ask(open_questions: DataFrame, scorer: Scorer, pause: float = PAUSE) -> DataFrame:
+def answered(scorer: Scorer, texts: Sequence[str], questions: Sequence[Sequence[str]]) -> list[dict[str, float | None]]:
+    """For each text, the scores of its questions: in one call, if the scorer has score_questions(texts, questions), else a call for each question."""
+    if hasattr(scorer, "score_questions"):
+        return [dict(x) for x in scorer.score_questions(texts, questions)]
+    out: list[dict[str, float | None]] = [{} for _ in texts]
+    for q in dict.fromkeys(q for own in questions for q in own):
+        at = [k for k, own in enumerate(questions) if q in own]
+        for k, s in zip(at, scorer.score(q, [texts[k] for k in at]), strict=True):
+            out[k][q] = s
+    return out
+
+
+def ask_together(open_posts: DataFrame, factory: ScorerFactory, pause: float = PAUSE) -> DataFrame:
+    """(text_key, scores) for (text_key, text, questions): all open questions of a text go to the scorer together, which each worker process makes once.
+
+    Equal texts are asked once, with all their questions; null and empty lists of questions ask
+    nothing and come out with null scores; a question that the scorer does not answer is null,
+    and so are all of a batch while it fails and for the pause after that.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        again = 0.0
+        for b in batches:
+            texts, questions = [(t or "")[: L.MODEL_TEXT] for t in b.text], [list(q) for q in b.questions]
+            got: list[dict] = [{} for _ in texts]
+            at = [k for k, q in enumerate(questions) if q]
+            if at and time.monotonic() >= again:
+                try:
+                    for k, x in zip(at, answered(hosted(factory), [texts[k] for k in at], [questions[k] for k in at]), strict=True):
+                        got[k] = x
+                except ScorerFailed:
+                    again = time.monotonic() + pause
+            yield pd.DataFrame({"text_key": b.text_key, **{q: pd.Series([x.get(q) for x in got], dtype="float64") for q in QUESTIONS}})
+
+    none = F.array().cast("array<string>")
+    once = open_posts.groupBy("text_key").agg(F.first("text").alias("text"), F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.coalesce("questions", none))))).alias("questions"))
+    asked = once.mapInPandas(run, "text_key string, hiring double, bait double, scam double")
+    number = lambda q: F.when(~F.isnan(q), F.col(q)).alias(q)
+    return asked.select("text_key", F.struct(*[number(q) for q in QUESTIONS]).cast(SCORES).alias("scores"))
+
+
+def ask(open_questions: DataFrame, scorer: Scorer | ScorerFactory, pause: float = PAUSE) -> DataFrame:
     """(text_key, question, score) for (text_key, question, text), each distinct one once; null where the scorer fails, and for so many seconds after it has."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -69,7 +110,7 @@ def ask(open_questions: DataFrame, scorer: Scorer, pause: float = PAUSE) -> Data
                 got = [None] * len(texts)
                 if time.monotonic() >= again:
                     try:
-                        got = list(scorer.score(question, texts))
+                        got = list((hosted(scorer) if isinstance(scorer, ScorerFactory) else scorer).score(question, texts))
                     except ScorerFailed:
                         again = time.monotonic() + pause
                 yield pd.DataFrame({"text_key": part.text_key.to_numpy(), "question": question, "score": pd.Series(got, dtype="float64").to_numpy()})
@@ -110,7 +151,7 @@ def append_cache(answers: DataFrame, cache: DataFrame, path: str) -> None:
     cache_misses(answers, cache).select("text_key", "question", "score").write.mode("append").parquet(path)
 
 
-def score_lazily(features: DataFrame, scorer: Scorer, t: Thresholds = Thresholds(), cache: DataFrame | None = None, model: str = "model", kind: str = "") -> tuple[DataFrame, DataFrame]:
+def score_lazily(features: DataFrame, scorer: Scorer | ScorerFactory, t: Thresholds = Thresholds(), cache: DataFrame | None = None, model: str = "model", kind: str = "") -> tuple[DataFrame, DataFrame]:
     """Two rounds: the hiring question, then what is still open. Only rows with open questions reach the scorer.
 
     Returns the features with `scores`, and all answers (the new cache). Answers are kept
