@@ -3,15 +3,13 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 from functools import cache, reduce
 from operator import or_
 
-import pandas as pd
 from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from . import lexicon as L
 
@@ -121,20 +119,13 @@ def matches_any_if(c: Column, low: Column | str, patterns: Sequence[str]) -> Col
     return out
 
 
-@F.pandas_udf(StringType())
-def nfkc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Compatibility composition, which has no built-in expression; for an ingest step."""
-    import unicodedata
-
-    for s in batches:
-        yield s.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
-
-
 def flatten(c: Column, compose: bool = False) -> Column:
     """Lower-case words joined by single spaces, with a space at both ends, so that phrases are substrings.
 
     compose adds compatibility composition (after lower-casing, as the order matters).
     """
+    from .compose import nfkc
+
     low = F.lower(c)
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(nfkc(low) if compose else low, r"[^\p{L}\p{N}+]+", " ")), F.lit(" "))
 

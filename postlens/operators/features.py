@@ -132,7 +132,7 @@ def stages(compose: bool) -> list[dict[str, Column]]:
 def extract_features(posts: DataFrame, compose: bool = False) -> DataFrame:
     """All columns of the posts, with `features` and `text_units` (the text's length in UTF-16 units).
 
-    compose applies Unicode compatibility composition before matching, as an Arrow step.
+    compose applies Unicode compatibility composition before matching.
     """
     d, steps = posts, stages(compose)
     for step in steps[:-1]:
