@@ -8,7 +8,8 @@ operations; only words with a failing pair go through exact merging.
 
 Defined cases: null text counts as empty; an empty text has no ids; the special
 strings of the vocabulary file are single ids wherever they occur; repeated rows
-are encoded independently; extra columns are ignored; a null id is passed through.
+are encoded independently; extra columns are ignored; a null id is passed through; very
+long texts, and words without any break, are encoded as a whole; an empty table gives no rows.
 """
 
 from __future__ import annotations

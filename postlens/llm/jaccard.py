@@ -20,7 +20,8 @@ components is lost and no large group yields all its pairs.
 Defined cases: documents with no words (or null text) have an empty set and are linked
 with nothing; with fewer than SHINGLE words the whole sequence is one shingle; repeated
 rows are members of one class; documents with the same id and other text keep their
-own classes; the component of a null id ignores that id; extra columns are ignored.
+own classes; the component of a null id ignores that id; extra columns are ignored; very
+long texts have all their shingles; an empty table gives no rows.
 """
 
 from __future__ import annotations
