@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Rows per Arrow batch handed to Python: texts may be very long, so batches stay small.
 ARROW_ROWS = 500
+#: Bytes of written tables from which shuffle files of finished jobs are worth dropping early.
+RELEASE_BYTES = 128 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,20 +68,31 @@ class Scratch:
     """Parquet tables in the shared folder that cut the lineage of larger results, as they are compressed; remove() ends those that nothing reads any more."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, {}
+        self.spark, self.paths, self.bytes = spark, {}, 0
+
+    def at(self, path: str) -> tuple:
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return place.getFileSystem(self.spark._jsc.hadoopConfiguration()), place
 
     def written(self, df: DataFrame, per_core: int = 4) -> DataFrame:
         path = f"{shared_dir(self.spark)}/{uuid.uuid4().hex}"
         in_files(df, per_core).write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = (out, path)
+        fs, place = self.at(path)
+        self.bytes += fs.getContentSummary(place).getLength()
         return out
 
     def remove(self, *tables: DataFrame) -> None:
         for t in tables:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(id(t))[1])
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-        release(self.spark)
+            fs, place = self.at(self.paths.pop(id(t))[1])
+            fs.delete(place, True)
+        self.release()
+
+    def release(self) -> None:
+        """release() where the tables were large enough for their shuffles to matter."""
+        if self.bytes >= RELEASE_BYTES:
+            release(self.spark)
 
 
 def written(df: DataFrame) -> DataFrame:

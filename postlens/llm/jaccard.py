@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, checkpointed, release
+from .common import Scratch, checkpointed
 from .parts import PART_BYTES, ascii_words, bucket_count, bucket_edges, in_parts, mix, part_count
 
 SHINGLE, SMALL = 5, 8
@@ -275,7 +275,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     scratch = Scratch(docs.sparkSession)
     while True:
         made = scratch.written(sketches(docs, id_col, text_col, salts, part_bytes), 16)
-        release(docs.sparkSession)
+        scratch.release()
         weak = [r[0] for r in made.select(F.explode("weak")).distinct().collect()]  # bands: a few dozen at most
         if not weak:
             break
@@ -299,7 +299,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     pairs = tiny.alias("x").join(tiny.alias("y"), "key").where("x.cid < y.cid").select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"))
     star = large.select("cid", F.explode(F.array_distinct(F.array("p1", "p2", "p3"))).alias("p")).where("cid <> p").select(F.least("cid", "p").alias("a"), F.greatest("cid", "p").alias("b"))
     pairs = checkpointed(pairs.unionByName(star).distinct())
-    release(docs.sparkSession)
+    scratch.release()
     edges = checkpointed(verified(pairs, classes))
     label = components(edges)
     # large groups that still hold several components: all pairs across them
