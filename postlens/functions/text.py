@@ -205,11 +205,12 @@ def format_age(hours: Column) -> Column:
 
 
 def parse_count(c: Column) -> Column:
-    """`1,234`, `1.2K`, `3M` or `12 comments` as a number; null if there is none."""
+    """`1,234`, `1.2K`, `3M` or `12 comments` as a number; null if there is none. Numbers beyond 64 bits stay at their end."""
     bare = F.replace(c, F.lit(","), F.lit(""))
     n = F.regexp_extract(bare, r"(?i)(\d+(?:\.\d+)?)\s*([km])?", 1)
     unit = F.lower(F.regexp_extract(bare, r"(?i)(\d+(?:\.\d+)?)\s*([km])?", 2))
-    return F.when(n != "", F.round(n.cast("double") * F.when(unit == "k", 1_000).when(unit == "m", 1_000_000).otherwise(1)).cast("long"))
+    value = F.round(n.cast("double") * F.when(unit == "k", 1_000).when(unit == "m", 1_000_000).otherwise(1))
+    return F.when(n != "", F.when(value < 2.0**63, value.cast("long")).otherwise(2**63 - 1))
 
 
 def utf16_length(c: Column) -> Column:

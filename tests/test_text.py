@@ -30,6 +30,12 @@ def test_parse_count(spark):
     assert values(spark, ["7", "20,481", "6.4k", "2M", "0.5 m", "31 reactions", "", None, "many"], T.parse_count) == [7, 20481, 6400, 2_000_000, 500_000, 31, None, None, None]
 
 
+def test_counts_beyond_64_bits(spark):
+    # more digits than a long holds stay at its end: a number anywhere in a feed page must not fail the job
+    ends = ["4413361509902647713792 likes", "9,223,372,036,854,775,807", "9".ljust(400, "9") + " comments", "9000000000000000000m"]
+    assert values(spark, [*ends, "9007199254740992"], T.parse_count) == [2**63 - 1] * 4 + [2**53]
+
+
 def test_flatten_and_composition(spark):
     assert values(spark, ["  We're HIRING!! C++ ", ""], T.flatten) == [" we re hiring c++ ", "  "]
     # lower-casing comes before composition, so a mathematical capital stays one
