@@ -219,10 +219,12 @@ def utf16_length(c: Column) -> Column:
 
 def hash_text(c: Column, units: int = 300) -> Column:
     """djb2 over the first UTF-16 units, as base-36 text."""
-    b = F.encode(c, "UTF-16BE")
-    n = F.least((F.octet_length(b) / 2).cast("int"), F.lit(units))
-    code = lambda i: F.conv(F.hex(F.substring(b, i * 2 + 1, F.lit(2))), 16, 10).cast("bigint")
-    h = F.aggregate(F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), code), F.lit(5381).cast("bigint"), lambda acc, u: F.pmod(acc * 33 + u, F.lit(4294967296)))
+    # no more characters than units are cut off first, once, so that the rest of a long text costs nothing
+    points = F.when(c == "", F.array().cast("array<int>")).otherwise(F.transform(F.split(F.substring(c, 1, units), ""), F.ascii))
+    pair = lambda p: F.array(F.lit(55296) + F.shiftright(p - 65536, 10), F.lit(56320) + (p - 65536).bitwiseAND(1023))
+    wide = lambda ps: F.slice(F.flatten(F.transform(ps, lambda p: F.when(p < 65536, F.array(p)).otherwise(pair(p)))), 1, units)
+    code = let(points, lambda ps: F.when(F.exists(ps, lambda p: p > 65535), wide(ps)).otherwise(ps))
+    h = F.aggregate(code, F.lit(5381).cast("bigint"), lambda acc, u: (acc * 33 + u).bitwiseAND(4294967295))
     return F.lower(F.conv(h.cast("string"), 10, 36))
 
 

@@ -72,6 +72,23 @@ def test_hash_text(spark):
     assert values(spark, cases, T.hash_text) == [djb2(c) for c in cases]
 
 
+def test_hash_text_reads_no_more_than_its_units(spark):
+    import time
+
+    def took(size):
+        text = spark.range(400).select(F.concat(F.col("id").cast("string"), F.lit("long text " * size)).alias("t")).localCheckpoint()
+        began = time.time()
+        text.agg(F.max(T.hash_text(F.col("t")))).collect()
+        return time.time() - began
+
+    took(40)
+    assert took(20_000) < 5 * took(40) + 3
+    cases = ["a" * 299 + "😀", "a" * 298 + "😀😀", "é\x00\n" * 150]
+    assert len(set(values(spark, cases, T.hash_text))) == 3
+    # a pair cut in half by the limit counts with its first half, as in UTF-16
+    assert values(spark, ["a" * 299 + "😀", "a" * 299 + "😁"], T.hash_text) == [values(spark, ["a" * 299 + "😀x"], T.hash_text)[0]] * 2
+
+
 def test_redaction(spark):
     cases = {
         "x@sub.gmail.com,y@nimbus.io;": "[email:free],[email:company];", "no digits to call: 12 34 56": "no digits to call: 12 34 56", "ring (030) 44-55-66-7 today": "ring ([phone] today",
