@@ -124,10 +124,15 @@ def flatten(c: Column, compose: bool = False) -> Column:
 
     compose adds compatibility composition (after lower-casing, as the order matters).
     """
+    return flatten_low(F.lower(c), compose)
+
+
+def flatten_low(low: Column, compose: bool = False) -> Column:
+    """flatten() of text that is in lower case already."""
     from .compose import nfkc
 
-    low = F.lower(c)
-    return F.concat(F.lit(" "), F.trim(F.regexp_replace(nfkc(low) if compose else low, r"[^\p{L}\p{N}+]+", " ")), F.lit(" "))
+    # the commonest characters come first in the class, and single spaces are no match
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(nfkc(low) if compose else low, r"[^a-z0-9+ \p{L}\p{N}][^a-z0-9+\p{L}\p{N}]*| [^a-z0-9+\p{L}\p{N}]+", " ")), F.lit(" "))
 
 
 def first_words(phrases: Sequence[str]) -> dict[str, list[str]]:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,6 +13,11 @@ from . import lexicon as L
 from .hosts import canonical_host, over, without_dots
 from .text import holds, java, let, strings
 
+#: The patterns in Java's dialect, without going back into a run of characters that can't be followed by what comes next.
+#: An address begins where a run of its characters does, or where the last match ended.
+EMAIL = java(L.EMAIL).replace("[A-Z0-9._%+-]+@", r"(?:(?<![A-Z0-9._%+-])|\G)[A-Z0-9._%+-]++@")
+URL = java(L.URL).replace("[a-z0-9-]+", "[a-z0-9-]++")
+
 REST = r"(?i)^https?:[/\\]*(?:[^/\\?#]*@)?([^/\\?#:@]+)(?::(\d{0,5}))?(?=[/\\?#]|$)([^?#]*)"
 
 
@@ -80,15 +87,21 @@ def url_key(u: Column) -> Column:
     return F.concat(F.regexp_replace(u["host"], r"^www\.", ""), F.regexp_replace(u["path"], "/$", ""))
 
 
-def all_if(text: Column, pattern: str, java_pattern: str) -> Column:
+def may_hold(text: Column, low: Column | None, patterns: Sequence[str]) -> Column:
+    """Whether the text holds what one of the patterns needs. low: the text in lower case, if that is there already."""
+    one = lambda x: reduce(or_, [holds(x, L.NEEDED[p]) for p in patterns])
+    return let(F.lower(text), one) if low is None else one(low)
+
+
+def all_if(text: Column, pattern: str, java_pattern: str, low: Column | None = None) -> Column:
     """All matches' first groups; searched for only where the text holds what the pattern needs."""
     found = F.regexp_extract_all(text, F.lit(java_pattern), F.lit(1))
     none = F.array().cast("array<string>")
-    return F.when(text.isNull(), None).when(holds(F.lower(text), L.NEEDED[pattern]), found).otherwise(none) if pattern in L.NEEDED else found
+    return F.when(text.isNull(), None).when(may_hold(text, low, [pattern]), found).otherwise(none) if pattern in L.NEEDED else found
 
 
-def bare_urls(text: Column) -> Column:
-    return all_if(text, L.URL, "(" + java(L.URL) + ")")
+def bare_urls(text: Column, low: Column | None = None) -> Column:
+    return all_if(text, L.URL, f"({URL})", low)
 
 
 def is_careers_link(u: Column) -> Column:
@@ -98,31 +111,29 @@ def is_careers_link(u: Column) -> Column:
     return F.arrays_overlap(F.concat(subdomains, F.split(F.lower(u["path"]), r"[/_.]+")), strings(L.CAREERS_HINTS))
 
 
-def text_emails(text: Column) -> Column:
-    return all_if(text, L.EMAIL, "(" + java(L.EMAIL) + ")")
+def text_emails(text: Column, low: Column | None = None) -> Column:
+    return all_if(text, L.EMAIL, f"({EMAIL})", low)
 
 
-def email_domains(emails: Column, text: Column) -> Column:
+def email_domains(emails: Column, text: Column, low: Column | None = None) -> Column:
     """Distinct lower-case domains of listed emails, then of those in the text; null for what has no @."""
-    every = F.concat(F.coalesce(emails, F.array().cast("array<string>")), text_emails(text))
+    every = F.concat(F.coalesce(emails, F.array().cast("array<string>")), text_emails(text, low))
     return F.array_distinct(F.filter(F.transform(every, lambda e: F.lower(F.get(F.split(e, "@"), 1))), lambda d: d.isNotNull()))
 
 
-def without_contacts(text: Column) -> Column:
-    low = F.lower(text)
-    bare = F.when(holds(low, L.NEEDED[L.EMAIL]), F.regexp_replace(text, java(L.EMAIL), " ")).otherwise(text)
-    return F.when(holds(low, L.NEEDED[L.URL]), F.regexp_replace(bare, java(L.URL), " ")).otherwise(bare)
+def without_contacts(text: Column, low: Column | None = None) -> Column:
+    bare = F.when(may_hold(text, low, [L.EMAIL]), F.regexp_replace(text, EMAIL, " ")).otherwise(text)
+    return F.when(may_hold(text, low, [L.URL]), F.regexp_replace(bare, URL, " ")).otherwise(bare)
 
 
-def has_contacts(text: Column) -> Column:
+def has_contacts(text: Column, low: Column | None = None) -> Column:
     """False where without_contacts() surely changes nothing."""
-    low = F.lower(text)
-    return F.coalesce(holds(low, L.NEEDED[L.EMAIL]) | holds(low, L.NEEDED[L.URL]), F.lit(False))
+    return F.coalesce(may_hold(text, low, [L.EMAIL, L.URL]), F.lit(False))
 
 
-def company_candidates(text: Column) -> Column:
+def company_candidates(text: Column, low: Column | None = None) -> Column:
     """Capitalised names that phrasing such as "at Acme" or "Acme is hiring" points at."""
-    found = F.concat(*[all_if(text, p, java(p, False)) for p in L.COMPANY])
+    found = F.concat(*[all_if(text, p, java(p, False), low) for p in L.COMPANY])
     stop = strings(L.COMPANY_STOPWORDS)
 
     def clean(name: Column) -> Column:

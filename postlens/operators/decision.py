@@ -105,9 +105,18 @@ def usual_decision(*least: float) -> tuple[Column, Column]:
     return decision(Thresholds(*least))
 
 
+def with_scores(features: DataFrame) -> DataFrame:
+    return features if "scores" in features.columns else features.withColumn("scores", no_scores())
+
+
+def decide_labels(features: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
+    """Adds the label alone; features of labels only will do."""
+    return with_scores(features).withColumn("label", decide_label(F.col("features"), F.col("scores"), t))
+
+
 def decide(features: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
     """Adds label and reasons; reads `scores` where the rows have it."""
-    d = features if "scores" in features.columns else features.withColumn("scores", no_scores())
+    d = with_scores(features)
     numbers = all(isinstance(x, float) for x in (t.hiring, t.bait, t.scam))
     label, reasons = usual_decision(t.hiring, t.bait, t.scam) if numbers else decision(t)
     return d.withColumn("label", label).withColumn("reasons", reasons)

@@ -25,6 +25,9 @@ FEATURES = [
 ]
 
 
+#: Features that are shown, or stored, but decide nothing.
+NOT_FOR_LABELS = {"corporate_email_matches_company", "poster_at_company", "age_text"}
+
 SPECIFIC = [*L.ROLE_TERMS, *L.TECH_TERMS, *L.LOCATION_TERMS]
 WHATSAPP, TELEGRAM = ["whatsapp", "whats app"], ["telegram"]
 PHRASES = [
@@ -37,10 +40,10 @@ def one_row(c: Column) -> Column:
     return F.explode(F.array(c))
 
 
-def collect_urls(links: Column, text: Column) -> Column:
+def collect_urls(links: Column, text: Column, low: Column | None = None) -> Column:
     """Distinct parsed URLs of link targets, link texts and bare URLs in the text, first seen first."""
     listed = F.flatten(F.transform(F.coalesce(links, F.array().cast("array<struct<href:string,text:string>>")), lambda x: F.array(x["href"], x["text"])))
-    parsed = F.filter(F.transform(F.concat(listed, U.bare_urls(text)), U.parse_url), lambda u: u.isNotNull())
+    parsed = F.filter(F.transform(F.concat(listed, U.bare_urls(text, low)), U.parse_url), lambda u: u.isNotNull())
     keyed = F.transform(parsed, lambda u: F.struct(U.url_key(u).alias("key"), u["host"].alias("host"), u["path"].alias("path")))
     return T.let(keyed, lambda k: T.let(F.transform(k, lambda u: u["key"]), lambda keys: F.filter(k, lambda u, i: F.array_position(keys, u["key"]) == i + 1)))
 
@@ -78,10 +81,11 @@ def exposure() -> Column:
 
 
 @T.once_a_session
-def stages(compose: bool) -> list[dict[str, Column]]:
+def stages(compose: bool, label_only: bool = False) -> list[dict[str, Column]]:
     """The columns that each step adds; the last holds the features."""
-    text, flat = F.col("text"), F.col("_flat")
-    plain = F.when(U.has_contacts(text), T.flatten(U.without_contacts(text), compose)).otherwise(flat)
+    text, flat, low = F.col("text"), F.col("_flat"), F.col("_low")
+    plain = F.when(U.has_contacts(text, low), T.flatten(U.without_contacts(text, low), compose)).otherwise(flat)
+    labelled = (F.size("_careers") > 0) | (F.size("_corporate") > 0)  # only labels are looked up in the tokens
     in_headline = lambda label: T.label_in_tokens(label, F.col("_headline_tokens"))
     of_company = lambda label: T.label_in_tokens(label, F.col("_tokens")) | in_headline(label)
     free = lambda h: U.in_domain_list(h, L.FREE_EMAIL_DOMAINS)
@@ -91,7 +95,8 @@ def stages(compose: bool) -> list[dict[str, Column]]:
     has = lambda words: T.any_among(F.col("_found"), words)
     external = F.size(F.filter("_urls", lambda u: u["kind"] != "internal"))
     headline_label = lambda x: F.coalesce(F.exists(x, in_headline), F.lit(False))
-    companies = F.exists(U.company_candidates(text), lambda c: F.contains(F.col("_headline"), T.flatten(c)))
+    # a headline without a word (two spaces) holds no company
+    companies = F.when(F.length("_headline") > 2, F.exists(U.company_candidates(text, low), lambda c: F.contains(F.col("_headline"), T.flatten(c))))
     made = {
         "hiring_keyword_hits": phrases(L.HIRING_KEYWORDS),
         "job_context_hits": phrases(L.JOB_CONTEXT_WORDS),
@@ -117,24 +122,31 @@ def stages(compose: bool) -> list[dict[str, Column]]:
         "exposure": exposure(),
         "age_text": F.col("age_text"),
     }
+    if label_only:
+        counts = any_url("form") | (count("opaque") > 0)
+        made["specificity"] = F.when(counts, made["specificity"])
+    names = [k for k in FEATURES if not (label_only and k in NOT_FOR_LABELS)]
     return [
-        {"_flat": T.flatten(text, compose), "_headline": T.flatten(F.coalesce("author_headline", F.lit("")), compose)},
-        {"_low": F.lower("text"), "_found": T.phrases_in(flat, PHRASES), "_tokens": T.tokens(plain), "_headline_tokens": T.tokens(F.col("_headline")), "_urls": classify_urls(collect_urls(F.col("links"), text)), "_domains": U.email_domains(F.col("emails"), text)},
+        {"_low": F.lower("text")},
+        {"_flat": T.flatten_low(low, compose), "_headline": T.flatten(F.coalesce("author_headline", F.lit("")), compose)},
+        {"_found": T.phrases_in(flat, PHRASES), "_headline_tokens": T.tokens(F.col("_headline")), "_urls": classify_urls(collect_urls(F.col("links"), text, low)), "_domains": U.email_domains(F.col("emails"), text, low)},
         {
             "_careers": F.transform(F.filter("_urls", lambda u: u["kind"] == "careers"), lambda u: u["label"]),
             "_free": F.filter("_domains", free),
             "_corporate": F.transform(F.filter("_domains", lambda h: ~free(h)), lambda h: F.coalesce(U.registrable_label(h), F.lit(""))),
         },
-        {"text_units": T.utf16_length(text), "features": one_row(F.struct(*[made[k].alias(k) for k in FEATURES]))},
+        {"_tokens": F.when(labelled, T.tokens(plain))},
+        {"text_units": T.utf16_length(text), "features": one_row(F.struct(*[made[k].alias(k) for k in names]))},
     ]
 
 
-def extract_features(posts: DataFrame, compose: bool = False) -> DataFrame:
+def extract_features(posts: DataFrame, compose: bool = False, label_only: bool = False) -> DataFrame:
     """All columns of the posts, with `features` and `text_units` (the text's length in UTF-16 units).
 
-    compose applies Unicode compatibility composition before matching.
+    compose applies Unicode compatibility composition before matching. label_only leaves out what
+    no label or question to a model depends on: NOT_FOR_LABELS, and specificity where there is neither a form nor an opaque link.
     """
-    d, steps = posts, stages(compose)
+    d, steps = posts, stages(compose, label_only)
     for step in steps[:-1]:
         d = d.select("*", *[c.alias(k) for k, c in step.items()])
     return d.select(*posts.columns, *[c.alias(k) for k, c in steps[-1].items()])

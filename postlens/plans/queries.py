@@ -40,23 +40,28 @@ def decided(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.decide(extract_features(derived_posts(spark, sf_dir)))
 
 
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels without reasons, from the features that labels need."""
+    return D.decide_labels(extract_features(derived_posts(spark, sf_dir), label_only=True))
+
+
 def joined(c: Column) -> Column:
     return F.array_join(c, "|")
 
 
 @query
 def label_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decided(spark, sf_dir).groupBy("label").agg(F.count("*").alias("n"))
+    return labelled(spark, sf_dir).groupBy("label").agg(F.count("*").alias("n"))
 
 
 @query
 def label_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decided(spark, sf_dir).groupBy("source", "label").agg(F.count("*").alias("n"))
+    return labelled(spark, sf_dir).groupBy("source", "label").agg(F.count("*").alias("n"))
 
 
 @query
 def post_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d, f = decided(spark, sf_dir), F.col("features")
+    d, f = labelled(spark, sf_dir), F.col("features")
     return d.select("doc_id", "label", D.stage1(f).alias("stage1"), D.has_genuine_channel(f).alias("genuine"), D.weak_scam_count(f).cast("int").alias("weak_scam"), D.has_strong_scam(f).alias("strong_scam"))
 
 
@@ -106,7 +111,7 @@ def channels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def pending_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = extract_features(derived_posts(spark, sf_dir)).withColumn("scores", D.no_scores())
+    d = extract_features(derived_posts(spark, sf_dir), label_only=True).withColumn("scores", D.no_scores())
     # as if the hiring question had been left open: the reference point of a first round
     return d.select("doc_id", joined(D.pending_questions(F.col("features"), F.col("scores"), F.col("text_units"))).alias("questions"))
 
@@ -316,11 +321,15 @@ def judged_gold() -> Column:
     )
 
 
+def judged_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The posts relation with `gold` and `scores`."""
+    posts = derived_posts(spark, sf_dir).withColumn("href", F.get("links", F.lit(0))["href"])
+    return posts.withColumn("gold", judged_gold()).withColumn("scores", F.struct(text_score(0).alias("hiring"), text_score(1).alias("bait"), text_score(2).alias("scam")))
+
+
 def evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, text, gold, features, text_units, scores) of the posts relation."""
-    posts = derived_posts(spark, sf_dir).withColumn("href", F.get("links", F.lit(0))["href"])
-    posts = posts.withColumn("gold", judged_gold()).withColumn("scores", F.struct(text_score(0).alias("hiring"), text_score(1).alias("bait"), text_score(2).alias("scam")))
-    return extract_features(posts).select("doc_id", "text", "gold", "features", "text_units", "scores")
+    return extract_features(judged_posts(spark, sf_dir), label_only=True).select("doc_id", "text", "gold", "features", "text_units", "scores")
 
 
 def predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
