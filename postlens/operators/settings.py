@@ -70,6 +70,8 @@ def with_settings(posts: DataFrame, versions: DataFrame, ts: str = "ts", scope:
     until = F.least(F.coalesce(F.to_date("valid_to"), F.col("last")), F.col("last"))
     days = v.select("scope", F.explode(F.sequence(F.to_date("valid_from"), until)).alias("day"), "valid_from", "valid_to", F.struct(*NAMES).alias("_set"))
     holds = (F.col("_scope") == F.col("scope")) & (F.col("_day") == F.col("day")) & (F.col(ts) >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col(ts) < F.col("valid_to")))
+    # of one scope there is a row for each day of its history: few enough to be sent to the posts, in place of a shuffle of these by day
+    days = days if scope else F.broadcast(days)
     fallback = F.struct(*[F.lit(getattr(default, k)).alias(k) for k in NAMES])
     return p.join(days, holds, "left").select(*posts.columns, F.coalesce("_set", fallback).alias("settings"))
 
@@ -80,5 +82,8 @@ def thresholds(settings: Column) -> Thresholds:
 
 def decide_as_of(features: DataFrame, versions: DataFrame, ts: str = "ts", scope: str | None = None) -> DataFrame:
     """Label and reasons by the settings of each row's time, and whether a reader sees the post."""
-    d = decide(with_settings(features, versions, ts, scope), thresholds(F.col("settings")))
-    return d.withColumn("visible", F.col("settings.enabled") & ~(F.col("settings.hide_not_hiring") & (F.col("label") == "not_hiring")))
+    return shown_to(decide(with_settings(features, versions, ts, scope), thresholds(F.col("settings"))))
+
+
+def shown_to(labelled: DataFrame) -> DataFrame:
+    return labelled.withColumn("visible", F.col("settings.enabled") & ~(F.col("settings.hide_not_hiring") & (F.col("label") == "not_hiring")))

@@ -393,8 +393,10 @@ def labels_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels by the settings of a post's day, from a short history of settings; days follow from the texts' lengths."""
     versions = spark.createDataFrame([("2026-01-10 00:00:00", None, 0.5, None, 0.4), ("2026-02-01 12:00:00", False, None, 0.6, None), ("2026-03-01 00:00:00", True, 0.9, None, None)], "at string, hide_not_hiring boolean, hiring double, bait double, scam double")
     versions = versions.select(F.lit("").alias("scope"), F.to_timestamp("at").alias("valid_from"), "hide_not_hiring", "hiring", "bait", "scam", *[F.lit(None).cast("boolean").alias(c) for c in ("enabled", "debug", "dataset_mode")])
-    d = evaluated(spark, sf_dir).withColumn("ts", F.timestamp_seconds(F.lit(1767225600) + F.pmod(F.length("text"), F.lit(90)) * 86400 + 43200))
-    d = ST.decide_as_of(d, versions)
+    posts = judged_posts(spark, sf_dir).withColumn("ts", F.timestamp_seconds(F.lit(1767225600) + F.pmod(F.length("text"), F.lit(90)) * 86400 + 43200))
+    # settings first: the last post's day is looked up over the posts as they are, not over their features
+    d = extract_features(ST.with_settings(posts, versions), label_only=True)
+    d = ST.shown_to(D.decide_labels(d, ST.thresholds(F.col("settings"))))
     return d.select("doc_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), F.col("settings.hiring").alias("t_hiring"), F.col("settings.bait").alias("t_bait"), F.col("settings.scam").alias("t_scam"), "label", "visible")
 
 
