@@ -24,6 +24,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter, defaultdict
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -45,6 +46,8 @@ TEMPERATURE, BYTE_WEIGHT, END_WEIGHT = 6000.0, 1e-3, 1.0
 #: Words of up to so many bytes (with the mark) go through array operations, longer ones one by one.
 ARRAY_LENGTH = 40
 SLOTS = 20
+#: Words of several buckets that go through array operations together: a bucket alone is too few of a length.
+TOGETHER = 50_000
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -180,6 +183,19 @@ def spread(blob: bytes) -> list[bytes]:
     return zlib.decompress(blob).split(b" ") if blob else []
 
 
+def together(items: Iterable, size: Callable) -> Iterator[list]:
+    """The items in lists of TOGETHER words or a little more, so that neither memory nor the number of array operations grows with a task's buckets."""
+    held, n = [], 0
+    for x in items:
+        held.append(x)
+        n += size(x)
+        if n >= TOGETHER:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
+
+
 def by_bucket(words: list[bytes], buckets: int) -> dict[int, list[bytes]]:
     out = defaultdict(list)
     key = xxhash.xxh64_intdigest
@@ -227,14 +243,17 @@ def lm_score(docs: DataFrame, train: Column, vocab_path: str, id_col: str = "doc
 
         def expect(batches):
             total = None
-            for b in batches:
-                for words, counts in zip(b.words, b.counts, strict=True):
+            for held in together(((b.words.iloc[i], b.counts.iloc[i]) for b in batches for i in range(len(b))), lambda x: len(x[1]) // 8):
+                words, known = [], []
+                for blob, counts in held:
                     c = np.frombuffer(counts, np.int64)
-                    known = np.flatnonzero(c)
-                    w = spread(words)
-                    lp, e = forward(pieces(vocab_path), model.value, [w[i] for i in known], c[known].astype(float))
-                    e = np.append(e, lp @ c[known])  # behind the pieces: the log likelihood
-                    total = e if total is None else total + e
+                    own, w = np.flatnonzero(c), spread(blob)
+                    words += [w[i] for i in own]
+                    known.append(c[own])
+                c = np.concatenate(known)
+                lp, e = forward(pieces(vocab_path), model.value, words, c.astype(float))
+                e = np.append(e, lp @ c)  # behind the pieces: the log likelihood
+                total = e if total is None else total + e
             if total is not None:
                 at = np.flatnonzero(total)
                 yield pd.DataFrame({"piece": at.astype(np.int32), "n": total[at]})
@@ -251,22 +270,20 @@ def lm_score(docs: DataFrame, train: Column, vocab_path: str, id_col: str = "doc
     model = spark.sparkContext.broadcast(logp)
 
     def answer(batches):
-        for b in batches:
-            for words, counts, pids, places in zip(b.words, b.counts, b.pids, b.places, strict=True):
-                lp, _ = forward(pieces(vocab_path), model.value, spread(words))
-                c = np.frombuffer(counts, np.int64)
-                rows = []
-                for pid, at in zip(pids, places, strict=True):
+        rows = (b.iloc[i] for b in batches for i in range(len(b)))
+        for held in together(rows, lambda r: len(r.counts) // 8):
+            words = [spread(r.words) for r in held]
+            every, _ = forward(pieces(vocab_path), model.value, [w for own in words for w in own])
+            ends_at = np.cumsum([len(own) for own in words])
+            for r, lp in zip(held, np.split(every, ends_at[:-1]), strict=True):
+                c = np.frombuffer(r.counts, np.int64)
+                told = []
+                for pid, at in zip(r.pids, r.places, strict=True):
                     at = np.frombuffer(zlib.decompress(at), np.int32)
-                    rows.append((pid, b.bucket.iloc[0], zlib.compress(c[at].tobytes(), 1), lp[at].tobytes()))
-                yield pd.DataFrame(rows, columns=["pid", "bucket", "counts", "logp"])
-
-    def one_by_one(batches):
-        for b in batches:
-            for i in range(len(b)):
-                yield from answer([b.iloc[i : i + 1]])
+                    told.append((pid, r.bucket, zlib.compress(c[at].tobytes(), 1), lp[at].tobytes()))
+                yield pd.DataFrame(told, columns=["pid", "bucket", "counts", "logp"])
 
-    answers = vocabulary.select("bucket", "words", "counts", "pids", "places").mapInPandas(one_by_one, "pid int, bucket int, counts binary, logp binary")
+    answers = vocabulary.select("bucket", "words", "counts", "pids", "places").mapInPandas(answer, "pid int, bucket int, counts binary, logp binary")
     below = math.log10(tokens + kinds + 1)
     end_base = math.log10(ends + 1) - below
     end_score = float(logp[-1]) / math.log(10)
