@@ -292,18 +292,19 @@ def lm_score(docs: DataFrame, train: Column, vocab_path: str, id_col: str = "doc
         words: set = set()
         split = [ascii_words(t) for t in own.text]
         words.update(*split)
-        count, logs = {}, {}
+        place: dict[bytes, int] = {}
+        counts, logs = [np.zeros(0, np.int64)], [np.zeros(0)]
         buckets = by_bucket(sorted(words), n)
         for bucket, c, lp in zip(told.bucket, told.counts, told.logp, strict=True):
-            c = np.frombuffer(zlib.decompress(c), np.int64)
-            value = np.log10(c + 1.0) - below
-            count.update(zip(buckets[bucket], (c > 0).tolist(), strict=True))
-            logs.update(zip(buckets[bucket], zip(value.tolist(), (np.frombuffer(lp) / math.log(10)).tolist(), strict=True), strict=True))
+            at = len(place)
+            place.update(zip(buckets[bucket], range(at, at + len(buckets[bucket])), strict=True))
+            counts.append(np.frombuffer(zlib.decompress(c), np.int64))
+            logs.append(np.frombuffer(lp) / math.log(10))
+        known, base, log10 = np.concatenate(counts) > 0, np.log10(np.concatenate(counts) + 1.0) - below, np.concatenate(logs)
         rows = []
         for i, own_words in zip(own.id, split, strict=True):
-            pairs = [logs[w] for w in own_words]
-            known = sum(map(count.__getitem__, own_words))
-            rows.append((i, len(own_words) + 1, known + (ends > 0), math.fsum(p[0] for p in pairs) + end_base, math.fsum(p[1] for p in pairs) + end_score))
+            at = np.fromiter(map(place.__getitem__, own_words), np.int64, len(own_words))
+            rows.append((i, len(at) + 1, int(known[at].sum()) + (ends > 0), math.fsum(base[at].tolist()) + end_base, math.fsum(log10[at].tolist()) + end_score))
         return pd.DataFrame(rows, columns=["id", "n_tokens", "n_known", "base_score", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
