@@ -193,14 +193,14 @@ COMPANY_STOPWORDS = [
     "please", "immediate",
 ]
 
-#: What lower-cased text must hold for a pattern to match: one string of each list.
+#: What lower-cased text must hold for a pattern to match: one string of each list. Short lists come first: the others are only tried after them.
 URL_NEEDS = ["http", "www.", *[f".{x}/" for x in ("com", "io", "co", "in", "org", "net", "me", "ly", "gl", "app", "dev", "ai", "jobs", "hr")]]
 MONEY = ["₹", "$", "rs", "inr", "usd"]
 NEEDED = {
     PAY_CLAIMS[0][0]: [["earn"], MONEY, ["day", "hour", "hr", "week"]], PAY_CLAIMS[1][0]: [["day"], MONEY], PAY_CLAIMS[2][0]: [["daily"], ["payout"]], PAY_CLAIMS[3][0]: [["earn"], ["home"]],
     SALARY[0]: [["ctc"]], SALARY[1]: [["lpa"]], SALARY[2]: [["salary"]], SALARY[3]: [["stipend"]], SALARY[4]: [["compensation"]], SALARY[5]: [["annum"]], SALARY[6]: [["€", "£", *MONEY]],
     EXPERIENCE[0]: [["year", "yr", "yoe"]], EXPERIENCE[1]: [["fresher"]], EXPERIENCE[2]: [["experience"]], EXPERIENCE[3]: [["entry"], ["level"]],
-    EMAIL: [["@"]], URL: [URL_NEEDS], PROFILE: [["linkedin.com/in/"]], COMPANY[1]: [["hiring", "looking", "expanding", "growing"]],
+    EMAIL: [["@"]], URL: [["/", "http", "www."], URL_NEEDS], PROFILE: [["linkedin.com/in/"]], COMPANY[1]: [["hiring", "looking", "expanding", "growing"]],
 }
 
 #: Hours of a unit of age, by its short, middle and long name.

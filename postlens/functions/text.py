@@ -135,24 +135,25 @@ def flatten_low(low: Column, compose: bool = False) -> Column:
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(nfkc(low) if compose else low, r"[^a-z0-9+ \p{L}\p{N}][^a-z0-9+\p{L}\p{N}]*| [^a-z0-9+\p{L}\p{N}]+", " ")), F.lit(" "))
 
 
-def first_words(phrases: Sequence[str]) -> dict[str, list[str]]:
+def key_words(phrases: Sequence[str]) -> dict[str, list[str]]:
+    """Phrases by their longest word, as long words are in the fewest texts."""
     out: dict[str, list[str]] = {}
     for p in dict.fromkeys(phrases):
-        out.setdefault(p.split(" ")[0], []).append(p)
+        out.setdefault(max(p.split(" "), key=len), []).append(p)
     return out
 
 
 def phrases_in(flat: Column, phrases: Sequence[str]) -> Column:
     """The phrases (of several lists together) that occur in flattened text as whole words, in any order.
 
-    The text's words are hashed once against the phrases' first words; only phrases that
-    begin with a word of the text are searched for, so the cost hardly depends on their number.
+    The text's words are hashed once against the phrases' longest words; only phrases whose
+    longest word the text has are searched for, so the cost hardly depends on their number.
     """
-    by_first = first_words(phrases)
-    table = F.map_from_arrays(strings(by_first), strings(["|".join(x) for x in by_first.values()]))
-    there = F.array_intersect(strings(by_first), F.split(flat, " "))
+    by_key = key_words(phrases)
+    table = F.map_from_arrays(strings(by_key), strings(["|".join(x) for x in by_key.values()]))
+    there = F.array_intersect(strings(by_key), F.split(flat, " "))
     possible = F.flatten(F.transform(there, lambda w: F.split(F.element_at(table, w), r"\|")))
-    return F.filter(possible, lambda p: F.contains(flat, F.concat(F.lit(" "), p, F.lit(" "))))
+    return F.filter(possible, lambda p: ~F.contains(p, F.lit(" ")) | F.contains(flat, F.concat(F.lit(" "), p, F.lit(" "))))
 
 
 def among(found: Column, phrases: Sequence[str]) -> Column:
@@ -177,6 +178,11 @@ def tokens(flat: Column) -> Column:
     return F.filter(F.split(F.trim(flat), " "), lambda t: t != "")
 
 
+def may_be_in_tokens(label: Column, flat: Column) -> Column:
+    """False where label_in_tokens() surely is: the tokens joined must hold the label. It costs a fraction of that."""
+    return F.contains(F.replace(flat, F.lit(" "), F.lit("")), F.regexp_replace(F.lower(label), "[^a-z0-9]", ""))
+
+
 def label_in_tokens(label: Column, toks: Column) -> Column:
     """Whether the label (letters and digits, three at least) is one token, or two or three adjacent ones joined."""
     plain = F.regexp_replace(F.lower(label), "[^a-z0-9]", "")

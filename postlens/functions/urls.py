@@ -31,14 +31,20 @@ def suffixes(host: Column) -> Column:
 
 
 def in_domain_list(host: Column, domains: Sequence[str]) -> Column:
-    return F.arrays_overlap(suffixes(host), strings(domains))
+    return host.rlike(domain_pattern(domains))
+
+
+def domain_pattern(domains: Sequence[str]) -> str:
+    return r"(?:^|\.)(?:" + "|".join(d.replace(".", r"\.") for d in dict.fromkeys(domains)) + r")\z"
 
 
 def find_domain(host: Column, path: Column, entries: Sequence[tuple[str, str, str]]) -> Column:
     """Name of the first entry whose domain (and path prefix, if it has one) fits."""
-    table = F.transform(strings(["\t".join(e) for e in entries]), lambda e: F.split(e, "\t"))
-    fits = F.filter(table, lambda e: ((host == e[0]) | host.endswith(F.concat(F.lit("."), e[0]))) & F.lower(path).startswith(e[1]))
-    return F.get(F.get(fits, F.lit(0)), F.lit(2))
+    domains, prefixes, names = (strings(x) for x in zip(*entries))
+    fits = lambda d, i: ((host == d) | host.endswith(F.concat(F.lit("."), d))) & F.lower(path).startswith(F.get(prefixes, i))
+    # names of the domains that fit; most hosts fit none, which one pattern tells
+    found = F.filter(F.transform(domains, lambda d, i: F.when(fits(d, i), F.get(names, i))), lambda n: n.isNotNull())
+    return F.when(in_domain_list(host, [e[0] for e in entries]), F.get(found, F.lit(0)))
 
 
 def registrable_label(host: Column) -> Column:

@@ -85,7 +85,9 @@ def stages(compose: bool, label_only: bool = False) -> list[dict[str, Column]]:
     """The columns that each step adds; the last holds the features."""
     text, flat, low = F.col("text"), F.col("_flat"), F.col("_low")
     plain = F.when(U.has_contacts(text, low), T.flatten(U.without_contacts(text, low), compose)).otherwise(flat)
-    labelled = (F.size("_careers") > 0) | (F.size("_corporate") > 0)  # only labels are looked up in the tokens
+    # only labels are looked up in the tokens, and only those that the tokens may hold
+    labelled = (F.size("_careers") > 0) | (F.size("_corporate") > 0)
+    may_hold = F.exists(F.concat("_careers", "_corporate"), lambda x: T.may_be_in_tokens(x, F.col("_plain")))
     in_headline = lambda label: T.label_in_tokens(label, F.col("_headline_tokens"))
     of_company = lambda label: T.label_in_tokens(label, F.col("_tokens")) | in_headline(label)
     free = lambda h: U.in_domain_list(h, L.FREE_EMAIL_DOMAINS)
@@ -135,7 +137,8 @@ def stages(compose: bool, label_only: bool = False) -> list[dict[str, Column]]:
             "_free": F.filter("_domains", free),
             "_corporate": F.transform(F.filter("_domains", lambda h: ~free(h)), lambda h: F.coalesce(U.registrable_label(h), F.lit(""))),
         },
-        {"_tokens": F.when(labelled, T.tokens(plain))},
+        {"_plain": F.when(labelled, plain)},
+        {"_tokens": F.when(may_hold, T.tokens(F.col("_plain")))},
         {"text_units": T.utf16_length(text), "features": one_row(F.struct(*[made[k].alias(k) for k in names]))},
     ]
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -312,11 +314,12 @@ def text_score(which: int) -> Column:
 def judged_gold() -> Column:
     """Gold labels by a rule of their own: as somebody might label posts at a glance."""
     low = F.lower("text")
-    has = lambda words: low.rlike(words)
+    # plain searches: a pattern of alternatives tries each of them at every place of the text
+    has = lambda *words: reduce(or_, [F.contains(low, F.lit(w)) for w in words])
     fresh = F.coalesce(F.col("age_hours") <= 24, F.lit(False)) & (F.coalesce("comments", F.lit(0)) < 50)
     return (
-        F.when(has("deposit|bank details|registration fee|per day|/day|payout"), "scam_risk").when(has("comment (yes|interested)|repost|follow me"), "engagement_bait")
-        .when(~has("hiring|apply|vacancy|resume|join our team"), "not_hiring").when(F.col("href").isNull(), "unverified").when(fresh, "apply_early")
+        F.when(has("deposit", "bank details", "registration fee", "per day", "/day", "payout"), "scam_risk").when(has("comment yes", "comment interested", "repost", "follow me"), "engagement_bait")
+        .when(~has("hiring", "apply", "vacancy", "resume", "join our team"), "not_hiring").when(F.col("href").isNull(), "unverified").when(fresh, "apply_early")
         .when(F.coalesce("comments", F.lit(0)) >= 200, "crowded").otherwise("real_opening")
     )
 

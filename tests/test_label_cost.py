@@ -9,7 +9,7 @@ from postlens.operators import decision as D
 from postlens.operators import evaluation as E
 from postlens.operators.features import extract_features
 from postlens.plans.posts import derived_posts
-from postlens.plans.queries import QUERIES
+from postlens.plans.queries import QUERIES, judged_gold, judged_posts
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -54,3 +54,37 @@ def test_addresses_and_links_as_by_the_plain_patterns(spark):
     flat = spark.createDataFrame([(c,) for c in ["a  b\t c", " -a- b -", "é ß +1", "   ", "a\n\nb", ", , x"]], "t string")
     old = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower("t"), r"[^\p{L}\p{N}+]+", " ")), F.lit(" "))
     assert all(a == b for a, b in flat.select(T.flatten(t), old).collect())
+
+
+def test_phrases_are_sought_by_their_rarest_word(spark):
+    phrases = ["we are hiring", "i am looking for a new role", "to get the link", "hiring", "c++", "a b", "b a"]
+    by_key = T.key_words(phrases)
+    assert by_key["hiring"] == ["we are hiring", "hiring"] and "i" not in by_key and "we" not in by_key
+    flat = spark.createDataFrame([(" we are hiring c++ ",), (" i am looking for a new role a b a ",), (" hirings ",), (None,)], "t string")
+    assert [r[0] and set(r[0]) for r in flat.select(T.phrases_in(F.col("t"), phrases)).collect()] == [{"we are hiring", "hiring", "c++"}, {"i am looking for a new role", "a b", "b a"}, [], None]
+
+
+def test_tokens_are_made_only_where_they_may_hold_the_label(spark):
+    rows = spark.createDataFrame([("Acme-1", " the acme 1 team "), ("acme", " a cm e x "), ("acme", " acne me "), ("abc", " a b c d "), ("ab", " ab ")], "l string, f string")
+    may, found = zip(*rows.select(T.may_be_in_tokens(F.col("l"), F.col("f")), T.label_in_tokens(F.col("l"), T.tokens(F.col("f")))).collect(), strict=True)
+    assert may == (True, True, False, True, True) and found == (True, True, False, True, False)
+
+
+def test_domains_of_a_list_as_by_suffixes(spark):
+    from postlens.functions import lexicon as L
+
+    hosts = ["gmail.com", "x.gmail.com", "xgmail.com", "gmail.com.", "gmailxcom", "gmail.com\n", "", "a.zohomail.in", None, ".me.com"]
+    rows = spark.createDataFrame([(h,) for h in hosts], "h string")
+    for got, want in rows.select(U.in_domain_list(F.col("h"), L.FREE_EMAIL_DOMAINS), F.arrays_overlap(U.suffixes(F.col("h")), T.strings(L.FREE_EMAIL_DOMAINS))).collect():
+        assert got == want
+    entries = [("b.com", "/jobs", "First"), ("a.b.com", "", "Second"), ("b.com", "", "Third")]
+    urls = spark.createDataFrame([("x.a.b.com", "/JOBS/1"), ("a.b.com", "/"), ("b.com", "/"), ("cb.com", "/jobs"), ("b.com", "/jobs")], "h string, p string")
+    assert [r[0] for r in urls.select(U.find_domain(F.col("h"), F.col("p"), entries)).collect()] == ["First", "Second", "Third", None, "First"]
+
+
+def test_gold_labels_search_plainly(spark):
+    gold = judged_posts(spark, SMALL).select("gold")
+    assert "rlike" not in gold._jdf.queryExecution().optimizedPlan().toString().lower()
+    texts = ["DEPOSIT", "paid per  day", "9/Day", "comment Interested", "comment  yes", "apply", "vacanc", "join our team"]
+    rows = spark.createDataFrame([(t, 1.0, 0, None) for t in texts], "text string, age_hours double, comments bigint, href string")
+    assert [r[0] for r in rows.select(judged_gold()).collect()] == ["scam_risk", "not_hiring", "scam_risk", "engagement_bait", "not_hiring", "unverified", "not_hiring", "unverified"]
