@@ -124,15 +124,32 @@ def flatten(c: Column, compose: bool = False) -> Column:
 
     compose adds compatibility composition (after lower-casing, as the order matters).
     """
-    return flatten_low(F.lower(c), compose)
+    return let(F.lower(c), lambda low: flatten_low(low, compose))
+
+
+#: A lower-case letter that stands for a plus while mask() blanks what separates words.
+PLUS = "\uA7FA"
+#: Letters and numbers that mask() does not know as such, and PLUS itself: with them a text is flattened by the general pattern.
+UNMASKABLE = r"[[^\x00-\x7F]&&[\p{Lo}\p{Lm}\p{Lt}\p{Nl}\p{No}\x{A7FA}\x{10000}-\x{10FFFF}]]"
 
 
 def flatten_low(low: Column, compose: bool = False) -> Column:
-    """flatten() of text that is in lower case already."""
+    """flatten() of text that is in lower case already.
+
+    Most texts hold only cased letters and decimal digits beside what separates words; mask() blanks the rest in
+    one look at each character, where a pattern of character classes takes several times as long.
+    """
     from .compose import nfkc
 
-    # the commonest characters come first in the class, and single spaces are no match
-    return F.concat(F.lit(" "), F.trim(F.regexp_replace(nfkc(low) if compose else low, r"[^a-z0-9+ \p{L}\p{N}][^a-z0-9+\p{L}\p{N}]*| [^a-z0-9+\p{L}\p{N}]+", " ")), F.lit(" "))
+    def one(t: Column) -> Column:
+        # the commonest characters come first in the class, and single spaces are no match
+        general = F.regexp_replace(t, r"[^a-z0-9+ \p{L}\p{N}][^a-z0-9+\p{L}\p{N}]*| [^a-z0-9+\p{L}\p{N}]+", " ")
+        blanked = F.mask(F.replace(t, F.lit("+"), F.lit(PLUS)), F.lit(None), F.lit(None), F.lit(None), F.lit(" "))
+        thinned = F.replace(F.replace(blanked, F.lit(PLUS), F.lit("+")), F.lit("  "), F.lit(" "))
+        single = let(thinned, lambda b: F.when(F.contains(b, F.lit("  ")), F.regexp_replace(b, " {2,}", " ")).otherwise(b))
+        return F.when(t.rlike(UNMASKABLE), general).otherwise(single)
+
+    return F.concat(F.lit(" "), F.trim(let(nfkc(low), one) if compose else one(low)), F.lit(" "))
 
 
 def key_words(phrases: Sequence[str]) -> dict[str, list[str]]:
@@ -151,7 +168,7 @@ def phrases_in(flat: Column, phrases: Sequence[str]) -> Column:
     """
     by_key = key_words(phrases)
     table = F.map_from_arrays(strings(by_key), strings(["|".join(x) for x in by_key.values()]))
-    there = F.array_intersect(strings(by_key), F.split(flat, " "))
+    there = F.array_intersect(F.split(flat, " "), strings(by_key))  # the set that is built holds the second list
     possible = F.flatten(F.transform(there, lambda w: F.split(F.element_at(table, w), r"\|")))
     return F.filter(possible, lambda p: ~F.contains(p, F.lit(" ")) | F.contains(flat, F.concat(F.lit(" "), p, F.lit(" "))))
 
@@ -183,6 +200,22 @@ def may_be_in_tokens(label: Column, flat: Column) -> Column:
     return F.contains(F.replace(flat, F.lit(" "), F.lit("")), F.regexp_replace(F.lower(label), "[^a-z0-9]", ""))
 
 
+#: Labels of up to so many characters are sought by a pattern; longer ones, which no host has, in lists of tokens.
+LONGEST_LABEL = 63
+
+
+def label_in_flat(label: Column, flat: Column) -> Column:
+    """label_in_tokens() of flattened text, without a list of its tokens.
+
+    The pattern finds the label's characters with single spaces between any of them, from one word's start to a
+    word's end; what follows is kept, and must be the same that follows one to three words.
+    """
+    plain = F.regexp_replace(F.lower(label), "[^a-z0-9]", "")
+    pattern = lambda p: F.concat(F.lit("(?s) (?="), F.regexp_replace(p, "(?<=.)(?=.)", " ?"), F.lit(r" (.*)\z)(?:[^ ]+ ){1,3}\1\z"))
+    short = let(plain, lambda p: (F.length(p) >= 3) & F.rlike(flat, pattern(p)))
+    return F.coalesce(F.when(F.length(plain) <= LONGEST_LABEL, short).when(may_be_in_tokens(label, flat), label_in_tokens(label, tokens(flat))), F.lit(False))
+
+
 def label_in_tokens(label: Column, toks: Column) -> Column:
     """Whether the label (letters and digits, three at least) is one token, or two or three adjacent ones joined."""
     plain = F.regexp_replace(F.lower(label), "[^a-z0-9]", "")

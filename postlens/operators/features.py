@@ -84,12 +84,10 @@ def exposure() -> Column:
 def stages(compose: bool, label_only: bool = False) -> list[dict[str, Column]]:
     """The columns that each step adds; the last holds the features."""
     text, flat, low = F.col("text"), F.col("_flat"), F.col("_low")
-    plain = F.when(U.has_contacts(text, low), T.flatten(U.without_contacts(text, low), compose)).otherwise(flat)
-    # only labels are looked up in the tokens, and only those that the tokens may hold
+    # only labels are looked up there
     labelled = (F.size("_careers") > 0) | (F.size("_corporate") > 0)
-    may_hold = F.exists(F.concat("_careers", "_corporate"), lambda x: T.may_be_in_tokens(x, F.col("_plain")))
-    in_headline = lambda label: T.label_in_tokens(label, F.col("_headline_tokens"))
-    of_company = lambda label: T.label_in_tokens(label, F.col("_tokens")) | in_headline(label)
+    in_headline = lambda label: T.label_in_flat(label, F.col("_headline"))
+    of_company = lambda label: in_headline(label) | T.label_in_flat(label, F.col("_plain"))
     free = lambda h: U.in_domain_list(h, L.FREE_EMAIL_DOMAINS)
     any_url = lambda kind: F.exists("_urls", lambda u: u["kind"] == kind)
     count = lambda kind: F.size(F.filter("_urls", lambda u: u["kind"] == kind))
@@ -131,14 +129,14 @@ def stages(compose: bool, label_only: bool = False) -> list[dict[str, Column]]:
     return [
         {"_low": F.lower("text")},
         {"_flat": T.flatten_low(low, compose), "_headline": T.flatten(F.coalesce("author_headline", F.lit("")), compose)},
-        {"_found": T.phrases_in(flat, PHRASES), "_headline_tokens": T.tokens(F.col("_headline")), "_urls": classify_urls(collect_urls(F.col("links"), text, low)), "_domains": U.email_domains(F.col("emails"), text, low)},
+        {"_found": T.phrases_in(flat, PHRASES), "_urls": classify_urls(collect_urls(F.col("links"), text, low)), "_domains": U.email_domains(F.col("emails"), text, low)},
         {
             "_careers": F.transform(F.filter("_urls", lambda u: u["kind"] == "careers"), lambda u: u["label"]),
             "_free": F.filter("_domains", free),
             "_corporate": F.transform(F.filter("_domains", lambda h: ~free(h)), lambda h: F.coalesce(U.registrable_label(h), F.lit(""))),
         },
-        {"_plain": F.when(labelled, plain)},
-        {"_tokens": F.when(may_hold, T.tokens(F.col("_plain")))},
+        {"_bare": F.when(labelled & U.has_contacts(text, low), F.lower(U.without_contacts(text, low)))},
+        {"_plain": F.when(F.col("_bare").isNotNull(), T.flatten_low(F.col("_bare"), compose)).when(labelled, flat)},
         {"text_units": T.utf16_length(text), "features": one_row(F.struct(*[made[k].alias(k) for k in names]))},
     ]
 

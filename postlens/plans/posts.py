@@ -56,9 +56,13 @@ COLUMNS = "k int, body string, headline string, href string, link_text string, l
 
 
 def spread(d: DataFrame) -> DataFrame:
-    """The rows over all cores: small files give fewer tasks than there are cores, and what follows is heavy on CPU, light on bytes."""
+    """The rows over all cores, several tasks for each: what follows is heavy on CPU, light on bytes.
+
+    Files give few tasks, of unequal work (a row group is in one task, and the splits beside it are empty), so that
+    the last ones run alone; from four tasks a core on this evens out, and the rows stay where they are.
+    """
     cores = d.sparkSession.sparkContext.defaultParallelism
-    return d.repartition(2 * cores) if d.rdd.getNumPartitions() < cores else d
+    return d.repartition(4 * cores) if d.rdd.getNumPartitions() < 4 * cores else d
 
 
 def derived_posts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -88,3 +88,30 @@ def test_gold_labels_search_plainly(spark):
     texts = ["DEPOSIT", "paid per  day", "9/Day", "comment Interested", "comment  yes", "apply", "vacanc", "join our team"]
     rows = spark.createDataFrame([(t, 1.0, 0, None) for t in texts], "text string, age_hours double, comments bigint, href string")
     assert [r[0] for r in rows.select(judged_gold()).collect()] == ["scam_risk", "not_hiring", "scam_risk", "engagement_bait", "not_hiring", "unverified", "not_hiring", "unverified"]
+
+
+def general_flatten(low):
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(low, r"[^\p{L}\p{N}+]+", " ")), F.lit(" "))
+
+
+def test_blanked_text_as_by_the_pattern(spark):
+    # each character of the first planes alone, between letters and beside a space; then runs and mixtures of them
+    points = [*range(0xD800), *range(0xE000, 0x1F800)]
+    rows = [("".join(f"a{chr(c)}b {chr(c)}" for c in points[i : i + 1]),) for i in range(0, 0x3400)]
+    rows += [("".join(f"x{chr(c)}y {chr(c)}{chr(c)} " for c in points[i : i + 8]),) for i in range(0, len(points), 8)]
+    rows += [("a,  b\n\n \t c...d",), (" ,; ",), ("",), (None,), ("c++ , x\uA7FA+",), ("c++ , +x + ,+, y",), ("²  a -- é",), ("ab" + " . " * 50 + "c",)]
+    t = spark.createDataFrame(rows, "t string").repartition(8).select(F.lower("t").alias("t"))
+    assert t.where(~T.flatten_low(F.col("t")).eqNullSafe(general_flatten(F.col("t")))).count() == 0
+
+
+def test_labels_are_found_without_lists_of_tokens(spark):
+    assert "_tokens" not in plan(spark, "label_counts") and "arrays_zip(_plain" not in plan(spark, "label_counts")
+    flats = [" the acme 1 team ", " a cm e x ", " acne me ", " a b c d ", " ab ", " a a aa aa a ", " xacme acmex ", " ac me 1 ", "  ", " é acme ñ ", " a c m e ", None, " aab aa b aab ", " " + "q" * 70 + " "]
+    labels = ["Acme-1", "acme", "abc", "ab", "aaaa", "aaaaaa", "aab", "", None, "+a.b(c", "q" * 70, "q" * 35 + "-" + "q" * 35]
+    rows = spark.createDataFrame([(x, f) for x in labels for f in flats], "l string, f string")
+    for label, f, got, want in rows.select("l", "f", T.label_in_flat(F.col("l"), F.col("f")), T.label_in_tokens(F.col("l"), T.tokens(F.col("f")))).collect():
+        assert got == want, (label, f)
+
+
+def test_posts_are_spread_over_several_tasks_a_core(spark):
+    assert derived_posts(spark, SMALL).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
