@@ -119,6 +119,21 @@ def unpack_times(n: int, common: bytes, times: bytes) -> np.ndarray:
     return out
 
 
+def distinct(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As np.unique of all values together, with inverse and counts, in about half its memory; empties the list."""
+    values = np.concatenate([np.zeros(0, np.uint64), *found])
+    found.clear()
+    order = np.argsort(values)
+    values = values[order]
+    first = np.ones(len(values), bool)
+    np.not_equal(values[1:], values[:-1], out=first[1:])
+    back = np.empty(len(values), np.int32)
+    back[order] = np.cumsum(first, dtype=np.int32) - 1
+    del order
+    values = values[first]
+    return values, back, np.bincount(back, minlength=len(values))
+
+
 def part_values(texts: pd.Series, buckets: int, salts: dict[int, int]) -> tuple[list, np.ndarray, np.ndarray, list[int]]:
     """Per text (set, [(band, D, places of its values)]); the part's distinct values, sorted; in how many classes each is; where each bucket begins."""
     docs, found, known, total = [], [], {}, 0
@@ -134,7 +149,7 @@ def part_values(texts: pd.Series, buckets: int, salts: dict[int, int]) -> tuple[
                 total += len(v)
             known[key] = own
         docs.append((s, known[key]))
-    values, back, times = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]), return_inverse=True, return_counts=True)
+    values, back, times = distinct(found)
     return [(s, [(j, d, back[x:y]) for j, d, x, y in own]) for s, own in docs], values, times, bucket_edges(values, buckets)
 
 
