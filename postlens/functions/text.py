@@ -173,6 +173,58 @@ def phrases_in(flat: Column, phrases: Sequence[str]) -> Column:
     return F.filter(possible, lambda p: ~F.contains(p, F.lit(" ")) | F.contains(flat, F.concat(F.lit(" "), p, F.lit(" "))))
 
 
+#: What words are made of, and what separates them; ASCII is listed sign by sign, which costs one look at a table.
+WORD_SIGNS = r"[abcdefghijklmnopqrstuvwxyz0123456789+]\p{L}\p{N}"
+#: So many branches of a pattern are tried one by one; more are tried in groups by their first sign.
+MOST_BRANCHES = 5
+
+
+def phrase_tree(phrases: Sequence[str]) -> dict:
+    """Phrases by their signs; the empty key ends a phrase."""
+    root: dict = {}
+    for p in phrases:
+        at = root
+        for sign in p:
+            at = at.setdefault(sign, {})
+        at[""] = {}
+    return root
+
+
+def tree_pattern(tree: dict) -> str:
+    """The longest phrase of a tree that ends with a word; a phrase's spaces are any signs between words."""
+    branches = [(k, (f"[^{WORD_SIGNS}]++" if k == " " else re.escape(k)) + tree_pattern(v)) for k, v in sorted(tree.items()) if k]
+    signs = [b for b in branches if b[0] != " "]
+    if len(signs) > MOST_BRANCHES:
+        step = max(MOST_BRANCHES, round(len(signs) ** 0.5))
+        groups = [signs[i : i + step] for i in range(0, len(signs), step)]
+        out = [f"(?=[{''.join(k for k, _ in g)}])(?:{'|'.join(x for _, x in g)})" for g in groups]
+    else:
+        out = [x for _, x in signs]
+    out += [x for k, x in branches if k == " "] + ([f"(?![{WORD_SIGNS}])"] if "" in tree else [])
+    return out[0] if len(out) == 1 else f"(?:{'|'.join(out)})"
+
+
+@cache
+def phrase_pattern(phrases: tuple[str, ...]) -> str:
+    """What stands before a word, with the longest phrase that begins there looked ahead at, so that the next word is looked at as well."""
+    return f"[^{WORD_SIGNS}](?=({tree_pattern(phrase_tree(phrases))}))"
+
+
+def phrases_in_low(low: Column, phrases: Sequence[str]) -> Column:
+    """phrases_in() of lower-case text that need not be flattened: one pass over its signs, and neither a list of its words nor a copy without what separates them."""
+    phrases = tuple(dict.fromkeys(phrases))
+    longest = F.regexp_extract_all(F.concat(F.lit(" "), low), F.lit(phrase_pattern(phrases)), F.lit(1))
+    plain = F.transform(longest, lambda p: F.regexp_replace(p, f"[^{WORD_SIGNS}]+", " "))
+    # a phrase that begins with others stands for them too
+    known = set(phrases)
+    begun = {p: [" ".join(p.split(" ")[:n]) for n in range(1, p.count(" ") + 1)] for p in phrases}
+    also = {p: "|".join([p, *[b for b in v if b in known]]) for p, v in begun.items() if any(b in known for b in v)}
+    if also:
+        table = F.map_from_arrays(strings(also), strings(list(also.values())))
+        plain = F.flatten(F.transform(plain, lambda p: F.split(F.coalesce(F.element_at(table, p), p), r"\|")))
+    return F.array_distinct(plain)
+
+
 def among(found: Column, phrases: Sequence[str]) -> Column:
     """Those of phrases_in() that are in one list, in its order."""
     return F.array_intersect(strings(phrases), found)
@@ -216,6 +268,12 @@ def label_in_flat(label: Column, flat: Column) -> Column:
     return F.coalesce(F.when(F.length(plain) <= LONGEST_LABEL, short).when(may_be_in_tokens(label, flat), label_in_tokens(label, tokens(flat))), F.lit(False))
 
 
+def may_be_in_text(label: Column, low: Column) -> Column:
+    """False where label_in_flat() of the flattened text surely is: lower-case text must hold the label's signs with nothing but what separates words between them."""
+    pattern = lambda p: F.regexp_replace(p, "(?<=.)(?=.)", f"[^{WORD_SIGNS.replace(chr(92), chr(92) * 2)}]*+")
+    return let(F.regexp_replace(F.lower(label), "[^a-z0-9]", ""), lambda p: (F.length(p) > LONGEST_LABEL) | ((F.length(p) >= 3) & F.rlike(low, pattern(p))))
+
+
 def label_in_tokens(label: Column, toks: Column) -> Column:
     """Whether the label (letters and digits, three at least) is one token, or two or three adjacent ones joined."""
     plain = F.regexp_replace(F.lower(label), "[^a-z0-9]", "")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 from operator import or_
 
@@ -99,9 +99,23 @@ def may_hold(text: Column, low: Column | None, patterns: Sequence[str]) -> Colum
     return let(F.lower(text), one) if low is None else one(low)
 
 
+#: What a word of the text must hold for an address or a link, neither of which holds a space, to be in it.
+IN_WORD: dict[str, Callable[[Column], Column]] = {L.EMAIL: lambda w: F.contains(w, F.lit("@")), L.URL: lambda w: F.contains(w, F.lit("/")) | (F.contains(w, F.lit(".")) & w.rlike(r"(?i)www\."))}
+
+
+def words_with(text: Column, pattern: str) -> Column:
+    """The words between spaces that a match of the pattern may be in: a few of a long text."""
+    return F.array_join(F.filter(F.split(text, " "), IN_WORD[pattern]), " ")
+
+
+def without(text: Column, pattern: str, java_pattern: str) -> Column:
+    """The text with a space for each match, sought word by word."""
+    return F.array_join(F.transform(F.split(text, " "), lambda w: F.when(IN_WORD[pattern](w), F.regexp_replace(w, java_pattern, " ")).otherwise(w)), " ")
+
+
 def all_if(text: Column, pattern: str, java_pattern: str, low: Column | None = None) -> Column:
     """All matches' first groups; searched for only where the text holds what the pattern needs."""
-    found = F.regexp_extract_all(text, F.lit(java_pattern), F.lit(1))
+    found = F.regexp_extract_all(words_with(text, pattern) if pattern in IN_WORD else text, F.lit(java_pattern), F.lit(1))
     none = F.array().cast("array<string>")
     return F.when(text.isNull(), None).when(may_hold(text, low, [pattern]), found).otherwise(none) if pattern in L.NEEDED else found
 
@@ -128,8 +142,8 @@ def email_domains(emails: Column, text: Column, low: Column | None = None) -> Co
 
 
 def without_contacts(text: Column, low: Column | None = None) -> Column:
-    bare = F.when(may_hold(text, low, [L.EMAIL]), F.regexp_replace(text, EMAIL, " ")).otherwise(text)
-    return F.when(may_hold(text, low, [L.URL]), F.regexp_replace(bare, URL, " ")).otherwise(bare)
+    bare = F.when(may_hold(text, low, [L.EMAIL]), without(text, L.EMAIL, EMAIL)).otherwise(text)
+    return F.when(may_hold(text, low, [L.URL]), without(bare, L.URL, URL)).otherwise(bare)
 
 
 def has_contacts(text: Column, low: Column | None = None) -> Column:

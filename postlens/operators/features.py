@@ -8,12 +8,15 @@ selects, so that Catalyst evaluates each intermediate once per row.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions import text as T
 from ..functions import urls as U
+from ..functions.compose import nfkc
 
 POST_SCHEMA = "post_id string, text string, author_headline string, age_text string, age_hours double, reactions bigint, comments bigint, reposts bigint, links array<struct<href string, text string>>, emails array<string>"
 
@@ -81,13 +84,13 @@ def exposure() -> Column:
 
 
 @T.once_a_session
-def stages(compose: bool, label_only: bool = False) -> list[dict[str, Column]]:
-    """The columns that each step adds; the last holds the features."""
-    text, flat, low = F.col("text"), F.col("_flat"), F.col("_low")
+def stages(compose: bool, label_only: bool = False, only: tuple[str, ...] = ()) -> list[dict[str, Column]]:
+    """The columns that each step adds; the last holds the features (those of `only`, if there are any)."""
+    text, low = F.col("text"), F.col("_low")
     # only labels are looked up there
     labelled = (F.size("_careers") > 0) | (F.size("_corporate") > 0)
     in_headline = lambda label: T.label_in_flat(label, F.col("_headline"))
-    of_company = lambda label: in_headline(label) | T.label_in_flat(label, F.col("_plain"))
+    of_company = lambda label: in_headline(label) | T.label_in_flat(label, F.col("_flat"))
     free = lambda h: U.in_domain_list(h, L.FREE_EMAIL_DOMAINS)
     any_url = lambda kind: F.exists("_urls", lambda u: u["kind"] == kind)
     count = lambda kind: F.size(F.filter("_urls", lambda u: u["kind"] == kind))
@@ -125,29 +128,29 @@ def stages(compose: bool, label_only: bool = False) -> list[dict[str, Column]]:
     if label_only:
         counts = any_url("form") | (count("opaque") > 0)
         made["specificity"] = F.when(counts, made["specificity"])
-    names = [k for k in FEATURES if not (label_only and k in NOT_FOR_LABELS)]
+    names = [k for k in only or FEATURES if not (label_only and k in NOT_FOR_LABELS)]
     return [
         {"_low": F.lower("text")},
-        {"_flat": T.flatten_low(low, compose), "_headline": T.flatten(F.coalesce("author_headline", F.lit("")), compose)},
-        {"_found": T.phrases_in(flat, PHRASES), "_urls": classify_urls(collect_urls(F.col("links"), text, low)), "_domains": U.email_domains(F.col("emails"), text, low)},
+        {"_headline": T.flatten(F.coalesce("author_headline", F.lit("")), compose), "_found": T.phrases_in_low(nfkc(low) if compose else low, PHRASES), "_urls": classify_urls(collect_urls(F.col("links"), text, low)), "_domains": U.email_domains(F.col("emails"), text, low)},
         {
             "_careers": F.transform(F.filter("_urls", lambda u: u["kind"] == "careers"), lambda u: u["label"]),
             "_free": F.filter("_domains", free),
             "_corporate": F.transform(F.filter("_domains", lambda h: ~free(h)), lambda h: F.coalesce(U.registrable_label(h), F.lit(""))),
         },
-        {"_bare": F.when(labelled & U.has_contacts(text, low), F.lower(U.without_contacts(text, low)))},
-        {"_plain": F.when(F.col("_bare").isNotNull(), T.flatten_low(F.col("_bare"), compose)).when(labelled, flat)},
+        {"_bare": F.when(labelled, F.when(U.has_contacts(text, low), F.lower(U.without_contacts(text, low))).otherwise(low))},
+        {"_flat": F.when(F.lit(compose) | F.exists(F.concat("_careers", "_corporate"), lambda label: T.may_be_in_text(label, F.col("_bare"))), T.flatten_low(F.col("_bare"), compose))},
         {"text_units": T.utf16_length(text), "features": one_row(F.struct(*[made[k].alias(k) for k in names]))},
     ]
 
 
-def extract_features(posts: DataFrame, compose: bool = False, label_only: bool = False) -> DataFrame:
+def extract_features(posts: DataFrame, compose: bool = False, label_only: bool = False, only: Sequence[str] = ()) -> DataFrame:
     """All columns of the posts, with `features` and `text_units` (the text's length in UTF-16 units).
 
     compose applies Unicode compatibility composition before matching. label_only leaves out what
     no label or question to a model depends on: NOT_FOR_LABELS, and specificity where there is neither a form nor an opaque link.
+    only: the features that are wanted, where that is not all. Posts may bring their text in lower case as `_low`.
     """
-    d, steps = posts, stages(compose, label_only)
-    for step in steps[:-1]:
+    d, steps = posts, stages(compose, label_only, tuple(only))
+    for step in steps["_low" in posts.columns : -1]:
         d = d.select("*", *[c.alias(k) for k, c in step.items()])
     return d.select(*posts.columns, *[c.alias(k) for k, c in steps[-1].items()])

@@ -115,3 +115,26 @@ def test_labels_are_found_without_lists_of_tokens(spark):
 
 def test_posts_are_spread_over_several_tasks_a_core(spark):
     assert derived_posts(spark, SMALL).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_phrases_of_text_that_is_not_flattened(spark):
+    phrases = ["apply", "apply now", "we are hiring", "hiring", "c++", "comment below", "comment below for referral", "for referral", "now", "a b", "sde", "sde 1", "sde1", "1 a b", "node", "next js"]
+    texts = ["Apply -- NOW, we\n\tare   hiring!", "reapply nowhere hirings", "c++, (c++) c+++ c", "comment below: for a referral", "#comment below; for.referral", "sde 1 sde1 sde-1", "éapply applyé apply_é", "a, b a b", "1 a b", "next.js nodé", " apply now​", "\U0001d400apply apply\U0001f600now", "apply", " ", "", None, "x " * 30000 + "now"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(F.lower("t").alias("low"))
+    for got, want in rows.select(T.phrases_in_low(F.col("low"), phrases), T.phrases_in(T.flatten_low(F.col("low")), phrases)).collect():
+        assert got == want or (len(got) == len(set(got)) and set(got) == set(want))
+
+
+def test_contacts_are_cut_out_word_by_word(spark):
+    from postlens.functions import lexicon as L
+
+    texts = ["Mail a@b.com, c@d.de/x or www.q.com/(y) end", "x@y.com/jobs z@w.io@v.com", "WWW.Q and http://a b", "no contacts . at all @ / here", "a@b.com\nwww.c\thttp://d.com/e f", "  a@b.co  ", "bit.ly/x-foo.com/y", ""]
+    t = F.col("t")
+    plain = F.regexp_replace(F.regexp_replace(t, T.java(L.EMAIL), " "), T.java(L.URL), " ")
+    assert all(a == b for a, b in spark.createDataFrame([(x,) for x in texts], "t string").select(U.without_contacts(t), plain).collect())
+
+
+def test_text_is_flattened_for_labels_only_where_it_may_hold_one(spark):
+    rows = spark.createDataFrame([("Acme-1", "the ac, me 1 team"), ("acme", "x a-c\nm e"), ("acme", "acne me"), ("abc", "abcd"), ("ab", "ab"), ("a" * 70, "b"), ("acme", "acém e"), (None, "acme")], "l string, t string")
+    may, found = zip(*rows.select(T.may_be_in_text(F.col("l"), F.col("t")), T.label_in_flat(F.col("l"), T.flatten(F.col("t")))).collect(), strict=True)
+    assert all(m for m, f in zip(may, found, strict=True) if f) and found[0] and may == (True, True, False, True, False, True, False, None)
