@@ -120,7 +120,8 @@ def pending_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def not_hiring_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decided(spark, sf_dir).where("label = 'not_hiring'").select("doc_id", R.reason_line(F.col("reasons")).alias("line"))
+    # the only reason of this label: it needs no more features than the label does
+    return labelled(spark, sf_dir).where("label = 'not_hiring'").select("doc_id", R.reason_line(R.parts(R.not_hiring_reason(F.col("features")))).alias("line"))
 
 
 @query

@@ -138,3 +138,7 @@ def test_text_is_flattened_for_labels_only_where_it_may_hold_one(spark):
     rows = spark.createDataFrame([("Acme-1", "the ac, me 1 team"), ("acme", "x a-c\nm e"), ("acme", "acne me"), ("abc", "abcd"), ("ab", "ab"), ("a" * 70, "b"), ("acme", "acém e"), (None, "acme")], "l string, t string")
     may, found = zip(*rows.select(T.may_be_in_text(F.col("l"), F.col("t")), T.label_in_flat(F.col("l"), T.flatten(F.col("t")))).collect(), strict=True)
     assert all(m for m, f in zip(may, found, strict=True) if f) and found[0] and may == (True, True, False, True, False, True, False, None)
+
+
+def test_not_hiring_needs_no_companies(spark):
+    assert "poster_at_company" not in plan(spark, "not_hiring_reasons")
