@@ -106,8 +106,8 @@ def url_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def channels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = extract_features(derived_posts(spark, sf_dir))
     same = ("careers_page", "google_form", "whatsapp", "telegram", "corporate_email", "free_email_provider", "dm_only")
+    d = extract_features(derived_posts(spark, sf_dir), only=(*same, "corporate_email_matches_company"))
     return d.select("doc_id", *[F.col(f"features.{c}").alias(c) for c in same], F.col("features.corporate_email_matches_company").alias("corporate_matches"))
 
 

@@ -142,3 +142,7 @@ def test_text_is_flattened_for_labels_only_where_it_may_hold_one(spark):
 
 def test_not_hiring_needs_no_companies(spark):
     assert "poster_at_company" not in plan(spark, "not_hiring_reasons")
+
+
+def test_other_features_than_wanted_are_not_made(spark):
+    assert "poster_at_company" not in plan(spark, "channels")
