@@ -312,9 +312,9 @@ def text_score(which: int) -> Column:
     return F.conv(F.substring(F.sha1("text"), 4 * which + 1, 4), 16, 10).cast("double") / 65535
 
 
-def judged_gold() -> Column:
-    """Gold labels by a rule of their own: as somebody might label posts at a glance."""
-    low = F.lower("text")
+def judged_gold(low: Column | None = None) -> Column:
+    """Gold labels by a rule of their own: as somebody might label posts at a glance. low: a column of the text in lower case, so that it is made once and not for each word."""
+    low = F.lower("text") if low is None else low
     # plain searches: a pattern of alternatives tries each of them at every place of the text
     has = lambda *words: reduce(or_, [F.contains(low, F.lit(w)) for w in words])
     fresh = F.coalesce(F.col("age_hours") <= 24, F.lit(False)) & (F.coalesce("comments", F.lit(0)) < 50)
@@ -326,9 +326,9 @@ def judged_gold() -> Column:
 
 
 def judged_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The posts relation with `gold` and `scores`."""
-    posts = derived_posts(spark, sf_dir).withColumn("href", F.get("links", F.lit(0))["href"])
-    return posts.withColumn("gold", judged_gold()).withColumn("scores", F.struct(text_score(0).alias("hiring"), text_score(1).alias("bait"), text_score(2).alias("scam")))
+    """The posts relation with `_low`, `gold` and `scores`."""
+    posts = derived_posts(spark, sf_dir).withColumns({"href": F.get("links", F.lit(0))["href"], "_low": F.lower("text")})
+    return posts.withColumn("gold", judged_gold(F.col("_low"))).withColumn("scores", F.struct(text_score(0).alias("hiring"), text_score(1).alias("bait"), text_score(2).alias("scam")))
 
 
 def evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -146,3 +146,7 @@ def test_not_hiring_needs_no_companies(spark):
 
 def test_other_features_than_wanted_are_not_made(spark):
     assert "poster_at_company" not in plan(spark, "channels")
+
+
+def test_evaluation_makes_lower_case_once(spark):
+    assert plan(spark, "label_report").count("lower(text#") == 1
