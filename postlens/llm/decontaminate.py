@@ -9,14 +9,17 @@ For each length of a stretch there is a set of masks, which keep some positions
 window and ignore the others: any allowed pattern of substitutions leaves the kept
 positions of one mask untouched somewhere in the stretch, so that no overlap is lost.
 Windows of texts and items that agree on a mask's kept positions are joined by hash,
-and the texts are compared word by word around each hit. Seeds of the benchmark are
-broadcast in blocks of at most SEEDS_PER_BLOCK rows; a larger benchmark takes one more
-pass per block.
+and the texts are compared word by word around each hit. Texts go through the join in
+chunks of CHUNK positions, so that a hit holds the words around it, not the whole text.
+Seeds of the benchmark are broadcast in blocks of at most SEEDS_PER_BLOCK rows; a larger
+benchmark takes one more pass per block, one pass after the other. Items of equal words
+have the same seeds, which are made once.
 
 Defined cases: null and empty texts have no words and never match; an item of very few
 words matches each text that holds them; very long texts are compared as a whole; repeated rows of a document merge by id (a null
-id is an id of its own); a benchmark item with a null id is kept as such; extra columns
-are ignored; with either table empty the result is empty.
+id is an id of its own); a benchmark item with a null id is kept as such, the texts of
+one that repeats an id count together; extra columns are ignored; with either table
+empty the result is empty.
 """
 
 from __future__ import annotations
@@ -28,12 +31,16 @@ from math import ceil
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, spread
+from .common import Scratch, checkpointed, release, spread
 
 WINDOW, LEAST_STRETCH, SHARE = 13, 9, 0.75
 #: Kept positions of a mask, and masks of one length, at most.
 WEIGHT, MASKS = 6, 8
 SEEDS_PER_BLOCK = 200_000
+#: Seeds of finished blocks after which executors are told to drop them.
+SEEDS_HELD = 1_000_000
+#: Positions of a text that go through the join together.
+CHUNK = 64
 #: Up to so many keys of overlapping documents (8 bytes each) are broadcast.
 BROADCAST_KEYS = 2_000_000
 
@@ -65,14 +72,22 @@ def words(text: Column) -> Column:
 
 
 def windows(rows: DataFrame, fits: Column) -> DataFrame:
-    """A row for each word position of the (id, w, n) that fit, with n words in w."""
-    return rows.select("*", F.explode(F.when(fits & (F.col("n") > 0), F.sequence(F.lit(0), F.col("n") - 1))).alias("at"))
+    """A row for each word position of the (id, w, n) that fit, with n words in w. After that w holds the words of the position's chunk and WINDOW - 1 more on both sides, and the position in it is `at`."""
+    around, others = WINDOW - 1, [c for c in rows.columns if c != "w"]
+
+    def piece(start: Column) -> Column:
+        before = F.least(start, F.lit(around))
+        return F.struct(before.alias("at"), F.least(F.col("n") - start, F.lit(CHUNK)).alias("own"), F.slice("w", start - before + 1, before + CHUNK + around).alias("w"))
+
+    # a function of arrays in the explode: pieces are then passed on one by one, not all that a text gives
+    pieces = F.when(fits & (F.col("n") > 0), F.transform(F.sequence(F.lit(0), F.col("n") - 1, F.lit(CHUNK)), piece))
+    return rows.select(*others, F.explode(pieces).alias("piece")).select(*others, "piece.w", F.explode(F.sequence(F.col("piece.at"), F.col("piece.at") + F.col("piece.own") - 1)).alias("at"))
 
 
 def keys(length: int) -> Column:
     """One hash for each mask of the length at `at`; null where the mask ends beyond the text."""
     key = lambda k, own: F.xxhash64(F.lit(length), F.lit(k), *[F.get("w", F.col("at") + i) for i in own])
-    return F.array(*[F.when(F.col("at") + own[-1] < F.col("n"), key(k, own)) for k, own in enumerate(masks(length))])
+    return F.array(*[F.when(F.col("at") + own[-1] < F.size("w"), key(k, own)) for k, own in enumerate(masks(length))])
 
 
 def keys_of(lengths: dict[int, Column]) -> Column:
@@ -98,27 +113,47 @@ def agreement() -> Column:
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", seeds_per_block: int = SEEDS_PER_BLOCK) -> DataFrame:
     """A row for each overlapping pair: document id, item id, matched (words that agree in the best stretch), stretch (its words) and hits."""
     d = spread(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))).select("id", words(F.col("text")).alias("w")).withColumn("n", F.size("w"))
-    b = spread(benchmark.select(benchmark[item_col].alias("item"), benchmark[item_text_col].alias("text"))).select("item", words(F.col("text")).alias("w")).withColumn("n", F.size("w"))
+    texts = spread(benchmark.select(benchmark[item_col].alias("item"), benchmark[item_text_col].alias("text"))).select("item", words(F.col("text")).alias("w"))
+    items = checkpointed(texts.select("item", F.xxhash64("w").alias("same"), "w", F.size("w").alias("n")).where("n > 0"))
+    b = items.drop("item").dropDuplicates(["same"])
     n = F.col("n")
-    short = sorted(r.n for r in b.where((n > 0) & (n < WINDOW)).select("n").distinct().collect())  # at most WINDOW - 1 numbers
+    short = sorted(r.n for r in b.where(n < WINDOW).select("n").distinct().collect())  # at most WINDOW - 1 numbers
     middle = range(LEAST_STRETCH, WINDOW)
-    of_item = {k: n == k for k in short if k < LEAST_STRETCH} | {k: n >= k for k in middle} | {WINDOW: n >= WINDOW}
-    seeds = checkpointed(windows(b, F.lit(True)).select("item", F.col("n").alias("item_n"), context().alias("item_context"), F.explode(keys_of(of_item)).alias("key")).where("key is not null").distinct())
-    blocks = max(1, -(-seeds.count() // seeds_per_block))
+    of_item = {k: n == k for k in short if k < LEAST_STRETCH} | {k: n >= k for k in middle}
+    at = windows(b, F.lit(True)).select("same", F.col("n").alias("item_n"), "n", "w", "at", context().alias("item_context"))
+    made = [at.select("same", "item_n", "item_context", F.lit(full).alias("full"), F.explode(x).alias("key")) for full, x in ((True, keys(WINDOW)), (False, keys_of(of_item)))]
+    seeds = checkpointed(reduce(DataFrame.unionByName, made).where("key is not null").distinct())
+    blocks = {r.full: -(-r["count"] // seeds_per_block) for r in seeds.groupBy("full").count().collect()}
     # most documents need the masks of one length only; the others are apart, as their longer code is not compiled
     whole = F.greatest("n", F.lit(LEAST_STRETCH))
     of_short = {k: (whole == k) | ((whole > k) if k in short else F.lit(False)) for k in sorted({*short, *middle})}
     few = F.lit(True) if short else n < WINDOW
-    starts = [windows(d, n >= WINDOW).select("id", "n", "w", "at", F.explode(keys(WINDOW)).alias("key")), windows(d, few).select("id", "n", "w", "at", F.explode(keys_of(of_short)).alias("key"))]
+    scratch = Scratch(docs.sparkSession)
+    d_few = scratch.written(d.where(few)) if blocks.get(False, 0) > 1 and not short else d
+    starts = {True: windows(d, n >= WINDOW).select("id", "n", "w", "at", F.explode(keys(WINDOW)).alias("key")), False: windows(d_few, few).select("id", "n", "w", "at", F.explode(keys_of(of_short)).alias("key"))}
 
-    def matches(k: int) -> DataFrame:
-        own = F.broadcast(seeds.where(F.pmod(F.hash("key"), F.lit(blocks)) == k) if blocks > 1 else seeds)
+    def matches(full: bool, k: int) -> DataFrame:
+        own = seeds.where(F.col("full") == full).drop("full")
+        own = own.where(F.pmod(F.hash("key"), F.lit(blocks[full])) == k) if blocks[full] > 1 else own
         stretch = F.least(F.lit(WINDOW), "item_n", whole).alias("stretch")
-        hits = reduce(DataFrame.unionByName, [x.join(own, "key").select("id", "item", stretch, context().alias("context"), "item_context") for x in starts])
-        return hits.select("id", "item", "stretch", F.explode(agreement()).alias("matched")).where(F.col("matched") >= F.ceil(F.col("stretch") * SHARE))
-
-    found = reduce(DataFrame.unionByName, [matches(k) for k in range(blocks)])
-    out = found.groupBy("id", "item").agg(F.max("matched").alias("matched"), F.max("stretch").alias("stretch"), F.count("*").alias("hits"))
+        hits = starts[full].join(F.broadcast(own), "key").select("id", "same", stretch, context().alias("context"), "item_context")
+        return hits.select("id", "same", "stretch", F.explode(agreement()).alias("matched")).where(F.col("matched") >= F.ceil(F.col("stretch") * SHARE))
+
+    def merged(found: DataFrame, *by: str, hits: Column) -> DataFrame:
+        return found.groupBy(*by).agg(F.max("matched").alias("matched"), F.max("stretch").alias("stretch"), hits.alias("hits"))
+
+    passes = [(full, k) for full in (True, False) for k in range(blocks.get(full, 0))] or [(True, 0)]
+    blocks.setdefault(True, 1)
+    if max(blocks.values()) == 1:
+        found = merged(reduce(DataFrame.unionByName, [matches(*x) for x in passes]), "id", "same", hits=F.count("*"))
+    else:  # one block at a time is in memory
+        parts = []
+        for done, x in enumerate(passes, 1):
+            parts.append(scratch.written(merged(matches(*x), "id", "same", hits=F.count("*"))))
+            if done % max(1, SEEDS_HELD // seeds_per_block) == 0:
+                release(docs.sparkSession)
+        found = merged(reduce(DataFrame.unionByName, parts), "id", "same", hits=F.sum("hits"))
+    out = merged(found.hint("merge").join(items.select("item", "same").distinct(), "same"), "id", "item", hits=F.sum("hits"))
     return out.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "matched", "stretch", "hits")
 
 
