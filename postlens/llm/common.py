@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Rows per Arrow batch handed to Python: texts may be very long, so batches stay small.
 ARROW_ROWS = 500
+#: Bytes per Arrow batch of rows that hold blocks of vectors.
+ARROW_BYTES = 8 << 20
 #: Bytes of written tables from which shuffle files of finished jobs are worth dropping early.
 RELEASE_BYTES = 128 << 20
 
@@ -27,6 +29,14 @@ def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
         spark.conf.set(key, rows)
 
 
+def light_batches(spark: SparkSession, size: int = ARROW_BYTES) -> None:
+    """Bound the bytes of Arrow batches of this session: a JVM holds a batch or more for each task, outside its heap. A size with a unit is the user's and stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key).removesuffix("b")
+    if now.lstrip("-").isdigit() and not 0 < int(now) <= size:
+        spark.conf.set(key, size)
+
+
 def crc_mod(id_col: str, n: int) -> Column:
     """crc32 of the id as text, modulo n; null for a null id."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % n

@@ -2,7 +2,8 @@
 
 Vectors become integers floor(scale * x), stored in column-major blocks of bounded
 size (one array per dimension group), dimensions of most energy first. Every block of queries meets every block of
-candidates as one row of a join on the candidate group. A query's bar, the k-th best
+candidates as one row of a join on the groups of both. Both sides are shuffled, as blocks of queries go to every
+candidate group: sent to all by the driver, they would be there as often as there are groups. A query's bar, the k-th best
 score among a sample of PILOT candidates of all blocks, rises with what the task has
 found so far. Blocks whose largest norm cannot reach any bar are left out; in the
 others scores accumulate one dimension group at a time, and after each group the pairs
@@ -30,11 +31,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, light_batches
 from .vectors import as_matrix, best, integers, kth_best, largest_sum, loaded, pack, same_dims, scores, whole
 
 #: Rows per block of candidates and of queries; dimensions per step.
 CANDIDATES, QUERIES, DIMS = 1024, 256, 8
+#: Candidate groups per core, blocks in a query group.
+GROUPS, QUERY_BLOCKS = 4, 256
 #: Candidates from which the first bars come.
 PILOT = 2048
 #: Share of pairs below which they go on as a list.
@@ -109,19 +112,25 @@ def best_of_blocks(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.nd
 def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0, id_col: str = "vec_id", vector_col: str = "embedding", groups: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the k best other rows of each query row. The sample for the bars is drawn when this is called."""
     spark = vectors.sparkSession
+    light_batches(spark)
     v = vectors.select(vectors[id_col].cast("long").alias("id"), vectors[vector_col].cast("array<double>").alias("embedding"), is_query.alias("query"))
     v = v.where(F.col("id").isNotNull() & whole("embedding"))
-    groups = groups or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    drawn = v.orderBy(F.xxhash64("id"), "id").limit(PILOT).select("id", "embedding").toPandas()  # at most PILOT vectors
+    groups = groups or max(min(int(spark.conf.get("spark.sql.shuffle.partitions")), GROUPS * spark.sparkContext.defaultParallelism), 1)
+    # at most PILOT vectors, drawn by a task: the driver would get as many from each partition
+    drawn = v.orderBy(F.xxhash64("id"), "id").limit(PILOT).select("id", "embedding").repartition(1).toPandas()
     sample = integers(as_matrix(drawn.embedding), scale)
     order = np.argsort(-(sample.astype(np.float64) ** 2).sum(axis=1), kind="stable")  # any order gives right results
     pilot = spark.sparkContext.broadcast((drawn.id.to_numpy(np.int64), sample))
     # blocks are written before they are shuffled, as a task that runs again may see its rows in another order
     scratch = Scratch(spark)
-    candidates = scratch.written(pack(v.drop("query"), CANDIDATES, scale).select(F.pmod(F.xxhash64("id", "data"), F.lit(groups)).alias("grp"), "*"))
     q = scratch.written(pack(v.where("query").drop("query"), QUERIES, scale))
-    q = q.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("grp"), *[F.col(c).alias(f"q_{c}") for c in ("id", "dims", "kind", "data")])
-    pairs = candidates.join(q, "grp").select("q_id", "q_dims", "q_kind", "q_data", "id", "dims", "kind", "data")
+    shares = max(1, -(-q.count() // QUERY_BLOCKS))
+    among = lambda n: F.pmod(F.xxhash64("id", "data"), F.lit(n))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    candidates = scratch.written(pack(v.drop("query"), CANDIDATES, scale))
+    candidates = candidates.select(among(groups).alias("grp"), each(shares).alias("share"), "id", "dims", "kind", "data")
+    q = q.select(each(groups).alias("grp"), among(shares).alias("share"), *[F.col(c).alias(f"q_{c}") for c in ("id", "dims", "kind", "data")])
+    pairs = candidates.hint("merge").join(q, ["grp", "share"]).select("q_id", "q_dims", "q_kind", "q_data", "id", "dims", "kind", "data")
 
     def ordered(m: np.ndarray) -> np.ndarray:
         m = np.pad(m, ((0, max(0, len(order) - len(m))), (0, 0)))

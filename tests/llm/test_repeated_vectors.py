@@ -62,3 +62,18 @@ def test_large_finite_vectors_are_scored(spark):
     dot = lambda a, b: x[a][0] * x[b][0] + x[a][1] * x[b][1]
     assert got == [(0, 1, 7, dot(0, 7)), (0, 2, 50, dot(0, 50)), (50, 1, 7, dot(50, 7)), (50, 2, 0, dot(50, 0))]
     assert topk.exact_top_k(d.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_blocks_are_not_sent_by_the_driver(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = np.floor(256 * rng.normal(size=(900, 16))).astype(np.int64)
+    d = spark.createDataFrame([(i, (v / 256).tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(5)
+    for name, size in (("QUERIES", 4), ("QUERY_BLOCKS", 3), ("CANDIDATES", 100)):
+        monkeypatch.setattr(topk, name, size)
+    out = topk.exact_top_k(d, F.col("vec_id") % 20 == 0)  # several query groups
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").removesuffix("b")) <= 8 << 20
+    total = x[::20] @ x.T
+    total[np.arange(45), np.arange(0, 900, 20)] = -(1 << 60)
+    want = [(20 * k, rank, int(j), int(total[k, j])) for k in range(45) for rank, j in enumerate(np.lexsort((np.arange(900), -total[k]))[:5], 1)]
+    assert sorted(map(tuple, out.collect())) == want
